@@ -121,27 +121,73 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: Bytes of a-z for A-Z; bytes that split words (space, tab to carriage return) become spaces.
-ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 SHINGLE = 5
 
 
-def shingle_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, as UTF-8."""
-    return [w for w in (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split(b" ") if w]
-
-
-def shingle_hashes(words: list[bytes], hashes: Hashes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``size``-word shingles; fewer words are one shingle, no words none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    width = min(size, len(words))
-    n = len(words) - width + 1
-    out = np.full(n, width, np.uint64)
-    for i in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
+#: Bytes of text that are hashed at one time, up to the next white space.
+BLOCK_BYTES = 1 << 20
+
+
+class _WordHashes:
+    """64-bit hashes of all words of a text at once: sums of random values of the bytes (A-Z as a-z) times powers of an odd number, from prefix sums."""
+
+    def __init__(self, factor: int = 0x9E3779B97F4A7C15):
+        rng = np.random.default_rng(20240229)
+        self.value = rng.integers(1, 2**64, 256, np.uint64)
+        self.value[65:91] = self.value[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.value[self.space] = 0
+        self.factor, self.inverse = np.uint64(factor), np.uint64(pow(factor, -1, 2**64))
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        n = max(n, 4096)
+        self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (self.factor, self.inverse))
+
+    def of(self, data: bytes) -> np.ndarray:
+        b = np.frombuffer(data, np.uint8)
+        if len(b) >= len(self.up):
+            self._powers(2 * len(b))
+        inside = np.zeros(len(b) + 2, np.int8)
+        inside[1:-1] = ~self.space[b]
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.value[b] * self.up[: len(b)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+_WORDS = _WordHashes()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z taken as a-z, in order."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if len(data) <= BLOCK_BYTES:
+        return _WORDS.of(data)
+    found, at = [], 0
+    while at < len(data):
+        end = min((i for c in b" \t\n\r\x0b\x0c" if (i := data.find(bytes([c]), at + BLOCK_BYTES)) >= 0), default=len(data))
+        found.append(_WORDS.of(data[at:end]))
+        at = end
+    return np.concatenate(found)
+
+
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``size``-word shingles of a text; fewer words are one shingle, no words none."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    width = min(size, len(h))
+    n = len(h) - width + 1
+    out = h[:n] + np.uint64(width)
+    for i in range(1, width):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i : i + n]
+    out = mix(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def held_out(doc_id, modulus: int, remainder: int):

@@ -12,15 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Hashes, derive, generate, partitions, shingle_hashes, shingle_words
+from ._common import derive, generate, partitions, shingle_hashes
 
 K = 128
 BITS = 48
 
 
-def sketch(text: str | None, hashes: Hashes, k: int = K) -> np.ndarray:
+def sketch(text: str | None, k: int = K) -> np.ndarray:
     """The ``k`` smallest distinct hashes; the top 48 bits of each, so that order is kept."""
-    h = shingle_hashes(shingle_words(text), hashes)
+    h = shingle_hashes(text)
     return np.unique(h[: 2 * k] >> np.uint64(64 - BITS))[:k]
 
 
@@ -72,8 +72,7 @@ def fingerprints(documents: DataFrame, keep: list[str] | None = None, k: int = K
     """Adds ``fingerprint``. Null and empty texts have the empty one, equal texts equal ones; extra columns stay."""
 
     def make():
-        hashes = Hashes()
-        return lambda texts: [[pack(sketch(t, hashes, k)) for t in texts]]
+        return lambda texts: [[pack(sketch(t, k)) for t in texts]]
 
     return derive(documents, make, ["text"], "fingerprint string", keep)
 
@@ -114,13 +113,11 @@ def compare_with_next(documents: DataFrame, k: int = K) -> DataFrame:
     def make():
         from hashlib import sha256
 
-        hashes = Hashes()
-
         def pair(this, after):
             text, sketched, doc_id = this
             cut = len(text) // 4
             edited = text[: len(text) - cut] + after[0][:cut]
-            changed = sketch(edited, hashes, k)
+            changed = sketch(edited, k)
             digest = sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
             return doc_id, len(text), digest, pack(sketched), pack(changed), resemblance(sketched, changed, k), resemblance(sketched, after[1], k)
 
@@ -131,7 +128,7 @@ def compare_with_next(documents: DataFrame, k: int = K) -> DataFrame:
                     this, at, done = None, to, False
                 if done:
                     continue
-                now = (text, sketch(text, hashes, k), doc_id)
+                now = (text, sketch(text, k), doc_id)
                 if this is not None:
                     yield pair(this, now)
                 this, done = now, bool(lent)

@@ -8,7 +8,8 @@ Sets of word shingles are joined in regions:
    of either. Shingles of one set only make no region. Regions with sets in common are one group.
 2. A group above ``LEAF`` sets gets ``PIVOTS`` documents as pivots. A set goes home to the nearest one (its Voronoi region), and by the triangle
    inequality it is replicated to each region i before its home with d(i) <= d(home) + 2r, r being the link distance: then of two linked sets one
-   is at home where the other is too. Regions are split again in the same way, at most ``DEPTH`` times; what is still large is joined in pairs of blocks.
+   is at home where the other is too. Regions are split again in the same way, at most ``DEPTH`` times; a region that is too dense for windows
+   to separate, or still large, is joined in pairs of blocks.
 3. A region of at most ``LEAF`` sets is joined exactly in one task.
 
 Sets that are linked already need no comparison with each other, so groups of near copies cost about one comparison a set. Equal sets are one set throughout.
@@ -17,7 +18,6 @@ Intersections count 48-bit shingle hashes.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ROWS, Hashes, arrow_schema, derive, generate, materialise, parse, partitions, shingle_hashes, shingle_words
+from ._common import ROWS, arrow_schema, derive, generate, materialise, parse, partitions, shingle_hashes
 from .components import components
 
 #: Similarity in hundredths from which documents link.
 PERCENT = 75
-LEAF, PIVOTS, DEPTH, BLOCK = 512, 16, 3, 256
+LEAF, PIVOTS, DEPTH, BLOCK = 4000, 16, 3, 1000
+#: Documents and shingles after which a blob is full; a number of a document in its blob has 16 bits.
+BLOB_SETS, BLOB_SHINGLES = 2048, 500_000
+#: Shingles that a leaf may hold in all; a split that puts a set into more regions than ``WIDE`` on average doesn't help, and blocks follow.
+LEAF_SHINGLES, WIDE = 4_000_000, 4
 
 
 def linked(both: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -49,21 +53,6 @@ def _set_key(hashed: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(hashed.tobytes()) if len(hashed) else None
 
 
-def sizes(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of every row; equal sets have equal keys, empty ones null."""
-
-    def make():
-        hashes = Hashes()
-
-        def run(texts):
-            sets = [shingle_hashes(shingle_words(t), hashes) for t in texts]
-            return [[len(s) for s in sets], [_set_key(s) for s in sets]]
-
-        return run
-
-    return derive(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, ["text"], "n_shingles long, set_key binary", keep=["doc_id"])
-
-
 def _even_keys(spark: SparkSession, n: int) -> list[int]:
     """For each of ``n`` hash partitions one integer that hashes to it, so that equal shares stay equal."""
     some = spark.range(0, 20 * n + 200, 1, 1).select(F.col("id").cast("int").alias("id"))
@@ -71,12 +60,6 @@ def _even_keys(spark: SparkSession, n: int) -> list[int]:
     return [found.get(i, i) for i in range(n)]
 
 
-def _binary(flat: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
-    """Binary values from adjoining pieces of ``flat`` (rows of ``width`` bytes) that end at ``ends``."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32) * np.int32(width)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
-
-
 def _six(values: np.ndarray) -> np.ndarray:
     """48-bit values as 6 bytes each."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -88,118 +71,146 @@ def _from_six(data: bytes) -> np.ndarray:
 
 
 def _dealt(documents: DataFrame) -> DataFrame:
-    """(bucket, set_key, n, shingles): each set's 48-bit hashes by ranges of the hash, one range a partition. A task sends equal sets once."""
+    """Shingle hashes by ranges of the hash, one range a partition, packed by blobs of documents so that a shingle costs about 8 bytes however many ranges there are.
+
+    Rows: (bucket, blob, owners, shingles): 48-bit hashes of a blob's sets in one range, and the 16-bit numbers of the sets in the blob; and one row a blob
+    with its documents' ids, set sizes and set keys instead. In a blob equal sets send their shingles once. Blobs number a task's rows, which a retried task repeats.
+    """
     spark = documents.sparkSession
     n = partitions(spark)
     keys = np.array(_even_keys(spark, n), np.int32)
     edges = (np.arange(1, n, dtype=np.uint64) << np.uint64(48)) // np.uint64(n) if n > 1 else np.empty(0, np.uint64)
-    schema = parse("bucket int, set_key binary, n int, shingles binary")
+    schema = parse("bucket int, blob long, owners binary, shingles binary, ids array<long>, sizes array<int>, set_keys array<binary>")
     types = arrow_schema(schema)
 
+    def packed(blob: int, ids: list, sizes: list, set_keys: list, sets: dict[bytes, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        hashed = np.concatenate([x for _, x in sets.values()]) if sets else np.empty(0, np.uint64)
+        owner = np.repeat(np.array([i for i, _ in sets.values()], np.uint16), [len(x) for _, x in sets.values()]) if sets else np.empty(0, np.uint16)
+        place = np.searchsorted(edges, hashed, side="right")
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(n + 1))
+        filled = np.flatnonzero(np.diff(cuts)).tolist()
+        hashed, owner = hashed[order], owner[order]
+        rows = [(int(keys[i]), blob, owner[cuts[i] : cuts[i + 1]].astype("<u2").tobytes(), _six(hashed[cuts[i] : cuts[i + 1]]).tobytes(), None, None, None) for i in filled]
+        rows.append((int(keys[blob % n]), blob, None, None, ids, sizes, set_keys))
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = Hashes(), set()
+        from pyspark import TaskContext
+
+        blob, held = TaskContext.get().partitionId() << 32, 0
+        ids, sizes, set_keys, sets = [], [], [], {}
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
-                values, ends, buckets, owners, total = [], [], [], [], 0
-                for text in batch.column(0).slice(start, ROWS).to_pylist():
-                    full = shingle_hashes(shingle_words(text), hashes)
+                part = batch.slice(start, ROWS)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    full = shingle_hashes(text)
                     key = _set_key(full)
-                    if key is None or key in seen:
-                        continue
-                    seen.add(key)
-                    short = np.unique(full >> np.uint64(16))
-                    cuts = np.append(np.searchsorted(short, edges), len(short))
-                    filled = np.flatnonzero(np.diff(cuts, prepend=0))
-                    values.append(short)
-                    ends.append(cuts[filled] + total)
-                    buckets.append(keys[filled])
-                    owners.append((key, len(full), len(filled)))
-                    total += len(short)
-                if owners:
-                    times = np.array([o[2] for o in owners])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(buckets)),
-                            pa.array([o[0] for o in owners], pa.binary()).take(pa.array(np.repeat(np.arange(len(owners)), times))),
-                            pa.array(np.repeat(np.array([o[1] for o in owners], np.int32), times)),
-                            _binary(_six(np.concatenate(values)), np.concatenate(ends), 6),
-                        ],
-                        schema=types,
-                    )
-
-    return documents.select("text").mapInArrow(run, schema).repartition(n, "bucket")
+                    if key is not None and key not in sets:
+                        short = full >> np.uint64(16)
+                        sets[key] = len(ids), short[np.append(True, short[1:] != short[:-1])]
+                        held += len(full)
+                    ids.append(doc_id)
+                    sizes.append(len(full))
+                    set_keys.append(key)
+                    if len(ids) >= BLOB_SETS or held >= BLOB_SHINGLES:
+                        yield packed(blob, ids, sizes, set_keys, sets)
+                        blob, held = blob + 1, 0
+                        ids, sizes, set_keys, sets = [], [], [], {}
+        if ids:
+            yield packed(blob, ids, sizes, set_keys, sets)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).repartition(n, "bucket")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """(set_key, n, count, shingles, frequencies): of each set's shingles in a bucket those that more sets hold, with the number of these sets. A task holds the buckets of its partition, whose size the number of partitions sets."""
-    schema = parse("set_key binary, n int, count int, shingles binary, frequencies binary")
+    """The rows of ``_dealt`` with only those shingles that are in two or more rows of sets, and their frequencies. Copies of a set in other blobs count too, which at most keeps more.
+
+    A task holds the hashes of its partition, whose size the number of partitions sets.
+    """
+    schema = parse("blob long, owners binary, shingles binary, frequencies binary, ids array<long>, sizes array<int>, set_keys array<binary>")
     types = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        blobs, owners, pieces = [], [], []
+        for batch in batches:
+            meta = batch.filter(batch.column("ids").is_valid())
+            if meta.num_rows:
+                none = pa.nulls(meta.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([meta.column("blob"), none, none, none, *(meta.column(c).cast(types.field(c).type) for c in ("ids", "sizes", "set_keys"))], schema=types)
+            rest = batch.filter(batch.column("ids").is_null())
+            blobs += rest.column("blob").to_pylist()
+            owners += rest.column("owners").to_pylist()
+            pieces += rest.column("shingles").to_pylist()
+        if not blobs:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
-        bucket = table.column("bucket").to_numpy()
-        key = np.frombuffer(b"".join(table.column("set_key").to_pylist()), [("a", "<u8"), ("b", "<u8")])
-        _, first = np.unique(np.rec.fromarrays([bucket, key["a"], key["b"]]), return_index=True)  # equal sets of other tasks
-        first.sort()
-        pieces = table.column("shingles").take(pa.array(first)).to_pylist()
-        n = table.column("n").to_numpy()[first]
         lengths = np.array([len(p) // 6 for p in pieces])
         shingle = _from_six(b"".join(pieces))
-        del pieces
-        owner = np.repeat(np.arange(len(first)), lengths)
-        order = np.argsort(shingle, kind="stable")
+        owner = np.frombuffer(b"".join(owners), "<u2")
+        row = np.repeat(np.arange(len(blobs)), lengths)
+        order = np.argsort(shingle)
         ranked = shingle[order]
-        begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        runs = np.diff(np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(ranked)))
         frequency = np.empty(len(shingle), np.uint32)
-        frequency[order] = np.repeat(np.diff(np.append(begins, len(ranked))), np.diff(np.append(begins, len(ranked))))
+        frequency[order] = np.repeat(runs, runs)
+        del order, ranked, pieces, owners
         wanted = frequency >= 2
-        counts = np.bincount(owner[wanted], minlength=len(first))
-        rows = np.flatnonzero(counts)
-        shingle, frequency, ends = shingle[wanted], frequency[wanted], np.cumsum(counts[rows])
-        for start in range(0, len(rows), 4096):
-            stop = min(start + 4096, len(rows))
-            low, high = (ends[start - 1] if start else 0), ends[stop - 1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    table.column("set_key").take(pa.array(first[rows[start:stop]])).combine_chunks(),
-                    pa.array(n[rows[start:stop]].astype(np.int32)),
-                    pa.array(counts[rows[start:stop]].astype(np.int32)),
-                    _binary(_six(shingle[low:high]), ends[start:stop] - low, 6),
-                    _binary(frequency[low:high].astype("<u4"), ends[start:stop] - low, 4),
-                ],
-                schema=types,
-            )
+        ends = np.cumsum(np.bincount(row[wanted], minlength=len(blobs)))
+        shingle, owner, frequency = shingle[wanted], owner[wanted], frequency[wanted]
+        for i, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if high > low:
+                values = [blobs[i]], [owner[low:high].tobytes()], [_six(shingle[low:high]).tobytes()], [frequency[low:high].astype("<u4").tobytes()], [None], [None], [None]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(values, types, strict=True)], schema=types)
 
     return dealt.mapInArrow(run, schema)
 
 
-def candidates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(set_key, n, shingles, anchors): sets that could link to another, their shared shingles and the rarest of these, whose regions they join.
+def sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, set_key, shingles, anchors) of every document. Equal sets have equal keys, empty ones null.
 
-    A set with fewer shared shingles than a link needs is out, and so is one whose prefix of rare shingles has no shared one.
+    ``shingles`` (shared ones) and ``anchors`` (the rarest of these, whose regions the set joins) are null for a set that can't link to another: it has
+    fewer shared shingles than a link needs, or its prefix of rare shingles has no shared one.
     """
-    pieces = F.collect_list(F.struct("shingles", "frequencies"))  # at most one a bucket and set
-    sets = _shared(_dealt(documents)).groupBy("set_key").agg(F.first("n").alias("n"), F.sum("count").alias("shared"), pieces.alias("pieces")).where(100 * F.col("shared") >= percent * F.col("n"))
+    rows = _shared(_dealt(documents))
+    ordered = rows.repartition(partitions(documents.sparkSession), "blob").sortWithinPartitions("blob")
 
     def make():
-        def run(sizes_, pieces_):
-            shingles, anchors = [], []
-            for n, parts in zip(sizes_, pieces_, strict=True):
-                own = np.concatenate([_from_six(p["shingles"]) for p in parts]).astype(np.int64)
-                often = np.concatenate([np.frombuffer(p["frequencies"], "<u4") for p in parts])
-                order = np.lexsort((own, often))
-                take = (n - needed(n, percent) + 1) - (n - len(own))
-                anchors.append(own[order[: max(take, 0)]])
-                shingles.append(np.sort(own).astype("<i8").tobytes())
-            return [shingles, anchors]
+        def finished(meta, parts):
+            ids, sizes, keys = meta
+            own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            if parts:
+                owner = np.concatenate([np.frombuffer(p[0], "<u2") for p in parts])
+                shingle = np.concatenate([_from_six(p[1]) for p in parts]).astype(np.int64)
+                often = np.concatenate([np.frombuffer(p[2], "<u4") for p in parts])
+                order = np.lexsort((shingle, often, owner))
+                owner, shingle, often = owner[order], shingle[order], often[order]
+                cuts = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner)).tolist()
+                own = {int(owner[a]): shingle[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
+            for i, (doc_id, n, key) in enumerate(zip(ids, sizes, keys, strict=True)):
+                mine, data, anchors = own.get(i), None, None
+                if mine is not None and 100 * len(mine) >= percent * n:
+                    take = (n - needed(n, percent) + 1) - (n - len(mine))
+                    if take > 0:
+                        data, anchors = np.sort(mine).astype("<i8").tobytes(), mine[:take].tolist()
+                yield doc_id, n, key, data, anchors
+
+        def run(rows):
+            at, meta, parts = None, None, []
+            for blob, owners, shingles, frequencies, ids, sizes, keys in rows:
+                if blob != at and meta is not None:
+                    yield from finished(meta, parts)
+                    meta, parts = None, []
+                at = blob
+                if ids is not None:
+                    meta = ids, sizes, keys
+                else:
+                    parts.append((owners, shingles, frequencies))
+            if meta is not None:
+                yield from finished(meta, parts)
 
         return run
 
-    found = derive(sets, make, ["n", "pieces"], "shingles binary, anchors array<long>", keep=["set_key", "n"])
-    return found.where(F.size("anchors") > 0)
+    return generate(ordered, make, "doc_id long, n_shingles long, set_key binary, shingles binary, anchors array<long>")
 
 
 class _Forest:
@@ -229,30 +240,37 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def join_region(sets: list[tuple[bytes, int, np.ndarray, bytes]], percent: int = PERCENT) -> Iterator[tuple[bytes, bytes]]:
-    """Links that span all link components of the sets (key, n, shared shingles, label); equal labels are linked already. Exact: a prefix of the locally rarest shingles finds the pairs to compare."""
+    """(a, b): for each set (key, n, shared shingles, label) that is linked to others, directly or by a chain, the smallest key of these; equal labels are linked already.
+
+    Exact: an inverted index gives the overlaps of a set with all smaller ones at once.
+    """
     sets = sorted(sets, key=lambda s: (s[1], s[0]))
     forest, by_label = _Forest(len(sets)), {}
     for i, s in enumerate(sets):
         forest.join(i, by_label.setdefault(s[3], i))
-    open_ = len(by_label)
-    if open_ < 2:
+    if len(by_label) < 2:
         return
+    lengths = np.array([len(s[2]) for s in sets])
     values, inverse, counts = np.unique(np.concatenate([s[2] for s in sets]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, counts))] = np.arange(len(values))
-    ranked, alone, at = rank[inverse], int((counts == 1).sum()), 0
-    holders: dict[int, set[int]] = defaultdict(set)
-    for i, (key, n, own, _) in enumerate(sets):
-        mine = np.sort(ranked[at : at + len(own)])
-        at += len(own)
-        take = max((n - needed(n, percent) + 1) - (n - len(own)), 0)
-        prefix = [r for r in mine[:take].tolist() if r >= alone]
-        for j in set().union(*[holders[r] for r in prefix if r in holders]):
-            if forest.find(i) != forest.find(j) and 100 * sets[j][1] >= percent * n and linked(_overlap(own, sets[j][2]), n, sets[j][1], percent):
-                forest.join(i, j)
-                yield key, sets[j][0]
-        for r in prefix:
-            holders[r].add(i)
+    holder = np.repeat(np.arange(len(sets)), lengths)[np.argsort(inverse, kind="stable")]
+    ends = np.cumsum(counts)
+    begins, often = ends - counts, counts[inverse] > 1
+    sizes, at = np.array([s[1] for s in sets]), 0
+    for i in range(len(sets)):
+        mine = inverse[at : at + lengths[i]][often[at : at + lengths[i]]]
+        at += lengths[i]
+        if not i or not len(mine):
+            continue
+        both = np.bincount(np.concatenate([holder[a:b] for a, b in zip(begins[mine].tolist(), ends[mine].tolist(), strict=True)]), minlength=i)[:i]
+        for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[:i] - both)).tolist():
+            forest.join(i, j)
+    least: dict[int, bytes] = {}
+    for i, s in enumerate(sets):
+        root = forest.find(i)
+        least[root] = min(least.get(root, s[0]), s[0])
+    for i, s in enumerate(sets):
+        if (first := least[forest.find(i)]) != s[0]:
+            yield first, s[0]
 
 
 def _leaves(members: DataFrame, by: list[str], percent: int) -> DataFrame:
@@ -304,46 +322,79 @@ def _split(big: DataFrame, level: int, percent: int, pivots: int) -> DataFrame:
     return derive(joined, make, ["set_key", "n", "shingles", "pivots", "region"], "near array<binary>, regions array<string>", keep=["region", "set_key", "n", "shingles"], rows=16)
 
 
-def links(documents: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """(a, b): set keys of links that span every component of linked sets."""
-    found = materialise(candidates(documents, percent), "sets")
+def links(found: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, depth: int = DEPTH, block: int = BLOCK, wide_from: float = WIDE) -> DataFrame:
+    """(node, root): set keys that are linked to others, directly or by a chain, with the smallest key of these. ``found``: set_key, n, shingles, anchors, a row a set."""
     anchored = found.select("set_key", F.explode("anchors").alias("anchor"))
-    least = anchored.groupBy("anchor").agg(F.min("set_key").alias("first"), F.count("*").alias("c")).where("c > 1")
-    groups = components(anchored.join(least, "anchor").select(F.col("first").alias("a"), F.col("set_key").alias("b")))
+    groups = components(_stars(anchored))
     todo = materialise(found.join(groups, found.set_key == groups.node).select(F.hex("root").alias("region"), "set_key", "n", "shingles", F.col("set_key").alias("label")), "members")
-    out = []
+    whole, out = None, []  # links of whole groups, which are components as they are; of parts of groups
     for level in range(depth + 1):
-        counted = todo.groupBy("region").agg(F.count("*").alias("members"))
-        counted = materialise(counted, "regions")
-        out.append(_leaves(todo.join(counted.where(F.col("members") <= leaf).drop("members"), "region"), ["region"], percent))
-        large = counted.where(F.col("members") > leaf)
-        if large.isEmpty():
+        counted = materialise(todo.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles") / 8).cast("long").alias("held")), "regions")
+        small = (F.col("members") <= leaf) & (F.col("held") <= LEAF_SHINGLES)
+        large = counted.where(~small)
+        done = large.isEmpty()
+        leaves = _leaves(todo if done else todo.join(counted.where(small).select("region"), "region"), ["region"], percent)
+        if whole is None:
+            whole = leaves
+        else:
+            out.append(leaves)
+        if done:
             break
-        big = todo.join(large, "region")
-        if level == depth:
-            blocks = F.ceil(F.col("members") / block).cast("int")
-            own = big.withColumn("own", F.pmod(F.xxhash64("set_key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            out.append(_leaves(own.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key", "n", "shingles", "label"), ["region", "i", "j"], percent))
-            break
-        split = materialise(_split(big.drop("members", "label"), level, percent, pivots), "split")
-        near = split.select(F.col("set_key").alias("a"), F.explode("near").alias("b"))
-        out.append(near)
+        big = todo.join(large.select("region"), "region")
+        split = materialise(_split(big.drop("label"), level, percent, pivots), "split")
+        out.append(split.select(F.col("set_key").alias("a"), F.explode("near").alias("b")))
         known = components(reduce(DataFrame.unionAll, out))  # what is linked by now needs no more comparison
-        labelled = split.select("set_key", "n", "shingles", F.explode("regions").alias("region")).join(known, F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_key"))
-        undecided = labelled.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
-        todo = materialise(labelled.join(undecided, "region").select("region", "set_key", "n", "shingles", "label"), "members")
-    return materialise(reduce(DataFrame.unionAll, out), "links")
+        labelled = split.join(known, F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_key"))
+        wide = labelled.groupBy("region").agg((F.avg(F.size("regions")) > (0 if level == depth else wide_from)).alias("wide"), F.count("*").alias("members"), F.sum(F.octet_length("shingles") / 8).alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        labelled = materialise(labelled.join(wide.drop("x", "y"), "region").select("region", "set_key", "n", "shingles", "label", "regions", "wide", "members", "held"), "labelled")
+        blocks = F.ceil(F.greatest(F.col("members") / block, F.col("held") / (LEAF_SHINGLES / 2))).cast("int")
+        own = labelled.where("wide").withColumn("own", F.pmod(F.xxhash64("set_key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        out.append(_leaves(own.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key", "n", "shingles", "label"), ["region", "i", "j"], percent))
+        narrow = labelled.where("NOT wide")
+        if narrow.isEmpty():
+            break
+        deeper = narrow.select("set_key", "n", "shingles", "label", F.explode("regions").alias("region"))
+        undecided = deeper.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
+        todo = materialise(deeper.join(undecided, "region").select("region", "set_key", "n", "shingles", "label"), "members")
+    whole = whole.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    whole = whole.unionAll(whole.select(F.col("root").alias("node"), "root").distinct())
+    return whole.unionAll(components(reduce(DataFrame.unionAll, out))) if out else whole
+
+
+def _stars(anchored: DataFrame) -> DataFrame:
+    """(a, b): edges that join sets with an anchor in common. The anchors of a task are contracted there, so a set has one edge a task at most."""
+    dealt = anchored.repartition(partitions(anchored.sparkSession), "anchor").select("anchor", "set_key")
+
+    def make():
+        def run(rows):
+            number: dict[bytes, int] = {}
+            first: dict[int, int] = {}
+            forest = _Forest(0)
+            for anchor, key in rows:
+                i = number.setdefault(key, len(number))
+                if i == len(forest.up):
+                    forest.up.append(i)
+                forest.join(i, first.setdefault(anchor, i))
+            keys = list(number)
+            for i, key in enumerate(keys):
+                if (root := forest.find(i)) != i:
+                    yield keys[root], key
+
+        return run
+
+    return generate(dealt, make, "a binary, b binary")
 
 
-def classes(documents: DataFrame, **options) -> DataFrame:
+def classes(documents: DataFrame, percent: int = PERCENT, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its set, and the smallest doc_id that links reach from it, itself included.
 
     Null and empty texts have the empty set and are alone, as is a row with a null id unless rows with ids are linked to it. Repeated rows get equal results; extra columns are left out.
     """
-    meta = materialise(sizes(documents), "sizes")
-    firsts = meta.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    roots = components(links(documents, **options))
-    joined = firsts.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "first", "root")
+    all_sets = materialise(sets(documents, percent), "sets")
+    found = all_sets.where("anchors IS NOT NULL").groupBy("set_key").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.first("anchors").alias("anchors"))
+    roots = links(found, percent, **options)
+    firsts = all_sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    joined = materialise(firsts.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "first", "root"), "firsts")
     least = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     ends = joined.join(least, "root", "left").select("set_key", F.coalesce("least", "first").alias("component"))
-    return meta.join(ends, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return all_sets.select("doc_id", "n_shingles", "set_key").join(ends, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
