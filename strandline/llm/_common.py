@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,27 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..plans.lineage import materialise, shared_dir  # noqa: F401
+
 #: Rows that a Python worker holds as Python objects at one time.
 ROWS = 128
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one is set only where that is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it again, so a lost executor costs one read."""
-    path = f"{shared_dir(df.sparkSession)}/strandline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 

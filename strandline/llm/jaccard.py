@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ._common import ROWS, arrow_schema, derive, generate, materialise, parse, partitions, shingle_hashes
-from .components import components
 
 #: Similarity in hundredths from which documents link.
 PERCENT = 75
