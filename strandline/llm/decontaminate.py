@@ -135,7 +135,8 @@ def report(documents: DataFrame, benchmark: DataFrame, least_items: int = 2, **o
     return found.select("doc_id", "n_words", lengths.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= least_items).alias("contaminated"))
 
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text whose case is kept.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, least_items: int = 2, **options) -> DataFrame:
