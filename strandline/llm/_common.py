@@ -15,6 +15,8 @@ from ..plans.lineage import materialise, shared_dir  # noqa: F401
 
 #: Rows that a Python worker holds as Python objects at one time.
 ROWS = 128
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the executor and by the worker.
+BATCH = 500
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -25,11 +27,19 @@ def parse(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH rows; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def derive(df: DataFrame, make: Callable[[], Callable], inputs: list[str], out: str, keep: list[str] | None = None, rows: int = ROWS) -> DataFrame:
     """Adds the columns ``out`` (DDL) that the function from ``make()`` computes from lists of the ``inputs``; ``keep`` (default: all) stay.
 
     ``make`` runs once a task. A new column replaces one of the same name. Columns travel under positional names, so clashing names do no harm.
     """
+    small_batches(df.sparkSession)
     added = parse(out)
     keep = df.columns if keep is None else keep
     sent = list(dict.fromkeys([*inputs, *keep]))
@@ -52,6 +62,7 @@ def derive(df: DataFrame, make: Callable[[], Callable], inputs: list[str], out:
 
 def generate(df: DataFrame, make: Callable[[], Callable], out: str, rows: int = 1024) -> DataFrame:
     """Rows from the generator that ``make()`` returns: it takes an iterator over tuples of all columns of one partition and yields tuples."""
+    small_batches(df.sparkSession)
     schema = parse(out)
     types = arrow_schema(schema)
 
@@ -87,7 +98,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 60_000):
         super().__init__()
         self.bound = bound
         import xxhash

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._common import ROWS, arrow_schema, derive, generate, materialise, parse, partitions, shingle_hashes
+from ._common import ROWS, arrow_schema, derive, generate, materialise, parse, partitions, shingle_hashes, small_batches
 
 #: Similarity in hundredths from which documents link.
 PERCENT = 75
@@ -77,6 +77,7 @@ def _dealt(documents: DataFrame) -> DataFrame:
     with its documents' ids, set sizes and set keys instead. In a blob equal sets send their shingles once. Blobs number a task's rows, which a retried task repeats.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     keys = np.array(_even_keys(spark, n), np.int32)
     edges = (np.arange(1, n, dtype=np.uint64) << np.uint64(48)) // np.uint64(n) if n > 1 else np.empty(0, np.uint64)
@@ -145,15 +146,15 @@ def _shared(dealt: DataFrame) -> DataFrame:
         if not blobs:
             return
         lengths = np.array([len(p) // 6 for p in pieces])
-        shingle = _from_six(b"".join(pieces))
-        owner = np.frombuffer(b"".join(owners), "<u2")
-        row = np.repeat(np.arange(len(blobs)), lengths)
+        shingle, pieces = _from_six(b"".join(pieces)), None
+        owner, owners = np.frombuffer(b"".join(owners), "<u2"), None
+        row = np.repeat(np.arange(len(blobs), dtype=np.int32), lengths)
         order = np.argsort(shingle)
         ranked = shingle[order]
         runs = np.diff(np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(ranked)))
         frequency = np.empty(len(shingle), np.uint32)
         frequency[order] = np.repeat(runs, runs)
-        del order, ranked, pieces, owners
+        del order, ranked
         wanted = frequency >= 2
         ends = np.cumsum(np.bincount(row[wanted], minlength=len(blobs)))
         shingle, owner, frequency = shingle[wanted], owner[wanted], frequency[wanted]

@@ -25,7 +25,7 @@ LETTER = re.compile(r"[^\W\d_]")
 class PieceModel:
     """A merge-type model, from the bytes of its file. Raises ValueError for other types, other normalisation or a vocabulary without byte fallback."""
 
-    def __init__(self, data: bytes, chunks: int = 200_000, pairs: int = 1_000_000):
+    def __init__(self, data: bytes, chunks: int = 100_000, pairs: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()

@@ -31,7 +31,7 @@ STEMS = (5, 6, 7, 8)
 class _Buckets(dict):
     """From a word to the hash buckets of the word and its beginnings, remembered up to a bound; ``wanted`` drops the buckets where it is false."""
 
-    def __init__(self, bits: int, wanted: np.ndarray | None = None, bound: int = 300_000):
+    def __init__(self, bits: int, wanted: np.ndarray | None = None, bound: int = 100_000):
         super().__init__()
         self.shift, self.wanted, self.bound, self.digest = 64 - bits, wanted, bound, Hashes().digest
 
