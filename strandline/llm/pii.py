@@ -143,23 +143,37 @@ def discover(found: DataFrame, support: int = SUPPORT, confidence: float = CONFI
     return one("other").drop("kind").join(accepted, "value").select("doc_id", "text_hash", "kind", "start", "end").distinct()
 
 
-def extract(documents: DataFrame, **options) -> DataFrame:
-    """(doc_id, text_hash, base, spans) of every row: arrays of structs (start, kind, end), kind by its place in KINDS, in ascending order.
+def _base(kinds: list[str]) -> Column:
+    """The base spans of the columns of ``find``: structs (start, kind, end) in ascending order."""
+    return F.array_sort(F.concat(*[F.transform(k, _numbered(i)) for i, k in enumerate(kinds)]))
 
-    ``base`` is what the fixed patterns find, ``spans`` that and what the learnt patterns add. Null and empty texts have none; repeated rows have equal spans.
-    The texts are scanned once; what was found, without the texts, is written to the shared folder.
-    """
+
+def _learnt(documents: DataFrame, **options) -> tuple[DataFrame, DataFrame | None]:
+    """(what the fixed patterns find, further spans by row or None for none). The texts are scanned once; what was found, without them, is written to the shared folder."""
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = materialise(find(rows, ["doc_id", "text_hash"]), "pii-found")
-    plain = F.concat(*[F.transform(k, _numbered(i)) for i, k in enumerate(KINDS)])
-    base = found.select("doc_id", "text_hash", F.array_sort(plain).alias("base"))
     added = discover(found, **options)
     if added.isEmpty():
-        return base.withColumn("spans", F.col("base"))
+        return found, None
     number = reduce(lambda a, k: a.when(F.col("kind") == KINDS[k], F.lit(k)), range(len(KINDS)), F.when(F.lit(False), F.lit(0)))
-    per_row = added.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start", number.alias("kind"), "end")).alias("added"))
-    joined = base.join(per_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    return joined.select("doc_id", "text_hash", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found, added.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start", number.alias("kind"), "end")).alias("added"))
+
+
+def _with_spans(rows: DataFrame, added: DataFrame | None) -> DataFrame:
+    """Adds spans: the column base and, where there are any, the added ones of the same doc_id and text_hash."""
+    if added is None:
+        return rows.withColumn("spans", F.col("base"))
+    joined = rows.join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    return joined.withColumn("spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))).drop("d", "h", "added")
+
+
+def extract(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, text_hash, base, spans) of every row: arrays of structs (start, kind, end), kind by its place in KINDS, in ascending order.
+
+    ``base`` is what the fixed patterns find, ``spans`` that and what the learnt patterns add. Null and empty texts have none; repeated rows have equal spans.
+    """
+    found, added = _learnt(documents, **options)
+    return _with_spans(found.select("doc_id", "text_hash", _base(list(KINDS)).alias("base")), added)
 
 
 def written(spans: str) -> Column:
@@ -178,11 +192,13 @@ def report(documents: DataFrame, **options) -> DataFrame:
 def redact(documents: DataFrame, **options) -> DataFrame:
     """The documents with each span, overlapping ones together, replaced by its kind in brackets, such as [EMAIL]. Texts without spans and all other columns stay; n_chars, where there, follows the text.
 
-    Only rows with spans meet them in a join, by id and text hash.
+    Base spans are found again beside the text, so texts meet in a shuffle only those spans that learnt patterns add, if there are any.
     """
     columns = documents.columns
-    spans = extract(documents, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__h"])
-    joined = documents.withColumn("__x", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__x") == F.col("__h")), "left")
+    _, added = _learnt(documents, **options)
+    sent = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)], "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    placed = find(sent, sent.columns)
+    joined = _with_spans(placed.select(*sent.columns, _base(list(KINDS)).alias("base")), added)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(state: Column, s: Column) -> Column:
@@ -191,8 +207,10 @@ def redact(documents: DataFrame, **options) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], between, F.get(names, s["kind"]))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    there = F.size("spans") > 0
+    values = {c: F.col(f"__c{i}") for i, c in enumerate(columns)}
+    values["text"] = F.when(there, clean).otherwise(F.col("text"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+        values["n_chars"] = F.when(there, F.length(values["text"]).cast(dict(documents.dtypes)["n_chars"])).otherwise(values["n_chars"])
+    return joined.select(*[v.alias(c) for c, v in values.items()])
