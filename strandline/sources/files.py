@@ -15,7 +15,7 @@ from ..model import PIXELS
 
 def scan_tsv(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated table with header, without quoting; fid numbers the rows of the file in order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("fid", "line")).where("trim(line) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("fid", "line")).where("trim(line) <> ''")
     header = lines.where("fid = 0").first()["line"].split("\t")
     return lines.where("fid > 0").select((F.col("fid") - 1).cast("long").alias("fid"), *[F.get(F.split("line", "\t"), i).alias(h) for i, h in enumerate(header)])
 
