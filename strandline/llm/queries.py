@@ -74,5 +74,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_fingerprint, op4_toxicity, op5_jaccard_join, op6_warc, op7_html, op8_decontaminate, op9_pii, op10_langid)}
 
-#: DuckDB twins. The others have none: a trained model, a tokenizer's merges, a sketch, a tree alignment and learnt patterns are beyond SQL.
-ORACLES: dict[str, str] = {}
+#: DuckDB twins. Trained models, a tokenizer's merges, sketches, tree alignment and learnt patterns are beyond SQL; op5 and op8 are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op6_warc": """WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+        f AS (SELECT d, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN m <> page_id THEN m END AS refers_to FROM p LEFT JOIN f USING (d)""",
+}
