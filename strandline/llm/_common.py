@@ -17,6 +17,8 @@ from ..plans.lineage import materialise, shared_dir  # noqa: F401
 ROWS = 128
 #: Rows of an Arrow batch at most: texts are long, and a batch is held by the executor and by the worker.
 BATCH = 500
+#: Bytes of an Arrow batch, from which it ends: packed rows and very long texts are far larger than a document.
+BATCH_BYTES = 4 << 20
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -28,10 +30,13 @@ def parse(ddl: str) -> T.StructType:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH rows; a lower setting stays."""
+    """Lowers the session's Arrow batches to BATCH rows, a lower setting stays; and to BATCH_BYTES bytes, where the session sets no number of bytes."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH:
         spark.conf.set(name, str(BATCH))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def derive(df: DataFrame, make: Callable[[], Callable], inputs: list[str], out: str, keep: list[str] | None = None, rows: int = ROWS) -> DataFrame:
