@@ -1,8 +1,8 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host are aligned by simple tree matching (Yang, 1991). Nodes whose text is the same on the aligned pages are template, slots whose
-text varies are content. A host's wrapper names the slot paths, the content region (the deepest node that holds nearly all of the varying
-article text) and the constant texts outside of it. Wrappers are induced from a bounded sample, ``PAGES`` pages of each host; they apply to every page whole.
+text varies are content. A host's wrapper names the constant texts by path;
+the content region is a page's article and main elements, or the whole page without furniture, so that no varying text is cut. Wrappers are induced from a bounded sample, ``PAGES`` pages of each host; they apply to every page whole.
 """
 
 from __future__ import annotations
@@ -90,10 +90,10 @@ def _walk(node: Node, path: str = "", furniture: bool = False, inside: bool = Fa
 
 
 def induce(sources: list[str]) -> str:
-    """The wrapper of pages of one host, as JSON: {"root": path of the content region or null, "constant": texts by path outside of it}. Fewer than two different pages: no wrapper."""
+    """The wrapper of pages of one host, as JSON: {"constant": texts by path}. Fewer than two different pages: no wrapper."""
     trees = [parse(s) for s in dict.fromkeys(sources)]
     if len(trees) < 2:
-        return json.dumps({"root": None, "constant": {}})
+        return json.dumps({"constant": {}})
     base, rest = trees[0], trees[1:]
     places = {id(n): (p, bad) for n, p, bad in _walk(base)}
     varying: dict[int, int] = {}
@@ -114,30 +114,17 @@ def induce(sources: list[str]) -> str:
                 varying[n] = varying.get(n, 0) + 1
     template = {n for n in same if same[n] == len(rest)}
     constant: dict[str, list[str]] = {}
-    mass: dict[str, int] = {}
-    for node, path, bad in _walk(base):
-        own = _own(node)
+    for node, path, _ in _walk(base):
         if id(node) in template:
-            constant.setdefault(path, []).append(own)
-        elif own and not bad:
-            steps = path.split("/")
-            for i in range(2, len(steps) + 1):
-                mass["/".join(steps[:i])] = mass.get("/".join(steps[:i]), 0) + len(own)
-    total = max(mass.values(), default=0)
-    heavy = [p for p in mass if mass[p] >= 0.95 * total and p.rsplit("/", 1)[-1].split(".")[0] in BLOCK and p.rsplit("/", 1)[-1].split(".")[0] not in ("p", "h1", "h2", "h3", "li")]
-    marked = [p for p in heavy if MAIN.match(p.rsplit("/", 1)[-1])]
-    root = max(marked or heavy, key=lambda p: p.count("/"), default=None)
-    outside = {p: sorted(set(t)) for p, t in constant.items() if root is None or not (p == root or p.startswith(root + "/"))}
-    return json.dumps({"root": root, "constant": outside}, sort_keys=True, ensure_ascii=False)
+            constant.setdefault(path, []).append(_own(node))
+    return json.dumps({"constant": {p: sorted(set(t)) for p, t in constant.items()}}, sort_keys=True, ensure_ascii=False)
 
 
 def extract(source: str | None, wrapper: str | None) -> str:
-    """Main text of a page: the blocks of the wrapper's content region, or where the page lacks it, of its article or main elements, or of what is no furniture and no constant text."""
+    """Main text of a page: the blocks of its article or main elements, or where it has none, of what is no furniture and no constant text: the lowest common ancestor of all varying text, with no cut by share."""
     tree = parse(source)
-    rule = json.loads(wrapper) if wrapper else {"root": None, "constant": {}}
-    regions = [n for n, p, bad in _walk(tree) if p == rule["root"] and not bad]
-    if not regions:
-        regions = _top([n for n, _, bad in _walk(tree) if not bad and MAIN.match(n.key)], tree)
+    rule = json.loads(wrapper) if wrapper else {"constant": {}}
+    regions = _top([n for n, _, bad in _walk(tree) if not bad and MAIN.match(n.key)], tree)
     constant = {} if regions else rule["constant"]
     blocks: list[str] = []
     line: list[str] = []

@@ -197,6 +197,16 @@ def test_main_text(spark):
     assert got[20]["text"] == "" and got[21]["text"] == "" and got[22]["text"] == "deep" and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def texts_of(spark, pages):
+    return {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_main_text_keeps_what_stands_beside_the_body(spark):
+    body = lambda i, n: f'<div class="page"><h1>Head {i}</h1><p class="lead">Lead {i}</p><div class="body"><p>{prose(i, n)}</p></div><div class="more"><p>More {i}</p></div></div>'
+    got = texts_of(spark, [(i, "http://h.example/x", page(i, body(i, 900 if i < 12 else 6))) for i in range(14)])
+    assert all(got[i] == f"Head {i} Lead {i} {prose(i, 900 if i < 12 else 6)} More {i}" for i in range(14))
+
+
 def brute_windows(text, items):
     words = decontaminate.words_of(text)
     hit, found = set(), set()
