@@ -1,28 +1,35 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are aligned by simple tree matching (Yang, 1991). Nodes whose text is the same on the aligned pages are template, slots whose
-text varies are content. A host's wrapper names the constant texts by path;
-the content region is a page's article and main elements, or the whole page without furniture, so that no varying text is cut. Wrappers are induced from a bounded sample, ``PAGES`` pages of each host; they apply to every page whole.
+A page's blocks are lines of text at paths of tags and names. Lines that stand at the same path with the same text on nearly all distinct pages of a
+host, or of those of its pages that share a skeleton (the paths of the outer blocks), are template, except in article and main elements; lines that
+vary are content. All pages count, by a pre-aggregated shuffle of hashes. The region is a page's article and main elements, or where it has none,
+all but furniture: the lowest common ancestor of all varying text, which is cut nowhere but at template lines.
 """
 
 from __future__ import annotations
 
-import json
 import re
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import derive
+from ._common import derive, materialise
 from .dom import BLOCK, RAW, Node, decoded, parse, squeezed
 
-#: Pages of a host that its wrapper is induced from.
-PAGES = 6
+#: A line is template from so many distinct pages on, and from this share of them all.
+SUPPORT, SHARE = 3, 0.9
+#: Template lines may make up this share of the region's mean length; beyond it the pages are near copies of one text, not a template.
+MOST = 0.5
+#: Blocks down to this depth make a page's skeleton.
+OUTER = 3
 #: Elements that never hold article text.
 ROLES = frozenset("nav header footer aside form script style noscript template iframe head title button select option input textarea svg dialog menu".split())
 #: Names of classes, ids and roles that mark furniture, as whole words of the name.
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer|header|masthead|cookie\w*|consent|notice\w*|gdpr|newsletter|subscribe|signup|popup|modal|comment\w*|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|widget\w*|toolbar|pager|pagination|login|search\w*|contentinfo|complementary|navigation|alert)(?:$|[\s_-])")
 MAIN = re.compile(r"^(?:article|main)(?:\.|$)")
+DIGITS = re.compile(r"[0-9]+")
+FRAME = BLOCK - frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre table tbody td tfoot th thead tr ul".split())
 
 
 def is_furniture(node: Node, inside: bool = False) -> bool:
@@ -36,50 +43,6 @@ def _elements(node: Node) -> list[Node]:
     return [c for c in node.children if not isinstance(c, str)]
 
 
-def _own(node: Node) -> str:
-    return squeezed("".join(c for c in node.children if isinstance(c, str)))
-
-
-def match(a: Node, b: Node, memo: dict | None = None) -> int:
-    """Simple tree matching: the size of the largest order- and depth-keeping match of two trees; 0 if the roots differ."""
-    memo = {} if memo is None else memo
-    if a.key != b.key:
-        return 0
-    if (known := memo.get((id(a), id(b)))) is not None:
-        return known[0]
-    ca, cb = _elements(a), _elements(b)
-    table = [[0] * (len(cb) + 1) for _ in range(len(ca) + 1)]
-    for i, x in enumerate(ca):
-        row, above = table[i + 1], table[i]
-        for j, y in enumerate(cb):
-            w = match(x, y, memo)
-            row[j + 1] = max(row[j], above[j + 1], above[j] + w) if w else max(row[j], above[j + 1])
-    memo[id(a), id(b)] = (table[-1][-1] + 1, table)
-    return table[-1][-1] + 1
-
-
-def aligned(a: Node, b: Node, memo: dict):
-    """Pairs of nodes of the match that ``match`` found, roots first."""
-    stack = [(a, b)]
-    while stack:
-        x, y = stack.pop()
-        yield x, y
-        known = memo.get((id(x), id(y)))
-        if known is None:
-            continue
-        ca, cb, table = _elements(x), _elements(y), known[1]
-        i, j, pairs = len(ca), len(cb), []
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                pairs.append((ca[i - 1], cb[j - 1]))
-                i, j = i - 1, j - 1
-        stack += pairs
-
-
 def _walk(node: Node, path: str = "", furniture: bool = False, inside: bool = False):
     for child in _elements(node):
         below = f"{path}/{child.key}"
@@ -89,73 +52,63 @@ def _walk(node: Node, path: str = "", furniture: bool = False, inside: bool = Fa
             yield from _walk(child, below, bad, inside or bool(MAIN.match(child.key)))
 
 
-def induce(sources: list[str]) -> str:
-    """The wrapper of pages of one host, as JSON: {"constant": texts by path}. Fewer than two different pages: no wrapper."""
-    trees = [parse(s) for s in dict.fromkeys(sources)]
-    if len(trees) < 2:
-        return json.dumps({"constant": {}})
-    base, rest = trees[0], trees[1:]
-    places = {id(n): (p, bad) for n, p, bad in _walk(base)}
-    varying: dict[int, int] = {}
-    same: dict[int, int] = {}
-    for other in rest:
-        memo: dict = {}
-        match(base, other, memo)
-        matched = set()
-        for x, y in aligned(base, other, memo):
-            matched.add(id(x))
-            mine, theirs = _own(x), _own(y)
-            if mine and mine == theirs:
-                same[id(x)] = same.get(id(x), 0) + 1
-            elif mine or theirs:
-                varying[id(x)] = varying.get(id(x), 0) + 1
-        for n in places:
-            if n not in matched:
-                varying[n] = varying.get(n, 0) + 1
-    template = {n for n in same if same[n] == len(rest)}
-    constant: dict[str, list[str]] = {}
-    for node, path, _ in _walk(base):
-        if id(node) in template:
-            constant.setdefault(path, []).append(_own(node))
-    return json.dumps({"constant": {p: sorted(set(t)) for p, t in constant.items()}}, sort_keys=True, ensure_ascii=False)
-
-
-def extract(source: str | None, wrapper: str | None) -> str:
-    """Main text of a page: the blocks of its article or main elements, or where it has none, of what is no furniture and no constant text: the lowest common ancestor of all varying text, with no cut by share."""
+def _plain(path: str) -> str:
+    """The path without the numbers in names, which tell one page from another."""
+    return DIGITS.sub("#", path)
+
+
+def skeleton(walked: list) -> str:
+    """The paths of a page's outer blocks, in order of their names."""
+    return "\n".join(sorted({_plain(p) for n, p, _ in walked if p.count("/") <= OUTER and n.tag in FRAME}))
+
+
+def read(source: str | None) -> tuple[str, list[tuple[str, str]]]:
+    """The skeleton of a page and the lines (path, text) of its region: of its article and main elements, or where it has none, of all that is no furniture."""
     tree = parse(source)
-    rule = json.loads(wrapper) if wrapper else {"constant": {}}
-    regions = _top([n for n, _, bad in _walk(tree) if not bad and MAIN.match(n.key)], tree)
-    constant = {} if regions else rule["constant"]
-    blocks: list[str] = []
+    walked = list(_walk(tree))
+    paths = {id(n): p for n, p, _ in walked}
+    regions = _top([n for n, _, bad in walked if not bad and MAIN.match(n.key)], tree)
+    lines: list[tuple[str, str]] = []
     line: list[str] = []
 
-    def flush() -> None:
+    def flush(path: str) -> None:
         if line:
             text = squeezed(decoded("".join(line)))
             line.clear()
             if text:
-                blocks.append(text)
+                lines.append((path, text))
 
-    def collect(node: Node, path: str, inside: bool) -> None:
+    def collect(node: Node, path: str, around: str, inside: bool) -> None:
         block = node.tag in BLOCK
         if block:
-            flush()
-        skip = _own(node) in constant.get(path, ())
+            flush(around)
+            around = path
         for child in node.children:
             if isinstance(child, str):
-                if not skip:
-                    line.append(child)
+                line.append(child)
             elif child.tag == "br":
                 line.append(" ")
             elif not is_furniture(child, inside) and child.tag not in RAW:
-                collect(child, f"{path}/{child.key}", inside)
+                collect(child, f"{path}/{child.key}", around, inside)
         if block:
-            flush()
+            flush(path)
 
     for region in regions or [tree]:
-        collect(region, "", bool(regions))
-        flush()
-    return " ".join(blocks)
+        path = paths.get(id(region), "")
+        collect(region, path, path, bool(regions))
+        flush(path)
+    return skeleton(walked), lines
+
+
+def _hash(text: str) -> int:
+    """A signed 64-bit hash."""
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _keyed(site: str, outline: str, lines: list[tuple[str, str]]) -> tuple[int, int, list[int]]:
+    """Hashes of the host, of the host with the skeleton, and of the lines."""
+    return _hash(site), _hash(f"{site}\n\n{outline}"), [_hash(f"{_plain(p)}\n{t}") for p, t in lines]
 
 
 def _top(nodes: list[Node], tree: Node) -> list[Node]:
@@ -176,33 +129,60 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
-def wrappers(pages: DataFrame, sample: int = PAGES) -> DataFrame:
-    """(host, wrapper) for each host, from at most ``sample`` of its pages: of each of ``sample`` hash classes of page_id the one with the smallest hash.
+def wrappers(pages: DataFrame, support: int = SUPPORT, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(key, template): for each host and skeleton that has any, the hashes of its template lines, from all distinct pages. Pages of equal lines are one page.
 
-    Tasks keep one page a host and class before the shuffle, so a host with a third of all pages costs no more than others.
+    Tasks drop equal pages and add up equal lines before each shuffle, so a host with a third of all pages costs no more than others.
     """
-    rows = pages.where(F.col("html").isNotNull()).select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("h"), "html")
-    chosen = rows.groupBy("host", F.pmod("h", F.lit(sample)).alias("slot")).agg(F.min_by("html", "h").alias("html"))
-    per_host = chosen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "html"))).alias("sample"))
+    rows = pages.where(F.col("html").isNotNull()).select("html", host(F.col("url")).alias("host"))
 
     def make():
-        return lambda samples: [[induce([x["html"] for x in s]) for s in samples]]
+        def run(sources, sites):
+            out = []
+            for source, site in zip(sources, sites, strict=True):
+                outline, lines = read(source)
+                lines = [x for x in lines if not any(map(MAIN.match, x[0].split("/")))]
+                at_host, at_key, found = _keyed(site, outline, lines)
+                sizes = {h: len(t) for h, (_, t) in zip(found, lines, strict=True)}
+                order = sorted(sizes)
+                out.append((at_host, at_key, _hash(" ".join(map(str, order))), order, [sizes[h] for h in order]))
+            return list(zip(*out, strict=True)) if out else [[]] * 5
+
+        return run
 
-    return derive(per_host, make, ["sample"], "wrapper string", keep=["host"], rows=16)
+    read_pages = derive(rows, make, ["html", "host"], "site long, key long, page long, lines array<long>, sizes array<int>", keep=[])
+    distinct = read_pages.groupBy("site", "key", "page").agg(F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
+    distinct = materialise(distinct.where(F.size("lines") > 0), "html-lines")
+    levels = distinct.withColumn("level", F.explode(F.array("site", "key")))
+    total = levels.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("mass"))
+    lines = levels.select("level", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).groupBy("level", F.col("x.lines").alias("line")).agg(F.count("*").alias("times"), F.max("x.sizes").alias("size"))
+    constant = lines.where(F.col("times") >= support).join(total.where(F.col("n") >= support), "level").where(F.col("times") >= share * F.col("n"))
+    template = constant.groupBy("level").agg(F.collect_list("line").alias("template"), F.sum("size").alias("size"), F.first("n").alias("n"), F.first("mass").alias("mass"))
+    template = template.where(F.col("size") * F.col("n") <= most * F.col("mass")).select("level", "template")
+    keys = distinct.select("site", "key").distinct().select("key", F.explode(F.array("site", "key")).alias("level"))
+    return keys.join(template, "level").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("template"))).alias("template"))
 
 
-def main_text(pages: DataFrame, sample: int = PAGES) -> DataFrame:
+def main_text(pages: DataFrame, **options) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. Null and empty html give the empty text; repeated rows equal texts; nothing is cut off.
 
-    Pages meet their host's wrapper in a shuffle join on the host, whose large partitions Spark splits.
+    Pages are read twice, once for the wrappers, which are written to the shared folder; what meets them in the join are lines of text, not pages.
     """
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(wrappers(pages, sample), "host", "left")
+    rules = materialise(wrappers(pages, **options), "html-wrappers")
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
 
     def make():
-        def run(sources, rules):
-            texts = [extract(*x) for x in zip(sources, rules, strict=True)]
-            return [texts, [len(t) for t in texts]]
+        def run(sources, sites):
+            out = []
+            for source, site in zip(sources, sites, strict=True):
+                outline, lines = read(source)
+                _, key, found = _keyed(site, outline, lines)
+                out.append((key, found, [t for _, t in lines]))
+            return list(zip(*out, strict=True)) if out else [[]] * 3
 
         return run
 
-    return derive(joined, make, ["html", "wrapper"], "text string, n_chars long", keep=["page_id", "url"])
+    joined = derive(rows, make, ["html", "host"], "key long, lines array<long>, texts array<string>", keep=["page_id", "url"]).join(rules, "key", "left")
+    kept = F.filter("texts", lambda _, i: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), F.get("lines", i)))
+    whole = joined.select("page_id", "url", F.array_join(F.when(F.col("template").isNull(), F.col("texts")).otherwise(kept), " ").alias("text"))
+    return whole.withColumn("n_chars", F.length("text").cast("long"))

@@ -207,6 +207,16 @@ def test_main_text_keeps_what_stands_beside_the_body(spark):
     assert all(got[i] == f"Head {i} Lead {i} {prose(i, 900 if i < 12 else 6)} More {i}" for i in range(14))
 
 
+def test_main_text_drops_template_lines_of_each_skeleton(spark):
+    a = lambda i: f'<div class="story"><h1>A {i}</h1><p>Read more in our archive</p><p>{prose(i, 30)}</p></div>'
+    b = lambda i: f'<section class="s"><h1>B {i}</h1><p>All rights <b>reserved</b> {"" if i == 30 else "here"}</p><p>{prose(i, 30)}</p></section>'
+    rows = [(i, "http://hot.example/x", page(i, a(i) if i < 20 else b(i))) for i in range(40)]
+    rows += [(40 + i, "http://hot.example/copy", rows[0][2]) for i in range(200)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"A {i} {prose(i, 30)}" for i in range(20)) and got[239] == got[0]
+    assert all(got[i] == f"B {i} {prose(i, 30)}" for i in range(20, 40) if i != 30) and got[30] == f"B 30 All rights reserved {prose(30, 30)}"
+
+
 def brute_windows(text, items):
     words = decontaminate.words_of(text)
     hit, found = set(), set()
