@@ -1,8 +1,8 @@
 """HTML extraction by wrapper induction.
 
 A page's blocks are lines of text at paths of tags and names. Lines that stand at the same path with the same text on nearly all distinct pages of a
-host, or of those of its pages that share a skeleton (the paths of the outer blocks), are template, except in article and main elements; lines that
-vary are content. All pages count, by a pre-aggregated shuffle of hashes. The region is a page's article and main elements, or where it has none,
+host, or of those of its pages that share a skeleton (the paths of the outer blocks), are template, in the content region as well as around it; lines
+that vary are content. All pages count, by a pre-aggregated shuffle of hashes. The region is a page's article and main elements, or where it has none,
 all but furniture: the lowest common ancestor of all varying text, which is cut nowhere but at template lines.
 """
 
@@ -141,7 +141,6 @@ def wrappers(pages: DataFrame, support: int = SUPPORT, share: float = SHARE, mos
             out = []
             for source, site in zip(sources, sites, strict=True):
                 outline, lines = read(source)
-                lines = [x for x in lines if not any(map(MAIN.match, x[0].split("/")))]
                 at_host, at_key, found = _keyed(site, outline, lines)
                 sizes = {h: len(t) for h, (_, t) in zip(found, lines, strict=True)}
                 order = sorted(sizes)

@@ -217,6 +217,17 @@ def test_main_text_drops_template_lines_of_each_skeleton(spark):
     assert all(got[i] == f"B {i} {prose(i, 30)}" for i in range(20, 40) if i != 30) and got[30] == f"B 30 All rights reserved {prose(30, 30)}"
 
 
+def test_main_text_drops_template_lines_inside_an_article(spark):
+    a = lambda i: f"<main><article><h1>A {i}</h1><p>Read more in our archive</p><p>{prose(i, 30)}</p></article></main>"
+    got = texts_of(spark, [(i, "http://notice.example/x", page(i, a(i))) for i in range(12)])
+    assert all(got[i] == f"A {i} {prose(i, 30)}" for i in range(12))
+
+
+def test_near_copies_of_a_text_are_no_template(spark):
+    rows = [(i, "http://copies.example/x", page(i, f"<article><h1>Copy {i}</h1><p>{prose(1, 50)}</p></article>")) for i in range(12)]
+    assert all(t == f"Copy {i} {prose(1, 50)}" for i, t in texts_of(spark, rows).items())
+
+
 def brute_windows(text, items):
     words = decontaminate.words_of(text)
     hit, found = set(), set()
