@@ -162,12 +162,12 @@ _add("v7_grid_invdist", lambda s, d: _px(gridding.invdist(_grid(s), view(s, d, "
 _add("v8_grid_invdistnn", lambda s, d: _px(gridding.invdist_nearest(_grid(s), view(s, d, "pts").where("x % 9 <> 0"), radius=30.0), digits=5), NODES + "SELECT row, col, round(sum(z/d2)/sum(1/d2),5) AS value FROM (SELECT row, col, z, (gx-x)^2+(gy-y)^2 d2, row_number() OVER (PARTITION BY row, col ORDER BY (gx-x)^2+(gy-y)^2, fid) k FROM g, pts WHERE (gx-x)^2+(gy-y)^2<=900 AND x%9<>0) WHERE k<=4 GROUP BY row, col")
 _add("v9_grid_average", lambda s, d: _px(gridding.average(_grid(s), view(s, d, "pts"), 25.0)), NODES + "SELECT row, col, round(avg(z),6) AS value FROM g JOIN pts ON (gx-x)^2+(gy-y)^2<=625 GROUP BY row, col")
 _add("v10_grid_nearest", lambda s, d: _px(gridding.nearest(_grid(s), view(s, d, "pts"))), NODES + "SELECT row, col, round(arg_min(z, ((gx-x)^2+(gy-y)^2, fid)),6) AS value FROM g, pts GROUP BY row, col")
-_add("v11_grid_linear", lambda s, d: _px(gridding.linear(_grid(s), view(s, d, "pts").where("fid < 400"))))
+_add("v11_grid_linear", lambda s, d: _px(gridding.linear(_grid(s), view(s, d, "pts"))))
 _add("j3_nearest_index", lambda s, d: view(s, d, "pts").select("fid", roi.nearest_index(F.col("x") + 0.3, -179.0, 2.5, 140).alias("i")), "SELECT fid, CAST(greatest(0,least(139,ceil((x+0.3+179)/2.5-0.5))) AS INT) AS i FROM pts")
 _add("j5_points_in_polygon", lambda s, d: roi.within(view(s, d, "pts"), ROI).select("fid"), "SELECT fid FROM pts WHERE (220*(y+60)-20*(x+100))>=0 AND (-30*(y+40)-110*(x-120))>=0 AND (-150*(y-70)+20*(x-90))>=0 AND (-40*(y-50)+110*(x+60))>=0")
 _add("j6_window_around", lambda s, d: roi.window_around(view(s, d, "pts"), view(s, d, "pts").where("fid < 5"), 1.0).select("fid"), "SELECT p.fid FROM pts p, (SELECT min(x)-1 a, max(x)+1 b, min(y)-1 c, max(y)+1 d FROM pts WHERE fid<5) WHERE p.x BETWEEN a AND b AND p.y BETWEEN c AND d")
 _add("j7_bilinear", lambda s, d: gridding.bilinear(view(s, d, "wave").select(F.col("point_id").alias("fid"), (F.col("direction") / 4).alias("x"), (F.col("northing") / 8).alias("y")), view(s, d, "ras_events"), 0.0, 1.0, 0.0, 1.0).select("fid", F.round("value", 6).alias("value")), ", p AS (SELECT point_id fid, direction/4-0.5 fc, northing/8-0.5 fr FROM wave), c AS (SELECT fid, CAST(floor(fr)+i AS INT) AS row, CAST(floor(fc)+j AS INT) AS col, (CASE WHEN i=1 THEN fr-floor(fr) ELSE 1-(fr-floor(fr)) END)*(CASE WHEN j=1 THEN fc-floor(fc) ELSE 1-(fc-floor(fc)) END) w FROM p, (SELECT unnest([0,1]) i), (SELECT unnest([0,1]) j)) SELECT fid, round(CASE WHEN count(e.value)=count(*) THEN sum(w*e.value) END,6) AS value FROM c LEFT JOIN ras_events e USING (row,col) WHERE w>0 GROUP BY fid")
-_add("j7_rbf", lambda s, d: gridding.rbf(view(s, d, "wave").select(F.col("point_id").alias("fid"), (F.col("direction") - 180).alias("x"), (F.col("northing") - 20).alias("y")), view(s, d, "pts").where("fid < 300")))
+_add("j7_rbf", lambda s, d: gridding.rbf(view(s, d, "wave").select(F.col("point_id").alias("fid"), (F.col("direction") - 180).alias("x"), (F.col("northing") - 20).alias("y")), view(s, d, "pts")))
 _add("j10_cluster_assign", lambda s, d: view(s, d, "ras_events").select("row", "col", classify.assign(F.col("value"), [10.0, 60.0, 150.0, 400.0]).alias("cls")), "SELECT row, col, CAST(list_position(ds, list_min(ds))-1 AS INT) AS cls FROM (SELECT row, col, [abs(value-10),abs(value-60),abs(value-150),abs(value-400)] ds FROM ras_events)")
 _add("g2_global_grid", lambda s, d: roi.global_grid(view(s, d, "ras_events"), 7, 100, 100), "SELECT CAST(r*7 AS INT) AS row, CAST(c*7 AS INT) AS col FROM (SELECT unnest(range(15)) r), (SELECT unnest(range(15)) c) WHERE true".replace("r*7", "r*7+0").replace("c*7", "c*7+0"))
 _add("p3_subset_centers", lambda s, d: roi.centres(view(s, d, "wave").select("point_id", F.col("northing").cast("int").alias("row"), F.col("easting").cast("int").alias("col")), 4, 9), "SELECT point_id, CAST((r+1)*3+c+1 AS INT) AS box_id, CAST(northing+r*4 AS INT) AS row, CAST(easting+c*4 AS INT) AS col FROM wave, (SELECT unnest([-1,0,1]) r), (SELECT unnest([-1,0,1]) c)")

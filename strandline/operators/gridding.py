@@ -138,10 +138,11 @@ def bilinear(points: DataFrame, raster: DataFrame, x0: float, dx: float, y0: flo
 
 
 def rbf(targets: DataFrame, points: DataFrame, most: int = 2000) -> DataFrame:
-    """Multiquadric radial basis interpolation of bounded control points at (fid, x, y); epsilon is the mean spacing of the points."""
-    if points.count() > most:
+    """Multiquadric radial basis interpolation of bounded control points at (fid, x, y); epsilon is the mean spacing of the points. Points of one position are merged to their mean before their number is checked."""
+    distinct = points.groupBy("x", "y").agg(F.avg("z").alias("z"))
+    if distinct.count() > most:
         raise ValueError(f"more than {most} control points")
-    frame = points.groupBy("x", "y").agg(F.avg("z").alias("z")).toPandas().sort_values(["x", "y"])
+    frame = distinct.toPandas().sort_values(["x", "y"])
     xy, z = frame[["x", "y"]].to_numpy(), frame["z"].to_numpy()
     epsilon = float(np.sqrt(np.prod(np.ptp(xy, axis=0)) / len(xy))) or 1.0
     distance = lambda a: np.sqrt((((a[:, None] - xy[None]) ** 2).sum(-1)) / epsilon**2 + 1)

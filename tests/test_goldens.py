@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import catalogue
 from strandline.functions import waves
 from strandline.operators import bathymetry, classify, mapalgebra, roi, spectrum, vector
 from strandline.sources import files
@@ -76,3 +77,18 @@ def test_tsv(spark, tmp_path):
     (tmp_path / "t.txt").write_text("ID\tLongitude\tLatitude\n1\t-127.234343\t47.234325\n2\t-127.003243\t46.234343")
     rows = vector.create_vector(files.scan_tsv(spark, str(tmp_path / "t.txt"))).orderBy("fid").collect()
     assert rows[0]["wkt"] == "POINT(-127.234343 47.234325)" and rows[1]["ID"] == 2.0
+
+
+def test_rbf_merges_positions_of_the_whole_view(spark, tmp_path):
+    spark.range(2500).selectExpr("id + 1 AS c_custkey", "CAST(id * id % 977 AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(60).selectExpr("id + 1 AS p_partkey", "id % 50 + 1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["fid"]: r["value"] for r in catalogue.QUERIES["j7_rbf"](spark, str(tmp_path)).collect()}
+    control = {}
+    for i in range(2500):
+        control.setdefault(((i + 1) * 37 % 360 - 180.0, (i + 1) * 53 % 180 - 90.0), []).append(i * i % 977)
+    xy, z = np.array(list(control)), np.array([np.mean(v) for v in control.values()])
+    epsilon = np.sqrt(np.prod(np.ptp(xy, axis=0)) / len(xy))
+    distance = lambda a: np.sqrt(((a[:, None] - xy[None]) ** 2).sum(-1) / epsilon**2 + 1)
+    targets = np.array([((i + 1) * 7 % 360 - 180.0, (i + 1) // 50 - 20.0) for i in range(60)])
+    want = distance(targets) @ np.linalg.solve(distance(xy), z)
+    assert len(got) == 60 and np.allclose([got[i + 1] for i in range(60)], want, rtol=1e-4, atol=0.1)
