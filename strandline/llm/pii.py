@@ -2,7 +2,7 @@
 
 Seed entities (email, ip, card and phone numbers found by fixed patterns) induce lexical patterns: the words left and right of them. Patterns and
 instances form a graph that Spark scores in rounds: a pattern is as good as the share of a kind among all it surrounds, an instance as likely as
-its patterns together (noisy or). Instances of unseen form that confident patterns surround become spans too, and support patterns in the next round.
+its patterns together (noisy or). Instances of unseen form that confident patterns surround become spans too, and support patterns as seeds do, until no round finds a new one.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 OTHER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Characters that are looked at for the words on either side.
 NEAR = 48
-#: A pattern counts from so many different seeds on, and from this share of a kind among all that it surrounds.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 2
+#: A pattern counts from so many different instances on, seeds or found ones, and from this share of a kind among all that it surrounds.
+SUPPORT, CONFIDENCE = 5, 0.8
 
 SPAN = "array<struct<value:string,start:int,end:int,left:string,right:string>>"
 
@@ -75,17 +75,22 @@ def _of(number: int):
 
 
 def _placed(values: Column, gaps: Column) -> Column:
-    """From matches and the texts between them: structs (value, start, end, left, right), in code points, end exclusive; the words on either side in lower case, "" for none."""
+    """From matches and the texts between them: structs (value, start, end, left, right), in code points, end exclusive; the words on either side in lower case, "" for none.
+
+    The words are those of the text, so they may be matches themselves.
+    """
+    near = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, NEAR)
 
     def step(state: Column, i: Column) -> Column:
-        value, before, after = F.get(values, i), F.get(gaps, i), F.get(gaps, i + 1)
-        start = state["at"] + F.length(before)
-        left = F.lower(F.regexp_extract(F.right(before, F.lit(NEAR)), r"(?<!\S)(\S+)\s*$", 1))
-        right = F.lower(F.regexp_extract(F.substring(after, 1, NEAR), r"^[^\w\s]*\s*(\S+)", 1))
+        value, before = F.get(values, i), F.right(F.concat(state["tail"], F.get(gaps, i)), F.lit(NEAR))
+        start = state["at"] + F.length(F.get(gaps, i))
+        after = F.concat(near(F.get(gaps, i + 1)), F.when(F.length(F.get(gaps, i + 1)) < NEAR, F.concat(near(F.get(values, i + 1)), near(F.get(gaps, i + 2)))).otherwise(F.lit("")))
+        left = F.lower(F.regexp_extract(before, r"(?<!\S)(\S+)\s*$", 1))
+        right = F.lower(F.regexp_extract(near(after), r"^[^\w\s]*\s*(\S+)", 1))
         one = F.struct(value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"), left.alias("left"), right.alias("right"))
-        return F.struct((start + F.length(value)).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+        return F.struct((start + F.length(value)).alias("at"), F.right(F.concat(before, value), F.lit(NEAR)).alias("tail"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
     return F.when(F.size(values) > 0, F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), first, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
 
 
@@ -114,31 +119,36 @@ def _may_be(kind: str, value: Column) -> Column:
     return (F.length(_digits(value)) >= 7) & ~value.rlike("[A-Za-z]")
 
 
-def discover(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, text_hash, kind, start, end): further spans that confident patterns tell. ``found``: doc_id, text_hash and the columns of ``find``, materialised.
+def discover(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, kind, start, end): further spans that confident patterns tell. ``found``: doc_id, text_hash and the columns of ``find``, materialised; ``rounds``: None for as many as find new ones.
 
     Occurrences are first counted per pattern and value, so a frequent pattern costs no more than its different values.
     """
     one = lambda kind: found.select("doc_id", "text_hash", F.explode(kind).alias("s")).select("doc_id", "text_hash", F.lit(kind).alias("kind"), "s.value", "s.start", "s.end", "s.left", "s.right")
     occurrences = reduce(DataFrame.unionAll, [one(k) for k in (*KINDS, "other")])
-    context = F.array(F.concat_ws("\n", "left", F.lit("")), F.concat_ws("\n", "left", "right"), F.concat_ws("\n", F.lit(""), "right"))
-    graph = occurrences.where("left <> '' AND right <> ''").select("kind", "value", F.explode(context).alias("pattern")).groupBy("pattern", "kind", "value").agg(F.lit(1.0).alias("w"))
+    there = lambda *sides: F.when(reduce(lambda a, b: a & b, [F.col(c) != "" for c in ("left", "right") if c in sides]), F.concat_ws("\n", *[c if c in sides else F.lit("") for c in ("left", "right")]))
+    context = F.array_compact(F.array(there("left"), there("left", "right"), there("right")))
+    graph = occurrences.select("kind", "value", F.explode(context).alias("pattern")).groupBy("pattern", "kind", "value").agg(F.lit(1.0).alias("w"))
     graph = materialise(graph, "pii-graph")
     seeds = graph.where("kind <> 'other'")
     candidates = graph.where("kind = 'other'").select("pattern", "value")
-    accepted = None
-    for _ in range(rounds):
-        total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-        mass = seeds.groupBy("pattern", "kind").agg(F.sum("w").alias("mass"), F.count("*").alias("seeds"))
+    total = graph.groupBy("pattern").agg(F.count("*").alias("n"))
+    accepted, done = None, 0
+    while rounds is None or done < rounds:
+        instances = seeds.select("pattern", "kind", "w")
         if accepted is not None:
-            more = candidates.join(accepted, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-            mass = mass.join(more, ["pattern", "kind"], "left").withColumn("mass", F.col("mass") + F.coalesce("more", F.lit(0.0))).drop("more")
+            instances = instances.unionAll(candidates.join(accepted, "value").select("pattern", "kind", F.col("score").alias("w")))
+        mass = instances.groupBy("pattern", "kind").agg(F.sum("w").alias("mass"), F.count("*").alias("seeds"))
         good = mass.where(F.col("seeds") >= support).join(total, "pattern").withColumn("trust", F.least(F.col("mass") / F.col("n"), F.lit(0.99))).where(F.col("trust") >= confidence)
         scored = candidates.join(good.select("pattern", "kind", "trust"), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score"))
         fits = reduce(lambda a, k: a.when(F.col("kind") == k, _may_be(k, F.col("value"))), KINDS, F.when(F.lit(False), F.lit(False)))
-        ranked = scored.where(fits & (F.col("score") >= confidence)).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best"))
-        accepted = materialise(ranked.select("value", "best.kind", "best.score"), "pii-accepted")
-        if accepted.isEmpty():
+        ranked = scored.where(fits & (F.col("score") >= confidence)).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("best")).select("value", "best.kind", "best.score")
+        new = materialise(ranked if accepted is None else ranked.join(accepted, "value", "left_anti"), "pii-accepted")
+        done += 1
+        if accepted is not None and new.isEmpty():
+            break
+        accepted = new if accepted is None else accepted.unionAll(new)
+        if new.isEmpty():
             break
     return one("other").drop("kind").join(accepted, "value").select("doc_id", "text_hash", "kind", "start", "end").distinct()
 

@@ -295,3 +295,21 @@ def test_patterns_find_unseen_forms(spark):
     unseen = [(10, f"{prose(1, 5)} account number 1234567890123 holder {prose(2, 5)}"), (11, f"{prose(1, 5)} of about 99887766554 the")]
     got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(known + unseen, "doc_id long, text string"), confidence=0.7).collect()}
     assert got[10]["spans"].startswith("card:") and got[10]["n_card"] == 0 and got[11]["spans"] == ""
+
+
+def test_patterns_at_the_ends_of_texts_and_beside_other_numbers(spark):
+    cards = ["4111111111111111", "5500000000000004", "340000000000009", "30000000000004", "6011000000000004", "3530111333300000"]
+    known = [(i, f"{prose(i, 5)} number {c} holder {prose(i, 5)}") for i, c in enumerate(cards)]
+    unseen = [(10, f"{prose(1, 5)} number 1234567890123"), (11, "1234567890126 holder"), (12, "on 2024-01-05 number 1234567890129 2024-01-06 then")]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(known + unseen, "doc_id long, text string"), confidence=0.6).collect()}
+    assert all(got[i]["spans"].startswith("card:") and "," not in got[i]["spans"] for i in (10, 11, 12))
+
+
+def test_found_instances_establish_patterns(spark):
+    cards = ["4111111111111111", "5500000000000004", "340000000000009", "30000000000004", "6011000000000004", "3530111333300000"]
+    rows = [(i, f"account {c} a{i}") for i, c in enumerate(cards)]
+    new = [f"12345678901{i}" for i in range(20, 26)]
+    rows += [(10 + i, f"account {v} b{i}") for i, v in enumerate(new[:2])] + [(20 + i, f"{'payee' if k else 'account'} {v} c{i}{k}") for i, v in enumerate(new[2:]) for k in (0, 1)]
+    rows += [(40, "payee 987654321098 d"), (41, f"payee {new[0]} e"), (42, f"payee {new[1]} f")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), support=4, confidence=0.4).collect()}
+    assert got[40].startswith("card:")
