@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from ..plans.lineage import materialise
 
 
+#: Neighbours from which a node is a hub, at least; and how many hubs there may be, which bounds what is broadcast.
+HUB, HUBS = 256, 10_000
+
+
+def _told(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """(v, m): each neighbour v of a node u with the value m of u. ``least``: u, m, d (the number of neighbours).
+
+    Hubs, nodes of more than ``hub`` neighbours, are told by broadcast, so that no task reads all neighbours of one; others by a shuffle.
+    """
+    hubs = F.broadcast(least.where(F.col("d") > hub).select("u", "m"))
+    rest = edges.join(hubs, "u", "left_anti").join(least.where(F.col("d") <= hub).select("u", "m"), "u")
+    return rest.select("v", "m").unionAll(edges.join(hubs, "u").select("v", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the ``edges`` (a, b): root is the smallest node of the component. Nulls and loops are no edges.
 
-    Large-star and small-star steps (Kiveris et al., 2014) until nothing changes; each round is written to the shared folder. A node's
-    smallest neighbour is found with partial aggregation, and joins on it may split large partitions, so a star of any size is fine.
+    Large-star and small-star steps (Kiveris et al., 2014) until nothing changes; each round is written to the shared folder. A node's smallest neighbour is
+    found with partial aggregation. At most HUBS nodes are hubs, as each has more than an even share of all edges; they are broadcast.
     """
     stars = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
@@ -21,10 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
+        hub = max(HUB, 2 * now[0] // HUBS)
         both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d"), "least")
+        large = materialise(_told(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = _told(large, least, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         stars = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(stars.select("v", "v").distinct())
