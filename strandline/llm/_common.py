@@ -65,8 +65,16 @@ def derive(df: DataFrame, make: Callable[[], Callable], inputs: list[str], out:
     return source.mapInArrow(run, schema).toDF(*[sent[i] for i in stay], *added.names)
 
 
+def _size(value) -> int:
+    """About the bytes of a value in an Arrow batch."""
+    return 8 if value is None or isinstance(value, int | float) else len(value) if isinstance(value, bytes | str) else sum(map(_size, value)) + 8
+
+
 def generate(df: DataFrame, make: Callable[[], Callable], out: str, rows: int = 1024) -> DataFrame:
-    """Rows from the generator that ``make()`` returns: it takes an iterator over tuples of all columns of one partition and yields tuples."""
+    """Rows from the generator that ``make()`` returns: it takes an iterator over tuples of all columns of one partition and yields tuples.
+
+    A batch ends at ``rows`` rows or BATCH_BYTES bytes.
+    """
     small_batches(df.sparkSession)
     schema = parse(out)
     types = arrow_schema(schema)
@@ -78,11 +86,13 @@ def generate(df: DataFrame, make: Callable[[], Callable], out: str, rows: int =
                     yield from zip(*[c.to_pylist() for c in batch.slice(start, ROWS).columns], strict=True)
 
         held: list[tuple] = []
+        size = 0
         for row in make()(tuples()):
             held.append(row)
-            if len(held) >= rows:
+            size += _size(row)
+            if len(held) >= rows or size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*held, strict=True), types, strict=True)], schema=types)
-                held = []
+                held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*held, strict=True), types, strict=True)], schema=types)
 
@@ -93,6 +103,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` hash partitions one integer that hashes to it, so that equal shares stay equal."""
+    some = spark.range(0, 20 * n + 200, 1, 1).select(F.col("id").cast("int").alias("id"))
+    found = {r[0]: r[1] for r in some.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id")).collect()}
+    return [found.get(i, i) for i in range(n)]
+
+
+#: Bytes of features that a training sample may hold on the driver.
+SAMPLE_BYTES = 96 << 20
+
+
+def sampled_features(sample: DataFrame, make: Callable[[], Callable], keep: list[str], max_bytes: int = SAMPLE_BYTES) -> list:
+    """Rows (doc_id, the other columns ``keep``, at, x) of the documents in ``sample``, in ascending order of doc_id: sparse features by ``make()``, whole for every row.
+
+    The sample is bounded in rows by its caller and in bytes here: documents count in the order of their id hashes, as long as all their features stay within
+    ``max_bytes``. Rows with one id count as one document, the first of them in the order of their columns.
+    """
+    features = derive(sample, make, ["text"], "at binary, x binary", keep=["doc_id", *keep])
+    one = features.groupBy("doc_id").agg(F.min(F.struct(*keep, "at", "x")).alias("r")).select("doc_id", "r.*")
+    one = materialise(one, "sample")
+    sizes = sorted((r[0], r[1], r[2]) for r in one.select(F.xxhash64("doc_id"), "doc_id", F.octet_length("at") + F.octet_length("x")).collect())
+    wanted, held = [], 0
+    for _, doc_id, size in sizes:
+        held += size
+        if held > max_bytes:
+            break
+        wanted.append((doc_id,))
+    if len(wanted) < len(sizes):
+        one = one.join(F.broadcast(sample.sparkSession.createDataFrame(wanted, "doc_id long")), "doc_id", "left_semi")
+    return sorted(one.collect(), key=lambda r: r["doc_id"])
+
+
+def sparse(rows: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, values) of rows of ``sampled_features``."""
+    return [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in rows]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (fixed constants of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

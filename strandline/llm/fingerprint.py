@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import derive, generate, partitions, shingle_hashes
+from ._common import derive, even_keys, generate, partitions, shingle_hashes
 
 K = 128
 BITS = 48
@@ -77,10 +77,55 @@ def fingerprints(documents: DataFrame, keep: list[str] | None = None, k: int = K
     return derive(documents, make, ["text"], "fingerprint string", keep)
 
 
+def merged(fingerprinted: DataFrame, by: list[str], k: int = K) -> DataFrame:
+    """(the columns ``by``, fingerprint): for each group the fingerprint of all its parts together. Null fingerprints count as empty; nulls in ``by`` are a group; other columns are left out.
+
+    Parts are merged in each task first, so a group sends one fingerprint a task, however many parts it has.
+    """
+    held = fingerprinted.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(by)], F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+    keys = [f"k{i}" for i in range(len(by))]
+
+    def make():
+        def run(rows):
+            at, now = None, np.empty(0, np.uint64)
+            for *key, text in rows:
+                if key != at:
+                    if at is not None:
+                        yield (*at, pack(now))
+                    at, now = key, np.empty(0, np.uint64)
+                now = _union(now, unpack(text), k)
+            if at is not None:
+                yield (*at, pack(now))
+
+        return run
+
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
+    parts = generate(held.sortWithinPartitions(*keys), make, out)
+    whole = generate(parts.repartition(partitions(held.sparkSession), *keys).sortWithinPartitions(*keys), make, out)
+    return whole.toDF(*by, "fingerprint")
+
+
+def compared(pairs: DataFrame, a: str, b: str, k: int = K) -> DataFrame:
+    """Adds resemblance, containment (of a in b), distinct_a, distinct_b and distinct_both, estimated from the fingerprints in the columns ``a`` and ``b``; nulls count as empty."""
+
+    def make():
+        def run(left, right):
+            out = []
+            for x, y in zip(left, right, strict=True):
+                x, y = unpack(x or ""), unpack(y or "")
+                out.append((resemblance(x, y, k), containment(x, y, k), distinct(x, k), distinct(y, k), distinct(_union(x, y, k), k)))
+            return list(zip(*out, strict=True))
+
+        return run
+
+    return derive(pairs, make, [a, b], "resemblance double, containment double, distinct_a double, distinct_b double, distinct_both double")
+
+
 def compare_with_next(documents: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of each text and its edited text: the last quarter of its code points gives way to the first as many of the next document's.
 
-    The next document follows in ascending (doc_id, text), nulls first; after the last comes the first. Rows are dealt by ranges of doc_id,
+    The next document follows in ascending (doc_id, text), nulls first; after the last comes the first, so one document follows itself, and repeated rows one
+    another. Null texts count as empty; an empty table gives none; extra columns are left out. Rows are dealt by ranges of doc_id,
     between bounds taken from quantiles of all ids; each range's first row also goes to the range before it, so one shuffle of the texts
     is enough, and a task streams through its sorted rows with one row ahead. Bounds and first ids are one per partition.
     """
@@ -99,16 +144,15 @@ def compare_with_next(documents: DataFrame, k: int = K) -> DataFrame:
         bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place(0, len(cuts)))
     placed = rows.select(bucket.alias("bucket"), "doc_id", "text")
     heads = sorted((int(r[0]), r[1]) for r in placed.groupBy("bucket").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(-(2**63))))).collect())
-    first = {heads[i][0]: (heads[i][1], heads[i - 1][0]) for i in range(len(heads))}
     if not heads:
         return spark.createDataFrame([], OUT)
-    giver = F.lit(None).cast("int")
-    table = F.create_map(*[x for b, (head, before) in first.items() for x in (F.lit(b), F.struct(F.lit(head).cast("long").alias("head"), F.lit(before).alias("before")))])
-    found = table[F.col("bucket")]
-    giver = F.when(F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == found["head"], found["before"])
+    first = {heads[i][0]: (heads[i][1], heads[i - 1][0]) for i in range(len(heads))}
+    at = lambda i, kind: F.get(F.array(*[F.lit(first[b][i] if b in first else None).cast(kind) for b in range(len(cuts) + 1)]), F.col("bucket"))
+    giver = F.when(F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == at(0, "long"), at(1, "int"))
     both = F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("lent")), F.struct(giver.alias("to"), F.lit(1).alias("lent")))
     dealt = placed.withColumn("x", F.explode(F.filter(both, lambda s: s["to"].isNotNull()))).select(F.col("x.to").alias("bucket"), F.col("x.lent").alias("lent"), "doc_id", "text")
-    ordered = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "lent", F.col("doc_id").asc_nulls_first(), "text")
+    key = F.get(F.array(*map(F.lit, even_keys(spark, n))), F.col("bucket"))  # one range a task
+    ordered = dealt.withColumn("key", key).repartition(n, "key").sortWithinPartitions("bucket", "lent", F.col("doc_id").asc_nulls_first(), "text").drop("key")
 
     def make():
         from hashlib import sha256

@@ -6,14 +6,14 @@ Sets of word shingles are joined in regions:
    around documents would hold everything. A single shingle is a pivot that is nearer (1 - 1/n) to the sets that hold it than to others. A set is
    put into the regions of its rarest shingles: as a link needs overlap >= 0.75 n, two linked sets share one of the n - ceil(0.75 n) + 1 rarest
    of either. Shingles of one set only make no region. Regions with sets in common are one group.
-2. A group above ``LEAF`` sets gets ``PIVOTS`` documents as pivots. A set goes home to the nearest one (its Voronoi region), and by the triangle
-   inequality it is replicated to each region i before its home with d(i) <= d(home) + 2r, r being the link distance: then of two linked sets one
-   is at home where the other is too. Regions are split again in the same way, at most ``DEPTH`` times; a region that is too dense for windows
-   to separate, or still large, is joined in pairs of blocks.
-3. A region of at most ``LEAF`` sets is joined exactly in one task.
-
-Sets that are linked already need no comparison with each other, so groups of near copies cost about one comparison a set. Equal sets are one set throughout.
-Intersections count 48-bit shingle hashes.
+2. In every group sets become pivots. A set goes home to the nearest one (its Voronoi region), and by the triangle inequality it is replicated to
+   each region i before its home with d(i) <= d(home) + 2r, r being the link distance: then of two linked sets one is at home where the other is
+   too. Regions are split again in the same way. Groups of at most ``LEAF`` sets are split within one task, down to ``SMALL`` sets; larger ones are
+   first split on the cluster, at most ``DEPTH`` times.
+3. A region that is small, or too dense for windows to separate, is joined exactly: each set outside the region's largest component meets the sets
+   that share shingles with it. On the cluster, dense regions are joined in blocks.
+
+Links within a component are not looked for. Equal sets are one set throughout. Intersections count 48-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -27,15 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ._common import ROWS, arrow_schema, derive, generate, materialise, parse, partitions, shingle_hashes, small_batches
+from ._common import ROWS, arrow_schema, derive, even_keys, generate, materialise, parse, partitions, shingle_hashes, small_batches
 
 #: Similarity in hundredths from which documents link.
 PERCENT = 75
 LEAF, PIVOTS, DEPTH, BLOCK = 4000, 16, 3, 1000
+#: Within a task, a region is split further from so many sets on, by so many pivots.
+SMALL, INNER_PIVOTS = 12, 8
+#: Entries of an inverted index that are brought together at one time.
+HOLDERS = 1_000_000
 #: Documents and shingles after which a blob is full; a number of a document in its blob has 16 bits.
 BLOB_SETS, BLOB_SHINGLES = 2048, 500_000
+#: Bytes of text whose shingles make one range of hashes.
+RANGE_BYTES = 16 << 20
 #: Shingles that a leaf may hold in all; a split that puts a set into more regions than ``WIDE`` on average doesn't help, and blocks follow.
-LEAF_SHINGLES, WIDE = 4_000_000, 4
+LEAF_SHINGLES, WIDE = 2_000_000, 4
 
 
 def linked(both: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -53,53 +59,68 @@ def _set_key(hashed: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(hashed.tobytes()) if len(hashed) else None
 
 
-def _even_keys(spark: SparkSession, n: int) -> list[int]:
-    """For each of ``n`` hash partitions one integer that hashes to it, so that equal shares stay equal."""
-    some = spark.range(0, 20 * n + 200, 1, 1).select(F.col("id").cast("int").alias("id"))
-    found = {r[0]: r[1] for r in some.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id")).collect()}
-    return [found.get(i, i) for i in range(n)]
-
-
 def _six(values: np.ndarray) -> np.ndarray:
     """48-bit values as 6 bytes each."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return np.pad(raw, ((0, 0), (0, 2))).view("<u8").reshape(-1)
+def _from_six(pieces: list[bytes]) -> np.ndarray:
+    """The 48-bit values of all pieces one after the other."""
+    raw = np.zeros((sum(map(len, pieces)) // 6, 8), np.uint8)
+    at = 0
+    for piece in pieces:
+        end = at + len(piece) // 6
+        raw[at:end, :6] = np.frombuffer(piece, np.uint8).reshape(-1, 6)
+        at = end
+    return raw.view("<u8").reshape(-1)
+
+
+def _distinct(ranked: np.ndarray) -> np.ndarray:
+    """Places in sorted values where a value begins."""
+    return np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, np.int64)
 
 
-def _dealt(documents: DataFrame) -> DataFrame:
-    """Shingle hashes by ranges of the hash, one range a partition, packed by blobs of documents so that a shingle costs about 8 bytes however many ranges there are.
+def _ranges(documents: DataFrame) -> int:
+    """So many ranges of hashes that one holds about RANGE_BYTES of text's shingles; at least the session's shuffle partitions."""
+    held = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(documents.sparkSession), -(-int(held) // RANGE_BYTES))
 
-    Rows: (bucket, blob, owners, shingles): 48-bit hashes of a blob's sets in one range, and the 16-bit numbers of the sets in the blob; and one row a blob
-    with its documents' ids, set sizes and set keys instead. In a blob equal sets send their shingles once. Blobs number a task's rows, which a retried task repeats.
+
+def _dealt(documents: DataFrame, n: int) -> DataFrame:
+    """Shingle hashes by ``n`` ranges of the hash, one range a partition, packed by blobs of documents so that a shingle costs about 10 bytes however many ranges there are.
+
+    Rows: (bucket, blob, shingles, counts, owners): sorted distinct 48-bit hashes of a blob's sets in one range, how many sets hold each, and the 16-bit numbers of
+    these sets in the blob; and one row a blob with its documents' ids, set sizes and set keys instead. In a blob equal sets send their shingles once, and a
+    shingle of many sets is one entry. A blob is named by its content, so that a repeated task names it as before; rows of equal blobs are equal.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    n = partitions(spark)
-    keys = np.array(_even_keys(spark, n), np.int32)
+    keys = np.array(even_keys(spark, n), np.int32)
     edges = (np.arange(1, n, dtype=np.uint64) << np.uint64(48)) // np.uint64(n) if n > 1 else np.empty(0, np.uint64)
-    schema = parse("bucket int, blob long, owners binary, shingles binary, ids array<long>, sizes array<int>, set_keys array<binary>")
+    schema = parse("bucket int, blob binary, shingles binary, counts binary, owners binary, ids array<long>, sizes array<int>, set_keys array<binary>")
     types = arrow_schema(schema)
 
-    def packed(blob: int, ids: list, sizes: list, set_keys: list, sets: dict[bytes, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    def packed(ids: list, sizes: list, set_keys: list, sets: dict[bytes, tuple[int, np.ndarray]], task: int, number: int) -> pa.RecordBatch:
+        import xxhash
+
+        blob = xxhash.xxh3_128_digest(repr((task, number, ids, sizes)).encode() + b"".join(k or b"" for k in set_keys))
         hashed = np.concatenate([x for _, x in sets.values()]) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.array([i for i, _ in sets.values()], np.uint16), [len(x) for _, x in sets.values()]) if sets else np.empty(0, np.uint16)
-        place = np.searchsorted(edges, hashed, side="right")
-        order = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[order], np.arange(n + 1))
+        order = np.argsort(hashed, kind="stable")
+        hashed, owner = hashed[order], owner[order].astype("<u2")
+        first = _distinct(hashed)
+        ends = np.append(first, len(hashed))
+        hashed, counts = hashed[first], np.diff(ends).astype("<u2")
+        cuts = np.searchsorted(np.searchsorted(edges, hashed, side="right"), np.arange(n + 1))
         filled = np.flatnonzero(np.diff(cuts)).tolist()
-        hashed, owner = hashed[order], owner[order]
-        rows = [(int(keys[i]), blob, owner[cuts[i] : cuts[i + 1]].astype("<u2").tobytes(), _six(hashed[cuts[i] : cuts[i + 1]]).tobytes(), None, None, None) for i in filled]
-        rows.append((int(keys[blob % n]), blob, None, None, ids, sizes, set_keys))
+        rows = [(int(keys[i]), blob, _six(hashed[a:b]).tobytes(), counts[a:b].tobytes(), owner[ends[a] : ends[b]].tobytes(), None, None, None) for i in filled for a, b in [(int(cuts[i]), int(cuts[i + 1]))]]
+        rows.append((int(keys[blob[0] % n]), blob, None, None, None, ids, sizes, set_keys))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        blob, held = TaskContext.get().partitionId() << 32, 0
+        task, number, held = TaskContext.get().partitionId(), 0, 0
         ids, sizes, set_keys, sets = [], [], [], {}
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
@@ -109,59 +130,61 @@ def _dealt(documents: DataFrame) -> DataFrame:
                     key = _set_key(full)
                     if key is not None and key not in sets:
                         short = full >> np.uint64(16)
-                        sets[key] = len(ids), short[np.append(True, short[1:] != short[:-1])]
+                        sets[key] = len(ids), short[_distinct(short)]
                         held += len(full)
                     ids.append(doc_id)
                     sizes.append(len(full))
                     set_keys.append(key)
                     if len(ids) >= BLOB_SETS or held >= BLOB_SHINGLES:
-                        yield packed(blob, ids, sizes, set_keys, sets)
-                        blob, held = blob + 1, 0
+                        yield packed(ids, sizes, set_keys, sets, task, number)
+                        number, held = number + 1, 0
                         ids, sizes, set_keys, sets = [], [], [], {}
         if ids:
-            yield packed(blob, ids, sizes, set_keys, sets)
+            yield packed(ids, sizes, set_keys, sets, task, number)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).repartition(n, "bucket")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """The rows of ``_dealt`` with only those shingles that are in two or more rows of sets, and their frequencies. Copies of a set in other blobs count too, which at most keeps more.
+    """The rows of ``_dealt`` with only those shingles that two or more sets hold, and their frequencies. Copies of a set in other blobs count too, which at most keeps more.
 
-    A task holds the hashes of its partition, whose size the number of partitions sets.
+    A task holds the distinct hashes of each blob in its range, whose size ``_ranges`` sets by the measured bytes of text; a shingle of all sets is one entry a blob.
     """
-    schema = parse("blob long, owners binary, shingles binary, frequencies binary, ids array<long>, sizes array<int>, set_keys array<binary>")
+    schema = parse("blob binary, shingles binary, counts binary, owners binary, frequencies binary, ids array<long>, sizes array<int>, set_keys array<binary>")
     types = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, owners, pieces = [], [], []
+        blobs, owners, counts, pieces = [], [], [], []
         for batch in batches:
             meta = batch.filter(batch.column("ids").is_valid())
             if meta.num_rows:
                 none = pa.nulls(meta.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([meta.column("blob"), none, none, none, *(meta.column(c).cast(types.field(c).type) for c in ("ids", "sizes", "set_keys"))], schema=types)
+                yield pa.RecordBatch.from_arrays([meta.column("blob"), none, none, none, none, *(meta.column(c).cast(types.field(c).type) for c in ("ids", "sizes", "set_keys"))], schema=types)
             rest = batch.filter(batch.column("ids").is_null())
             blobs += rest.column("blob").to_pylist()
             owners += rest.column("owners").to_pylist()
+            counts += rest.column("counts").to_pylist()
             pieces += rest.column("shingles").to_pylist()
         if not blobs:
             return
-        lengths = np.array([len(p) // 6 for p in pieces])
-        shingle, pieces = _from_six(b"".join(pieces)), None
-        owner, owners = np.frombuffer(b"".join(owners), "<u2"), None
-        row = np.repeat(np.arange(len(blobs), dtype=np.int32), lengths)
-        order = np.argsort(shingle)
-        ranked = shingle[order]
-        runs = np.diff(np.append(np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])), len(ranked)))
+        ends = np.cumsum([len(p) // 6 for p in pieces]).tolist()
+        shingle = _from_six(pieces)
+        pieces.clear()
+        count = np.frombuffer(b"".join(counts), "<u2")
+        order = np.argsort(shingle, kind="stable")  # the pieces are sorted, so this merges them
+        first = _distinct(shingle[order])
+        total = np.add.reduceat(count[order].astype(np.uint32), first)
         frequency = np.empty(len(shingle), np.uint32)
-        frequency[order] = np.repeat(runs, runs)
-        del order, ranked
-        wanted = frequency >= 2
-        ends = np.cumsum(np.bincount(row[wanted], minlength=len(blobs)))
-        shingle, owner, frequency = shingle[wanted], owner[wanted], frequency[wanted]
-        for i, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-            if high > low:
-                values = [blobs[i]], [owner[low:high].tobytes()], [_six(shingle[low:high]).tobytes()], [frequency[low:high].astype("<u4").tobytes()], [None], [None], [None]
+        frequency[order] = np.repeat(total, np.diff(np.append(first, len(shingle))))
+        del order, first, total
+        for i, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            wanted = frequency[low:high] >= 2
+            if wanted.any():
+                own, often = count[low:high], frequency[low:high][wanted]
+                who = np.frombuffer(owners[i], "<u2")[np.repeat(wanted, own)]
+                values = [blobs[i]], [_six(shingle[low:high][wanted]).tobytes()], [own[wanted].tobytes()], [who.tobytes()], [often.astype("<u4").tobytes()], [None], [None], [None]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(values, types, strict=True)], schema=types)
+            owners[i] = None
 
     return dealt.mapInArrow(run, schema)
 
@@ -169,35 +192,37 @@ def _shared(dealt: DataFrame) -> DataFrame:
 def sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, set_key, shingles, anchors) of every document. Equal sets have equal keys, empty ones null.
 
-    ``shingles`` (shared ones) and ``anchors`` (the rarest of these, whose regions the set joins) are null for a set that can't link to another: it has
-    fewer shared shingles than a link needs, or its prefix of rare shingles has no shared one.
+    ``shingles`` (shared ones) and ``anchors`` (the rarest of these, whose regions the set joins; packed as 64-bit integers both) are null for a set that can't
+    link to another: it has fewer shared shingles than a link needs, or its prefix of rare shingles has no shared one.
     """
-    rows = _shared(_dealt(documents))
-    ordered = rows.repartition(partitions(documents.sparkSession), "blob").sortWithinPartitions("blob")
+    n = _ranges(documents)
+    ordered = _shared(_dealt(documents, n)).repartition(n, "blob").sortWithinPartitions("blob")
 
     def make():
         def finished(meta, parts):
             ids, sizes, keys = meta
             own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             if parts:
-                owner = np.concatenate([np.frombuffer(p[0], "<u2") for p in parts])
-                shingle = np.concatenate([_from_six(p[1]) for p in parts]).astype(np.int64)
-                often = np.concatenate([np.frombuffer(p[2], "<u4") for p in parts])
+                counts = np.frombuffer(b"".join(p[1] for p in parts), "<u2")
+                shingle = np.repeat(_from_six([p[0] for p in parts]).astype(np.int64), counts)
+                often = np.repeat(np.frombuffer(b"".join(p[3] for p in parts), "<u4"), counts)
+                owner = np.frombuffer(b"".join(p[2] for p in parts), "<u2")
+                parts.clear()
                 order = np.lexsort((shingle, often, owner))
-                owner, shingle, often = owner[order], shingle[order], often[order]
-                cuts = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner)).tolist()
+                owner, shingle = owner[order], shingle[order]
+                cuts = np.append(_distinct(owner), len(owner)).tolist()
                 own = {int(owner[a]): shingle[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
             for i, (doc_id, n, key) in enumerate(zip(ids, sizes, keys, strict=True)):
                 mine, data, anchors = own.get(i), None, None
                 if mine is not None and 100 * len(mine) >= percent * n:
                     take = (n - needed(n, percent) + 1) - (n - len(mine))
                     if take > 0:
-                        data, anchors = np.sort(mine).astype("<i8").tobytes(), mine[:take].tolist()
+                        data, anchors = np.sort(mine).astype("<i8").tobytes(), mine[:take].astype("<i8").tobytes()
                 yield doc_id, n, key, data, anchors
 
         def run(rows):
             at, meta, parts = None, None, []
-            for blob, owners, shingles, frequencies, ids, sizes, keys in rows:
+            for blob, *part, ids, sizes, keys in rows:
                 if blob != at and meta is not None:
                     yield from finished(meta, parts)
                     meta, parts = None, []
@@ -205,13 +230,13 @@ def sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if ids is not None:
                     meta = ids, sizes, keys
                 else:
-                    parts.append((owners, shingles, frequencies))
+                    parts.append(part)
             if meta is not None:
                 yield from finished(meta, parts)
 
         return run
 
-    return generate(ordered, make, "doc_id long, n_shingles long, set_key binary, shingles binary, anchors array<long>")
+    return generate(ordered, make, "doc_id long, n_shingles long, set_key binary, shingles binary, anchors binary")
 
 
 class _Forest:
@@ -240,44 +265,138 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def join_region(sets: list[tuple[bytes, int, np.ndarray, bytes]], percent: int = PERCENT) -> Iterator[tuple[bytes, bytes]]:
+def windows(distance: np.ndarray, radius: float) -> list[np.ndarray]:
+    """For each pivot (rows of ``distance``) the places of the sets in its region: those at home with it, their nearest pivot, and those that may link to one of these.
+
+    Of linked sets x at home with i and y at home with j > i, d(y, i) <= d(x, i) + r <= d(x, j) + r <= d(y, j) + 2r: y is in the region of i too.
+    """
+    home = distance.argmin(axis=0)
+    nearest = distance.min(axis=0)
+    return [np.flatnonzero((home == i) | ((home > i) & (distance[i] <= nearest + 2 * radius + 1e-9))) for i in range(len(distance))]
+
+
+class _Region:
+    """Sets (key, n, shared shingles, label) of one task, as numbers over one another."""
+
+    def __init__(self, sets: list[tuple], percent: int):
+        self.keys = [s[0] for s in sets]
+        self.sizes, self.percent = np.array([s[1] for s in sets]), percent
+        self.lengths = np.array([len(s[2]) for s in sets])
+        self.ends = np.cumsum(self.lengths)
+        values, inverse, counts = np.unique(np.concatenate([s[2] for s in sets]), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.lengths)
+        often = counts[inverse] > 1  # what one set alone holds is in no intersection
+        self.value, self.owner = inverse[often].astype(np.int32), owner[often]
+        self.lengths = np.bincount(self.owner, minlength=len(sets))
+        self.ends = np.cumsum(self.lengths)
+        self.mark = np.zeros(len(values), bool)
+        self.forest = _Forest(len(sets))
+
+    def own(self, i: int) -> np.ndarray:
+        return self.value[self.ends[i] - self.lengths[i] : self.ends[i]]
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        return np.array([self.forest.find(i) for i in at.tolist()])
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, place in ``at``) of all shingles of the sets ``at``."""
+        lengths = self.lengths[at]
+        place = np.repeat(np.arange(len(at)), lengths)
+        entry = np.arange(len(place)) + np.repeat(self.ends[at] - lengths - (np.cumsum(lengths) - lengths), lengths)
+        return self.value[entry], place
+
+    def overlaps(self, i: int, values: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        """Sizes of the intersections of set i with ``n`` sets, whose entries are given."""
+        own = self.own(i)
+        self.mark[own] = True
+        both = np.bincount(place[self.mark[values]], minlength=n)
+        self.mark[own] = False
+        return both
+
+    def linked(self, i: int, both: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return 100 * both >= self.percent * (self.sizes[i] + self.sizes[at] - both)
+
+    def voronoi(self, at: np.ndarray, pivots: int) -> list[np.ndarray]:
+        """Links the sets ``at`` to pivots among them, each of which is the farthest from those before it, and returns the pivots' regions."""
+        values, place = self.entries(at)
+        rows, nearest, i = [], np.full(len(at), np.inf), 0
+        while len(rows) < pivots and nearest[i] > 0:
+            both = self.overlaps(int(at[i]), values, place, len(at))
+            for j in at[self.linked(int(at[i]), both, at)].tolist():
+                self.forest.join(int(at[i]), j)
+            rows.append(1 - both / (self.sizes[at[i]] + self.sizes[at] - both))
+            rows[-1][i] = 0.0  # shingles that nobody shares are left out of the count
+            nearest = np.minimum(nearest, rows[-1])
+            i = int(nearest.argmax())
+        return [at[w] for w in windows(np.array(rows), 1 - self.percent / 100)]
+
+    def compare(self, at: np.ndarray) -> None:
+        """All links among the sets ``at``, but between such as are linked already: each set outside the largest component meets those that hold its shingles, by an inverted index."""
+        roots = self.roots(at)
+        names, number = np.unique(roots, return_inverse=True)
+        others = np.flatnonzero(number != np.bincount(number).argmax())
+        if len(others) * 4 >= len(at):
+            values, place = self.entries(at)
+            order = np.argsort(values, kind="stable")
+            values, holder = values[order], place[order].astype(np.int32)
+            for k in others.tolist():
+                i, both = int(at[k]), np.zeros(len(at), np.int64)
+                begins, ends = np.searchsorted(values, self.own(i), "left"), np.searchsorted(values, self.own(i), "right")
+                cuts = np.cumsum(ends - begins) // HOLDERS  # so many entries are brought together at a time
+                for part in np.split(np.arange(len(begins)), np.flatnonzero(np.diff(cuts)) + 1) if len(begins) else ():
+                    both += np.bincount(np.concatenate([holder[a:b] for a, b in zip(begins[part].tolist(), ends[part].tolist(), strict=True)]), minlength=len(at))
+                both[k] = 0
+                for j in at[self.linked(i, both, at)].tolist():
+                    self.forest.join(i, j)
+        else:
+            values, place = self.entries(at)
+            for k in others.tolist():
+                i = int(at[k])
+                both = self.overlaps(i, values, place, len(at))
+                for j in at[self.linked(i, both, at)].tolist():
+                    self.forest.join(i, j)
+
+
+def join_region(sets: list[tuple], percent: int = PERCENT, pivots: int = INNER_PIVOTS, small: int = SMALL, seen: list | None = None) -> Iterator[tuple]:
     """(a, b): for each set (key, n, shared shingles, label) that is linked to others, directly or by a chain, the smallest key of these; equal labels are linked already.
 
-    Exact: an inverted index gives the overlaps of a set with all smaller ones at once.
+    Exact. The sets are split into Voronoi regions with windows, again and again, until a region is ``small``, linked throughout, or so dense that windows don't
+    separate it; what is left is compared. ``seen`` takes (sets, regions) of each split.
     """
-    sets = sorted(sets, key=lambda s: (s[1], s[0]))
-    forest, by_label = _Forest(len(sets)), {}
-    for i, s in enumerate(sets):
-        forest.join(i, by_label.setdefault(s[3], i))
-    if len(by_label) < 2:
+    sets, by_label = sorted(sets, key=lambda s: (s[1], s[0])), {}
+    if len({s[3] for s in sets}) < 2:
         return
-    lengths = np.array([len(s[2]) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate([s[2] for s in sets]), return_inverse=True, return_counts=True)
-    holder = np.repeat(np.arange(len(sets)), lengths)[np.argsort(inverse, kind="stable")]
-    ends = np.cumsum(counts)
-    begins, often = ends - counts, counts[inverse] > 1
-    sizes, at = np.array([s[1] for s in sets]), 0
-    for i in range(len(sets)):
-        mine = inverse[at : at + lengths[i]][often[at : at + lengths[i]]]
-        at += lengths[i]
-        if not i or not len(mine):
+    region = _Region(sets, percent)
+    for i, s in enumerate(sets):
+        region.forest.join(i, by_label.setdefault(s[3], i))
+    todo = [np.arange(len(sets))]
+    while todo:
+        at = todo.pop()
+        if len(at) < 2 or len(np.unique(region.roots(at))) < 2:
+            continue
+        if len(at) <= small:
+            region.compare(at)
             continue
-        both = np.bincount(np.concatenate([holder[a:b] for a, b in zip(begins[mine].tolist(), ends[mine].tolist(), strict=True)]), minlength=i)[:i]
-        for j in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[:i] - both)).tolist():
-            forest.join(i, j)
-    least: dict[int, bytes] = {}
+        parts = region.voronoi(at, pivots)
+        if seen is not None:
+            seen.append((len(at), len(parts)))
+        if max(map(len, parts)) > 0.8 * len(at) or sum(map(len, parts)) > WIDE * len(at):
+            region.compare(at)
+        else:
+            todo += parts
+    least: dict[int, object] = {}
     for i, s in enumerate(sets):
-        root = forest.find(i)
+        root = region.forest.find(i)
         least[root] = min(least.get(root, s[0]), s[0])
     for i, s in enumerate(sets):
-        if (first := least[forest.find(i)]) != s[0]:
+        if (first := least[region.forest.find(i)]) != s[0]:
             yield first, s[0]
 
 
 def _leaves(members: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """(a, b): links within each region; ``members`` has the columns ``by``, set_key, n, shingles, label. A task streams through its sorted regions, one at a time."""
+    """(a, b): links within each region; ``members`` has the columns ``by``, node, n, shingles, label. A task streams through its sorted regions, one at a time."""
     width = len(by)
-    ordered = members.select(*by, "set_key", "n", "shingles", "label").repartition(partitions(members.sparkSession), *by).sortWithinPartitions(*by)
+    ordered = members.select(*by, "node", "n", "shingles", "label").repartition(partitions(members.sparkSession), *by).sortWithinPartitions(*by)
 
     def make():
         def run(rows):
@@ -291,46 +410,59 @@ def _leaves(members: DataFrame, by: list[str], percent: int) -> DataFrame:
 
         return run
 
-    return generate(ordered, make, "a binary, b binary")
+    return generate(ordered, make, "a long, b long")
 
 
 def _split(big: DataFrame, level: int, percent: int, pivots: int) -> DataFrame:
-    """Adds near (keys of pivots that the set links to) and regions (of its home pivot and of those before it within the window)."""
+    """Adds near (pivots that the set links to) and regions (of its home pivot and of those before it within the window)."""
     from pyspark.sql import Window
 
-    draw = F.xxhash64("set_key", F.lit(level))
-    rows = big.select("region", "set_key", draw.alias("draw"), F.pmod(draw, F.lit(64)).alias("salt"))
+    draw = F.xxhash64("node", F.lit(level))
+    rows = big.select("region", "node", draw.alias("draw"), F.pmod(draw, F.lit(64)).alias("salt"))
     for keys in (["region", "salt"], ["region"]):  # first in parts of a region, so that a large one isn't sorted in one task
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "set_key"))).where(F.col("r") <= pivots)
-    chosen = rows.select("region", "set_key").join(big, ["region", "set_key"]).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("set_key", "n", "shingles"))).alias("pivots"))
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "node"))).where(F.col("r") <= pivots)
+    chosen = rows.select("region", "node").join(big, ["region", "node"]).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "n", "shingles"))).alias("pivots"))
     radius = 1 - percent / 100
 
     def make():
-        def run(keys, sizes_, shingles, groups, regions):
+        def run(nodes, sizes_, shingles, groups, regions):
             near, homes = [], []
-            for key, n, data, group, region in zip(keys, sizes_, shingles, groups, regions, strict=True):
+            for node, n, data, group, region in zip(nodes, sizes_, shingles, groups, regions, strict=True):
                 own = np.frombuffer(data, "<i8")
                 both = [_overlap(own, np.frombuffer(p["shingles"], "<i8")) for p in group]
-                near.append([p["set_key"] for p, o in zip(group, both, strict=True) if p["set_key"] != key and linked(o, n, p["n"], percent)])
-                d = [1 - o / (n + p["n"] - o) for p, o in zip(group, both, strict=True)]
-                home = int(np.argmin(d))
-                homes.append([f"{region}.{i}" for i in range(home + 1) if i == home or d[i] <= d[home] + 2 * radius + 1e-9])
+                near.append([p["node"] for p, o in zip(group, both, strict=True) if p["node"] != node and linked(o, n, p["n"], percent)])
+                d = np.array([0.0 if p["node"] == node else 1 - o / (n + p["n"] - o) for p, o in zip(group, both, strict=True)])
+                homes.append([f"{region}.{i}" for i, w in enumerate(windows(d[:, None], radius)) if len(w)])
             return [near, homes]
 
         return run
 
     joined = big.join(chosen, "region")
-    return derive(joined, make, ["set_key", "n", "shingles", "pivots", "region"], "near array<binary>, regions array<string>", keep=["region", "set_key", "n", "shingles"], rows=16)
+    return derive(joined, make, ["node", "n", "shingles", "pivots", "region"], "near array<long>, regions array<string>", keep=["region", "node", "n", "shingles"], rows=16)
+
+
+def _blocks(wide: DataFrame, block: int) -> DataFrame:
+    """The sets of dense regions in blocks that are joined each by itself: sets of a region's most frequent label are linked already, so each of them is in one block,
+    where it meets all others of the region; these are in all blocks. With no frequent label, a set is in the blocks of all pairs of its part with others."""
+    labels = wide.groupBy("region", "label").agg(F.count("*").alias("times"))
+    most = labels.groupBy("region").agg(F.max(F.struct("times", "label")).alias("m")).select("region", F.col("m.label").alias("most"), F.col("m.times").alias("times"))
+    parts = F.ceil(F.greatest(F.col("members") / block, F.col("held") / (LEAF_SHINGLES / 2))).cast("int")
+    placed = wide.join(most, "region").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    one_sided = F.col("times") * 2 > F.col("members")
+    there = F.when(one_sided & (F.col("label") == F.col("most")), F.array(F.struct("own", F.col("own").alias("other"))))
+    there = there.when(one_sided, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("own"), i.alias("other"))))
+    there = there.otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least("own", i).alias("own"), F.greatest("own", i).alias("other"))))
+    return placed.withColumn("x", F.explode(there)).select("region", F.col("x.own").alias("i"), F.col("x.other").alias("j"), "node", "n", "shingles", "label")
 
 
 def links(found: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, depth: int = DEPTH, block: int = BLOCK, wide_from: float = WIDE) -> DataFrame:
-    """(node, root): set keys that are linked to others, directly or by a chain, with the smallest key of these. ``found``: set_key, n, shingles, anchors, a row a set."""
-    anchored = found.select("set_key", F.explode("anchors").alias("anchor"))
-    groups = components(_stars(anchored))
-    todo = materialise(found.join(groups, found.set_key == groups.node).select(F.hex("root").alias("region"), "set_key", "n", "shingles", F.col("set_key").alias("label")), "members")
+    """(node, root): sets that are linked to others, directly or by a chain, with the smallest of these. ``found``: node (a number), n, shingles, anchors, a row a set."""
+    groups = components(_stars(found.select("node", "anchors")))
+    todo = materialise(found.join(groups, "node").select(F.hex("root").alias("region"), "node", "n", "shingles", F.col("node").alias("label")), "members")
     whole, out = None, []  # links of whole groups, which are components as they are; of parts of groups
+    held = F.sum(F.octet_length("shingles") / 8).cast("long")
     for level in range(depth + 1):
-        counted = materialise(todo.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles") / 8).cast("long").alias("held")), "regions")
+        counted = materialise(todo.groupBy("region").agg(F.count("*").alias("members"), held.alias("held")), "regions")
         small = (F.col("members") <= leaf) & (F.col("held") <= LEAF_SHINGLES)
         large = counted.where(~small)
         done = large.isEmpty()
@@ -343,59 +475,80 @@ def links(found: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: in
             break
         big = todo.join(large.select("region"), "region")
         split = materialise(_split(big.drop("label"), level, percent, pivots), "split")
-        out.append(split.select(F.col("set_key").alias("a"), F.explode("near").alias("b")))
+        out.append(split.select(F.col("node").alias("a"), F.explode("near").alias("b")))
         known = components(reduce(DataFrame.unionAll, out))  # what is linked by now needs no more comparison
-        labelled = split.join(known, F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_key"))
-        wide = labelled.groupBy("region").agg((F.avg(F.size("regions")) > (0 if level == depth else wide_from)).alias("wide"), F.count("*").alias("members"), F.sum(F.octet_length("shingles") / 8).alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        labelled = materialise(labelled.join(wide.drop("x", "y"), "region").select("region", "set_key", "n", "shingles", "label", "regions", "wide", "members", "held"), "labelled")
-        blocks = F.ceil(F.greatest(F.col("members") / block, F.col("held") / (LEAF_SHINGLES / 2))).cast("int")
-        own = labelled.where("wide").withColumn("own", F.pmod(F.xxhash64("set_key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        out.append(_leaves(own.select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set_key", "n", "shingles", "label"), ["region", "i", "j"], percent))
+        labelled = split.join(known, "node", "left").withColumn("label", F.coalesce("root", "node"))
+        wide = labelled.groupBy("region").agg((F.avg(F.size("regions")) > (0 if level == depth else wide_from)).alias("wide"), F.count("*").alias("members"), held.alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        labelled = materialise(labelled.join(wide.drop("x", "y"), "region").select("region", "node", "n", "shingles", "label", "regions", "wide", "members", "held"), "labelled")
+        out.append(_leaves(_blocks(labelled.where("wide"), block), ["region", "i", "j"], percent))
         narrow = labelled.where("NOT wide")
         if narrow.isEmpty():
             break
-        deeper = narrow.select("set_key", "n", "shingles", "label", F.explode("regions").alias("region"))
+        deeper = narrow.select("node", "n", "shingles", "label", F.explode("regions").alias("region"))
         undecided = deeper.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("region")
-        todo = materialise(deeper.join(undecided, "region").select("region", "set_key", "n", "shingles", "label"), "members")
+        todo = materialise(deeper.join(undecided, "region").select("region", "node", "n", "shingles", "label"), "members")
     whole = whole.select(F.col("b").alias("node"), F.col("a").alias("root"))
     whole = whole.unionAll(whole.select(F.col("root").alias("node"), "root").distinct())
     return whole.unionAll(components(reduce(DataFrame.unionAll, out))) if out else whole
 
 
 def _stars(anchored: DataFrame) -> DataFrame:
-    """(a, b): edges that join sets with an anchor in common. The anchors of a task are contracted there, so a set has one edge a task at most."""
-    dealt = anchored.repartition(partitions(anchored.sparkSession), "anchor").select("anchor", "set_key")
+    """(a, b): edges that join sets with an anchor in common, from (node, anchors). The anchors of a task are contracted there, so a set has one edge a task at most."""
+
+    def spread():
+        def run(rows):
+            for node, data in rows:
+                for anchor in np.frombuffer(data, "<i8").tolist():
+                    yield anchor, node
+
+        return run
+
+    dealt = generate(anchored, spread, "anchor long, node long", rows=1 << 16).repartition(partitions(anchored.sparkSession), "anchor")
 
     def make():
         def run(rows):
-            number: dict[bytes, int] = {}
+            number: dict[int, int] = {}
             first: dict[int, int] = {}
             forest = _Forest(0)
-            for anchor, key in rows:
-                i = number.setdefault(key, len(number))
+            for anchor, node in rows:
+                i = number.setdefault(node, len(number))
                 if i == len(forest.up):
                     forest.up.append(i)
                 forest.join(i, first.setdefault(anchor, i))
-            keys = list(number)
-            for i, key in enumerate(keys):
+            nodes = list(number)
+            for i, node in enumerate(nodes):
                 if (root := forest.find(i)) != i:
-                    yield keys[root], key
+                    yield nodes[root], node
 
         return run
 
-    return generate(dealt, make, "a binary, b binary")
+    return generate(dealt, make, "a long, b long", rows=1 << 16)
+
+
+def _numbered(found: DataFrame) -> tuple[DataFrame, int]:
+    """(``found`` with node, a 64-bit hash of set_key that no two keys share, and the seed of that hash)."""
+    for seed in range(100):
+        numbered = found.withColumn("node", F.xxhash64("set_key", F.lit(seed)))
+        if numbered.groupBy("node").count().where("count > 1").isEmpty():
+            return numbered, seed
+    raise RuntimeError("no seed tells the keys apart")
 
 
 def classes(documents: DataFrame, percent: int = PERCENT, **options) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the size of its set, and the smallest doc_id that links reach from it, itself included.
+    """(doc_id, n_shingles, component_id, set_key, component) of every row: the size of its set, and the smallest doc_id that links reach from it, itself included;
+    set_key tells its set (null: empty), component its class (that of an empty set is null).
 
-    Null and empty texts have the empty set and are alone, as is a row with a null id unless rows with ids are linked to it. Repeated rows get equal results; extra columns are left out.
+    Null and empty texts have the empty set and are alone, as is a row with a null id unless rows with ids are linked to it. Repeated rows get equal results; extra
+    columns are left out. ``documents`` should come straight from a table, so that a repeated task reads the same rows; write it first if it comes from a shuffle.
     """
     all_sets = materialise(sets(documents, percent), "sets")
     found = all_sets.where("anchors IS NOT NULL").groupBy("set_key").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.first("anchors").alias("anchors"))
+    found, seed = _numbered(materialise(found, "linkable"))
     roots = links(found, percent, **options)
     firsts = all_sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    joined = materialise(firsts.join(roots, F.col("set_key") == F.col("node"), "left").select("set_key", "first", "root"), "firsts")
+    known = found.select("set_key", "node").join(roots, "node").select(F.col("set_key").alias("k"), "root")
+    joined = materialise(firsts.join(known, F.col("set_key") == F.col("k"), "left").select("set_key", "first", "root"), "firsts")
     least = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    ends = joined.join(least, "root", "left").select("set_key", F.coalesce("least", "first").alias("component"))
-    return all_sets.select("doc_id", "n_shingles", "set_key").join(ends, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    alone = F.concat(F.lit("s"), F.hex("set_key"))
+    ends = joined.join(least, "root", "left").select("set_key", F.coalesce("least", "first").alias("reached"), F.coalesce(F.concat(F.lit("c"), F.hex("root")), alone).alias("component"))
+    return all_sets.select("doc_id", "n_shingles", "set_key").join(ends, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "set_key", "component")

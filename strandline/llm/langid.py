@@ -1,22 +1,25 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Trained by follow-the-regularised-leader with elastic-net penalties on a bounded sample (``max_rows`` documents by the smallest id hash,
-of each the ``max_features`` most frequent n-grams), then calibrated by a temperature on a part of the sample that was kept aside. Prediction reads every whole text.
+Trained by follow-the-regularised-leader with elastic-net penalties on a bounded sample (``max_rows`` documents by the smallest id hash, whose
+n-grams all count; and at most ``max_bytes`` of n-grams in all), then calibrated by a temperature on a part of the sample that was kept aside.
+Prediction reads every whole text.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import derive, mix
+from ._common import SAMPLE_BYTES, derive, sampled_features, sparse
 from .ftrl import Ftrl, softmax, temperature
 
-NO_LETTER = re.compile(r"[\W\d_]+")
 UNDETERMINED = "und"
 
 
@@ -28,14 +31,30 @@ class LanguageModel:
     bits: int
 
 
+@cache
+def _classes() -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of one letter (general category L) and of a run of signs that are neither letters nor marks (category M)."""
+    runs: dict[str, list[list[int]]] = {"L": [], "M": []}
+    for c in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in runs:
+            if runs[kind] and runs[kind][-1][1] == c - 1:
+                runs[kind][-1][1] = c
+            else:
+                runs[kind].append([c, c])
+    signs = {kind: "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in found) for kind, found in runs.items()}
+    return re.compile(f"[{signs['L']}]"), re.compile(f"[^{signs['L']}{signs['M']}]+")
+
+
 def featuriser(bits: int, largest: int = 3):
-    """Function from a text to the hash buckets of its lower-case letter n-grams, n = 1 to ``largest``; runs of other signs are one space."""
+    """Function from a text to the hash buckets of its lower-case letter n-grams, n = 1 to ``largest``; marks belong to their letters, runs of other signs are one space. Without a letter there are none."""
+    letter, other = _classes()
     shift, factor = np.uint64(64 - bits), np.uint64(0x100000001B3)
 
     def buckets(text: str | None) -> np.ndarray:
-        letters = NO_LETTER.sub(" ", text or "").lower().strip()
-        if not letters:
+        if not text or not letter.search(text):
             return np.empty(0, np.int64)
+        letters = other.sub(" ", text).lower().strip()
         a = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         found, h = [], np.zeros(len(a), np.uint64)
         for n in range(largest):
@@ -46,15 +65,15 @@ def featuriser(bits: int, largest: int = 3):
     return buckets
 
 
-def train(documents: DataFrame, usable, bits: int = 16, max_rows: int = 3000, max_features: int = 2048, epochs: int = 4, aside: float = 0.2) -> LanguageModel:
+def train(documents: DataFrame, usable, bits: int = 16, max_rows: int = 3000, max_bytes: int = SAMPLE_BYTES, epochs: int = 4, aside: float = 0.2) -> LanguageModel:
     """Fits on rows with a non-null lang whose id is ``usable``. Without such rows the model knows no language and answers ``und`` always."""
     spark = documents.sparkSession
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & usable(F.col("doc_id")))
-    ids = [(int(r[0]),) for r in known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()]
+    ids = [(int(r[0]),) for r in known.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()]
     languages = tuple(sorted(r[0] for r in known.select(F.col("lang").cast("string")).distinct().collect()))
     if not ids:
         return LanguageModel((), np.zeros(((1 << bits) + 1, 0), np.float32), 1.0, bits)
-    sample = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(spark.createDataFrame(ids, "doc_id long").distinct()), "doc_id")
+    sample = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id")
 
     def make():
         buckets = featuriser(bits)
@@ -64,17 +83,15 @@ def train(documents: DataFrame, usable, bits: int = 16, max_rows: int = 3000, ma
             for text in texts:
                 b = buckets(text)
                 at, count = np.unique(b, return_counts=True)
-                top = np.sort(np.argsort(-count, kind="stable")[:max_features])
-                found.append((at[top].astype("<i4").tobytes(), (count[top] / max(len(b), 1)).astype("<f4").tobytes()))
+                found.append((at.astype("<i4").tobytes(), (count / max(len(b), 1)).astype("<f4").tobytes()))
             return [[f[0] for f in found], [f[1] for f in found]]
 
         return features
 
-    got = [r for r in derive(sample, make, ["text"], "at binary, x binary", keep=["doc_id", "lang"]).collect() if r["at"]]
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], r["at"]))
+    got = [r for r in sampled_features(sample, make, ["lang"], max_bytes) if r["at"]]
     if not got:
         return LanguageModel((), np.zeros(((1 << bits) + 1, 0), np.float32), 1.0, bits)
-    rows = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in got]
+    rows = sparse(got)
     y = np.array([languages.index(r["lang"]) for r in got])
     seen = np.bincount(np.concatenate([a for a, _ in rows]), minlength=1 << bits)
     idf = np.log((1 + len(rows)) / (1 + seen)) + 1

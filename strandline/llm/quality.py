@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader, scored as sparse dot products.
 
-Training uses a bounded sample of labelled rows (``max_rows`` documents with the smallest id hashes, of each the ``max_features``
-most frequent n-grams); scoring reads every whole text.
+Training uses a bounded sample of labelled rows (``max_rows`` documents with the smallest id hashes, whose n-grams all count; and at most
+``max_bytes`` of n-grams in all); scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Hashes, derive, mix
+from ._common import SAMPLE_BYTES, Hashes, derive, mix, sampled_features, sparse
 from .ftrl import Ftrl
 
 #: A word, or a run of other visible signs.
@@ -27,7 +27,7 @@ class QualityModel:
 
 
 def featuriser(bits: int):
-    """Function from a text to the hash buckets of its word n-grams (n = 1 to 3, with repetition): a 2- or 3-gram whose ends are one word is a bucket of its own."""
+    """Function from a text to the hash buckets of its word n-grams (n = 1 to 3, with repetition): a 2-gram of equal words is one bucket whatever the word, and a 3-gram whose ends are one word counts in a bucket of its own too."""
     hashes = Hashes()
     shift = np.uint64(64 - bits)
     again = mix(np.array([2, 3], np.uint64))
@@ -37,8 +37,9 @@ def featuriser(bits: int):
         if not len(h):
             return np.empty(0, np.int64)
         two = np.where(h[1:] == h[:-1], again[0], mix(h[:-1] * np.uint64(3) + h[1:]))
-        three = again[np.ones(int((h[2:] == h[:-2]).sum()), np.int64)]
-        return (np.concatenate([mix(h), two, three]) >> shift).astype(np.int64)
+        three = mix((h[:-2] * np.uint64(5) + h[1:-1]) * np.uint64(3) + h[2:])
+        framed = again[np.ones(int((h[2:] == h[:-2]).sum()), np.int64)]
+        return (np.concatenate([mix(h), two, three, framed]) >> shift).astype(np.int64)
 
     return buckets
 
@@ -57,7 +58,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable,
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(small), "doc_id")
 
 
-def train(documents: DataFrame, labels: DataFrame, usable, label: str = "quality", bits: int = 18, max_rows: int = 4000, max_features: int = 4096, epochs: int = 5) -> QualityModel:
+def train(documents: DataFrame, labels: DataFrame, usable, label: str = "quality", bits: int = 18, max_rows: int = 4000, max_bytes: int = SAMPLE_BYTES, epochs: int = 5) -> QualityModel:
     """Fits on rows whose id is ``usable`` (a function of the id column). Without labelled rows every score is 0.5; null texts count as empty."""
 
     def make():
@@ -68,21 +69,16 @@ def train(documents: DataFrame, labels: DataFrame, usable, label: str = "quality
             for text in texts:
                 b = buckets(text)
                 at, count = np.unique(b, return_counts=True)
-                if len(at) > max_features:
-                    top = np.sort(np.argsort(-count, kind="stable")[:max_features])
-                    at, count = at[top], count[top]
                 found.append((at.astype("<i4").tobytes(), (count * _scale(len(b))).astype("<f4").tobytes()))
             return [[f[0] for f in found], [f[1] for f in found]]
 
         return features
 
-    sample = derive(labelled_sample(documents, labels, label, usable, max_rows), make, ["text"], "at binary, x binary", keep=["doc_id", "y"]).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["at"]))
+    sample = sampled_features(labelled_sample(documents, labels, label, usable, max_rows), make, ["y"], max_bytes)
     if not sample:
         return QualityModel(np.zeros((1 << bits) + 1, np.float32), bits)
-    rows = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in sample]
     y = np.array([r["y"] for r in sample])
-    return QualityModel(Ftrl(1 << bits, 1, alpha=0.3, l1=0.01, l2=0.01).fit(rows, y, epochs)[:, 0].astype(np.float32), bits)
+    return QualityModel(Ftrl(1 << bits, 1, alpha=0.3, l1=0.01, l2=0.01).fit(sparse(sample), y, epochs)[:, 0].astype(np.float32), bits)
 
 
 def score(documents: DataFrame, model: QualityModel, column: str = "score", keep: list[str] | None = None) -> DataFrame:

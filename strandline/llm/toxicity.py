@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017), in numpy, from confirmed toxic examples and unlabelled text.
 
-The sample is bounded: ``max_positive`` toxic documents and ``max_unlabelled`` documents of any kind, by the smallest id hash,
-of each the ``max_features`` most frequent words. Scoring reads every whole text.
+The sample is bounded: ``max_positive`` toxic documents and ``max_unlabelled`` documents of any kind, by the smallest id hash, whose words
+all count; and at most ``max_bytes`` of words in all. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Hashes, derive
+from ._common import SAMPLE_BYTES, Hashes, derive, sampled_features, sparse
 
 WORD = re.compile(r"\w+")
 
@@ -26,6 +26,8 @@ class ToxicityModel:
 
 #: Lengths of the word beginnings that count besides the word, as insults are inflected and compounded.
 STEMS = (5, 6, 7, 8)
+#: So many standard errors tell a bucket from chance among all 2^18 of them.
+LEAST_Z = 6.0
 
 
 class _Buckets(dict):
@@ -55,54 +57,68 @@ def featuriser(bits: int, wanted: np.ndarray | None = None):
     return buckets
 
 
-def _rows(frame: DataFrame, bits: int, max_features: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    def make():
-        buckets = featuriser(bits)
+class Sparse:
+    """Rows (columns, values) one after the other, with the products that a linear model needs."""
 
-        def features(texts):
-            found = []
-            for text in texts:
-                b, n = buckets(text)
-                at, count = np.unique(b, return_counts=True)
-                top = np.sort(np.argsort(-count, kind="stable")[:max_features])
-                found.append((at[top].astype("<i4").tobytes(), (count[top] / max(n, 1)).astype("<f4").tobytes()))
-            return [[f[0] for f in found], [f[1] for f in found]]
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], columns: int):
+        lengths = np.array([len(a) for a, _ in rows], np.int64)
+        self.columns, self.ends = columns, np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.at = np.concatenate([a for a, _ in rows]) if rows else np.empty(0, np.int64)
+        self.x = np.concatenate([x for _, x in rows]) if rows else np.empty(0)
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(row number, column, value) of each entry of the rows, and how many rows."""
+        lengths = self.ends[rows] - self.starts[rows]
+        owner = np.repeat(np.arange(len(rows)), lengths)
+        entry = np.arange(len(owner)) + np.repeat(self.starts[rows] - (np.cumsum(lengths) - lengths), lengths)
+        return owner, self.at[entry], self.x[entry], len(rows)
+
+
+def _times(part, w: np.ndarray) -> np.ndarray:
+    owner, at, x, n = part
+    return np.bincount(owner, x * w[at], n) + w[-1]
 
-        return features
 
-    got = derive(frame, make, ["text"], "at binary, x binary", keep=["doc_id"]).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["at"]))
-    return [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in got]
+def _back(part, g: np.ndarray, size: int) -> np.ndarray:
+    """The mean of the rows, each times its value of ``g``; the constant column comes last."""
+    owner, at, x, n = part
+    out = np.bincount(at, x * g[owner], size)
+    out[-1] += g.sum()
+    return out / n
 
 
-def _matrix(rows: list[tuple[np.ndarray, np.ndarray]], columns: np.ndarray) -> np.ndarray:
-    """Dense rows over the sorted bucket list ``columns``; the square root of a word's share of the text, so that one mention in a long text still counts."""
-    out = np.zeros((len(rows), len(columns) + 1))
-    for k, (at, x) in enumerate(rows):
-        i = np.searchsorted(columns, at)
-        ok = (i < len(columns)) & (columns[np.minimum(i, len(columns) - 1)] == at) if len(columns) else np.zeros(len(at), bool)
-        out[k, i[ok]] = 10 * np.sqrt(x[ok])
-    out[:, -1] = 1
+def _weighed(rows: list[tuple[np.ndarray, np.ndarray]], columns: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows over the places in the sorted bucket list ``columns``; the square root of a word's share of the text, so that one mention in a long text still counts."""
+    out = []
+    for at, x in rows:
+        i = np.minimum(np.searchsorted(columns, at), max(len(columns) - 1, 0))
+        ok = columns[i] == at if len(columns) else np.zeros(len(at), bool)
+        out.append((i[ok], 10 * np.sqrt(x[ok])))
     return out
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, l1: float = 1e-3, batch: int = 1024, seed: int = 5) -> np.ndarray:
-    """Weights of the linear model that lowers pi*E_p[l(+)] + max(0, E_u[l(-)] - pi*E_p[l(-)]), l being the logistic loss.
+def nnpu(positive: Sparse, unlabelled: Sparse, prior: float, steps: int = 600, rate: float = 0.05, l1: float = 5e-3, batch: int = 1024, seed: int = 5) -> np.ndarray:
+    """Weights of the linear model that lowers pi*E_p[l(+)] + max(0, E_u[l(-)] - pi*E_p[l(-)]), l being the logistic loss; the intercept comes last.
 
     Where the second part turns negative, its gradient is followed the other way (the paper's correction). Adam steps, then soft thresholds.
     """
     rng = np.random.default_rng(seed)
-    w = np.zeros(positive.shape[1])
+    size = positive.columns + 1
+    w = np.zeros(size)
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -35, 35)))
     softplus = lambda s: np.logaddexp(0, s)
     for step in range(1, steps + 1):
-        p = positive[rng.permutation(len(positive))[:batch]]
-        u = unlabelled[rng.permutation(len(unlabelled))[:batch]]
-        sp, su = p @ w, u @ w
+        p = positive.take(rng.permutation(len(positive))[:batch])
+        u = unlabelled.take(rng.permutation(len(unlabelled))[:batch])
+        sp, su = _times(p, w), _times(u, w)
         negative = softplus(su).mean() - prior * softplus(sp).mean()
-        g_negative = u.T @ sigmoid(su) / len(u) - prior * (p.T @ sigmoid(sp)) / len(p)
-        g_positive = -prior * (p.T @ sigmoid(-sp)) / len(p)
+        g_negative = _back(u, sigmoid(su), size) - prior * _back(p, sigmoid(sp), size)
+        g_positive = -prior * _back(p, sigmoid(-sp), size)
         g = g_positive + g_negative if negative >= 0 else -g_negative
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         now = rate * (1 - step / (steps + 1))
@@ -111,10 +127,10 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w
 
 
-def train(documents: DataFrame, labels: DataFrame, usable, bits: int = 18, max_positive: int = 2000, max_unlabelled: int = 6000, max_features: int = 4096, max_columns: int = 400, prior: float | None = None) -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, usable, bits: int = 18, max_positive: int = 2000, max_unlabelled: int = 6000, max_bytes: int = SAMPLE_BYTES, prior: float | None = None, least_z: float = LEAST_Z, **options) -> ToxicityModel:
     """Fits on rows whose id is ``usable``; the class prior defaults to the share of toxic rows among all labels of usable rows.
 
-    Columns are the at most ``max_columns`` buckets that are most over-represented among the positives and occur in 3 or more of them, and in 1 of 100.
+    Columns are all buckets that occur in 3 or more positives (in all, if there are fewer) and are over-represented there by ``least_z`` standard errors of the difference of shares; the penalty selects among them.
     Without toxic examples every score is 0.0. Null texts count as empty; labels of a repeated id count once, toxic if any is.
     """
     spark = documents.sparkSession
@@ -124,18 +140,34 @@ def train(documents: DataFrame, labels: DataFrame, usable, bits: int = 18, max_p
     if not toxic:
         return none
     prior = prior if prior is not None else min(max(toxic / total, 1e-4), 0.9)
-    ids = [(int(r[0]),) for r in known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive).collect()]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & usable(F.col("doc_id")))
-    positive = _rows(texts.join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id"), bits, max_features)
-    some = [(int(r[0]),) for r in texts.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).collect()]
-    unlabelled = _rows(texts.join(F.broadcast(spark.createDataFrame(some, "doc_id long").distinct()), "doc_id"), bits, max_features)
+    ids = {int(r[0]): 1 for r in known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive).collect()}
+    for r in texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).collect():
+        ids[int(r[0])] = ids.get(int(r[0]), 0) + 2  # a positive one may be among the unlabelled ones
+    sample = texts.join(F.broadcast(spark.createDataFrame(sorted(ids.items()), "doc_id long, part int")), "doc_id")
+
+    def make():
+        buckets = featuriser(bits)
+
+        def features(texts):
+            found = []
+            for text in texts:
+                b, n = buckets(text)
+                at, count = np.unique(b, return_counts=True)
+                found.append((at.astype("<i4").tobytes(), (count / max(n, 1)).astype("<f4").tobytes()))
+            return [[f[0] for f in found], [f[1] for f in found]]
+
+        return features
+
+    got = sampled_features(sample, make, ["part"], max_bytes)
+    positive, unlabelled = sparse([r for r in got if r["part"] & 1]), sparse([r for r in got if r["part"] & 2])
     if not positive or not unlabelled:
         return none
     in_p, in_u = (np.bincount(np.concatenate([a for a, _ in rows]), minlength=1 << bits) for rows in (positive, unlabelled))
-    lift = in_p / len(positive) * np.log((in_p / len(positive) + 1e-9) / (in_u / len(unlabelled) + 0.5 / len(unlabelled)))
-    found = np.flatnonzero((in_p >= max(min(3, len(positive)), 0.01 * len(positive))) & (lift > 0))
-    columns = np.sort(found[np.argsort(-lift[found], kind="stable")[:max_columns]])
-    w = nnpu(_matrix(positive, columns), _matrix(unlabelled, columns), prior)
+    pooled = (in_p + in_u) / (len(positive) + len(unlabelled))
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / len(positive) + 1 / len(unlabelled)))
+    columns = np.flatnonzero((in_p >= min(3, len(positive))) & (in_p / len(positive) - in_u / len(unlabelled) >= least_z * error))
+    w = nnpu(Sparse(_weighed(positive, columns), len(columns)), Sparse(_weighed(unlabelled, columns), len(columns)), prior, **options)
     weights = np.zeros((1 << bits) + 1, np.float32)
     weights[columns], weights[-1] = w[:-1], w[-1]
     return ToxicityModel(weights, bits)

@@ -313,3 +313,27 @@ def test_found_instances_establish_patterns(spark):
     rows += [(40, "payee 987654321097 d"), (41, f"payee {new[0]} e"), (42, f"payee {new[1]} f")]
     got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), support=4, confidence=0.4).collect()}
     assert got[40].startswith("card:")
+
+
+def test_jaccard_regions_split_and_stay_exact():
+    """One task's groups go through pivots, windows and regions, and give the classes of all pairs."""
+    rng, seen = random.Random(3), []
+    for case in range(40):
+        sets, pool = {}, rng.choice([120, 400, 3000])
+        for _ in range(rng.randint(1, 12)):
+            base = [rng.randrange(pool) for _ in range(rng.randint(3, 60))]
+            for _ in range(rng.randint(1, 25)):
+                copy = {x if rng.random() < 0.93 else rng.randrange(pool) for x in base}
+                sets[frozenset(copy)] = len(sets) if frozenset(copy) not in sets else sets[frozenset(copy)]
+        rows = [(i, len(s), np.array(sorted(s), np.int64), i if case % 3 else i - i % 2) for s, i in sets.items()]
+        up = list(range(len(rows)))
+        find = lambda i: i if up[i] == i else find(up[i])  # noqa: B023, E731
+        for i, a in enumerate(rows):
+            for j, b in enumerate(rows[:i]):
+                both = len(set(a[2].tolist()) & set(b[2].tolist()))
+                if 100 * both >= 75 * (a[1] + b[1] - both) or a[3] == b[3]:
+                    x, y = sorted((find(i), find(j)))
+                    up[y] = x
+        want = {i: find(i) for i in range(len(up)) if find(i) != i}
+        assert {b: a for a, b in jaccard.join_region(rows, pivots=rng.choice([2, 5, 8]), small=rng.choice([2, 6, 12]), seen=seen)} == want
+    assert len(seen) > 100 and any(parts > 1 for _, parts in seen)
