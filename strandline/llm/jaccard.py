@@ -525,12 +525,13 @@ def _stars(anchored: DataFrame) -> DataFrame:
     return generate(dealt, make, "a long, b long", rows=1 << 16)
 
 
-def _numbered(found: DataFrame) -> tuple[DataFrame, int]:
-    """(``found`` with node, a 64-bit hash of set_key that no two keys share, and the seed of that hash)."""
+def _numbered(all_sets: DataFrame) -> DataFrame:
+    """Adds node, a 64-bit hash of set_key that no two keys share; null for the empty set."""
     for seed in range(100):
-        numbered = found.withColumn("node", F.xxhash64("set_key", F.lit(seed)))
-        if numbered.groupBy("node").count().where("count > 1").isEmpty():
-            return numbered, seed
+        numbered = all_sets.withColumn("node", F.when(F.col("set_key").isNotNull(), F.xxhash64("set_key", F.lit(seed))))
+        keys = numbered.where("node IS NOT NULL").groupBy("node").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y"))
+        if keys.where("x <> y").isEmpty():
+            return numbered
     raise RuntimeError("no seed tells the keys apart")
 
 
@@ -541,14 +542,11 @@ def classes(documents: DataFrame, percent: int = PERCENT, **options) -> DataFram
     Null and empty texts have the empty set and are alone, as is a row with a null id unless rows with ids are linked to it. Repeated rows get equal results; extra
     columns are left out. ``documents`` should come straight from a table, so that a repeated task reads the same rows; write it first if it comes from a shuffle.
     """
-    all_sets = materialise(sets(documents, percent), "sets")
-    found = all_sets.where("anchors IS NOT NULL").groupBy("set_key").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.first("anchors").alias("anchors"))
-    found, seed = _numbered(materialise(found, "linkable"))
-    roots = links(found, percent, **options)
-    firsts = all_sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    known = found.select("set_key", "node").join(roots, "node").select(F.col("set_key").alias("k"), "root")
-    joined = materialise(firsts.join(known, F.col("set_key") == F.col("k"), "left").select("set_key", "first", "root"), "firsts")
+    all_sets = _numbered(materialise(sets(documents, percent), "sets"))
+    found = all_sets.where("anchors IS NOT NULL").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.first("anchors").alias("anchors"))
+    firsts = all_sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
+    joined = materialise(firsts.join(links(found, percent, **options), "node", "left").select("node", "first", "root"), "firsts")
     least = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    alone = F.concat(F.lit("s"), F.hex("set_key"))
-    ends = joined.join(least, "root", "left").select("set_key", F.coalesce("least", "first").alias("reached"), F.coalesce(F.concat(F.lit("c"), F.hex("root")), alone).alias("component"))
-    return all_sets.select("doc_id", "n_shingles", "set_key").join(ends, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "set_key", "component")
+    ends = joined.join(least, "root", "left").select("node", F.coalesce("least", "first").alias("reached"), F.coalesce("root", "node").alias("component"))
+    whole = all_sets.select("doc_id", "n_shingles", "set_key", "node").join(ends, "node", "left")
+    return whole.select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "set_key", "component")
