@@ -170,17 +170,36 @@ def test_warc_round_trip(spark, tmp_path):
     rows = {r["page_id"]: r for r in warc.report(archive).collect()}
     assert {k: (r["record_type"], r["refers_to"]) for k, r in rows.items()} == {0: ("response", None), 1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 0), 5: ("response", None), 6: ("revisit", 0), None: ("revisit", 0)}
     assert all(rows[i]["payload_digest"] == sha256((h or "").encode()).hexdigest() and rows[i]["payload_bytes"] == len((h or "").encode()) for i, h in enumerate(html))
-    for r in warc.records(archive).collect():
+    seen = {}
+    for r in warc.records(spark, f"{tmp_path}/a").collect():
         (fields, block), = warc.parse_records(bytes(r["record"]))
-        assert fields["WARC-Type"] == rows[r["page_id"]]["record_type"] and len(block) == int(fields["Content-Length"])
+        page = re.fullmatch(r"<urn:x-page:(null|[0-9]+):[0-9]+>", fields["WARC-Record-ID"])[1]
+        seen[page] = fields["WARC-Type"], fields.get("WARC-Refers-To"), block.split(b"\r\n\r\n", 1)[1], fields["WARC-Record-ID"]
+    assert {p: (t, body) for p, (t, _, body, _) in seen.items()} == {"null" if k is None else str(k): (r["record_type"], (html[k] or "").encode() if r["record_type"] == "response" else b"") for k, r in rows.items()}
+    assert all(ref == seen["0"][3] for t, ref, _, _ in seen.values() if t == "revisit") and len({i for *_, i in seen.values()}) == 8
     payloads = spark.read.parquet(f"{tmp_path}/a/payloads")
-    assert payloads.count() == 4
+    assert payloads.count() == 2
     payloads.withColumn("payload", F.lit("wrong").cast("binary")).write.parquet(f"{tmp_path}/b/payloads")
     spark.read.parquet(f"{tmp_path}/a/headers").write.parquet(f"{tmp_path}/b/headers")
     with pytest.raises(Exception, match="damaged payload"):
         warc.report(warc.read_archive(spark, f"{tmp_path}/b")).collect()
 
 
+def test_warc_repeated_ids_hot_payloads_and_empty_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 3)
+    body = "<p>" + "y" * 300
+    rows = [(7, "http://h/\r\nWARC-Type: revisit", body), (7, "u", body), (7, "u", body), (7, "u", "<p>" + "z" * 300), *[(i, None, body) for i in range(8, 20)], (30, "u", "<p>" + "z" * 300), *[(i, "u", None) for i in range(40, 60)]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archive(pages, f"{tmp_path}/a")
+    got = warc.read_archive(spark, f"{tmp_path}/a").collect()
+    assert len(got) == len(rows) and len({r["record_id"] for r in got}) == len(rows)
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["page_id"] < 40) == sorted([(7, "response", None)] * 4 + [(i, "revisit", 7) for i in [*range(8, 20), 30]])
+    assert sorted(bytes(r["payload"]).decode() for r in got if r["page_id"] == 7) == sorted(r[2] for r in rows[:4])
+    assert any(r["target"] == "http://h/%0D%0AWARC-Type: revisit" for r in got)
+    warc.write_archive(pages.limit(0), f"{tmp_path}/e")
+    assert warc.report(warc.read_archive(spark, f"{tmp_path}/e")).count() == 0
+
+
 def page(i, article):
     return f'<!DOCTYPE html><html><head><title>t{i}</title><style>p{{a:b}}</style><script>var x="</p>";</script></head><body><nav><ul><li><a href="/">n{i}</a></ul></nav><div class="cookie-notice">We use cookies {i}</div><div class="ad">buy {i}</div>{article}<aside class="sidebar">side {i}</aside><div id="comments"><p>nice {i}</p></div><form><input>go</form><footer>&copy; f{i}</footer></body></html>'
 
