@@ -174,15 +174,15 @@ SHINGLE = 5
 BLOCK_BYTES = 1 << 20
 
 
-class _WordHashes:
-    """64-bit hashes of all words of a text at once: sums of random values of the bytes (A-Z as a-z) times powers of an odd number, from prefix sums."""
+class WordHashes:
+    """64-bit hashes of all words of a text at once: sums of random values of the bytes (A-Z as a-z) times powers of an odd number, from prefix sums. Words end at the bytes ``space``."""
 
-    def __init__(self, factor: int = 0x9E3779B97F4A7C15):
+    def __init__(self, space: tuple | list = (9, 10, 11, 12, 13, 32), factor: int = 0x9E3779B97F4A7C15):
         rng = np.random.default_rng(20240229)
         self.value = rng.integers(1, 2**64, 256, np.uint64)
         self.value[65:91] = self.value[97:123]
         self.space = np.zeros(256, bool)
-        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.space[list(space)] = True
         self.value[self.space] = 0
         self.factor, self.inverse = np.uint64(factor), np.uint64(pow(factor, -1, 2**64))
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -192,6 +192,27 @@ class _WordHashes:
         self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, x, np.uint64))]) for x in (self.factor, self.inverse))
 
     def of(self, data: bytes) -> np.ndarray:
+        return self.placed(data)[2]
+
+    def placed(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hashes) of the words. Long texts are read in blocks, which end at the next end of a word."""
+        if len(data) <= BLOCK_BYTES:
+            return self._block(data)
+        found, at = [], 0
+        while at < len(data):
+            end = at + BLOCK_BYTES
+            while end < len(data):
+                ahead = np.flatnonzero(self.space[np.frombuffer(data, np.uint8, min(1 << 16, len(data) - end), end)])
+                if len(ahead):
+                    end += int(ahead[0])
+                    break
+                end += 1 << 16
+            starts, ends, hashed = self._block(data[at:end])
+            found.append((starts + at, ends + at, hashed))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         b = np.frombuffer(data, np.uint8)
         if len(b) >= len(self.up):
             self._powers(2 * len(b))
@@ -201,23 +222,15 @@ class _WordHashes:
         starts, ends = turns[::2], turns[1::2]
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(self.value[b] * self.up[: len(b)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        return starts, ends, mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
-_WORDS = _WordHashes()
+_WORDS = WordHashes()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z taken as a-z, in order."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    if len(data) <= BLOCK_BYTES:
-        return _WORDS.of(data)
-    found, at = [], 0
-    while at < len(data):
-        end = min((i for c in b" \t\n\r\x0b\x0c" if (i := data.find(bytes([c]), at + BLOCK_BYTES)) >= 0), default=len(data))
-        found.append(_WORDS.of(data[at:end]))
-        at = end
-    return np.concatenate(found)
+    return _WORDS.of((text or "").encode("utf-8", "surrogatepass"))
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:

@@ -1,72 +1,101 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams; token windows of the texts are scanned, hits verified, and spans or documents removed.
 
-The benchmark is broadcast in blocks of at most ``block_chars`` characters; each block's size is measured first. One block is the common case;
-more blocks scan the texts once each and their spans are united, so the broadcast never outgrows its bound.
+The benchmark is broadcast in blocks of at most ``block_chars`` characters, packed as arrays of about five bytes a character. One block is the common case. More blocks
+scan the texts once each: a block is fetched when its turn comes, and the result is written to the shared folder before the next, so that neither the driver nor a worker
+holds more than one, and the broadcast never outgrows its bound.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import derive
+from ._common import WordHashes, derive, materialise, mix
 
 SIZE = 8
 BLOCK_CHARS = 8_000_000
 #: A-Z become a-z; ASCII signs that are no digits or letters become spaces.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bits of the table that tells most windows of a text from those of the benchmark before the search.
+SIEVE = 22
+_WORDS = WordHashes([c for c in range(256) if NORMAL[c] == 32])
+
+
+def _normal(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL)
 
 
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z, as UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
+    return _normal(text).split()
+
+
+def _rolled(hashed: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` words."""
+    n = max(len(hashed) - width + 1, 0)
+    out = hashed[:n] + np.uint64(width)
+    for i in range(1, width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashed[i : i + n]
+    return mix(out)
 
 
 class WindowSet:
     """The windows of a block of items: ``size`` consecutive words, or all words of a shorter item. Hash hits are verified word by word."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = SIZE):
-        self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            width = min(size, len(ids))
-            for i in range(len(ids) - width + 1 if ids else 0):
-                self.windows[width][tuple(ids[i : i + width])].add(item)
-        self.windows = {n: dict(w) for n, w in self.windows.items()}
-        self.hashes = {n: np.unique(self._rolled(np.array(list(w), np.uint64).reshape(-1, n), n)) for n, w in self.windows.items()}
-
-    @staticmethod
-    def _rolled(rows: np.ndarray, width: int) -> np.ndarray:
-        out = np.zeros(len(rows), np.uint64)
-        for i in range(width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + rows[:, i]
-            out ^= out >> np.uint64(29)
-        return out
+        self.names = [item for item, _ in items]
+        texts, found, base = [], {}, 0
+        for number, (_, text) in enumerate(items):
+            data = _normal(text)
+            starts, ends, hashed = _WORDS.placed(data)
+            width = min(size, len(hashed))
+            if width:
+                n = len(hashed) - width + 1
+                found.setdefault(width, []).append((_rolled(hashed, width), starts[:n] + base, ends[width - 1 :] + base, np.full(n, number, np.int32)))
+            texts.append(data)
+            base += len(data)
+        self.text = b"".join(texts)
+        self.windows = {}
+        for width, parts in found.items():
+            hashed, starts, ends, owners = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashed, kind="stable")
+            sieve = np.zeros(1 << SIEVE, bool)
+            sieve[hashed >> np.uint64(64 - SIEVE)] = True
+            self.windows[width] = sieve, hashed[order], starts[order].astype(np.int64), ends[order].astype(np.int64), owners[order]
+        self.known: dict[tuple[int, int], dict[bytes, frozenset[str]]] = {}
+
+    def _owners(self, width: int, value: int) -> dict[bytes, frozenset[str]]:
+        """For the windows of this hash: their words, and the items that hold them."""
+        found = self.known.get((width, value))
+        if found is None:
+            _, hashed, starts, ends, owners = self.windows[width]
+            low, high = (int(np.searchsorted(hashed, np.uint64(value), side)) for side in ("left", "right"))
+            sets: dict[bytes, set[str]] = {}
+            for s, e, owner in zip(starts[low:high].tolist(), ends[low:high].tolist(), owners[low:high].tolist(), strict=True):
+                sets.setdefault(b" ".join(self.text[s:e].split()), set()).add(self.names[owner])
+            found = self.known[width, value] = {words: frozenset(names) for words, names in sets.items()}
+        return found
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """(number of words, united [start, end) word spans of the hits, items that occur)."""
-        get = self.vocabulary.get
-        words = words_of(text)
-        ids = np.array([get(w, 0) for w in words], np.uint64)
-        inside = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(ids > 0, out=inside[1:])
+        data = _normal(text)
+        starts, ends, words = _WORDS.placed(data)
         items: set[str] = set()
         spans: list[tuple[int, int]] = []
-        for width, known in self.windows.items():
-            if len(ids) < width:
-                continue
-            at = np.flatnonzero(inside[width:] - inside[:-width] == width)
+        for width, (sieve, hashed, *_) in self.windows.items():
+            rolled = _rolled(words, width)
+            at = np.flatnonzero(sieve[rolled >> np.uint64(64 - SIEVE)])
             if not len(at):
                 continue
-            rolled = self._rolled(np.lib.stride_tricks.sliding_window_view(ids, width)[at], width)
-            place = np.minimum(np.searchsorted(self.hashes[width], rolled), len(self.hashes[width]) - 1)
-            for i in at[self.hashes[width][place] == rolled].tolist():
-                owners = known.get(tuple(ids[i : i + width].tolist()))
+            rolled = rolled[at]
+            place = np.minimum(np.searchsorted(hashed, rolled), len(hashed) - 1)
+            hit = hashed[place] == rolled
+            for i, value in zip(at[hit].tolist(), rolled[hit].tolist(), strict=True):
+                owners = self._owners(width, value).get(b" ".join(data[starts[i] : ends[i + width - 1]].split()))
                 if owners:
                     items |= owners
                     spans.append((i, i + width))
@@ -83,17 +112,17 @@ def united(spans) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple[str, str | None]]]:
-    """Items in blocks of at most ``block_chars`` characters (an item longer than that is a block), fetched block by block. Items without words are left out."""
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
+    """Items in blocks of at most ``block_chars`` characters (an item longer than that is a block), each fetched when it is asked for. Items without id or text are left out."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    found, held, size = [], [], 0
+    held, size = [], 0
     for row in items.toLocalIterator():
         if held and size + len(row[1]) > block_chars:
-            found.append(held)
+            yield held
             held, size = [], 0
         held.append((row[0], row[1]))
         size += len(row[1])
-    return [*found, held] if held or not found else found
+    yield held
 
 
 SPANS = "n_words long, word_starts array<int>, word_ends array<int>, items array<string>"
@@ -107,11 +136,15 @@ def hits(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None = No
     spark = documents.sparkSession
     keep = documents.columns if keep is None else keep
     out = documents.withColumns({"n_words": F.lit(None).cast("long"), "word_starts": F.array().cast("array<int>"), "word_ends": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    first = True
     for block in blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast((block, size))
+        if not first:
+            out = materialise(out, "hits")
+        first = False
+        shared = spark.sparkContext.broadcast(WindowSet(block, size))
 
         def make(shared=shared):
-            windows = WindowSet(*shared.value)
+            windows = shared.value
 
             def run(texts, starts, ends, items):
                 columns = [[], [], [], []]
@@ -140,9 +173,13 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, least_items: int = 2, **options) -> DataFrame:
-    """Documents with ``least_items`` or more items go; from others the hit words go, with what stands between them. Other texts and all other columns stay as they are; n_chars, where there, follows the text."""
+    """Documents with ``least_items`` or more items go; from others the hit words go, with what stands between them. Other texts and all other columns stay as they are; n_chars, where there, follows the text.
+
+    Null and empty texts stay, repeated rows are treated alike, and columns named as those of ``hits`` keep their values.
+    """
     columns = documents.columns
-    found = hits(documents, benchmark, **options).where(F.size("items") < least_items)
+    sent = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)], "text")
+    found = hits(sent, benchmark, **options).where(F.size("items") < least_items)
 
     def make():
         def cut(text, starts, ends):
@@ -158,6 +195,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, least_items: int = 2, **op
         return lambda texts, starts, ends: [[cut(*x) for x in zip(texts, starts, ends, strict=True)]]
 
     changed = derive(found, make, ["text", "word_starts", "word_ends"], "text string")
+    values = {c: F.col(f"__c{i}") for i, c in enumerate(columns)}
+    values["text"] = F.col("text")
     if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("word_starts") > 0, F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return changed.select(*columns)
+        values["n_chars"] = F.when(F.size("word_starts") > 0, F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(values["n_chars"])
+    return changed.select(*[v.alias(c) for c, v in values.items()])
