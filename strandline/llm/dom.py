@@ -11,8 +11,6 @@ NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp svg".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements nested deeper than this are taken as siblings; their text stays.
-DEPTH = 200
 #: A start tag closes open elements with these names, up to the nearest of the second set.
 CLOSES = {"li": ("li", {"ul", "ol"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 SCOPE = frozenset("article aside body div dd details figure footer form header html li main nav section table td th blockquote".split())
@@ -26,65 +24,65 @@ class Node:
         self.key = f"{tag}.{name}" if name else tag
 
 
+class _Open:
+    """The elements that are open, and how many of each name, so that a stray end tag costs nothing however deep the tree."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.number = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.number[node.tag] = self.number.get(node.tag, 0) + 1
+
+    def close(self, names: list[str], limits: frozenset[str] | set[str] = frozenset()) -> bool:
+        """Ends the innermost element of one of the names, and all in it, unless one of ``limits`` stands between."""
+        if not any(self.number.get(n) for n in names):
+            return False
+        for i in range(len(self.nodes) - 1, 0, -1):
+            tag = self.nodes[i].tag
+            if tag in names:
+                for node in self.nodes[i:]:
+                    self.number[node.tag] -= 1
+                del self.nodes[i:]
+                return True
+            if tag in limits:
+                return False
+        return False
+
+
 def parse(source: str | None) -> Node:
-    """The tree under a root named ``#``; texts are str children. Unclosed and stray tags are repaired; an unclosed raw element runs to the end."""
+    """The tree under a root named ``#``; texts are str children. Unclosed and stray tags are repaired; an unclosed raw element runs to the end. Depth has no limit."""
     root = Node("#")
-    stack, at, text = [root], 0, source or ""
+    up, at, text = _Open(root), 0, source or ""
     while True:
         m = MARKUP.search(text, at)
         if m is None:
             if at < len(text):
-                stack[-1].children.append(text[at:])
+                up.nodes[-1].children.append(text[at:])
             return root
         if m.start() > at:
-            stack[-1].children.append(text[at : m.start()])
+            up.nodes[-1].children.append(text[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            _close(stack, tag)
+            up.close([tag])
             continue
         if tag in BLOCK:
-            _end_paragraph(stack)
+            up.close(["p"], SCOPE)
         if tag in CLOSES:
             names, limits = CLOSES[tag]
-            _close_open(stack, names.split(), limits)
+            while up.close(names.split(), limits) and tag == "tr":
+                pass
         node = Node(tag, " ".join(v.strip("\"'").lower() for _, v in NAME.findall(m[3])) if m[3] else "")
-        stack[-1].children.append(node)
+        up.nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(text, at)
             node.children.append(text[at : end.start() if end else len(text)])
             at = end.end() if end else len(text)
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
-
-
-def _end_paragraph(stack: list[Node]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == "p":
-            del stack[i:]
-            return
-        if stack[i].tag in SCOPE:
-            return
-
-
-def _close_open(stack: list[Node], names: list[str], limits: set[str]) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in limits:
-            return
-        if stack[i].tag in names:
-            del stack[i:]
-            if names == ["tr", "td", "th"]:
-                _close_open(stack, names, limits)
-            return
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
+        elif tag not in VOID and not m[3].endswith("/"):
+            up.push(node)
 
 
 SPACES = re.compile(r"\s+")

@@ -1,20 +1,23 @@
 """HTML extraction by wrapper induction.
 
-A page's blocks are lines of text at paths of tags and names. Lines that stand at the same path with the same text on nearly all distinct pages of a
-host, or of those of its pages that share a skeleton (the paths of the outer blocks), are template, in the content region as well as around it; lines
-that vary are content. All pages count, by a pre-aggregated shuffle of hashes. The region is a page's article and main elements, or where it has none,
-all but furniture: the lowest common ancestor of all varying text, which is cut nowhere but at template lines.
+A page's region is its article and main elements, or where it has none, all but furniture. Of the pages of a host that share a skeleton (the paths of
+the outer blocks) one is the base, and the block tree of each other page is aligned with it by simple tree matching (``align``). A line of text is constant
+if it stands at the same node of the base with the same text on nearly all distinct pages: such lines are template, in the content region as well as
+around it. Lines that vary are slots, which are content. All pages count, by a pre-aggregated shuffle of hashes; lines without a partner in the base
+count by their path, and so do the lines of all pages of a host, whatever their skeletons.
+
+Names of roles, classes and ids are needed where furniture varies from page to page (adverts, links to other articles, comments) and on hosts of few pages.
 """
 
 from __future__ import annotations
 
 import re
 
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import derive, materialise
+from .align import LINE, Tree, digest, line_keys
 from .dom import BLOCK, RAW, Node, decoded, parse, squeezed
 
 #: A line is template from so many distinct pages on, and from this share of them all.
@@ -25,103 +28,98 @@ MOST = 0.5
 OUTER = 3
 #: Elements that never hold article text.
 ROLES = frozenset("nav header footer aside form script style noscript template iframe head title button select option input textarea svg dialog menu".split())
-#: Names of classes, ids and roles that mark furniture, as whole words of the name.
-FURNITURE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer|header|masthead|cookie\w*|consent|notice\w*|gdpr|newsletter|subscribe|signup|popup|modal|comment\w*|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|widget\w*|toolbar|pager|pagination|login|search\w*|contentinfo|complementary|navigation|alert)(?:$|[\s_-])")
+#: Words of class, id and role names that mark furniture: always beside the second or third set, or beside the second alone.
+ALWAYS = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|cookie\w*|consent|gdpr|newsletter|subscribe|signup|popup|modal|comment\w*|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|toolbar|pager|pagination|login|complementary|contentinfo")
+ALONE = re.compile(r"header|footer|masthead|banner|side|notice\w*|widget\w*|search|searchbox|alert")
+BESIDE = frozenset("area bar block bottom box btn button buttons col column container count fixed form global google group head home icon inner inline item items left link links list main mobile desktop module outer page panel primary right row secondary section site slot sticky tags text title top unit us user wrap wrapper".split())
+CONTENT = frozenset("article articles content entries entry more news post posts stories story thread topics".split())
 MAIN = re.compile(r"^(?:article|main)(?:\.|$)")
 DIGITS = re.compile(r"[0-9]+")
 FRAME = BLOCK - frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li ol p pre table tbody td tfoot th thead tr ul".split())
 
 
+def _marked(name: str) -> bool:
+    """Whether a class, id or role in ``name`` marks furniture: a word of it does, and no other word says something else, as in "related-work"."""
+    for token in name.split():
+        parts = [p for p in re.split(r"[-_0-9]+", token) if p]
+        if any(map(ALWAYS.fullmatch, parts)):
+            if all(p in BESIDE or p in CONTENT or ALWAYS.fullmatch(p) or ALONE.fullmatch(p) for p in parts):
+                return True
+        elif any(map(ALONE.fullmatch, parts)) and all(p in BESIDE or ALONE.fullmatch(p) for p in parts):
+            return True
+    return False
+
+
 def is_furniture(node: Node, inside: bool = False) -> bool:
     """``inside``: below an article, whose own header is part of it unless its name says otherwise."""
     if node.tag in ROLES and not (inside and node.tag == "header"):
         return True
-    return bool(node.name) and node.tag not in ("html", "body") and bool(FURNITURE.search(node.name))
-
-
-def _elements(node: Node) -> list[Node]:
-    return [c for c in node.children if not isinstance(c, str)]
-
-
-def _walk(node: Node, path: str = "", furniture: bool = False, inside: bool = False):
-    for child in _elements(node):
-        below = f"{path}/{child.key}"
-        bad = furniture or is_furniture(child, inside)
-        yield child, below, bad
-        if child.tag not in RAW:
-            yield from _walk(child, below, bad, inside or bool(MAIN.match(child.key)))
-
-
-def _plain(path: str) -> str:
-    """The path without the numbers in names, which tell one page from another."""
-    return DIGITS.sub("#", path)
-
-
-def skeleton(walked: list) -> str:
-    """The paths of a page's outer blocks, in order of their names."""
-    return "\n".join(sorted({_plain(p) for n, p, _ in walked if p.count("/") <= OUTER and n.tag in FRAME}))
-
-
-def read(source: str | None) -> tuple[str, list[tuple[str, str]]]:
-    """The skeleton of a page and the lines (path, text) of its region: of its article and main elements, or where it has none, of all that is no furniture."""
-    tree = parse(source)
-    walked = list(_walk(tree))
-    paths = {id(n): p for n, p, _ in walked}
-    regions = _top([n for n, _, bad in walked if not bad and MAIN.match(n.key)], tree)
-    lines: list[tuple[str, str]] = []
-    line: list[str] = []
-
-    def flush(path: str) -> None:
+    return bool(node.name) and node.tag not in ("html", "body") and _marked(node.name)
+
+
+def _plain(key: str) -> str:
+    """The key without the numbers in names, which tell one page from another."""
+    return DIGITS.sub("#", key)
+
+
+def _outline(tree: Node) -> tuple[str, list[Node]]:
+    """The paths of a page's outer blocks, in order of their names, and its article and main elements that stand in no other and in no furniture."""
+    paths, regions = set(), []
+    todo = [(c, "", 1, False, False) for c in reversed(tree.children) if not isinstance(c, str)]
+    while todo:
+        node, above, depth, bad, inside = todo.pop()
+        path = f"{above}/{_plain(node.key)}" if depth <= OUTER else above
+        if depth <= OUTER and node.tag in FRAME:
+            paths.add(path)
+        bad = bad or is_furniture(node, inside)
+        if not bad and not inside and MAIN.match(node.key):
+            regions.append(node)
+            inside = True
+        if node.tag not in RAW and (depth < OUTER or not (bad or inside)):
+            todo += [(c, path, depth + 1, bad, inside) for c in reversed(node.children) if not isinstance(c, str)]
+    return "\n".join(sorted(paths)), regions
+
+
+def read(source: str | None) -> tuple[str, Tree, list[str]]:
+    """The skeleton of a page, the tree of the blocks and lines of its region, and the lines' texts."""
+    root = parse(source)
+    outline, regions = _outline(root)
+    tree, texts, line = Tree(), [], []
+    tree.add(0, 1)
+
+    def flush(depth: int) -> None:
         if line:
             text = squeezed(decoded("".join(line)))
             line.clear()
             if text:
-                lines.append((path, text))
-
-    def collect(node: Node, path: str, around: str, inside: bool) -> None:
-        block = node.tag in BLOCK
-        if block:
-            flush(around)
-            around = path
-        for child in node.children:
-            if isinstance(child, str):
-                line.append(child)
-            elif child.tag == "br":
+                tree.add(depth, LINE, digest(text))
+                texts.append(text)
+
+    inside = bool(regions)
+    for region in regions or [root]:
+        todo: list[tuple[Node | str | None, int]] = [(region, 1)]  # None: the end of a block
+        while todo:
+            node, depth = todo.pop()
+            if node is None:
+                flush(depth)
+            elif isinstance(node, str):
+                line.append(node)
+            elif node.tag == "br":
                 line.append(" ")
-            elif not is_furniture(child, inside) and child.tag not in RAW:
-                collect(child, f"{path}/{child.key}", around, inside)
-        if block:
-            flush(path)
+            elif node is region or not (is_furniture(node, inside) or node.tag in RAW):
+                if node.tag in BLOCK or node is region:
+                    flush(depth)
+                    tree.add(depth, digest(_plain(node.key)))
+                    depth += 1
+                    todo.append((None, depth))
+                todo += [(c, depth) for c in reversed(node.children)]
+    tree.link()
+    return outline, tree, texts
 
-    for region in regions or [tree]:
-        path = paths.get(id(region), "")
-        collect(region, path, path, bool(regions))
-        flush(path)
-    return skeleton(walked), lines
 
-
-def _hash(text: str) -> int:
-    """A signed 64-bit hash."""
-    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def _keyed(site: str, outline: str, lines: list[tuple[str, str]]) -> tuple[int, int, list[int]]:
-    """Hashes of the host, of the host with the skeleton, and of the lines."""
-    return _hash(site), _hash(f"{site}\n\n{outline}"), [_hash(f"{_plain(p)}\n{t}") for p, t in lines]
-
-
-def _top(nodes: list[Node], tree: Node) -> list[Node]:
-    """Those of the nodes that stand in none of the others."""
-    wanted, found = {id(n) for n in nodes}, []
-    stack = [tree]
-    while stack:
-        node = stack.pop()
-        if id(node) in wanted:
-            found.append(node)
-        else:
-            stack += _elements(node)[::-1]
-    return found
+def _keys(site: str, outline: str) -> tuple[int, int]:
+    """Hashes of the host, and of the host with the skeleton."""
+    return digest(site), digest(f"{site}\n\n{outline}")
 
 
 def host(url) -> F.Column:
@@ -130,9 +128,10 @@ def host(url) -> F.Column:
 
 
 def wrappers(pages: DataFrame, support: int = SUPPORT, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(key, template): for each host and skeleton that has any, the hashes of its template lines, from all distinct pages. Pages of equal lines are one page.
+    """(key, base, template): for each host and skeleton that has template lines, its base page's tree and the lines' keys, from all distinct pages. Pages of equal trees are one page.
 
-    Tasks drop equal pages and add up equal lines before each shuffle, so a host with a third of all pages costs no more than others.
+    The base is the page with the smallest hash. Tasks drop equal pages and add up equal lines before each shuffle, so a host with a third of all pages costs no
+    more than others. Null html counts for nothing; an empty table has no wrappers.
     """
     rows = pages.where(F.col("html").isNotNull()).select("html", host(F.col("url")).alias("host"))
 
@@ -140,32 +139,55 @@ def wrappers(pages: DataFrame, support: int = SUPPORT, share: float = SHARE, mos
         def run(sources, sites):
             out = []
             for source, site in zip(sources, sites, strict=True):
-                outline, lines = read(source)
-                at_host, at_key, found = _keyed(site, outline, lines)
-                sizes = {h: len(t) for h, (_, t) in zip(found, lines, strict=True)}
-                order = sorted(sizes)
-                out.append((at_host, at_key, _hash(" ".join(map(str, order))), order, [sizes[h] for h in order]))
+                outline, tree, texts = read(source)
+                out.append((*_keys(site, outline), tree.content[0], tree.pack() if texts else None, [len(t) for t in texts]))
             return list(zip(*out, strict=True)) if out else [[]] * 5
 
         return run
 
-    read_pages = derive(rows, make, ["html", "host"], "site long, key long, page long, lines array<long>, sizes array<int>", keep=[])
-    distinct = read_pages.groupBy("site", "key", "page").agg(F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
-    distinct = materialise(distinct.where(F.size("lines") > 0), "html-lines")
-    levels = distinct.withColumn("level", F.explode(F.array("site", "key")))
+    read_pages = derive(rows, make, ["html", "host"], "site long, key long, page long, tree binary, sizes array<int>", keep=[])
+    distinct = read_pages.where(F.col("tree").isNotNull()).groupBy("site", "key", "page").agg(F.first("tree").alias("tree"), F.first("sizes").alias("sizes"))
+    distinct = materialise(distinct, "html-pages")
+    base = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("page").alias("draw"), "tree")).alias("b")).where(F.col("n") >= support).select("key", F.col("b.tree").alias("base"))
+    base = materialise(base, "html-bases")
+
+    def aligned():
+        last: dict = {}
+
+        def run(trees, bases, sizes):
+            found = []
+            for data, known, size in zip(trees, bases, sizes, strict=True):
+                page = Tree.unpack(data)
+                if known is not None and known not in last:
+                    last.clear()
+                    last[known] = Tree.unpack(known)
+                # a line counts once a page
+                at_host = dict(zip(line_keys(None, page), size, strict=True))
+                at_key = dict(zip(line_keys(last[known], page), size, strict=True)) if known is not None else {}
+                found.append((list(at_host), list(at_host.values()), list(at_key), list(at_key.values())))
+            return list(zip(*found, strict=True))
+
+        return run
+
+    both = derive(distinct.join(base, "key", "left"), aligned, ["tree", "base", "sizes"], "host_lines array<long>, host_sizes array<int>, key_lines array<long>, key_sizes array<int>", keep=["site", "key"])
+    part = lambda level, name: F.struct(F.col(level).alias("level"), F.col(f"{name}_lines").alias("lines"), F.col(f"{name}_sizes").alias("sizes"))
+    levels = both.select(F.explode(F.array(part("site", "host"), part("key", "key"))).alias("x")).select("x.*").where(F.size("lines") > 0)
+    levels = materialise(levels, "html-lines")
     total = levels.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("mass"))
-    lines = levels.select("level", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).groupBy("level", F.col("x.lines").alias("line")).agg(F.count("*").alias("times"), F.max("x.sizes").alias("size"))
-    constant = lines.where(F.col("times") >= support).join(total.where(F.col("n") >= support), "level").where(F.col("times") >= share * F.col("n"))
+    seen = levels.select("level", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).groupBy("level", F.col("x.lines").alias("line")).agg(F.count("*").alias("times"), F.max("x.sizes").alias("size"))
+    constant = seen.where(F.col("times") >= support).join(total.where(F.col("n") >= support), "level").where(F.col("times") >= share * F.col("n"))
     template = constant.groupBy("level").agg(F.collect_list("line").alias("template"), F.sum("size").alias("size"), F.first("n").alias("n"), F.first("mass").alias("mass"))
     template = template.where(F.col("size") * F.col("n") <= most * F.col("mass")).select("level", "template")
     keys = distinct.select("site", "key").distinct().select("key", F.explode(F.array("site", "key")).alias("level"))
-    return keys.join(template, "level").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("template"))).alias("template"))
+    rules = keys.join(template, "level").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("template"))).alias("template"))
+    return rules.join(base, "key", "left").select("key", "base", "template")
 
 
 def main_text(pages: DataFrame, **options) -> DataFrame:
     """(page_id, url, text, n_chars) of every row. Null and empty html give the empty text; repeated rows equal texts; nothing is cut off.
 
-    Pages are read twice, once for the wrappers, which are written to the shared folder; what meets them in the join are lines of text, not pages.
+    Pages are read twice, once for the wrappers, which are written to the shared folder; what meets them in the join are trees and lines of text, not pages, and
+    only where there are wrappers at all.
     """
     rules = materialise(wrappers(pages, **options), "html-wrappers")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
@@ -174,14 +196,36 @@ def main_text(pages: DataFrame, **options) -> DataFrame:
         def run(sources, sites):
             out = []
             for source, site in zip(sources, sites, strict=True):
-                outline, lines = read(source)
-                _, key, found = _keyed(site, outline, lines)
-                out.append((key, found, [t for _, t in lines]))
+                outline, tree, texts = read(source)
+                out.append((_keys(site, outline)[1], tree.pack(), texts))
             return list(zip(*out, strict=True)) if out else [[]] * 3
 
         return run
 
-    joined = derive(rows, make, ["html", "host"], "key long, lines array<long>, texts array<string>", keep=["page_id", "url"]).join(rules, "key", "left")
-    kept = F.filter("texts", lambda _, i: ~F.array_contains(F.coalesce("template", F.array().cast("array<bigint>")), F.get("lines", i)))
-    whole = joined.select("page_id", "url", F.array_join(F.when(F.col("template").isNull(), F.col("texts")).otherwise(kept), " ").alias("text"))
+    lines = derive(rows, make, ["html", "host"], "key long, tree binary, texts array<string>", keep=["page_id", "url"])
+    if rules.isEmpty():
+        whole = lines.select("page_id", "url", F.array_join("texts", " ").alias("text"))
+        return whole.withColumn("n_chars", F.length("text").cast("long"))
+
+    def kept():
+        last: dict = {}
+
+        def run(trees, bases, templates):
+            out = []
+            for data, known, template in zip(trees, bases, templates, strict=True):
+                if template is None:
+                    out.append(None)
+                    continue
+                if known not in last:
+                    last.clear()
+                    last[known] = None if known is None else Tree.unpack(known)
+                page, constant = Tree.unpack(data), set(template)
+                out.append([k not in constant and h not in constant for k, h in zip(line_keys(last[known], page), line_keys(None, page), strict=True)])
+            return [out]
+
+        return run
+
+    marked = derive(lines.join(rules, "key", "left"), kept, ["tree", "base", "template"], "slots array<boolean>", keep=["page_id", "url", "texts"])
+    slots = F.when(F.col("slots").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda _, i: F.get("slots", i)))
+    whole = marked.select("page_id", "url", F.array_join(slots, " ").alias("text"))
     return whole.withColumn("n_chars", F.length("text").cast("long"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, fingerprint, jaccard, langid, pieces, pii, quality, toxicity, warc, wrapper
+from strandline.llm import align, decontaminate, fingerprint, jaccard, langid, pieces, pii, quality, toxicity, warc, wrapper
 from strandline.llm._common import held_out, shingle_hashes, word_hashes
 from strandline.llm.queries import tokenizer_path
 
@@ -247,6 +247,66 @@ def test_near_copies_of_a_text_are_no_template(spark):
     assert all(t == f"Copy {i} {prose(1, 50)}" for i, t in texts_of(spark, rows).items())
 
 
+def test_only_the_wrapper_tells_template_from_slots(spark):
+    """No article, no telling names or elements: without the other pages of the host everything is text."""
+
+    def plain(i):
+        link = "" if i % 4 else "<div><p>Seasonal greetings</p></div>"
+        return f"<html><body><div><div>Home | About | Contact</div>{link}<div><h1>Head {i}</h1>" + "".join(f"<p>{prose(100 * i + k, 12)}</p>" for k in range(1 + i % 5)) + "<p>Sign up for our weekly letter</p></div><div>All rights reserved</div></div></body></html>"
+
+    want = {i: " ".join([f"Head {i}", *[prose(100 * i + k, 12) for k in range(1 + i % 5)]]) for i in range(20)}
+    got = texts_of(spark, [(i, "http://plain.example/x", plain(i)) for i in range(20)])
+    assert all(got[i] == (want[i] if i % 4 else f"Seasonal greetings {want[i]}") for i in range(20))
+    alone = texts_of(spark, [(i, f"http://h{i}.example/x", plain(i)) for i in range(20)])
+    assert all(alone[i].startswith("Home | About | Contact") and alone[i].endswith("Sign up for our weekly letter All rights reserved") for i in range(20))
+
+
+def test_names_that_only_look_like_furniture(spark):
+    article = '<article><h1>T</h1><section class="search-algorithms"><p>Binary search</p></section><div class="related-work">Earlier papers</div><div class="article-header">Kicker</div><div class="related-posts">Other posts</div><div class="post-comments">First!</div><div class="ad-slot">Buy</div></article>'
+    got = texts_of(spark, [(1, "http://a.example/x", page(1, article))])
+    assert got[1] == "T Binary search Earlier papers Kicker"
+
+
+def test_deep_and_wide_pages(spark):
+    import time
+    import tracemalloc
+
+    deep = "<div>" * 205 + "<nav>MENU ITEM</nav><p>article text</p>" + "</div>" * 205
+    deeper = "<div>" * 20_000 + "<nav>MENU ITEM</nav><p>article text</p>" + "</div></span>" * 20_000
+    got = texts_of(spark, [(1, "http://a.example/x", deep), (2, "http://b.example/x", deeper)])
+    assert got == {1: "article text", 2: "article text"}
+    rng = random.Random(1)
+    wide = ["<article>" + "".join(f"<{rng.choice(['p', 'div', 'pre'])}>{k} {j}</p>" if rng.random() < 0.9 else "<p>same</p>" for k in range(20_000)) + "</article>" for j in range(2)]
+    tracemalloc.start()
+    began = time.time()
+    a, b = (wrapper.read(w)[1] for w in wide)
+    assert len(align.line_keys(a, b)) == 20_000
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
+    monkeypatch.setattr(align, "TABLE_BITS", 60)
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 18))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        pairs = align.common(a, b)
+        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_pages_nulls_repeats_and_empty_table(spark):
+    rows = [(1, "http://h.example/x", page(1, "<article><p>one</p></article>"))] * 3 + [(None, None, None), (2, None, page(2, "<article><p>two</p></article>"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("tree", F.lit(1)).withColumn("key", F.lit("k")).withColumn("texts", F.lit(None).cast("string"))
+    got = sorted((r["page_id"] or 0, r["text"]) for r in wrapper.main_text(frame).collect())
+    assert got == [(0, ""), (1, "one"), (1, "one"), (1, "one"), (2, "two")]
+    assert wrapper.main_text(frame.limit(0)).count() == 0
+
+
 def brute_windows(text, items):
     words = decontaminate.words_of(text)
     hit, found = set(), set()
