@@ -90,20 +90,20 @@ def _dealt(documents: DataFrame, n: int) -> DataFrame:
     """Shingle hashes by ``n`` ranges of the hash, one range a partition, packed by blobs of documents so that a shingle costs about 10 bytes however many ranges there are.
 
     Rows: (bucket, blob, shingles, counts, owners): sorted distinct 48-bit hashes of a blob's sets in one range, how many sets hold each, and the 16-bit numbers of
-    these sets in the blob; and one row a blob with its documents' ids, set sizes and set keys instead. In a blob equal sets send their shingles once, and a
+    these sets in the blob; and one row a blob with its documents' ids, text hashes, set sizes and set keys instead. In a blob equal sets send their shingles once, and a
     shingle of many sets is one entry. A blob is named by its content, so that a repeated task names it as before; rows of equal blobs are equal.
     """
     spark = documents.sparkSession
     small_batches(spark)
     keys = np.array(even_keys(spark, n), np.int32)
     edges = (np.arange(1, n, dtype=np.uint64) << np.uint64(48)) // np.uint64(n) if n > 1 else np.empty(0, np.uint64)
-    schema = parse("bucket int, blob binary, shingles binary, counts binary, owners binary, ids array<long>, sizes array<int>, set_keys array<binary>")
+    schema = parse("bucket int, blob binary, shingles binary, counts binary, owners binary, ids array<long>, marks array<long>, sizes array<int>, set_keys array<binary>")
     types = arrow_schema(schema)
 
-    def packed(ids: list, sizes: list, set_keys: list, sets: dict[bytes, tuple[int, np.ndarray]], task: int, number: int) -> pa.RecordBatch:
+    def packed(ids: list, marks: list, sizes: list, set_keys: list, sets: dict[bytes, tuple[int, np.ndarray]], task: int, number: int) -> pa.RecordBatch:
         import xxhash
 
-        blob = xxhash.xxh3_128_digest(repr((task, number, ids, sizes)).encode() + b"".join(k or b"" for k in set_keys))
+        blob = xxhash.xxh3_128_digest(repr((task, number, ids, marks)).encode() + b"".join(k or b"" for k in set_keys))
         hashed = np.concatenate([x for _, x in sets.values()]) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.array([i for i, _ in sets.values()], np.uint16), [len(x) for _, x in sets.values()]) if sets else np.empty(0, np.uint16)
         order = np.argsort(hashed, kind="stable")
@@ -113,19 +113,19 @@ def _dealt(documents: DataFrame, n: int) -> DataFrame:
         hashed, counts = hashed[first], np.diff(ends).astype("<u2")
         cuts = np.searchsorted(np.searchsorted(edges, hashed, side="right"), np.arange(n + 1))
         filled = np.flatnonzero(np.diff(cuts)).tolist()
-        rows = [(int(keys[i]), blob, _six(hashed[a:b]).tobytes(), counts[a:b].tobytes(), owner[ends[a] : ends[b]].tobytes(), None, None, None) for i in filled for a, b in [(int(cuts[i]), int(cuts[i + 1]))]]
-        rows.append((int(keys[blob[0] % n]), blob, None, None, None, ids, sizes, set_keys))
+        rows = [(int(keys[i]), blob, _six(hashed[a:b]).tobytes(), counts[a:b].tobytes(), owner[ends[a] : ends[b]].tobytes(), None, None, None, None) for i in filled for a, b in [(int(cuts[i]), int(cuts[i + 1]))]]
+        rows.append((int(keys[blob[0] % n]), blob, None, None, None, ids, marks, sizes, set_keys))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, number, held = TaskContext.get().partitionId(), 0, 0
-        ids, sizes, set_keys, sets = [], [], [], {}
+        ids, marks, sizes, set_keys, sets = [], [], [], [], {}
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc_id, text, mark in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     full = shingle_hashes(text)
                     key = _set_key(full)
                     if key is not None and key not in sets:
@@ -133,16 +133,17 @@ def _dealt(documents: DataFrame, n: int) -> DataFrame:
                         sets[key] = len(ids), short[_distinct(short)]
                         held += len(full)
                     ids.append(doc_id)
+                    marks.append(mark)
                     sizes.append(len(full))
                     set_keys.append(key)
                     if len(ids) >= BLOB_SETS or held >= BLOB_SHINGLES:
-                        yield packed(ids, sizes, set_keys, sets, task, number)
+                        yield packed(ids, marks, sizes, set_keys, sets, task, number)
                         number, held = number + 1, 0
-                        ids, sizes, set_keys, sets = [], [], [], {}
+                        ids, marks, sizes, set_keys, sets = [], [], [], [], {}
         if ids:
-            yield packed(ids, sizes, set_keys, sets, task, number)
+            yield packed(ids, marks, sizes, set_keys, sets, task, number)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).repartition(n, "bucket")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, schema).repartition(n, "bucket")
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
 
     A task holds the distinct hashes of each blob in its range, whose size ``_ranges`` sets by the measured bytes of text; a shingle of all sets is one entry a blob.
     """
-    schema = parse("blob binary, shingles binary, counts binary, owners binary, frequencies binary, ids array<long>, sizes array<int>, set_keys array<binary>")
+    schema = parse("blob binary, shingles binary, counts binary, owners binary, frequencies binary, ids array<long>, marks array<long>, sizes array<int>, set_keys array<binary>")
     types = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
             meta = batch.filter(batch.column("ids").is_valid())
             if meta.num_rows:
                 none = pa.nulls(meta.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([meta.column("blob"), none, none, none, none, *(meta.column(c).cast(types.field(c).type) for c in ("ids", "sizes", "set_keys"))], schema=types)
+                yield pa.RecordBatch.from_arrays([meta.column("blob"), none, none, none, none, *(meta.column(c).cast(types.field(c).type) for c in ("ids", "marks", "sizes", "set_keys"))], schema=types)
             rest = batch.filter(batch.column("ids").is_null())
             blobs += rest.column("blob").to_pylist()
             owners += rest.column("owners").to_pylist()
@@ -182,7 +183,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
             if wanted.any():
                 own, often = count[low:high], frequency[low:high][wanted]
                 who = np.frombuffer(owners[i], "<u2")[np.repeat(wanted, own)]
-                values = [blobs[i]], [_six(shingle[low:high][wanted]).tobytes()], [own[wanted].tobytes()], [who.tobytes()], [often.astype("<u4").tobytes()], [None], [None], [None]
+                values = [blobs[i]], [_six(shingle[low:high][wanted]).tobytes()], [own[wanted].tobytes()], [who.tobytes()], [often.astype("<u4").tobytes()], [None], [None], [None], [None]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(values, types, strict=True)], schema=types)
             owners[i] = None
 
@@ -190,7 +191,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
 
 
 def sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, set_key, shingles, anchors) of every document. Equal sets have equal keys, empty ones null.
+    """(doc_id, text_hash, n_shingles, set_key, shingles, anchors) of every document. Equal sets have equal keys, empty ones null.
 
     ``shingles`` (shared ones) and ``anchors`` (the rarest of these, whose regions the set joins; packed as 64-bit integers both) are null for a set that can't
     link to another: it has fewer shared shingles than a link needs, or its prefix of rare shingles has no shared one.
@@ -200,7 +201,7 @@ def sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def make():
         def finished(meta, parts):
-            ids, sizes, keys = meta
+            ids, marks, sizes, keys = meta
             own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             if parts:
                 counts = np.frombuffer(b"".join(p[1] for p in parts), "<u2")
@@ -212,23 +213,23 @@ def sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
                 owner, shingle = owner[order], shingle[order]
                 cuts = np.append(_distinct(owner), len(owner)).tolist()
                 own = {int(owner[a]): shingle[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
-            for i, (doc_id, n, key) in enumerate(zip(ids, sizes, keys, strict=True)):
+            for i, (doc_id, mark, n, key) in enumerate(zip(ids, marks, sizes, keys, strict=True)):
                 mine, data, anchors = own.get(i), None, None
                 if mine is not None and 100 * len(mine) >= percent * n:
                     take = (n - needed(n, percent) + 1) - (n - len(mine))
                     if take > 0:
                         data, anchors = np.sort(mine).astype("<i8").tobytes(), mine[:take].astype("<i8").tobytes()
-                yield doc_id, n, key, data, anchors
+                yield doc_id, mark, n, key, data, anchors
 
         def run(rows):
             at, meta, parts = None, None, []
-            for blob, *part, ids, sizes, keys in rows:
+            for blob, *part, ids, marks, sizes, keys in rows:
                 if blob != at and meta is not None:
                     yield from finished(meta, parts)
                     meta, parts = None, []
                 at = blob
                 if ids is not None:
-                    meta = ids, sizes, keys
+                    meta = ids, marks, sizes, keys
                 else:
                     parts.append(part)
             if meta is not None:
@@ -236,7 +237,7 @@ def sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         return run
 
-    return generate(ordered, make, "doc_id long, n_shingles long, set_key binary, shingles binary, anchors binary")
+    return generate(ordered, make, "doc_id long, text_hash long, n_shingles long, set_key binary, shingles binary, anchors binary")
 
 
 class _Forest:
@@ -536,8 +537,8 @@ def _numbered(all_sets: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame, percent: int = PERCENT, **options) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_key, component) of every row: the size of its set, and the smallest doc_id that links reach from it, itself included;
-    set_key tells its set (null: empty), component its class (that of an empty set is null).
+    """(doc_id, n_shingles, component_id, text_hash, component) of every row: the size of its set, and the smallest doc_id that links reach from it, itself included;
+    text_hash is xxhash64 of its text, component tells its class (null for an empty set).
 
     Null and empty texts have the empty set and are alone, as is a row with a null id unless rows with ids are linked to it. Repeated rows get equal results; extra
     columns are left out. ``documents`` should come straight from a table, so that a repeated task reads the same rows; write it first if it comes from a shuffle.
@@ -548,5 +549,25 @@ def classes(documents: DataFrame, percent: int = PERCENT, **options) -> DataFram
     joined = materialise(firsts.join(links(found, percent, **options), "node", "left").select("node", "first", "root"), "firsts")
     least = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
     ends = joined.join(least, "root", "left").select("node", F.coalesce("least", "first").alias("reached"), F.coalesce("root", "node").alias("component"))
-    whole = all_sets.select("doc_id", "n_shingles", "set_key", "node").join(ends, "node", "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "set_key", "component")
+    whole = all_sets.select("doc_id", "n_shingles", "text_hash", "node").join(ends, "node", "left")
+    return whole.select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "text_hash", "component")
+
+
+def one_of_each(documents: DataFrame, percent: int = PERCENT, **options) -> DataFrame:
+    """Of each class of linked documents the one with the smallest (doc_id, text_hash), nulls last; a document with the empty set is alone. All columns stay.
+
+    Rows of one doc_id and one text are one document: the first in the order of their JSON stays. Rows that share a doc_id but not the text are told apart.
+    """
+    found = materialise(classes(documents, percent, **options).select("doc_id", "text_hash", "component"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    linked = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("f"), F.count("*").alias("times")).select("f.doc_id", "f.text_hash", "times")
+    alone = found.where(F.col("component").isNull()).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+    kept = materialise(linked.unionByName(alone).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "times"), "kept")
+    places = [f"c{i}" for i in range(len(documents.columns))]
+    rows = documents.select(F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"), *[F.col(f"`{c}`").alias(p) for c, p in zip(documents.columns, places, strict=True)])
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash"))
+    single = rows.join(kept.where("times = 1"), same, "left_semi").select(*places)
+    several = rows.join(kept.where("times > 1").select("id", "hash"), same)  # a class of one row has no repeated rows
+    whole = F.struct(*places)
+    first = several.groupBy("id", "hash").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+    return single.unionAll(first).toDF(*documents.columns)

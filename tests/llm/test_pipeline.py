@@ -42,6 +42,18 @@ def test_stages(spark, folder):
     assert {r["doc_id"]: r["decoded_text"] for r in last} == {k: v or "" for k, v in seen["personal_data"].items()}
 
 
+def test_near_copies_with_clashing_ids(spark):
+    """Rows that share an id but not the text are told apart, and so are rows without an id; repeated rows and copies go; other columns stay, also those named as ours."""
+    a, b, c, d = (prose(i, 60) for i in range(4))
+    near = a + " tail"
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, near, "x"), (3, c, "x"), (None, c, "x"), (None, d, "x"), (None, d, "x"), (4, None, "x"), (5, None, "x"), (5, None, "x"), (6, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string").withColumn("text_hash", F.lit(1)).withColumn("__id", F.lit("k"))
+    out = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["component"]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, a, "x"), (1, b, "x"), (3, c, "x"), (None, d, "x"), (4, None, "x"), (5, None, "x"), (6, "", "x")], key=repr)
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).where(F.col("n_tokens") > 2).count() > 90
     for t in ("documents", "labels", "benchmark"):
