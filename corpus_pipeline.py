@@ -17,30 +17,31 @@ from strandline.llm.queries import table, tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject: score of 0.5 or more. It learns from rows of ``labels`` that are not held out, and scores in the pass that filters."""
+    """Documents that the quality classifier doesn't reject: score of 0.5 or more. It learns from rows of ``labels`` that are not held out, and scores in the pass that filters.
+
+    Null and empty texts get the intercept's score; repeated rows go or stay together; without labels all stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c, 3, 1))
     return quality.score(docs, model, "__score").where(F.col("__score") >= 0.5).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, once; rows without id stay."""
-    kept = jaccard.classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return known.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Of each class of near copies the document with the smallest doc_id, nulls last; an empty text is no copy of anything. Rows that share a doc_id but not the text count as different documents."""
+    return jaccard.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of two or more benchmark items go; from others the passages go."""
+    """Documents with passages of two or more benchmark items go; from others the passages go. Null and empty texts stay; an empty benchmark changes nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to their kinds, such as [EMAIL]."""
+    """Personal data give way to their kinds, such as [EMAIL]. Null and empty texts stay as they are."""
     return pii.redact(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, input_ids, decoded_text) of every document."""
+    """(doc_id, n_tokens, input_ids, decoded_text) of every document; a null text counts as empty."""
     return pieces.encode(docs.select("doc_id", "text"), tokenizer_path(), keep=["doc_id"], decoded=True)
 
 
