@@ -114,7 +114,7 @@ _add("a17_histogram", lambda s, d: stats.histogram(view(s, d, "ras_events"), 0,
 _add("a19_column_mean", lambda s, d: view(s, d, "ras_events").groupBy("col").agg(F.round(F.avg("value"), 6).alias("mean")), "SELECT col, round(avg(value),6) AS mean FROM ras_events GROUP BY 1")
 _add("a20_band_mean", lambda s, d: view(s, d, "ras_part").groupBy("row", "col").agg(F.round(F.avg("value"), 6).alias("mean")), "SELECT row, col, round(avg(value),6) AS mean FROM ras_part GROUP BY 1,2")
 _add("a9_box_mean", lambda s, d: stats.box_mean(view(s, d, "sig").select((F.col("vec_id") % 10).alias("key"), F.col("vec_id").alias("box"), "i", F.col("i").cast("double").alias("k"), F.col("v").alias("s"))).select("key", "i", F.round("s", 6).alias("s"), F.round("std", 6).alias("std")), "SELECT vec_id%10 AS key, i, round(avg(v),6) AS s, round(stddev_pop(v),6) AS std FROM sig GROUP BY 1,2")
-_add("a10_profile_mean", lambda s, d: stats.weighted_profile(view(s, d, "sig").select((F.col("vec_id") % 10).alias("key"), (1.0 / (1 + F.col("vec_id"))).alias("w"), "i", F.col("v").alias("s"))).select("key", "i", F.round("mean", 6).alias("mean")), "SELECT vec_id%10 AS key, i, round(sum(v/(1+vec_id))/sum(1.0::DOUBLE/(1+vec_id)),6) AS mean FROM sig GROUP BY 1,2")
+_add("a10_profile_mean", lambda s, d: stats.weighted_profile(view(s, d, "sig").select((F.col("vec_id") % 10).alias("key"), (1.0 / (1 + F.col("vec_id"))).alias("w"), "i", F.col("v").alias("s"))).select("key", "i", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")), "SELECT vec_id%10 AS key, i, round(sum(v/(1+vec_id))/sum(1.0::DOUBLE/(1+vec_id)),6) AS mean, round(stddev_pop(v),6) AS std FROM sig GROUP BY 1,2")
 _add("w2_crossings", lambda s, d: stats.crossings(view(s, d, "sig").withColumnRenamed("vec_id", "key"), 0.05), "SELECT key, i FROM (SELECT vec_id AS key, i, sign(v-0.05)-lag(sign(v-0.05)) OVER (PARTITION BY vec_id ORDER BY i) d FROM sig) WHERE d<>0")
 _add("w3_detect_peaks", lambda s, d: stats.detect_peaks(view(s, d, "sig").withColumnRenamed("vec_id", "key"), mph=0.1).select("key", "i", F.round("v", 6).alias("v")), "SELECT key, i, round(v,6) AS v FROM (SELECT vec_id AS key, i, v, lag(v) OVER w a, lead(v) OVER w b FROM sig WINDOW w AS (PARTITION BY vec_id ORDER BY i)) WHERE b-v<=0 AND v-a>0 AND v>=0.1")
 _add("w3_detect_peaks_spaced", lambda s, d: stats.detect_peaks(view(s, d, "sig").withColumnRenamed("vec_id", "key"), mpd=6))
@@ -133,7 +133,7 @@ _add("b5_discriminate", lambda s, d: bathymetry.discriminate(view(s, d, "wave"))
 INV = f"{KH}, q AS (SELECT *, CASE WHEN kh>3 THEN apriori_bathymetry WHEN kh<0.3 THEN NULL WHEN 2*pi()*wavelength/(9.80665*tp*tp)<1 THEN -atanh(least(0.9999999999,2*pi()*wavelength/(9.80665*tp*tp)))*wavelength/(2*pi()) END b FROM k) "
 _add("b6_direct_inversion", lambda s, d: bathymetry.direct_inversion(bathymetry.discriminate(view(s, d, "wave"))).select("point_id", F.round("bathymetry", 6).alias("bathymetry")), f"{INV} SELECT point_id, round(b,6) AS bathymetry FROM q")
 _add("b9_merge_points", lambda s, d: bathymetry.merge_points(bathymetry.discriminate(view(s, d, "wave"))).select("point_id", "part"), f"{KH} SELECT point_id, CAST(CASE WHEN kh>3 THEN 0 WHEN kh<0.3 THEN 2 ELSE 1 END AS INT) AS part FROM k")
-_add("b10_bathymetry_table", lambda s, d: bathymetry.table_lines(view(s, d, "wave").withColumn("bathymetry", F.col("apriori_bathymetry"))), "SELECT row_number() OVER (ORDER BY easting, northing)-1 AS idx, printf('%4d %16.3f %16.3f %10.3f %10.3f %10.3f %10.3f', row_number() OVER (ORDER BY easting, northing)-1, easting, northing, direction, tp, wavelength, apriori_bathymetry) AS line FROM wave")
+_add("b10_bathymetry_table", lambda s, d: bathymetry.table_lines(view(s, d, "wave").withColumn("bathymetry", F.col("apriori_bathymetry"))), ", w AS (SELECT easting, northing, arg_min(direction, point_id) direction, arg_min(tp, point_id) tp, arg_min(wavelength, point_id) wavelength, arg_min(apriori_bathymetry, point_id) b FROM wave GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (ORDER BY easting, northing) AS idx FROM w) SELECT idx, printf('%4d %16.3f %16.3f %10.3f %10.3f %10.3f %10.3f', idx, easting, northing, direction, tp, wavelength, b) AS line FROM n")
 _add("b11_x21_residuals", lambda s, d: bathymetry.residuals(bathymetry.direct_inversion(bathymetry.discriminate(view(s, d, "wave")))).select("point_id", F.round("residual", 5).alias("residual"), F.round("percent", 4).alias("percent"), F.round("arrow", 6).alias("arrow")), f"{INV} SELECT point_id, round(apriori_bathymetry-b,5) AS residual, round(100*(apriori_bathymetry-b)/apriori_bathymetry,4) AS percent, round(radians(180+(((450-direction)%360)+360)%360),6) AS arrow FROM q")
 _add("a12_period_stats", lambda s, d: bathymetry.period_stats(bathymetry.discriminate(view(s, d, "wave"))).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n"), f"{KH} SELECT round(avg(sqrt(2*pi()*wavelength/9.80665)),6) AS mean, round(stddev_pop(sqrt(2*pi()*wavelength/9.80665)),6) AS std, count(*) AS n FROM k WHERE kh>3")
 _add("a13_group_counts", lambda s, d: bathymetry.group_counts(bathymetry.discriminate(view(s, d, "wave"))), f"{KH} SELECT CASE WHEN kh>3 THEN 'deep' WHEN kh<0.3 THEN 'shallow' ELSE 'compute' END AS \"group\", count(*) AS n FROM k GROUP BY 1")
@@ -184,4 +184,9 @@ _add("sar_bathymetry_chain", lambda s, d: chain.run(view(s, d, "ras_events"), _p
 _add("i0_isodata", lambda s, d: classify.isodata(view(s, d, "ras_events"))[0].groupBy("cls").agg(F.count("*").alias("n")))
 _add("i0_isodata_classes", lambda s, d: classify.isodata(view(s, d, "ras_class"), classify.Isodata(k=5))[0].select("row", "col", "cls"))
 _add("a6_initial_centres", lambda s, d: view(s, d, "ras_events").agg(F.min("value").alias("l"), F.max("value").alias("h")).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.round(F.col("l") + i * (F.col("h") - F.col("l")) / 14, 6))).alias("i", "centre")), "SELECT CAST(i AS INT) AS i, round(l+i*(h-l)/14,6) AS centre FROM (SELECT min(value) l, max(value) h FROM ras_events), (SELECT unnest(range(15)) i)")
-_add("a1_a3_a5_cluster_stats", lambda s, d: view(s, d, "ras_events").withColumn("cls", classify.assign(F.col("value"), [10.0, 60.0, 150.0, 400.0])).groupBy("cls").agg(F.count("*").alias("n"), F.round(F.sum("value") / (F.count("*") + 1), 6).alias("centre")), ", k AS (SELECT value, CASE WHEN value<=35 THEN 0 WHEN value<=105 THEN 1 WHEN value<=275 THEN 2 ELSE 3 END AS cls FROM ras_events) SELECT CAST(cls AS INT) AS cls, count(*) AS n, round(sum(value)/(count(*)+1),6) AS centre FROM k GROUP BY 1")
+K4 = ", k AS (SELECT value, CASE WHEN value<=35 THEN 0 WHEN value<=105 THEN 1 WHEN value<=275 THEN 2 ELSE 3 END AS cls FROM ras_events)"
+_add("a1_a3_a5_cluster_stats", lambda s, d: classify.cluster_stats(classify.histogram(view(s, d, "ras_events"), None), [10.0, 60.0, 150.0, 400.0]).select("cls", "n", F.round("centre", 6).alias("centre"), F.round("distance", 6).alias("distance"), F.round("std", 6).alias("std")), K4 + " SELECT CAST(cls AS INT) AS cls, CAST(count(*) AS BIGINT) AS n, round(sum(value)/(count(*)+1),6) AS centre, round(sum(abs(value-c))/(count(*)+1),6) AS distance, round(sqrt(sum((value-c)^2)/count(*)),6) AS std FROM (SELECT *, ([10.0,60.0,150.0,400.0])[cls+1]::DOUBLE AS c FROM k) GROUP BY 1")
+_add("a2_kept_clusters", lambda s, d: classify.kept_clusters(classify.cluster_stats(classify.histogram(view(s, d, "ras_events"), None), [10.0, 60.0, 150.0, 400.0]), 50).select("cls", "n"), K4 + " SELECT CAST(cls AS INT) AS cls, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1 HAVING count(*) > 50")
+_add("a4_overall_distance", lambda s, d: classify.overall_distance(classify.cluster_stats(classify.histogram(view(s, d, "ras_events"), None), [10.0, 60.0, 150.0, 400.0])).select(F.round("distance", 6).alias("distance")), K4 + ", q AS (SELECT cls, count(*) n, sum(abs(value-([10.0,60.0,150.0,400.0])[cls+1]::DOUBLE))/(count(*)+1) d FROM k GROUP BY 1) SELECT round(sum(n*d)/sum(n),6) AS distance FROM q")
+
+from . import catalogue_more  # noqa: E402, F401  its queries join those above

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.waves import depth_estimate, depth_flag, wave_period
+from ..plans.lineage import materialise
 
 METHODS = ("direct", "spectrum", "wavelength")
 
@@ -48,20 +49,39 @@ def merge_points(points: DataFrame) -> DataFrame:
 
 def sort_points(points: DataFrame) -> DataFrame:
     """One point for each easting and northing (the first id), ordered by both."""
-    first = F.row_number().over(Window.partitionBy("easting", "northing").orderBy("point_id"))
-    return points.withColumn("r", first).where("r = 1").drop("r").orderBy("easting", "northing")
+    whole = F.struct(*points.columns)
+    return points.groupBy("easting", "northing").agg(F.min_by(whole, "point_id").alias("p")).select("p.*").orderBy("easting", "northing")
 
 
 def table_lines(points: DataFrame) -> DataFrame:
-    """(line) of the text table: index, easting, northing, direction, period, wavelength, depth. Indices follow a range sort: counts of the partitions before a row's partition and its place there."""
-    ordered = points.repartitionByRange("easting", "northing").sortWithinPartitions("easting", "northing")
-    placed = ordered.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"), "easting", "northing", "direction", "tp", "wavelength", "bathymetry")
-    placed = placed.withColumn("m", F.col("m") - F.col("p").cast("long") * 2**33)
+    """(idx, line) of the text table: index from 1, easting, northing, direction, period, wavelength, depth, one line a place, ordered by place.
+
+    Indices follow a range sort, which is written first, so that a row's place is the same wherever it is read: counts of the ranges before a row's range and its place there.
+    """
+    wanted = sort_points(points).select("easting", "northing", "direction", "tp", "wavelength", "bathymetry")
+    ordered = wanted.repartitionByRange("easting", "northing").sortWithinPartitions("easting", "northing")
+    placed = ordered.select(F.spark_partition_id().alias("p"), (F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * 2**33).alias("m"), "*")
+    placed = materialise(placed, "table-lines")
     before = placed.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = placed.join(F.broadcast(before.select("p", "before")), "p").withColumn("idx", F.col("m") + F.col("before"))  # a row a partition
+    numbered = placed.join(F.broadcast(before.select("p", "before")), "p").withColumn("idx", F.col("m") + F.col("before") + 1)  # a row a partition
     return numbered.select("idx", F.format_string("%4d %16.3f %16.3f %10.3f %10.3f %10.3f %10.3f", "idx", "easting", "northing", "direction", "tp", "wavelength", "bathymetry").alias("line"))
 
 
+def known_depth(points: DataFrame) -> DataFrame:
+    """Points with an a-priori depth."""
+    return points.where(F.col("apriori_bathymetry").isNotNull() & ~F.isnan("apriori_bathymetry"))
+
+
+def unknown_depth(points: DataFrame) -> DataFrame:
+    """Points without an a-priori depth."""
+    return points.where(F.col("apriori_bathymetry").isNull() | F.isnan("apriori_bathymetry"))
+
+
+def depth_anomalies(points: DataFrame) -> DataFrame:
+    """A-priori depths as they are: no anomaly is known that would be removed."""
+    return points
+
+
 def residuals(points: DataFrame) -> DataFrame:
     """Residual of a-priori and estimated depth, also in percent, and the arrow angle of the direction for maps."""
     from ..functions.waves import nautical

@@ -50,6 +50,31 @@ def _sums(h: DataFrame, label: list[float], around: list[float] | None = None) -
     return {r["cls"]: tuple(r)[1:] for r in rows.groupBy("cls").agg(*aggs).collect()}
 
 
+def cluster_stats(h: DataFrame, centres: list[float]) -> DataFrame:
+    """(cls, n, centre, distance, std) of each cluster that values of a histogram (value, n) are nearest to: the new centre is sum / (n + 1), the mean distance from the old one has the same
+    divisor, the deviation around it n."""
+    old = F.get(F.array(*[F.lit(float(c)) for c in centres]), F.col("cls"))
+    rows = h.withColumn("cls", assign(F.col("value"), centres)).withColumn("gap", F.col("value") - old)
+    n = F.sum("n")
+    return rows.groupBy("cls").agg(n.alias("n"), (F.sum(F.col("value") * F.col("n")) / (n + 1)).alias("centre"), (F.sum(F.abs("gap") * F.col("n")) / (n + 1)).alias("distance"), F.sqrt(F.sum(F.col("gap") * F.col("gap") * F.col("n")) / n).alias("std"))
+
+
+def kept_clusters(clusters: DataFrame, least: float) -> DataFrame:
+    """Clusters of more than ``least`` pixels."""
+    return clusters.where(F.col("n") > least)
+
+
+def overall_distance(clusters: DataFrame) -> DataFrame:
+    """(distance): the clusters' mean distances, weighted by their pixels; one row."""
+    return clusters.agg((F.sum(F.col("n") * F.col("distance")) / F.sum("n")).alias("distance"))
+
+
+def centre_pairs(clusters: DataFrame) -> DataFrame:
+    """(i, j, d): pairs of cluster centres, i > j, with their distance. Clusters are as few as the parameter k allows."""
+    a, b = clusters.select(F.col("cls").alias("i"), F.col("centre").alias("x")), clusters.select(F.col("cls").alias("j"), F.col("centre").alias("y"))
+    return a.join(F.broadcast(b), F.col("i") > F.col("j")).select("i", "j", F.abs(F.col("x") - F.col("y")).alias("d"))
+
+
 def isodata(raster: DataFrame, p: Isodata = Isodata()) -> tuple[DataFrame, list[float]]:
     """(raster with cls, centres of the last assignment). Nodata and null pixels are class -1.
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -137,6 +137,23 @@ def bilinear(points: DataFrame, raster: DataFrame, x0: float, dx: float, y0: flo
     return joined.groupBy("fid").agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value"))).alias("value"))
 
 
+def bicubic(points: DataFrame, raster: DataFrame, x0: float, dx: float, y0: float, dy: float) -> DataFrame:
+    """Value of the raster at points (fid, x, y) by cubic convolution (Keys, 1981) of the sixteen cell centres around; null where one is missing."""
+    fc, fr = (F.col("x") - x0) / dx - 0.5, (F.col("y") - y0) / dy - 0.5
+
+    def weights(t: Column) -> Column:
+        """Of the cells one before, at, one and two after a place ``t`` of the way from one to the next."""
+        near, far = lambda x: 1.5 * x * x * x - 2.5 * x * x + 1, lambda x: -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2
+        return F.array(far(1 + t), near(t), near(1 - t), far(2 - t))
+
+    placed = points.select("fid", F.floor(fr).alias("r"), F.floor(fc).alias("c"), (fr - F.floor(fr)).alias("v"), (fc - F.floor(fc)).alias("u"))
+    rows = placed.select("fid", "c", "u", "r", F.posexplode(weights(F.col("v"))).alias("i", "wr"))
+    cells = rows.select("fid", (F.col("r") + F.col("i") - 1).cast("int").alias("row"), "c", "wr", F.posexplode(weights(F.col("u"))).alias("j", "wc"))
+    spread = cells.select("fid", "row", (F.col("c") + F.col("j") - 1).cast("int").alias("col"), (F.col("wr") * F.col("wc")).alias("w")).where("w <> 0")
+    joined = spread.join(raster.select("row", "col", "value"), ["row", "col"], "left")
+    return joined.groupBy("fid").agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("w") * F.col("value"))).alias("value"))
+
+
 def rbf(targets: DataFrame, points: DataFrame, most: int = 2000) -> DataFrame:
     """Multiquadric radial basis interpolation of bounded control points at (fid, x, y); epsilon is the mean spacing of the points. Points of one position are merged to their mean before their number is checked."""
     distinct = points.groupBy("x", "y").agg(F.avg("z").alias("z"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import GeoTransform
+from ..plans.lineage import few
 
 CELL = ["row", "col"]
 #: Output types with their lowest and highest value.
@@ -132,9 +133,9 @@ def invert_mask(raster: DataFrame) -> DataFrame:
 
 
 def _with_stats(raster: DataFrame, **aggregates: Column) -> DataFrame:
-    """Adds statistics of the whole raster: a small aggregate and a broadcast of its few rows, no window over a raster."""
+    """Adds statistics of the whole raster: a small aggregate, whose rows are counted and broadcast if they are few, no window over a raster."""
     stats = raster.groupBy("raster_id", "band").agg(*[c.alias(n) for n, c in aggregates.items()])
-    return raster.join(stats, ["raster_id", "band"])
+    return raster.join(few(stats, "raster-stats"), ["raster_id", "band"])
 
 
 def scale_image(raster: DataFrame, bits: int) -> DataFrame:
@@ -152,9 +153,32 @@ def minmax_stretch(raster: DataFrame, factor: float = 255.0) -> DataFrame:
     return _with_stats(raster, low=F.min("value"), high=F.max("value")).withColumn("value", F.try_divide((F.col("value") - F.col("low")) * factor, span)).drop("low", "high")
 
 
+def percentiles(raster: DataFrame, low: float, high: float) -> DataFrame:
+    """(raster_id, band, low, high): two percentiles, interpolated, from running counts of the distinct values: those values stay whose ranks a percentile falls between."""
+    counts = raster.where(F.col("value").isNotNull()).groupBy("raster_id", "band", "value").agg(F.count("*").alias("n"))
+    # values are dealt by 1024 even steps of their range, so that no task sorts a whole raster
+    span = counts.groupBy("raster_id", "band").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.sum("n").alias("all"))
+    dealt = counts.join(few(span, "raster-spans"), ["raster_id", "band"])
+    dealt = dealt.withColumn("step", F.coalesce(F.floor(F.try_divide((F.col("value") - F.col("least")) * 1023, F.nullif(F.col("most") - F.col("least"), F.lit(0.0)))), F.lit(0)))
+    steps = dealt.groupBy("raster_id", "band", "step").agg(F.sum("n").alias("held"))
+    by = Window.partitionBy("raster_id", "band").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    before = steps.withColumn("before", F.coalesce(F.sum("held").over(by), F.lit(0))).drop("held")
+    inside = Window.partitionBy("raster_id", "band", "step").orderBy("value")
+    ranked = dealt.join(few(before, "raster-steps", 1_000_000), ["raster_id", "band", "step"]).withColumn("last", F.col("before") + F.sum("n").over(inside) - 1)
+
+    def at(share: float) -> Column:
+        place = F.lit(share) * (F.col("all") - 1)
+        of = lambda rank: F.min(F.when(F.col("last") >= rank, F.col("value")))
+        below, above = of(F.floor(place)), of(F.ceil(place))
+        part = F.first(place - F.floor(place))
+        return below + (above - below) * part
+
+    return ranked.groupBy("raster_id", "band").agg(at(low).alias("low"), at(high).alias("high"))
+
+
 def percentile_stretch(raster: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Rescales between two percentiles to 0..1, clamped."""
-    both = _with_stats(raster, low=F.percentile("value", F.lit(low)), high=F.percentile("value", F.lit(high)))
+    both = raster.join(few(percentiles(raster, low, high), "raster-stats"), ["raster_id", "band"])
     return both.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col("value") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))))).drop("low", "high")
 
 
@@ -166,7 +190,7 @@ def hist_equalize(raster: DataFrame, bins: int = 256) -> DataFrame:
     counts = binned.groupBy("raster_id", "band", "bin").agg(F.count("value").alias("n"))
     by = Window.partitionBy("raster_id", "band")
     cumulated = counts.select("raster_id", "band", "bin", (F.sum("n").over(by.orderBy("bin")) / F.sum("n").over(by)).alias("share"))
-    return binned.join(cumulated, ["raster_id", "band", "bin"]).withColumn("value", F.col("share")).drop("bin", "share")
+    return binned.join(few(cumulated, "raster-shares"), ["raster_id", "band", "bin"]).withColumn("value", F.col("share")).drop("bin", "share")
 
 
 def slant_correct(raster: DataFrame, edge: float = 0.15) -> DataFrame:
@@ -176,7 +200,7 @@ def slant_correct(raster: DataFrame, edge: float = 0.15) -> DataFrame:
     cut = F.floor(F.col("w") * edge)
     ends = means.join(width, ["raster_id", "band"]).groupBy("raster_id", "band").agg(F.avg(F.when(F.col("col") < cut, F.col("m"))).alias("s0"), F.avg(F.when(F.col("col") >= F.col("w") - cut, F.col("m"))).alias("s1"), F.first("w").alias("w"))
     ramp = F.col("s1") + (F.col("s0") - F.col("s1")) * F.try_divide(F.col("col").cast("double"), F.nullif(F.col("w") - 1, F.lit(0)).cast("double"))
-    return raster.join(ends, ["raster_id", "band"]).withColumn("value", F.col("value") * ramp).drop("s0", "s1", "w")
+    return raster.join(few(ends, "raster-ends"), ["raster_id", "band"]).withColumn("value", F.col("value") * ramp).drop("s0", "s1", "w")
 
 
 def apply_land_mask(raster: DataFrame, land: DataFrame) -> DataFrame:
@@ -198,7 +222,7 @@ def calibrate(raster: DataFrame, lut: DataFrame, outputs: tuple[str, ...] = ("si
     """dn^2 / A^2 for each wanted output, A from a table (col, sigma, beta, gamma) of bounded width; null where A is 0. Unknown outputs raise ValueError."""
     if set(outputs) - {"sigma", "beta", "gamma"}:
         raise ValueError("outputs are sigma, beta and gamma")
-    joined = raster.join(lut, "col")
+    joined = raster.join(few(lut, "calibration"), "col")
     cols = []
     for name in outputs:
         c = F.try_divide(F.col("value") * F.col("value"), F.nullif(F.col(name) * F.col(name), F.lit(0.0)))

@@ -97,3 +97,32 @@ def fft_boxes(raster: DataFrame, box_centres: DataFrame, half: int) -> DataFrame
     joined = raster.select("row", "col", "value", tile("row").alias("tr"), tile("col").alias("tc")).join(wanted, ["tr", "tc"])
     r, c = F.col("row") - F.col("r0") + half, F.col("col") - F.col("c0") + half
     return joined.where(r.between(0, t - 1) & c.between(0, t - 1)).select("point_id", "box_id", r.alias("r"), c.alias("c"), "value")
+
+
+def index_grid(raster: DataFrame, step: int, rows: int, cols: int, eastings: Column, northings: Column) -> DataFrame:
+    """The global grid with the easting and northing of each point, given as expressions of col and row."""
+    return global_grid(raster, step, rows, cols).select("row", "col", eastings.alias("easting"), northings.alias("northing"))
+
+
+def computation_grid(raster: DataFrame, metres: float, resolution: float, rows: int, cols: int, eastings: Column, northings: Column, corners: list[tuple[float, float]]) -> DataFrame:
+    """Grid points ``metres`` apart, in whole cells, that lie in a region of three corners or more, or in the rectangle of two."""
+    points = index_grid(raster, max(1, round(metres / resolution)), rows, cols, eastings, northings)
+    return within(points, polygon(corners), "easting", "northing")
+
+
+def apriori_bathymetry(bathymetry: DataFrame, points: DataFrame, margin: float, x0: float, dx: float, y0: float, dy: float, method: str = "linear") -> DataFrame:
+    """(fid, value): depths of a raster of cells (x0, dx, y0, dy), negative down, at points (fid, x, y), from the cells around the points with a margin: linear, cubic, nearest or multiquadric. Heights count as missing."""
+    from . import gridding
+
+    known = bathymetry.where(F.col("value") <= 0).select("row", "col", "value", (x0 + (F.col("col") + 0.5) * dx).alias("x"), (y0 + (F.col("row") + 0.5) * dy).alias("y"))
+    near = window_around(known, points, margin)
+    if method == "linear":
+        return gridding.bilinear(points, near, x0, dx, y0, dy)
+    if method == "cubic":
+        return gridding.bicubic(points, near, x0, dx, y0, dy)
+    if method == "nearest":
+        cell = points.select("fid", F.floor((F.col("y") - y0) / dy).cast("int").alias("row"), F.floor((F.col("x") - x0) / dx).cast("int").alias("col"))
+        return cell.join(near.select("row", "col", "value"), ["row", "col"], "left").select("fid", "value")
+    if method == "multiquadric":
+        return gridding.rbf(points, near.select("x", "y", F.col("value").alias("z")))
+    raise ValueError(f"unknown method {method!r}")

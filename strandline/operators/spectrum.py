@@ -200,6 +200,19 @@ def wavelength(k: Column, s: Column, exponent: int = 5, least_k: float = 0.01) -
     return F.try_divide(F.lit(2 * pi) * F.aggregate(pairs, F.lit(0.0), lambda a, p: a + w(p)), F.nullif(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["k"] * w(p)), F.lit(0.0)))
 
 
+def centroid_of(x: Column, y: Column, exponent: float, ratio: float) -> Column:
+    """Centroid of the part of an array above ``ratio`` of its peak, weighted by a power."""
+    pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: p["y"] > ratio * F.array_max(y))
+    w = lambda p: F.pow(p["y"], F.lit(exponent))
+    return F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * w(p)), F.nullif(F.aggregate(pairs, F.lit(0.0), lambda a, p: a + w(p)), F.lit(0.0)))
+
+
+def outside(row: Column, col: Column, n: int, resolution: float, wavelength: float) -> Column:
+    """Whether a cell of a centred n x n spectrum lies outside of the circle of the wavelength's wave number."""
+    y, x = row - n // 2, col - n // 2
+    return F.sqrt((x * x + y * y).cast("double")) > F.rint(F.lit((2 * pi / wavelength) / (2 * pi / (n * resolution))))
+
+
 def dft(series: DataFrame, n: int) -> DataFrame:
     """(key, f, p): power of the first n/2 + 1 frequencies of (key, i, v) without its mean, as a sum over samples: each sample is exploded to the frequencies, whose number is fixed."""
     from pyspark.sql.window import Window

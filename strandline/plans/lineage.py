@@ -6,19 +6,39 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder is set only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder of a local session. On a cluster it must be set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandline-"))
         path = spark.sparkContext.getCheckpointDir()
     return path
 
 
+def tables(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again, so a lost executor costs one read."""
-    path = f"{shared_dir(df.sparkSession)}/strandline/{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` as Parquet to the shared folder and reads it again, so a lost executor costs one read. ``clear`` deletes what was written."""
+    path = f"{tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. Results that were not read or written yet can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """``df``, written first, to be broadcast if it has at most ``most`` rows; else as it is, for a join by shuffle whose large side Spark may split."""
+    held = materialise(df, name)
+    return F.broadcast(held) if held.count() <= most else held

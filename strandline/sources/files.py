@@ -41,6 +41,43 @@ def scan_bathymetry_grid(spark: SparkSession, path: str) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("easting", "northing", F.when(F.col("mean") != 0, F.col("apriori_bathymetry")).alias("apriori_bathymetry"))  # one row
 
 
+def write_bathymetry(points: DataFrame, path: str) -> None:
+    """(easting, northing, apriori_bathymetry) as Parquet, which ``scan_bathymetry_grid`` reads."""
+    points.select("easting", "northing", "apriori_bathymetry").write.mode("overwrite").parquet(path)
+
+
+def write_spectra(spectra: DataFrame, path: str) -> None:
+    """Spectra of all points (key, k, s, std) in one table, dealt by point."""
+    spectra.select("key", "i", "k", "s", "std").repartition("key").sortWithinPartitions("key", "i").write.mode("overwrite").parquet(path)
+
+
+def write_provenance(spark: SparkSession, parameters: dict, path: str) -> None:
+    """The parameters of a run as one JSON row."""
+    import json
+
+    spark.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_vector(features: DataFrame, path: str) -> None:
+    """A layer of features as Parquet; an old one goes."""
+    features.write.mode("overwrite").parquet(path)
+
+
+def scan_vector(spark: SparkSession, path: str) -> DataFrame:
+    """A layer of features that ``write_vector`` wrote."""
+    return spark.read.parquet(path)
+
+
+def write_dataset(raster: DataFrame, path: str) -> None:
+    """One table a raster, named by the last part of the path, as hierarchical files name their datasets."""
+    raster.withColumn("dataset", F.lit(path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0])).write.mode("overwrite").partitionBy("dataset").parquet(path)
+
+
+def scan_stages(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """All tables below ``path`` whose folder begins with the prefix, as one."""
+    return spark.read.parquet(f"{path}/{prefix}*")
+
+
 def scan_raster(spark: SparkSession, path: str, datatype: str = "uint16") -> DataFrame:
     """Pixels from Parquet, truncated to uint16 (negatives wrap) or as float32; other types raise ValueError."""
     value = {"uint16": F.pmod(F.col("value").cast("long"), F.lit(65536)).cast("int"), "float32": F.col("value").cast("float")}
@@ -112,17 +149,22 @@ def encode_tiff(image: np.ndarray, gt: list[float] | None = None) -> bytes:
 
 def scan_tiff(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of TIFF files, decoded on the executors a row at a time; raster_id is the file's stem."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    return decode_rasters(spark.read.format("binaryFile").load(path).select(stem.alias("raster_id"), "content"))
+
+
+def decode_rasters(rasters: DataFrame) -> DataFrame:
+    """Pixels of TIFF files (raster_id, content), decoded on the executors a row at a time."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
+            for stem, content in zip(frame["raster_id"], frame["content"], strict=True):
                 image, _ = decode_tiff(content)
-                stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
                 cols = np.arange(image.shape[2], dtype=np.int32)
                 for b, band in enumerate(image):
                     for r, line in enumerate(band):
                         yield pd.DataFrame({"raster_id": stem, "band": np.int32(b + 1), "row": np.int32(r), "col": cols, "value": line.astype(float)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PIXELS)
+    return rasters.select("raster_id", "content").mapInPandas(run, PIXELS)
 
 
 def export_tiff(raster: DataFrame, rows: int, cols: int, bands: int = 1) -> DataFrame:
