@@ -1,12 +1,13 @@
 """Scattered points to grids: inverse distance, nearest neighbours, moving average, nearest, linear.
 
 Points and grid nodes meet in buckets of equal size, never all with all: a node looks at the points of buckets within its search radius. Methods
-that by definition weigh every point of the layer (radius None) aggregate over a broadcast of the points, whose number is checked first.
+that by definition weigh every point of the layer (radius None) send blocks of the grid's nodes to the points, and add up partial sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Points that may be broadcast where each node weighs all of them.
-MOST_POINTS = 2_000_000
+from ..plans.lineage import materialise
+
+#: Nodes that are broadcast at one time where every point counts at each.
+BLOCK = 250_000
 
 
 def grid(spark: SparkSession, nx: int, ny: int, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
@@ -25,12 +28,8 @@ def grid(spark: SparkSession, nx: int, ny: int, x0: float, y0: float, x1: float,
     return cell.select("row", "col", (F.lit(x0) + (F.col("col") + 0.5) * F.lit(dx)).alias("gx"), (F.lit(y0) + (F.col("row") + 0.5) * F.lit(dy)).alias("gy"))
 
 
-def _pairs(nodes: DataFrame, points: DataFrame, radius: float | None) -> DataFrame:
+def _pairs(nodes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     d2 = (F.col("gx") - F.col("x")) * (F.col("gx") - F.col("x")) + (F.col("gy") - F.col("y")) * (F.col("gy") - F.col("y"))
-    if radius is None:
-        if (n := points.count()) > MOST_POINTS:
-            raise ValueError(f"{n} points are too many to weigh all of them at each node; give a radius")
-        return nodes.crossJoin(F.broadcast(points.select("fid", "x", "y", "z"))).withColumn("d2", d2)
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     around = F.array(*[F.struct((cell("gx") + i).alias("bx"), (cell("gy") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = nodes.withColumn("b", F.explode(around)).select("row", "col", "gx", "gy", "b.bx", "b.by")
@@ -38,8 +37,50 @@ def _pairs(nodes: DataFrame, points: DataFrame, radius: float | None) -> DataFra
     return left.join(right, ["bx", "by"]).drop("bx", "by").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
+def _weighed(nodes: DataFrame, points: DataFrame, power: float) -> DataFrame:
+    """(row, col, hit_fid, hit, a, b): sums of weighted values and of weights of all points at each node, and the point at the node itself, if any.
+
+    Each task holds the nodes' coordinates and sums, BLOCK nodes at a time, and streams through its points, so neither their number nor that of the nodes is bounded.
+    """
+    schema = "row int, col int, hit_fid long, hit double, a double, b double"
+    parts = -(-nodes.count() // BLOCK) or 1
+    found = []
+    for part in range(parts):
+        some = nodes.where(F.pmod(F.hash("row", "col"), F.lit(parts)) == part).select("row", "col", "gx", "gy").toPandas()
+        shared = nodes.sparkSession.sparkContext.broadcast(some)
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            some = shared.value
+            gx, gy = some["gx"].to_numpy(), some["gy"].to_numpy()
+            a, b, fid, hit = np.zeros(len(some)), np.zeros(len(some)), np.full(len(some), np.iinfo(np.int64).max), np.full(len(some), np.nan)
+            step, any_ = max(1, 1_000_000 // max(len(some), 1)), False
+            for f in frames:
+                f = f.dropna()
+                for i in range(0, len(f), step):
+                    p = f[i : i + step]
+                    any_ = True
+                    d2 = (gx[:, None] - p["x"].to_numpy()) ** 2 + (gy[:, None] - p["y"].to_numpy()) ** 2
+                    at = d2 == 0
+                    w = np.where(at, 0.0, np.where(at, 1.0, d2) ** (-power / 2))
+                    a += w @ p["z"].to_numpy()
+                    b += w.sum(1)
+                    ids = np.where(at, p["fid"].to_numpy(), np.iinfo(np.int64).max)
+                    k = ids.argmin(1)
+                    first = ids[np.arange(len(some)), k]
+                    new = first < fid
+                    fid, hit = np.where(new, first, fid), np.where(new, p["z"].to_numpy()[k], hit)
+            if any_:
+                yield some[["row", "col"]].assign(hit_fid=np.where(np.isnan(hit), 0, fid), hit=hit, a=a, b=b)
+
+        partial = points.select("fid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")).mapInPandas(run, schema).withColumn("hit", F.nullif(F.col("hit"), F.lit(float("nan"))))
+        found.append(partial.groupBy("row", "col").agg(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("hit_fid"))).alias("hit"), F.sum("a").alias("a"), F.sum("b").alias("b")))
+    return reduce(DataFrame.unionAll, found)
+
+
 def invdist(nodes: DataFrame, points: DataFrame, power: float = 2.0, radius: float | None = None) -> DataFrame:
-    """Shepard's weighting; a point at the node itself gives its value (the smallest fid of several)."""
+    """Shepard's weighting; a point at the node itself gives its value (the smallest fid of several). Without radius every point counts at every node; points without x, y or z don't."""
+    if radius is None:
+        return _weighed(nodes, points, power).select("row", "col", F.coalesce("hit", F.try_divide("a", "b")).alias("value"))
     w = F.when(F.col("d2") > 0, F.pow("d2", F.lit(-power / 2)))
     g = _pairs(nodes, points, radius).groupBy("row", "col").agg(F.min_by("z", F.when(F.col("d2") == 0, F.col("fid"))).alias("hit"), F.sum(w * F.col("z")).alias("a"), F.sum(w).alias("b"))
     return g.select("row", "col", F.coalesce("hit", F.try_divide("a", "b")).alias("value"))
@@ -55,11 +96,28 @@ def invdist_nearest(nodes: DataFrame, points: DataFrame, k: int = 4, power: floa
 
 
 def average(nodes: DataFrame, points: DataFrame, radius: float | None = None) -> DataFrame:
+    """Mean of the points within the radius, without one of all points."""
+    if radius is None:
+        return nodes.select("row", "col").crossJoin(F.broadcast(points.agg(F.avg("z").alias("value"))))  # one row
     return _pairs(nodes, points, radius).groupBy("row", "col").agg(F.avg("z").alias("value"))
 
 
 def nearest(nodes: DataFrame, points: DataFrame, radius: float | None = None) -> DataFrame:
-    return _pairs(nodes, points, radius).groupBy("row", "col").agg(F.min_by("z", F.struct("d2", "fid")).alias("value"))
+    """Value of the nearest point, the smallest fid of several. Without radius the search begins near, by the points' density, and goes on four times as far for nodes without a point yet."""
+    wanted = lambda left, r: _pairs(left, points, r).groupBy("row", "col").agg(F.min_by("z", F.struct("d2", "fid")).alias("value"))
+    if radius is not None:
+        return wanted(nodes, radius)
+    n, *box = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    found, left = [], nodes
+    if not n:
+        return nodes.limit(0).select("row", "col", F.lit(None).cast("double").alias("value"))
+    radius = 2 * max(box[1] - box[0], box[3] - box[2], 1e-9) / n**0.5
+    while True:
+        found.append(materialise(wanted(left, radius), "nearest"))
+        left = materialise(left.join(found[-1], ["row", "col"], "left_anti"), "far-nodes")
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+        radius *= 4
 
 
 def triangulate(xy: np.ndarray) -> np.ndarray:

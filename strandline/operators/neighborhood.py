@@ -1,9 +1,7 @@
-"""Speckle filters and dilation. Windows shrink at the borders; local statistics come from the kernel's bounded array of neighbours, one shuffle for all."""
+"""Speckle filters and dilation. Windows shrink at the borders; filters run in NumPy over tiles with their surroundings, after one shuffle that sends a cell about once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,116 +30,153 @@ def dilate(raster: DataFrame, size: int = 5, iterations: int = 2) -> DataFrame:
     return raster
 
 
-def neighbours(raster: DataFrame, kx: int, ky: int) -> DataFrame:
-    """Adds nb: array of struct(v, dr, dc) of the kernel's valued cells, at most kx * ky."""
-    offsets = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in range(-(ky // 2), ky // 2 + 1) for c in range(-(kx // 2), kx // 2 + 1)])
-    spread = raster.withColumn("o", F.explode(offsets)).select("raster_id", "band", (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), F.struct(F.col("value").alias("v"), F.col("o.dr").alias("dr"), F.col("o.dc").alias("dc")).alias("x"))
-    centre = (F.col("x.dr") == 0) & (F.col("x.dc") == 0)
-    grouped = spread.groupBy("raster_id", "band", "row", "col").agg(F.sort_array(F.collect_list(F.when(F.col("x.v").isNotNull(), F.struct("x.dr", "x.dc", "x.v")))).alias("nb"), F.max(F.when(centre, F.col("x.v"))).alias("value"), F.max(centre).alias("there"))
-    return grouped.where("there").drop("there")
+#: Side of the tiles that a task filters at one time.
+TILE = 256
+
+
+def by_tiles(raster: DataFrame, reach_rows: int, reach_cols: int, kernel) -> DataFrame:
+    """Values of ``kernel`` for each cell: it takes the cells of a tile with its surroundings as an array (NaN where there is no value), and returns the tile's inner values.
+
+    A cell goes to its own tile and to those that it is within reach of, so the shuffle sends each cell about once. Null results are null cells.
+    """
+    def near(c: str, reach: int) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - reach) / TILE).cast("int"), F.floor((F.col(c) + reach) / TILE).cast("int")))
+
+    spread = raster.select("raster_id", "band", "row", "col", "value").withColumn("tr", near("row", reach_rows)).withColumn("tc", near("col", reach_cols))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        top, left = frame["tr"].iloc[0] * TILE, frame["tc"].iloc[0] * TILE
+        r, c = frame["row"].to_numpy() - top + reach_rows, frame["col"].to_numpy() - left + reach_cols
+        inner = (r >= reach_rows) & (r < TILE + reach_rows) & (c >= reach_cols) & (c < TILE + reach_cols)
+        if not inner.any():
+            return frame[:0][["raster_id", "band", "row", "col", "value"]]
+        grid = np.full((int(r[inner].max()) + 1 + reach_rows, int(c[inner].max()) + 1 + reach_cols), np.nan)
+        inside = (r < grid.shape[0]) & (c < grid.shape[1])
+        grid[r[inside], c[inside]] = frame["value"].to_numpy(float)[inside]
+        out = kernel(grid)[r[inner] - reach_rows, c[inner] - reach_cols]
+        return frame.loc[inner, ["raster_id", "band", "row", "col"]].assign(value=np.where(np.isfinite(out), out, np.nan))
+
+    found = spread.groupBy("raster_id", "band", "tr", "tc").applyInPandas(run, "raster_id string, band int, row int, col int, value double")
+    return found.withColumn("value", F.nullif(F.col("value"), F.lit(float("nan"))))
+
+
+def _window(grid: np.ndarray, ky: int, kx: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, values) of the kernel's cells relative to each inner cell: offsets, and one layer of the array for each."""
+    hy, hx = ky // 2, kx // 2
+    rows, cols = grid.shape[0] - 2 * hy, grid.shape[1] - 2 * hx
+    offsets = [(r, c) for r in range(-hy, hy + 1) for c in range(-hx, hx + 1)]
+    layers = np.stack([grid[hy + r : hy + r + rows, hx + c : hx + c + cols] for r, c in offsets])
+    return np.array([o[0] for o in offsets]), np.array([o[1] for o in offsets]), layers
+
+
+def _moments(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the layers' values."""
+    n = np.maximum(np.isfinite(v).sum(0), 1)
+    m = np.nansum(v, 0) / n
+    return m, np.nansum((v - m) ** 2, 0) / n
+
+
+def _ratio(a: np.ndarray, b: np.ndarray, none: float) -> np.ndarray:
+    return np.where(b != 0, a / np.where(b != 0, b, 1), none)
+
+
+def _median(r, c, v, p):
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # of cells without values around
+        return np.nanmedian(v, 0)
 
 
-def _sum(nb: Column, f) -> Column:
-    return F.aggregate(nb, F.lit(0.0), lambda s, x: s + f(x))
+def _lee(r, c, v, p):
+    x, (m, var) = v[len(v) // 2], _moments(v)
+    cv2 = _ratio(var, m * m, np.nan)
+    k = np.clip((1 - _ratio(np.full_like(m, 1 / p["enl"]), np.nan_to_num(cv2), np.nan)) / (1 + 1 / p["enl"]), 0, 1)
+    return m + np.nan_to_num(k) * (x - m)
 
 
-def _moments(df: DataFrame) -> DataFrame:
-    n = F.size("nb")
-    df = df.withColumn("m", _sum(F.col("nb"), lambda x: x["v"]) / n)
-    return df.withColumn("var", _sum(F.col("nb"), lambda x: (x["v"] - F.col("m")) * (x["v"] - F.col("m"))) / n)
+def _frost(r, c, v, p):
+    m, var = _moments(v)
+    spread = np.nan_to_num(_ratio(var, m * m, 0.0))
+    w = np.exp(-p["damping"] * spread[None] * np.sqrt(r * r + c * c)[:, None, None])
+    w = np.where(np.isfinite(v), w, 0)
+    return _ratio(np.nansum(w * np.nan_to_num(v), 0), w.sum(0), np.nan)
+
+
+def _lee_sigma(r, c, v, p):
+    x, (m, _), sigma = v[len(v) // 2], _moments(v), p["enl"] ** -0.5
+    near = (v >= x * (1 - 2 * sigma)) & (v <= x * (1 + 2 * sigma))
+    return np.where(near.any(0), np.where(near, v, 0).sum(0) / np.maximum(near.sum(0), 1), m)
+
+
+def _gamma_map(r, c, v, p):
+    x, (m, var), cu2, enl = v[len(v) // 2], _moments(v), 1 / p["enl"], p["enl"]
+    cv2 = _ratio(var, m * m, np.nan)
+    alpha = (1 + cu2) / np.where(cv2 != cu2, cv2 - cu2, np.nan)
+    b = alpha - enl - 1
+    with np.errstate(invalid="ignore"):
+        solved = (b * m + np.sqrt(b * b * m * m + 4 * alpha * enl * m * x)) / (2 * alpha)
+        return np.where(~(cv2 > cu2), m, np.where(cv2 >= 2 * cu2, x, solved))
+
+
+def _linear_estimate(x: np.ndarray, m: np.ndarray, var: np.ndarray, enl: float) -> np.ndarray:
+    signal = np.maximum(0, (var - m * m / enl) / (1 + 1 / enl))
+    return m + _ratio(signal, var, 0.0) * (x - m)
+
+
+def _refined_lee(r, c, v, p):
+    """Above the variance threshold only the half window along the strongest edge counts."""
+    x, (m, var) = v[len(v) // 2], _moments(v)
+    best = np.full_like(m, -1.0)
+    half_m, half_var = m, var
+    for a, b in ((0, 1), (1, 1), (1, 0), (1, -1)):
+        up, down = (_moments(np.where((side * (r * a + c * b) >= 0)[:, None, None], v, np.nan)) for side in (1, -1))
+        edge = np.abs(up[0] - down[0])
+        upper = np.abs(up[0] - x) <= np.abs(down[0] - x)
+        better = edge > best
+        best = np.where(better, edge, best)
+        half_m = np.where(better, np.where(upper, up[0], down[0]), half_m)
+        half_var = np.where(better, np.where(upper, up[1], down[1]), half_var)
+    strong = var > p["edge_threshold"]
+    return _linear_estimate(x, np.where(strong, half_m, m), np.where(strong, half_var, var), p["enl"])
+
+
+def _idan(r, c, v, p):
+    """Cells that connect to the centre and stay near the median of its surroundings grow a region, whose linear estimate counts."""
+    x = v[len(v) // 2]
+    seed = _median(r, c, v[(np.abs(r) <= 1) & (np.abs(c) <= 1)], p)
+    near = np.abs(v - seed) <= 2 / 3 * np.abs(seed) * p["enl"] ** -0.5
+    place = {o: i for i, o in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
+    beside = [[place[n] for n in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)) if n in place] for a, b in place]
+    grown = np.zeros(v.shape, bool)
+    grown[len(v) // 2] = True
+    while True:
+        wider = grown | (near & np.stack([np.logical_or.reduce(grown[b]) for b in beside]))
+        if (wider == grown).all():
+            break
+        grown = wider
+    m, var = _moments(np.where(grown, v, np.nan))
+    return _linear_estimate(x, m, var, p["enl"])
+
+
+KERNELS = {"Median": _median, "Frost": _frost, "Gamma Map": _gamma_map, "Lee": _lee, "Refined Lee": _refined_lee, "Lee Sigma": _lee_sigma, "IDAN": _idan}
 
 
 def speckle(raster: DataFrame, name: str = "None", kx: int = 3, ky: int = 3, damping: float = 2.0, edge_threshold: float = 5000.0, enl: float = 1.0) -> DataFrame:
-    """One of FILTERS by the published formulas (Lee 1980, 1981, 1983; Frost 1982; Lopes 1990; Vasile 2006). Unknown names raise ValueError."""
+    """One of FILTERS by the published formulas (Lee 1980, 1981, 1983; Frost 1982; Lopes 1990; Vasile 2006). Unknown names raise ValueError.
+
+    Refined Lee and IDAN look at 7 x 7 cells at least.
+    """
     if name not in FILTERS:
         raise ValueError(f"unknown filter {name!r}")
     if name == "None":
         return raster
     if name == "Boxcar":
         return boxcar(raster, kx, ky)
-    out = ["raster_id", "band", "row", "col", "value"]
     if name in ("Refined Lee", "IDAN"):
-        size = max(kx, ky, 7)
-        wide = neighbours(raster, size, size)
-        return wide.mapInPandas(_refined(edge_threshold, enl) if name == "Refined Lee" else _idan(enl), "raster_id string, band int, row int, col int, value double")
-    df = neighbours(raster, kx, ky)
-    if name == "Median":
-        s = F.array_sort(F.transform("nb", lambda x: x["v"]))
-        n = F.size(s)
-        return df.withColumn("value", (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2).select(*out)
-    df = _moments(df)
-    x, m, var = F.col("value"), F.col("m"), F.col("var")
-    cv2 = F.try_divide(var, F.nullif(m * m, F.lit(0.0)))
-    cu2 = 1.0 / enl
-    if name == "Lee":
-        k = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - F.try_divide(F.lit(cu2), F.nullif(cv2, F.lit(0.0)))) / (1 + cu2))), F.lit(0.0))
-        value = m + k * (x - m)
-    elif name == "Frost":
-        df = df.withColumn("cv2", F.coalesce(cv2, F.lit(0.0)))
-        weight = lambda p: F.exp(-damping * F.col("cv2") * F.sqrt((p["dr"] * p["dr"] + p["dc"] * p["dc"]).cast("double")))
-        value = _sum(F.col("nb"), lambda p: weight(p) * p["v"]) / _sum(F.col("nb"), weight)
-    elif name == "Lee Sigma":
-        sigma = enl**-0.5
-        near = F.filter("nb", lambda p: (p["v"] >= F.col("value") * (1 - 2 * sigma)) & (p["v"] <= F.col("value") * (1 + 2 * sigma)))
-        value = F.when(F.size(near) > 0, _sum(near, lambda p: p["v"]) / F.size(near)).otherwise(m)
-    else:  # Gamma Map
-        alpha = (1 + cu2) / F.nullif(cv2 - cu2, F.lit(0.0))
-        b = alpha - enl - 1
-        solved = (b * m + F.sqrt(b * b * m * m + 4 * alpha * enl * m * x)) / (2 * alpha)
-        value = F.when(F.coalesce(cv2 <= cu2, F.lit(True)), m).when(cv2 >= 2 * cu2, x).otherwise(solved)
-    return df.withColumn("value", value).select(*out)
-
-
-def _dense(nb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array([p["dr"] for p in nb]), np.array([p["dc"] for p in nb]), np.array([p["v"] for p in nb], float)
-
-
-def _refined(threshold: float, enl: float):
-    """Lee's refined filter: above the variance threshold only the half window along the strongest edge counts."""
-    directions = [(0, 1), (1, 1), (1, 0), (1, -1)]
-
-    def one(value: float, nb) -> float:
-        r, c, v = _dense(nb)
-        if v.var() > threshold:
-            halves = [(r * a + c * b >= 0, r * a + c * b <= 0) for a, b in directions]
-            up, down = max(halves, key=lambda h: abs(v[h[0]].mean() - v[h[1]].mean()))
-            v = v[min((up, down), key=lambda h: abs(v[h].mean() - value))]
-        m, var = v.mean(), v.var()
-        signal = max(0.0, (var - m * m / enl) / (1 + 1 / enl))
-        return float(m + (signal / var if var else 0.0) * (value - m))
-
-    return _each(one)
-
-
-def _idan(enl: float):
-    """Intensity-driven adaptive neighbourhood: cells that connect to the centre and stay near its median grow a region, whose linear estimate counts."""
-
-    def one(value: float, nb) -> float:
-        r, c, v = _dense(nb)
-        cells = {(a, b): x for a, b, x in zip(r.tolist(), c.tolist(), v.tolist(), strict=True)}
-        seed = float(np.median([x for (a, b), x in cells.items() if abs(a) <= 1 and abs(b) <= 1]))
-        bound, grown, todo = 2 / 3 * abs(seed) * enl**-0.5, {(0, 0)}, [(0, 0)]
-        while todo:
-            a, b = todo.pop()
-            for n in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)):
-                if n in cells and n not in grown and abs(cells[n] - seed) <= bound:
-                    grown.add(n)
-                    todo.append(n)
-        v = np.array([cells.get(k, value) for k in grown])
-        m, var = v.mean(), v.var()
-        signal = max(0.0, (var - m * m / enl) / (1 + 1 / enl))
-        return float(m + (signal / var if var else 0.0) * (value - m))
-
-    return _each(one)
-
-
-def _each(one):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            value = [one(x, nb) if x == x and x is not None else None for x, nb in zip(frame["value"], frame["nb"], strict=True)]
-            yield frame[["raster_id", "band", "row", "col"]].assign(value=pd.Series(value, index=frame.index, dtype=float))
-
-    return run
+        kx = ky = max(kx, ky, 7)
+    one, p = KERNELS[name], {"damping": damping, "edge_threshold": edge_threshold, "enl": enl}
+    return by_tiles(raster, ky // 2, kx // 2, lambda grid: one(*_window(grid, ky, kx), p))
 
 
 def clahe(raster: DataFrame, rows: int, cols: int, tile: int = 8, clip: float = 0.03, bins: int = 256) -> DataFrame:

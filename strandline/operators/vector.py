@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.lineage import materialise
+from ..plans.lineage import few, materialise
 from .graph import components
 
 
@@ -79,18 +83,66 @@ def polygon_to_polyline(features: DataFrame) -> DataFrame:
     return features.select("*", F.posexplode("geom").alias("ring", "line")).drop("geom")
 
 
+#: Side of the tiles that are labelled each by itself.
+TILE = 256
+
+
+def _labelled(values: np.ndarray) -> np.ndarray:
+    """Smallest flat index of the 4-connected equal cells, for each cell; cells that are NaN stay alone. Labels spread along rows and columns until nothing changes, each time as far as a run of equal cells goes."""
+    rows, cols = values.shape
+    label = np.arange(rows * cols).reshape(rows, cols)
+    across = np.zeros((rows, cols), bool)
+    across[:, 1:] = values[:, 1:] == values[:, :-1]
+    down = np.zeros((cols, rows), bool)
+    down[:, 1:] = (values[1:] == values[:-1]).T
+    runs = [np.flatnonzero(~same.ravel()) for same in (across, down)]
+    number = [np.cumsum(~same.ravel()) - 1 for same in (across, down)]
+    while True:
+        before = label
+        label = np.minimum.reduceat(label.ravel(), runs[0])[number[0]].reshape(rows, cols)
+        label = np.minimum.reduceat(label.T.ravel(), runs[1])[number[1]].reshape(cols, rows).T
+        label = np.minimum(label, label.ravel()[label])  # to the label of the label
+        if (label == before).all():
+            return label
+
+
+def _tile_labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (raster_id, band, row, col, value, cell) of one tile each: cell becomes the smallest cell number of the region within the tile."""
+    for f in frames:
+        r, c = f["row"].to_numpy(), f["col"].to_numpy()
+        grid = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
+        cells = np.zeros(grid.shape, np.int64)
+        at = r - r.min(), c - c.min()
+        grid[at], cells[at] = f["value"].to_numpy(), f["cell"].to_numpy()
+        yield f.assign(cell=cells.ravel()[_labelled(grid).ravel()].reshape(grid.shape)[at])
+
+
 def regions(raster: DataFrame) -> DataFrame:
-    """Adds region: the smallest cell number of the 4-connected cells of equal value. Null cells have no region."""
+    """Adds region: the smallest cell number (row * 2^31 + col) of the 4-connected cells of equal value. Null cells have no region.
+
+    Tiles are labelled each in one task; regions of different tiles are joined by the pairs of equal cells on both sides of the tiles' borders alone. Rasters of one
+    call are numbered, so that regions are told by (number, cell).
+    """
+    kept = raster.where(F.col("value").isNotNull()).select("raster_id", "band", "row", "col", "value")
     cell = F.col("row").cast("long") * 2**31 + F.col("col")
-    cells = materialise(raster.where(F.col("value").isNotNull()).select("raster_id", "band", "row", "col", "value", F.concat_ws("/", "raster_id", F.col("band").cast("string"), F.lpad(cell.cast("string"), 20, "0")).alias("cell")), "cells")
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    placed = kept.select("*", cell.alias("cell"), tile("row").alias("tr"), tile("col").alias("tc"))
+    schema = "raster_id string, band int, row int, col int, value double, cell long"
+    one = lambda f: next(_tile_labels(iter([f])))
+    inner = placed.groupBy("raster_id", "band", "tr", "tc").applyInPandas(lambda f: one(f[["raster_id", "band", "row", "col", "value", "cell"]]), schema)
+    inner = materialise(inner, "tiles")
     edges = []
     for by, order in (("row", "col"), ("col", "row")):
-        w = Window.partitionBy("raster_id", "band", by).orderBy(order)
-        lagged = cells.withColumns({"b": F.lag("cell").over(w), "v": F.lag("value").over(w), "o": F.lag(order).over(w)})
-        edges.append(lagged.where((F.col("v") == F.col("value")) & (F.col("o") == F.col(order) - 1)).select(F.col("cell").alias("a"), "b"))
-    roots = components(edges[0].unionAll(edges[1]))
-    joined = cells.join(roots, cells.cell == roots.node, "left")
-    return joined.select("raster_id", "band", "row", "col", "value", F.element_at(F.split(F.coalesce("root", "cell"), "/"), -1).cast("long").alias("region"))
+        here = F.col(order) % TILE
+        last = inner.where(here == TILE - 1).select("raster_id", "band", by, (F.col(order) + 1).alias(order), F.col("value").alias("v"), F.col("cell").alias("b"))
+        first = inner.where(here == 0).select("raster_id", "band", by, order, "value", F.col("cell").alias("a"))
+        edges.append(first.join(last, ["raster_id", "band", by, order]).where("value = v").select("raster_id", "band", "a", "b"))
+    key = lambda c: F.struct("raster_id", "band", F.col(c).alias("cell"))
+    met = edges[0].unionAll(edges[1])
+    roots = components(met.select(key("a").alias("a"), key("b").alias("b")))
+    told = roots.select("node.raster_id", "node.band", "node.cell", F.col("root.cell").alias("root"))
+    joined = inner.join(few(told, "tile-roots", 1_000_000), ["raster_id", "band", "cell"], "left")
+    return joined.select("raster_id", "band", "row", "col", "value", F.coalesce("root", "cell").alias("region"))
 
 
 def polygonize(raster: DataFrame, field: str = "DN") -> DataFrame:
