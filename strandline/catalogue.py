@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import waves
 from .model import GeoTransform, view, views_sql
-from .operators import bathymetry, classify, gridding, mapalgebra, neighborhood, roi, spectrum, stats, vector
+from .operators import bathymetry, classify, georef, gridding, mapalgebra, neighborhood, roi, spectrum, stats, vector
 from .plans import pipeline as chain
 from .sources import files
 
@@ -19,10 +19,16 @@ GT = GeoTransform(-50.0, 1.0, 80.0, -0.1)
 ROI = [(-100.0, -60.0), (120.0, -40.0), (90.0, 70.0), (-60.0, 50.0)]
 
 
-def _add(name: str, query: Callable, sql: str | None = None) -> None:
+def _add(name: str, query: Callable, sql: str | None = None, recursive: bool = False) -> None:
     QUERIES[name] = query
     if sql:
-        ORACLES[name] = f"{views_sql()} {sql}"
+        views = views_sql()
+        ORACLES[name] = f"{views.replace('WITH', 'WITH RECURSIVE', 1) if recursive else views} {sql}"
+
+
+def shape(raster: DataFrame) -> tuple[int, int]:
+    """Rows and columns of the one raster."""
+    return tuple(raster.agg(F.max("row") + 1, F.max("col") + 1).first())
 
 
 def _px(df: DataFrame, value=None, digits: int = 6) -> DataFrame:
@@ -83,9 +89,9 @@ _add("r35_calibrate", lambda s, d: mapalgebra.calibrate(view(s, d, "ras_events")
 _raster("r37_sigma0_db", mapalgebra.sigma0_db, "ras_events", "SELECT row, col, round(CASE WHEN value>0 THEN 10*log10(value) END,6) AS value FROM ras_events")
 _raster("r38_reproject_average", lambda a: mapalgebra.reproject_average(a, F.col("col") * 1.5 + 0.25, F.col("row") * 0.75, 4.0, 2.0), "ras_events", "SELECT CAST(floor(row*0.75/2) AS INT) AS row, CAST(floor((col*1.5+0.25)/4) AS INT) AS col, round(avg(value),6) AS value FROM ras_events WHERE value<>0 GROUP BY 1,2")
 _raster("r39_rescale", lambda a: mapalgebra.rescale(a, 4), "ras_orders", "SELECT CAST(floor(row/4) AS INT) AS row, CAST(floor(col/4) AS INT) AS col, round(avg(value),6) AS value FROM ras_orders GROUP BY 1,2")
-_raster("r40_resize_nearest", lambda a: mapalgebra.resize_nearest(a.where("row < 10"), 10, 100, 25, 40), "ras_class", "SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, value FROM (SELECT unnest(range(25)) r), (SELECT unnest(range(40)) c), ras_class k WHERE k.row=floor(r*10/25.0) AND k.col=floor(c*100/40.0)")
+_raster("r40_resize_nearest", lambda a: mapalgebra.resize_nearest(a, *shape(a), 25, 40), "ras_class", ", m AS (SELECT max(row)+1 AS h FROM ras_class) SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, value FROM m, (SELECT unnest(range(25)) r), (SELECT unnest(range(40)) c), ras_class k WHERE k.row=floor(r*h/25.0) AND k.col=floor(c*100/40.0)")
 _tworasters("r41_mosaic", lambda a, b: mapalgebra.mosaic(a, b.withColumn("value", F.col("value") - 3).where("row % 2 = 0")), "ras_events", "ras_class", "SELECT row, col, round(coalesce(nullif(c.value-3,0), e.value),6) AS value FROM ras_events e LEFT JOIN (SELECT * FROM ras_class WHERE row%2=0) c USING (row,col)")
-_raster("r30_pad", lambda a: mapalgebra.pad(a.where("row < 10 AND col < 10"), 16, 10, 10), "ras_events", ", k AS (SELECT * FROM ras_events WHERE row<10 AND col<10) SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(coalesce(k.value,(SELECT avg(value) FROM k)),6) AS value FROM (SELECT unnest(range(16)) r) CROSS JOIN (SELECT unnest(range(16)) c) LEFT JOIN k ON k.row=r-3 AND k.col=c-3")
+_raster("r30_pad", lambda a: mapalgebra.pad(a, max(shape(a)) + 6, *shape(a)), "ras_events", ", m AS (SELECT max(row)+1 AS h, greatest(max(row)+1,100)+6 AS n FROM ras_events), g AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, (n-h)//2 AS up, (n-100)//2 AS lft FROM m, (SELECT unnest(range(3000)) r), (SELECT unnest(range(3000)) c) WHERE r<n AND c<n) SELECT g.row, g.col, round(coalesce(k.value,(SELECT avg(value) FROM ras_events)),6) AS value FROM g LEFT JOIN ras_events k ON k.row=g.row-up AND k.col=g.col-lft")
 _add("u1_stack", lambda s, d: _bpx(mapalgebra.stack([(view(s, d, "ras_events"), 1), (view(s, d, "ras_part"), 2)])), "SELECT band, row, col, round(value,6) AS value FROM ras_events UNION ALL SELECT CAST(band+1 AS INT), row, col, round(value,6) FROM ras_part")
 
 NB = ", nb AS (SELECT a.row, a.col, any_value(a.value) x, avg(b.value) m, var_pop(b.value) v, median(b.value) md FROM ras_events a JOIN ras_events b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 GROUP BY a.row, a.col) "
@@ -99,20 +105,20 @@ _raster("f7_refined_lee", lambda a: neighborhood.speckle(a, "Refined Lee"), "ras
 _raster("f8_lee_sigma", lambda a: neighborhood.speckle(a, "Lee Sigma", enl=16.0), "ras_events", "SELECT a.row, a.col, round(avg(b.value),6) AS value FROM ras_events a JOIN ras_events b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND b.value BETWEEN a.value*0.5 AND a.value*1.5 GROUP BY a.row, a.col")
 _raster("f9_idan", lambda a: neighborhood.speckle(a, "IDAN"), "ras_events", None)
 
-_add("s2_raster_info", lambda s, d: view(s, d, "ras_part").groupBy("raster_id").agg((F.max("row") + 1).cast("long").alias("nrows"), (F.max("col") + 1).cast("long").alias("ncols"), F.countDistinct("band").alias("nbands")), "SELECT raster_id, CAST(max(row)+1 AS BIGINT) AS nrows, CAST(max(col)+1 AS BIGINT) AS ncols, count(DISTINCT band) AS nbands FROM ras_part GROUP BY 1")
-_add("s1_scan_raster_uint16", lambda s, d: view(s, d, "ras_events").select("row", "col", F.pmod((F.col("value") - 100).cast("long"), F.lit(65536)).alias("value")), "SELECT row, col, ((CAST(trunc(value-100) AS BIGINT)%65536)+65536)%65536 AS value FROM ras_events")
-_add("s4_raster_corners", lambda s, d: view(s, d, "ras_orders").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")).select(F.lit(GT.x0).alias("west"), F.round(GT.x0 + F.col("w") * GT.dx, 6).alias("east"), F.lit(GT.y0).alias("north"), F.round(GT.y0 + F.col("h") * GT.dy, 6).alias("south")), "SELECT CAST(-50 AS DOUBLE) AS west, round(-50+(max(col)+1)*1.0::DOUBLE,6) AS east, CAST(80 AS DOUBLE) AS north, round(80-(max(row)+1)*0.1::DOUBLE,6) AS south FROM ras_orders")
+_add("s2_raster_info", lambda s, d: georef.meta(view(s, d, "ras_part"), GT).select("raster_id", F.col("rows").cast("long").alias("nrows"), F.col("cols").cast("long").alias("ncols"), F.col("bands").cast("long").alias("nbands")), "SELECT raster_id, CAST(max(row)+1 AS BIGINT) AS nrows, CAST(max(col)+1 AS BIGINT) AS ncols, count(DISTINCT band) AS nbands FROM ras_part GROUP BY 1")
+_add("s1_scan_raster_uint16", lambda s, d: files.typed(view(s, d, "ras_events").withColumn("value", F.col("value") - 100), "uint16").select("row", "col", F.col("value").cast("long").alias("value")), "SELECT row, col, ((CAST(trunc(value-100) AS BIGINT)%65536)+65536)%65536 AS value FROM ras_events")
+_add("s4_raster_corners", lambda s, d: georef.corners(georef.meta(view(s, d, "ras_orders"), GT)).select(*[F.round(c, 6).alias(c) for c in ("west", "east", "north", "south")]), "SELECT CAST(-50 AS DOUBLE) AS west, round(-50+(max(col)+1)*1.0::DOUBLE,6) AS east, CAST(80 AS DOUBLE) AS north, round(80-(max(row)+1)*0.1::DOUBLE,6) AS south FROM ras_orders")
 _add("s20_random_raster", lambda s, d: files.random_raster(s, 64, 48, 2).agg(F.count("*").alias("n"), F.countDistinct("row", "col").alias("cells"), (F.min("value") >= 0).alias("low"), (F.max("value") < 255).alias("high")), "SELECT CAST(6144 AS BIGINT) AS n, CAST(3072 AS BIGINT) AS cells, true AS low, true AS high")
-_add("s21_scan_topography", lambda s, d: _px(view(s, d, "ras_events").withColumn("value", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))), E_.format(v="coalesce(value,0)"))
-_add("s22_scan_bathymetry", lambda s, d: _px(view(s, d, "ras_events").withColumn("value", F.col("value") - 50).withColumn("value", F.when(-F.col("value") <= 0, -F.col("value")))), E_.format(v="CASE WHEN -(value-50)<=0 THEN -(value-50) END"))
+_add("s21_scan_topography", lambda s, d: _px(files.topography(view(s, d, "ras_events").withColumn("value", F.when(F.col("value") > 400, float("nan")).when(F.col("value") > 2, F.col("value"))))), E_.format(v="CASE WHEN value<=400 AND value>2 THEN value ELSE 0 END"))
+_add("s22_scan_bathymetry", lambda s, d: _px(files.depths(view(s, d, "ras_events").withColumn("value", F.col("value") - 50))), E_.format(v="CASE WHEN -(value-50)<=0 THEN -(value-50) END"))
 
 _add("a7_radial_profile", lambda s, d: stats.radial_profile(view(s, d, "ras_events"), 50, 50).select("r", F.round("mean", 6).alias("mean"), "n"), "SELECT CAST(round_even(sqrt((col-50)^2+(row-50)^2),0) AS INT) AS r, round(avg(value),6) AS mean, count(*) AS n FROM ras_events GROUP BY 1")
 _add("a8_directional_hist", lambda s, d: stats.directional_histogram(view(s, d, "ras_events"), 50.5, 50.5).select("theta", F.round("mean", 6).alias("mean")), "SELECT CAST(round_even(((degrees(atan2(row-50.5,col-50.5))%360)+360)%360,0) AS INT) AS theta, round(sum(value)/nullif(count(*) FILTER (value<>0),0),6) AS mean FROM ras_events GROUP BY 1")
 _add("a14_block_mean", lambda s, d: stats.block_mean(view(s, d, "sig").withColumnRenamed("vec_id", "key")).select("key", "block", F.round("mean", 6).alias("mean")), "SELECT vec_id AS key, CAST(floor(i/6) AS INT) AS block, round(sum(v)/6,6) AS mean FROM sig GROUP BY 1,2 HAVING count(*)=6")
 _add("a15_a18_error_metrics", lambda s, d: stats.error_metrics(view(s, d, "ras_part1").join(view(s, d, "ras_part2").select("row", "col", F.col("value").alias("reference")), ["row", "col"]).select(F.col("value").alias("signal"), "reference")).select(*[F.round(c, 6).alias(c) for c in ("rmse", "bias", "mae", "corr")]), "SELECT round(sqrt(avg((a.value-b.value)^2)),6) AS rmse, round(avg(a.value-b.value),6) AS bias, round(avg(abs(a.value-b.value)),6) AS mae, round(corr(a.value,b.value),6) AS corr FROM ras_part1 a JOIN ras_part2 b USING (row,col)")
 _add("a17_histogram", lambda s, d: stats.histogram(view(s, d, "ras_events"), 0, 500, 50).select("bin", "n"), "SELECT CAST(least(49,floor(value*50/500)) AS INT) AS bin, count(*) AS n FROM ras_events WHERE value BETWEEN 0 AND 500 GROUP BY 1")
-_add("a19_column_mean", lambda s, d: view(s, d, "ras_events").groupBy("col").agg(F.round(F.avg("value"), 6).alias("mean")), "SELECT col, round(avg(value),6) AS mean FROM ras_events GROUP BY 1")
-_add("a20_band_mean", lambda s, d: view(s, d, "ras_part").groupBy("row", "col").agg(F.round(F.avg("value"), 6).alias("mean")), "SELECT row, col, round(avg(value),6) AS mean FROM ras_part GROUP BY 1,2")
+_add("a19_column_mean", lambda s, d: stats.column_mean(view(s, d, "ras_events")).select("col", F.round("mean", 6).alias("mean")), "SELECT col, round(avg(value),6) AS mean FROM ras_events GROUP BY 1")
+_add("a20_band_mean", lambda s, d: stats.band_mean(view(s, d, "ras_part")).select("row", "col", F.round("mean", 6).alias("mean")), "SELECT row, col, round(avg(value),6) AS mean FROM ras_part GROUP BY 1,2")
 _add("a9_box_mean", lambda s, d: stats.box_mean(view(s, d, "sig").select((F.col("vec_id") % 10).alias("key"), F.col("vec_id").alias("box"), "i", F.col("i").cast("double").alias("k"), F.col("v").alias("s"))).select("key", "i", F.round("s", 6).alias("s"), F.round("std", 6).alias("std")), "SELECT vec_id%10 AS key, i, round(avg(v),6) AS s, round(stddev_pop(v),6) AS std FROM sig GROUP BY 1,2")
 _add("a10_profile_mean", lambda s, d: stats.weighted_profile(view(s, d, "sig").select((F.col("vec_id") % 10).alias("key"), (1.0 / (1 + F.col("vec_id"))).alias("w"), "i", F.col("v").alias("s"))).select("key", "i", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")), "SELECT vec_id%10 AS key, i, round(sum(v/(1+vec_id))/sum(1.0::DOUBLE/(1+vec_id)),6) AS mean, round(stddev_pop(v),6) AS std FROM sig GROUP BY 1,2")
 _add("w2_crossings", lambda s, d: stats.crossings(view(s, d, "sig").withColumnRenamed("vec_id", "key"), 0.05), "SELECT key, i FROM (SELECT vec_id AS key, i, sign(v-0.05)-lag(sign(v-0.05)) OVER (PARTITION BY vec_id ORDER BY i) d FROM sig) WHERE d<>0")
@@ -140,7 +146,7 @@ _add("a13_group_counts", lambda s, d: bathymetry.group_counts(bathymetry.discrim
 _add("t1_sort_points", lambda s, d: bathymetry.sort_points(view(s, d, "wave")).select("point_id", "easting", "northing"), "SELECT min(point_id) AS point_id, easting, northing FROM wave GROUP BY easting, northing")
 _add("t4_sample_deep", lambda s, d: bathymetry.sample_deep(bathymetry.classify(view(s, d, "wave")), 10))
 _add("p13_ambiguity", lambda s, d: view(s, d, "wave").select("point_id", F.round(waves.ambiguity(F.col("direction"), F.pmod(F.col("direction") + 170, F.lit(360.0)), 270.0), 6).alias("d")), ", a AS (SELECT point_id, 0.5*(least(direction,(direction+170)%360)+(greatest(direction,(direction+170)%360)+180)%360) d FROM wave), b AS (SELECT point_id, d, (d+180)%360 t FROM a) SELECT point_id, round(CASE WHEN least(abs(d-270),360-abs(d-270))<=least(abs(t-270),360-abs(t-270)) THEN d ELSE t END,6) AS d FROM b")
-_add("p14_butterworth", lambda s, d: view(s, d, "ras_events").where("row < 64 AND col < 64").select("row", "col", F.round(waves.butterworth((F.col("col") - 32) / 64.0, (F.col("row") - 32) / 64.0, 0.0), 6).alias("value")), "SELECT row, col, round(1/(1+(((col-32)/64.0::DOUBLE)^2/0.125^2+((row-32)/64.0::DOUBLE)^2/0.05^2)^2),6) AS value FROM ras_events WHERE row<64 AND col<64")
+_add("p14_butterworth", lambda s, d: view(s, d, "ras_events").select("row", "col", F.round(waves.butterworth((F.col("col") - 50) / 100.0, (F.col("row") - 50) / 100.0, 0.0), 6).alias("value")), "SELECT row, col, round(1/(1+(((col-50)/100.0::DOUBLE)^2/0.125^2+((row-50)/100.0::DOUBLE)^2/0.05^2)^2),6) AS value FROM ras_events")
 _add("x7_x9_distributions", lambda s, d: view(s, d, "wave").select("point_id", F.round(waves.rayleigh(F.col(W) / 100, 1.0, 0.5), 6).alias("rayleigh"), F.round(waves.positive_sine(F.col("direction"), 2.0, 10.0, 0.5), 6).alias("sine")), "SELECT point_id, round(4*(wavelength/100)*exp(-2*power(wavelength/100,2)),6) AS rayleigh, round(greatest(2*sin(2*pi()*(direction+10)/180)+0.5,0.5),6) AS sine FROM wave")
 _add("x12_x13_padding", lambda s, d: view(s, d, "wave").select("point_id", waves.power_of_two(F.col(W)).alias("power"), waves.padded_length(F.col(W), F.lit(100.0), 1).alias("length")), "SELECT point_id, CAST(round_even(log2(wavelength),0) AS INT) AS power, CAST(2^(greatest(round_even(log2(wavelength),0),7)+1) AS BIGINT) AS length FROM wave")
 
@@ -149,7 +155,7 @@ _add("v2_edit_vector", lambda s, d: vector.edit_vector(view(s, d, "pts").select(
 _add("v3_wkt", lambda s, d: view(s, d, "pts").select("fid", vector.wkt_point(F.col("x"), F.col("y")).alias("wkt")), "SELECT fid, 'POINT (' || CAST(x AS BIGINT) || ' ' || CAST(y AS BIGINT) || ' 0)' AS wkt FROM pts")
 _add("v4_polygon_to_polyline", lambda s, d: vector.polygon_to_polyline(view(s, d, "pts").select("fid", "z", F.array(F.array(F.struct("x", "y"), F.struct((F.col("x") + 1).alias("x"), "y")), F.array(F.struct("x", "y"))).alias("geom"))).select("fid", "z", "ring", F.size("line").cast("long").alias("points")), "SELECT fid, z, CAST(r AS INT) AS ring, CAST(2-r AS BIGINT) AS points FROM pts, (SELECT unnest(range(2)) r)")
 _add("v5_polygonize", lambda s, d: vector.polygonize(view(s, d, "ras_class")).groupBy("DN").agg(F.count("*").alias("regions"), F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter")).drop("regions"), "SELECT a.value AS \"DN\", count(*) AS area, sum(4-(SELECT count(*) FROM ras_class b WHERE b.value=a.value AND abs(b.row-a.row)+abs(b.col-a.col)=1)) AS perimeter FROM ras_class a GROUP BY 1")
-_add("v5_regions", lambda s, d: vector.polygonize(view(s, d, "ras_class")).select("region", "DN", "area", "perimeter"))
+_add("v5_regions", lambda s, d: vector.polygonize(view(s, d, "ras_class")).select("region", "DN", "area", "perimeter"), ", c AS (SELECT CAST(row AS BIGINT)*2147483648+col AS c, row, col, value FROM ras_class), e AS (SELECT x.c AS a, y.c AS b FROM c x JOIN c y ON x.value=y.value AND ((y.row=x.row AND y.col IN (x.col-1,x.col+1)) OR (y.col=x.col AND y.row IN (x.row-1,x.row+1)))), g(c, m) AS (SELECT c, c FROM c UNION SELECT g.c, e.b FROM g JOIN e ON e.a=g.m), r AS (SELECT c, min(m) AS region FROM g GROUP BY c) SELECT region, any_value(value) AS \"DN\", count(*) AS area, CAST(sum(4-(SELECT count(*) FROM e WHERE e.a=c.c)) AS BIGINT) AS perimeter FROM c JOIN r USING (c) GROUP BY 1", recursive=True)
 _add("v6_polyline_to_raster", lambda s, d: vector.rasterize_lines(view(s, d, "pts").select("fid", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 7).alias("bx"), (F.col("y") + 3).alias("by"), F.col("z").alias("value")), 72, 36, -180, -90, 180, 90))
 NODES = ", g AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, -180+(c+0.5)*18 gx, -90+(r+0.5)*18 gy FROM (SELECT unnest(range(10)) r), (SELECT unnest(range(20)) c)) "
 
@@ -159,7 +165,7 @@ def _grid(s: SparkSession) -> DataFrame:
 
 
 _add("v7_grid_invdist", lambda s, d: _px(gridding.invdist(_grid(s), view(s, d, "pts")), digits=5), NODES + "SELECT row, col, round(coalesce(arg_min(z, fid) FILTER (x=gx AND y=gy), sum(CASE WHEN NOT (x=gx AND y=gy) THEN z/((gx-x)^2+(gy-y)^2) END)/sum(CASE WHEN NOT (x=gx AND y=gy) THEN 1/((gx-x)^2+(gy-y)^2) END)),5) AS value FROM g, pts GROUP BY row, col")
-_add("v8_grid_invdistnn", lambda s, d: _px(gridding.invdist_nearest(_grid(s), view(s, d, "pts").where("x % 9 <> 0"), radius=30.0), digits=5), NODES + "SELECT row, col, round(sum(z/d2)/sum(1/d2),5) AS value FROM (SELECT row, col, z, (gx-x)^2+(gy-y)^2 d2, row_number() OVER (PARTITION BY row, col ORDER BY (gx-x)^2+(gy-y)^2, fid) k FROM g, pts WHERE (gx-x)^2+(gy-y)^2<=900 AND x%9<>0) WHERE k<=4 GROUP BY row, col")
+_add("v8_grid_invdistnn", lambda s, d: _px(gridding.invdist_nearest(_grid(s), view(s, d, "pts"), radius=30.0), digits=5), NODES + "SELECT row, col, round(coalesce(arg_min(z, fid) FILTER (d2=0), sum(z/nullif(d2,0))/sum(1/nullif(d2,0))),5) AS value FROM (SELECT row, col, fid, z, (gx-x)^2+(gy-y)^2 d2, row_number() OVER (PARTITION BY row, col ORDER BY (gx-x)^2+(gy-y)^2, fid) k FROM g, pts WHERE (gx-x)^2+(gy-y)^2<=900) WHERE k<=4 GROUP BY row, col")
 _add("v9_grid_average", lambda s, d: _px(gridding.average(_grid(s), view(s, d, "pts"), 25.0)), NODES + "SELECT row, col, round(avg(z),6) AS value FROM g JOIN pts ON (gx-x)^2+(gy-y)^2<=625 GROUP BY row, col")
 _add("v10_grid_nearest", lambda s, d: _px(gridding.nearest(_grid(s), view(s, d, "pts"))), NODES + "SELECT row, col, round(arg_min(z, ((gx-x)^2+(gy-y)^2, fid)),6) AS value FROM g, pts GROUP BY row, col")
 _add("v11_grid_linear", lambda s, d: _px(gridding.linear(_grid(s), view(s, d, "pts"))))
@@ -174,16 +180,18 @@ _add("p3_subset_centers", lambda s, d: roi.centres(view(s, d, "wave").select("po
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, "ras_events").where("row % 10 = 5 AND col % 20 = 10").select((F.col("row") * 100 + F.col("col")).cast("long").alias("point_id"), "row", "col", F.col("col").cast("double").alias("easting"), F.col("row").cast("double").alias("northing"), F.lit(-12.0).alias("apriori_bathymetry"))
+    raster = view(s, d, "ras_events")
+    grid = roi.global_grid(raster, 10, *shape(raster))
+    return grid.select((F.col("row") * 100 + F.col("col")).cast("long").alias("point_id"), "row", "col", F.col("col").cast("double").alias("easting"), F.col("row").cast("double").alias("northing"), F.lit(-12.0).alias("apriori_bathymetry"))
 
 
-_add("p2_image_subset", lambda s, d: roi.fft_boxes(view(s, d, "ras_events"), _points(s, d).select("point_id", F.lit(0).alias("box_id"), "row", "col"), 4).groupBy("point_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total")), ", p AS (SELECT row*100+col AS point_id, row, col FROM ras_events WHERE row%10=5 AND col%20=10) SELECT CAST(point_id AS BIGINT) AS point_id, count(*) AS n, round(sum(e.value),5) AS total FROM p JOIN ras_events e ON e.row BETWEEN p.row-4 AND p.row+3 AND e.col BETWEEN p.col-4 AND p.col+3 GROUP BY 1")
+_add("p2_image_subset", lambda s, d: roi.fft_boxes(view(s, d, "ras_events"), _points(s, d).select("point_id", F.lit(0).alias("box_id"), "row", "col"), 4).groupBy("point_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total")), ", m AS (SELECT max(row)+1 AS h FROM ras_events), p AS (SELECT row*100+col AS point_id, row, col FROM ras_events, m WHERE row%10=((h-1)%10)//2 AND col%10=4) SELECT CAST(point_id AS BIGINT) AS point_id, count(*) AS n, round(sum(e.value),5) AS total FROM p JOIN ras_events e ON e.row BETWEEN p.row-4 AND p.row+3 AND e.col BETWEEN p.col-4 AND p.col+3 GROUP BY 1")
 _add("p17_radial_spectrum", lambda s, d: spectrum.compute(chain.tiles(view(s, d, "ras_events"), _points(s, d).select("point_id", "row", "col"), 8, 9)))
 _add("p18_wave_spectrum", lambda s, d: spectrum.compute(chain.tiles(view(s, d, "ras_events"), _points(s, d).select("point_id", "row", "col"), 8, 5), "Waves"))
 _add("sar_bathymetry_chain", lambda s, d: chain.run(view(s, d, "ras_events"), _points(s, d), size=8).select("point_id", "direction", "wavelength", "flag", "group", "tp", "bathymetry"))
 _add("i0_isodata", lambda s, d: classify.isodata(view(s, d, "ras_events"))[0].groupBy("cls").agg(F.count("*").alias("n")))
 _add("i0_isodata_classes", lambda s, d: classify.isodata(view(s, d, "ras_class"), classify.Isodata(k=5))[0].select("row", "col", "cls"))
-_add("a6_initial_centres", lambda s, d: view(s, d, "ras_events").agg(F.min("value").alias("l"), F.max("value").alias("h")).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: F.round(F.col("l") + i * (F.col("h") - F.col("l")) / 14, 6))).alias("i", "centre")), "SELECT CAST(i AS INT) AS i, round(l+i*(h-l)/14,6) AS centre FROM (SELECT min(value) l, max(value) h FROM ras_events), (SELECT unnest(range(15)) i)")
+_add("a6_initial_centres", lambda s, d: classify.initial_centres(view(s, d, "ras_events"), 15).select("i", F.round("centre", 6).alias("centre")), "SELECT CAST(i AS INT) AS i, round(l+i*(h-l)/14,6) AS centre FROM (SELECT min(value) l, max(value) h FROM ras_events), (SELECT unnest(range(15)) i)")
 K4 = ", k AS (SELECT value, CASE WHEN value<=35 THEN 0 WHEN value<=105 THEN 1 WHEN value<=275 THEN 2 ELSE 3 END AS cls FROM ras_events)"
 _add("a1_a3_a5_cluster_stats", lambda s, d: classify.cluster_stats(classify.histogram(view(s, d, "ras_events"), None), [10.0, 60.0, 150.0, 400.0]).select("cls", "n", F.round("centre", 6).alias("centre"), F.round("distance", 6).alias("distance"), F.round("std", 6).alias("std")), K4 + " SELECT CAST(cls AS INT) AS cls, CAST(count(*) AS BIGINT) AS n, round(sum(value)/(count(*)+1),6) AS centre, round(sum(abs(value-c))/(count(*)+1),6) AS distance, round(sqrt(sum((value-c)^2)/count(*)),6) AS std FROM (SELECT *, ([10.0,60.0,150.0,400.0])[cls+1]::DOUBLE AS c FROM k) GROUP BY 1")
 _add("a2_kept_clusters", lambda s, d: classify.kept_clusters(classify.cluster_stats(classify.histogram(view(s, d, "ras_events"), None), [10.0, 60.0, 150.0, 400.0]), 50).select("cls", "n"), K4 + " SELECT CAST(cls AS INT) AS cls, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1 HAVING count(*) > 50")

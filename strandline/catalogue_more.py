@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import GT, ROI, _add, _px
+from .catalogue import GT, ROI, _add, _px, shape
 from .functions import lines, names, waves
 from .model import view
 from .operators import bathymetry, classify, georef, gridding, mapalgebra, roi, spectrum, stats
@@ -39,18 +39,14 @@ BYTES = "CAST(CAST(floor({v}*255.0/(SELECT max({v}) FROM {t})) AS BIGINT) % 256
 _add("k4_byte_raster", lambda s, d: _px(preparation.byte_raster(view(s, d, "ras_events"))), "SELECT row, col, nullif(CAST(greatest(0,least(255,round_even(value,0))) AS DOUBLE),0) AS value FROM ras_events")
 _add("k6_single_band_bytes", lambda s, d: _px(preparation.single_band_bytes(view(s, d, "ras_part"), 1)), f"SELECT row, col, nullif({BYTES.format(v='value', t='ras_part2')},0) AS value FROM ras_part2")
 _add("r13_to_single_band", lambda s, d: _px(preparation.to_single_band(view(s, d, "ras_part"), mapalgebra.band_count(view(s, d, "ras_part")), 0)), f"SELECT row, col, nullif({BYTES.format(v='value', t='ras_part1')},0) AS value FROM ras_part1")
-_add("r20_stretched", lambda s, d: _px(preparation.stretched(view(s, d, "ras_events"), *_shape(view(s, d, "ras_events")))))
-_add("r22_slant_bytes", lambda s, d: _px(preparation.slant_bytes(view(s, d, "ras_events"), *_shape(view(s, d, "ras_events")))))
-
-
-def _shape(raster: DataFrame) -> tuple[int, int]:
-    return tuple(raster.agg(F.max("row") + 1, F.max("col") + 1).first())
+_add("r20_stretched", lambda s, d: _px(preparation.stretched(view(s, d, "ras_events"), *shape(view(s, d, "ras_events")))))
+_add("r22_slant_bytes", lambda s, d: _px(preparation.slant_bytes(view(s, d, "ras_events"), *shape(view(s, d, "ras_events")))))
 
 
 def _scan_sar(s: SparkSession, d: str) -> DataFrame:
     raster, land = view(s, d, "ras_orders"), view(s, d, "ras_class").withColumn("value", F.col("value") - 3)
     steps = preparation.Sar(scale=2, x=F.col("col") * 1.5 + 0.25, y=F.col("row") * 0.75, dx=4.0, dy=2.0)
-    return preparation.scan_sar(raster, *_shape(raster), steps, land)
+    return preparation.scan_sar(raster, *shape(raster), steps, land)
 
 
 _add("s10_scan_sar", lambda s, d: _px(_scan_sar(s, d)), ", h AS (SELECT CAST(floor(row/2) AS INT) AS row, CAST(floor(col/2) AS INT) AS col, avg(nullif(value,0)) AS value FROM ras_orders GROUP BY 1,2), p AS (SELECT CAST(floor(row*0.75/2) AS INT) AS row, CAST(floor((col*1.5+0.25)/4) AS INT) AS col, avg(value) AS value FROM h WHERE value<>0 GROUP BY 1,2) SELECT p.row, p.col, round(CASE WHEN c.value-3>0 THEN 0 ELSE p.value END,6) AS value FROM p LEFT JOIN ras_class c ON c.row=p.row AND c.col=p.col")
@@ -67,7 +63,7 @@ def _gappy(s: SparkSession, d: str) -> DataFrame:
 
 
 def _axis(s: SparkSession, d: str) -> tuple:
-    rows, cols = _shape(view(s, d, "ras_orders"))
+    rows, cols = shape(view(s, d, "ras_orders"))
     return rows, cols, F.col("col") * 1.0 - 50, 60 - F.col("row") * 0.5
 
 
@@ -184,7 +180,7 @@ def _csv_layer(s: SparkSession, d: str) -> DataFrame:
 
 def _tiff(s: SparkSession, d: str) -> DataFrame:
     raster = view(s, d, "ras_events")
-    return files.decode_rasters(files.export_tiff(raster, *_shape(raster)))
+    return files.decode_rasters(files.export_tiff(raster, *shape(raster)))
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:

@@ -50,6 +50,12 @@ def _sums(h: DataFrame, label: list[float], around: list[float] | None = None) -
     return {r["cls"]: tuple(r)[1:] for r in rows.groupBy("cls").agg(*aggs).collect()}
 
 
+def initial_centres(raster: DataFrame, k: int) -> DataFrame:
+    """(i, centre): ``k`` even steps from the least to the greatest value."""
+    ends = raster.agg(F.min("value").alias("l"), F.max("value").alias("h"))
+    return ends.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.col("l") + i * (F.col("h") - F.col("l")) / max(k - 1, 1))).alias("i", "centre"))
+
+
 def cluster_stats(h: DataFrame, centres: list[float]) -> DataFrame:
     """(cls, n, centre, distance, std) of each cluster that values of a histogram (value, n) are nearest to: the new centre is sum / (n + 1), the mean distance from the old one has the same
     divisor, the deviation around it n."""

@@ -19,6 +19,11 @@ def resolution(rasters: DataFrame) -> DataFrame:
     return rasters.select("raster_id", F.round(F.abs("dy"), 2).alias("yres"), F.round(F.abs("dx"), 2).alias("xres"))
 
 
+def corners(rasters: DataFrame) -> DataFrame:
+    """(raster_id, west, east, north, south): the outer edges."""
+    return rasters.select("raster_id", F.col("x0").alias("west"), (F.col("x0") + F.col("cols") * F.col("dx")).alias("east"), F.col("y0").alias("north"), (F.col("y0") + F.col("rows") * F.col("dy")).alias("south"))
+
+
 def axes(rasters: DataFrame) -> DataFrame:
     """(raster_id, axis, i, value): n even steps from edge to edge of the raster's extent, eastings ascending by column, northings descending by row. Of a single cell the lower edge."""
 

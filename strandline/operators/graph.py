@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,41 @@ def _told(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
     return rest.select("v", "m").unionAll(edges.join(hubs, "u").select("v", "m"))
 
 
+#: Nodes that a task holds at one time while it contracts edges.
+HELD = 500_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(a, b): edges that join the same nodes as ``edges``, of numbers or texts, contracted within each task: of nodes that are joined there, each has one edge to the smallest."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict = {}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def stars() -> pd.DataFrame:
+            pairs = [(find(x), x) for x in up]
+            return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"])
+
+        for frame in frames:
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+                up.setdefault(a, a)
+                up.setdefault(b, b)
+                x, y = find(a), find(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) >= HELD:
+                yield stars()
+                up.clear()
+        if up:
+            yield stars()
+
+    return edges.select("a", "b").where("a <> b").mapInPandas(run, edges.select("a", "b").schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of the ``edges`` (a, b): root is the smallest node of the component. Nulls and loops are no edges.
 

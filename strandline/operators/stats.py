@@ -11,6 +11,16 @@ def image_stats(raster: DataFrame) -> DataFrame:
     return raster.groupBy("raster_id", "band").agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def column_mean(raster: DataFrame) -> DataFrame:
+    """(col, mean) over all rows."""
+    return raster.groupBy("col").agg(F.avg("value").alias("mean"))
+
+
+def band_mean(raster: DataFrame) -> DataFrame:
+    """(row, col, mean) over all bands."""
+    return raster.groupBy("row", "col").agg(F.avg("value").alias("mean"))
+
+
 def histogram(raster: DataFrame, low: float, high: float, bins: int) -> DataFrame:
     bin_ = F.least(F.lit(bins - 1), F.floor((F.col("value") - low) * bins / (high - low))).cast("int")
     return raster.where(F.col("value").between(low, high)).groupBy("raster_id", "band", bin_.alias("bin")).agg(F.count("*").alias("n"))

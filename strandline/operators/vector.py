@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.lineage import few, materialise
-from .graph import components
+from .graph import components, contracted
 
 
 def _number(c: Column) -> Column:
@@ -120,8 +120,7 @@ def _tile_labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def regions(raster: DataFrame) -> DataFrame:
     """Adds region: the smallest cell number (row * 2^31 + col) of the 4-connected cells of equal value. Null cells have no region.
 
-    Tiles are labelled each in one task; regions of different tiles are joined by the pairs of equal cells on both sides of the tiles' borders alone. Rasters of one
-    call are numbered, so that regions are told by (number, cell).
+    Tiles are labelled each in one task; regions of different tiles are joined by the pairs of equal cells on both sides of the tiles' borders alone.
     """
     kept = raster.where(F.col("value").isNotNull()).select("raster_id", "band", "row", "col", "value")
     cell = F.col("row").cast("long") * 2**31 + F.col("col")
@@ -137,10 +136,12 @@ def regions(raster: DataFrame) -> DataFrame:
         last = inner.where(here == TILE - 1).select("raster_id", "band", by, (F.col(order) + 1).alias(order), F.col("value").alias("v"), F.col("cell").alias("b"))
         first = inner.where(here == 0).select("raster_id", "band", by, order, "value", F.col("cell").alias("a"))
         edges.append(first.join(last, ["raster_id", "band", by, order]).where("value = v").select("raster_id", "band", "a", "b"))
-    key = lambda c: F.struct("raster_id", "band", F.col(c).alias("cell"))
-    met = edges[0].unionAll(edges[1])
-    roots = components(met.select(key("a").alias("a"), key("b").alias("b")))
-    told = roots.select("node.raster_id", "node.band", "node.cell", F.col("root.cell").alias("root"))
+    key = lambda c: F.concat_ws("/", "raster_id", F.col("band").cast("string"), F.col(c).cast("string"))
+    met = materialise(edges[0].unionAll(edges[1]), "borders")
+    roots = components(contracted(met.select(key("a").alias("a"), key("b").alias("b"))))
+    ends = met.select("raster_id", "band", F.explode(F.array("a", "b")).alias("cell")).distinct().withColumn("node", key("cell"))
+    known = materialise(ends.join(roots, "node").select("raster_id", "band", "cell", "root"), "border-roots")
+    told = known.join(known.groupBy("root").agg(F.min("cell").alias("least")), "root").select("raster_id", "band", "cell", F.col("least").alias("root"))
     joined = inner.join(few(told, "tile-roots", 1_000_000), ["raster_id", "band", "cell"], "left")
     return joined.select("raster_id", "band", "row", "col", "value", F.coalesce("root", "cell").alias("region"))
 

@@ -78,12 +78,27 @@ def scan_stages(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{prefix}*")
 
 
-def scan_raster(spark: SparkSession, path: str, datatype: str = "uint16") -> DataFrame:
-    """Pixels from Parquet, truncated to uint16 (negatives wrap) or as float32; other types raise ValueError."""
+def typed(raster: DataFrame, datatype: str = "uint16") -> DataFrame:
+    """Values truncated to uint16 (negatives wrap) or as float32; other types raise ValueError."""
     value = {"uint16": F.pmod(F.col("value").cast("long"), F.lit(65536)).cast("int"), "float32": F.col("value").cast("float")}
     if datatype not in value:
         raise ValueError(f"unknown type {datatype!r}")
-    return spark.read.parquet(path).withColumn("value", value[datatype])
+    return raster.withColumn("value", value[datatype])
+
+
+def scan_raster(spark: SparkSession, path: str, datatype: str = "uint16") -> DataFrame:
+    """Pixels from Parquet, by ``typed``."""
+    return typed(spark.read.parquet(path), datatype)
+
+
+def topography(raster: DataFrame) -> DataFrame:
+    """Heights, 0 where there is none."""
+    return raster.withColumn("value", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))
+
+
+def depths(raster: DataFrame) -> DataFrame:
+    """Depths that are positive down as negative ones; heights are null."""
+    return raster.withColumn("value", F.when(-F.col("value") <= 0, -F.col("value")))
 
 
 def write_raster(raster: DataFrame, path: str) -> None:
