@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import HUB, HUBS, components
 from ._common import ROWS, arrow_schema, derive, even_keys, generate, materialise, parse, partitions, shingle_hashes, small_batches
 
 #: Similarity in hundredths from which documents link.
@@ -547,8 +547,13 @@ def classes(documents: DataFrame, percent: int = PERCENT, **options) -> DataFram
     found = all_sets.where("anchors IS NOT NULL").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.first("anchors").alias("anchors"))
     firsts = all_sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = materialise(firsts.join(links(found, percent, **options), "node", "left").select("node", "first", "root"), "firsts")
-    least = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    ends = joined.join(least, "root", "left").select("node", F.coalesce("least", "first").alias("reached"), F.coalesce("root", "node").alias("component"))
+    least = materialise(joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("sets")), "least")
+    # classes of very many sets are told by broadcast: each has more than an even share of all sets, so there are at most HUBS of them
+    hub = max(HUB, (least.agg(F.sum("sets")).first()[0] or 0) // HUBS)
+    often = F.broadcast(least.where(F.col("sets") > hub).select("root", F.col("least").alias("often")))
+    seldom = least.where(F.col("sets") <= hub).select(F.col("root").alias("r"), F.col("least").alias("seldom"))
+    told = joined.join(often, "root", "left").join(seldom, F.when(F.col("often").isNull(), F.col("root")) == F.col("r"), "left")
+    ends = told.select("node", F.coalesce("often", "seldom", "first").alias("reached"), F.coalesce("root", "node").alias("component"))
     whole = all_sets.select("doc_id", "n_shingles", "text_hash", "node").join(ends, "node", "left")
     return whole.select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "text_hash", "component")
 
