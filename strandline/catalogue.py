@@ -101,7 +101,8 @@ _raster("f3_median", lambda a: neighborhood.speckle(a, "Median"), "ras_events",
 _raster("f4_frost", lambda a: neighborhood.speckle(a, "Frost"), "ras_events", NB + "SELECT n.row, n.col, round(sum(b.value*exp(-2*(v/(m*m))*sqrt((b.row-n.row)^2+(b.col-n.col)^2)))/sum(exp(-2*(v/(m*m))*sqrt((b.row-n.row)^2+(b.col-n.col)^2))),6) AS value FROM nb n JOIN ras_events b ON b.row BETWEEN n.row-1 AND n.row+1 AND b.col BETWEEN n.col-1 AND n.col+1 GROUP BY n.row, n.col")
 _raster("f5_gamma_map", lambda a: neighborhood.speckle(a, "Gamma Map", enl=4.0), "ras_events", NB + ", g AS (SELECT *, v/(m*m) c2, 1.25/(v/(m*m)-0.25) al FROM nb) SELECT row, col, round(CASE WHEN c2<=0.25 THEN m WHEN c2>=0.5 THEN x ELSE ((al-5)*m+sqrt((al-5)*(al-5)*m*m+16*al*m*x))/(2*al) END,6) AS value FROM g")
 _raster("f6_lee", lambda a: neighborhood.speckle(a, "Lee", enl=4.0), "ras_events", NB + "SELECT row, col, round(m+greatest(0,least(1,(1-0.25/(v/(m*m)))/1.25))*(x-m),6) AS value FROM nb")
-_raster("f7_refined_lee", lambda a: neighborhood.speckle(a, "Refined Lee"), "ras_events", None)
+HALVES = [(0, 1), (1, 1), (1, 0), (1, -1)]
+_raster("f7_refined_lee", lambda a: neighborhood.speckle(a, "Refined Lee"), "ras_events", ", n AS (SELECT a.row, a.col, a.value AS x, b.row-a.row AS r, b.col-a.col AS c, b.value AS v FROM ras_events a JOIN ras_events b ON b.row BETWEEN a.row-3 AND a.row+3 AND b.col BETWEEN a.col-3 AND a.col+3), g AS (SELECT row, col, any_value(x) AS x, avg(v) AS m, var_pop(v) AS q, [" + ", ".join(f"{{'k': {k}, 'u': avg(v) FILTER (r*{a}+c*{b}>=0), 'd': avg(v) FILTER (r*{a}+c*{b}<=0), 'uq': var_pop(v) FILTER (r*{a}+c*{b}>=0), 'dq': var_pop(v) FILTER (r*{a}+c*{b}<=0)}}" for k, (a, b) in enumerate(HALVES)) + "] AS hs FROM n GROUP BY row, col), e AS (SELECT *, list_extract(list_sort(list_transform(hs, lambda h: {'e': -round(abs(h.u-h.d),9), 'k': h.k, 'h': h})),1).h AS h FROM g), f AS (SELECT row, col, x, CASE WHEN q<=5000 THEN m WHEN abs(h.u-x)<=abs(h.d-x) THEN h.u ELSE h.d END AS m, CASE WHEN q<=5000 THEN q WHEN abs(h.u-x)<=abs(h.d-x) THEN h.uq ELSE h.dq END AS q FROM e) SELECT row, col, round(m+CASE WHEN q=0 THEN 0 ELSE greatest(0,(q-m*m)/2)/q END*(x-m),6) AS value FROM f")
 _raster("f8_lee_sigma", lambda a: neighborhood.speckle(a, "Lee Sigma", enl=16.0), "ras_events", "SELECT a.row, a.col, round(avg(b.value),6) AS value FROM ras_events a JOIN ras_events b ON b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND b.value BETWEEN a.value*0.5 AND a.value*1.5 GROUP BY a.row, a.col")
 _raster("f9_idan", lambda a: neighborhood.speckle(a, "IDAN"), "ras_events", None)
 
@@ -123,7 +124,7 @@ _add("a9_box_mean", lambda s, d: stats.box_mean(view(s, d, "sig").select((F.col(
 _add("a10_profile_mean", lambda s, d: stats.weighted_profile(view(s, d, "sig").select((F.col("vec_id") % 10).alias("key"), (1.0 / (1 + F.col("vec_id"))).alias("w"), "i", F.col("v").alias("s"))).select("key", "i", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std")), "SELECT vec_id%10 AS key, i, round(sum(v/(1+vec_id))/sum(1.0::DOUBLE/(1+vec_id)),6) AS mean, round(stddev_pop(v),6) AS std FROM sig GROUP BY 1,2")
 _add("w2_crossings", lambda s, d: stats.crossings(view(s, d, "sig").withColumnRenamed("vec_id", "key"), 0.05), "SELECT key, i FROM (SELECT vec_id AS key, i, sign(v-0.05)-lag(sign(v-0.05)) OVER (PARTITION BY vec_id ORDER BY i) d FROM sig) WHERE d<>0")
 _add("w3_detect_peaks", lambda s, d: stats.detect_peaks(view(s, d, "sig").withColumnRenamed("vec_id", "key"), mph=0.1).select("key", "i", F.round("v", 6).alias("v")), "SELECT key, i, round(v,6) AS v FROM (SELECT vec_id AS key, i, v, lag(v) OVER w a, lead(v) OVER w b FROM sig WINDOW w AS (PARTITION BY vec_id ORDER BY i)) WHERE b-v<=0 AND v-a>0 AND v>=0.1")
-_add("w3_detect_peaks_spaced", lambda s, d: stats.detect_peaks(view(s, d, "sig").withColumnRenamed("vec_id", "key"), mpd=6))
+_add("w3_detect_peaks_spaced", lambda s, d: stats.detect_peaks(view(s, d, "sig").withColumnRenamed("vec_id", "key"), mpd=6).select("key", "i", F.round("v", 6).alias("v")), ", p AS (SELECT key, i, v FROM (SELECT vec_id AS key, i, v, lag(v) OVER w a, lead(v) OVER w b FROM sig WINDOW w AS (PARTITION BY vec_id ORDER BY i)) WHERE b-v<=0 AND v-a>0), l AS (SELECT key, list({'i': i, 'v': v} ORDER BY v DESC, i) AS rest FROM p GROUP BY 1), g(key, top, rest) AS (SELECT key, rest[1], list_filter(rest, lambda x: abs(x.i-rest[1].i)>=6) FROM l UNION ALL SELECT key, rest[1], list_filter(rest, lambda x: abs(x.i-rest[1].i)>=6) FROM g WHERE len(rest)>0) SELECT key, top.i AS i, round(top.v,6) AS v FROM g", recursive=True)
 _add("t5_argmax", lambda s, d: view(s, d, "sig").groupBy("vec_id").agg(F.max_by("i", F.struct("v", -F.col("i"))).alias("i")), "SELECT vec_id, arg_max(i, (v, -i)) AS i FROM sig GROUP BY 1")
 _add("p5_p20_dft", lambda s, d: spectrum.dft(view(s, d, "sig").withColumnRenamed("vec_id", "key"), 64).select("key", "f", F.round("p", 5).alias("p")), ", c AS (SELECT vec_id, i, v-avg(v) OVER (PARTITION BY vec_id) v FROM sig), f AS (SELECT CAST(unnest(range(33)) AS INT) f) SELECT vec_id AS key, f, round(sum(v*cos(-2*pi()/64*f*i))^2+sum(v*sin(-2*pi()/64*f*i))^2,5) AS p FROM c, f GROUP BY 1,2")
 
@@ -144,7 +145,7 @@ _add("b11_x21_residuals", lambda s, d: bathymetry.residuals(bathymetry.direct_in
 _add("a12_period_stats", lambda s, d: bathymetry.period_stats(bathymetry.discriminate(view(s, d, "wave"))).select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n"), f"{KH} SELECT round(avg(sqrt(2*pi()*wavelength/9.80665)),6) AS mean, round(stddev_pop(sqrt(2*pi()*wavelength/9.80665)),6) AS std, count(*) AS n FROM k WHERE kh>3")
 _add("a13_group_counts", lambda s, d: bathymetry.group_counts(bathymetry.discriminate(view(s, d, "wave"))), f"{KH} SELECT CASE WHEN kh>3 THEN 'deep' WHEN kh<0.3 THEN 'shallow' ELSE 'compute' END AS \"group\", count(*) AS n FROM k GROUP BY 1")
 _add("t1_sort_points", lambda s, d: bathymetry.sort_points(view(s, d, "wave")).select("point_id", "easting", "northing"), "SELECT min(point_id) AS point_id, easting, northing FROM wave GROUP BY easting, northing")
-_add("t4_sample_deep", lambda s, d: bathymetry.sample_deep(bathymetry.classify(view(s, d, "wave")), 10))
+_add("t4_sample_deep", lambda s, d: bathymetry.sample_deep(bathymetry.classify(view(s, d, "wave")), 10).select("point_id", "wavelength"), f"{KH} SELECT point_id, wavelength FROM k WHERE kh>3 ORDER BY md5('1:' || point_id), point_id LIMIT 10")
 _add("p13_ambiguity", lambda s, d: view(s, d, "wave").select("point_id", F.round(waves.ambiguity(F.col("direction"), F.pmod(F.col("direction") + 170, F.lit(360.0)), 270.0), 6).alias("d")), ", a AS (SELECT point_id, 0.5*(least(direction,(direction+170)%360)+(greatest(direction,(direction+170)%360)+180)%360) d FROM wave), b AS (SELECT point_id, d, (d+180)%360 t FROM a) SELECT point_id, round(CASE WHEN least(abs(d-270),360-abs(d-270))<=least(abs(t-270),360-abs(t-270)) THEN d ELSE t END,6) AS d FROM b")
 _add("p14_butterworth", lambda s, d: view(s, d, "ras_events").select("row", "col", F.round(waves.butterworth((F.col("col") - 50) / 100.0, (F.col("row") - 50) / 100.0, 0.0), 6).alias("value")), "SELECT row, col, round(1/(1+(((col-50)/100.0::DOUBLE)^2/0.125^2+((row-50)/100.0::DOUBLE)^2/0.05^2)^2),6) AS value FROM ras_events")
 _add("x7_x9_distributions", lambda s, d: view(s, d, "wave").select("point_id", F.round(waves.rayleigh(F.col(W) / 100, 1.0, 0.5), 6).alias("rayleigh"), F.round(waves.positive_sine(F.col("direction"), 2.0, 10.0, 0.5), 6).alias("sine")), "SELECT point_id, round(4*(wavelength/100)*exp(-2*power(wavelength/100,2)),6) AS rayleigh, round(greatest(2*sin(2*pi()*(direction+10)/180)+0.5,0.5),6) AS sine FROM wave")
@@ -156,7 +157,7 @@ _add("v3_wkt", lambda s, d: view(s, d, "pts").select("fid", vector.wkt_point(F.c
 _add("v4_polygon_to_polyline", lambda s, d: vector.polygon_to_polyline(view(s, d, "pts").select("fid", "z", F.array(F.array(F.struct("x", "y"), F.struct((F.col("x") + 1).alias("x"), "y")), F.array(F.struct("x", "y"))).alias("geom"))).select("fid", "z", "ring", F.size("line").cast("long").alias("points")), "SELECT fid, z, CAST(r AS INT) AS ring, CAST(2-r AS BIGINT) AS points FROM pts, (SELECT unnest(range(2)) r)")
 _add("v5_polygonize", lambda s, d: vector.polygonize(view(s, d, "ras_class")).groupBy("DN").agg(F.count("*").alias("regions"), F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter")).drop("regions"), "SELECT a.value AS \"DN\", count(*) AS area, sum(4-(SELECT count(*) FROM ras_class b WHERE b.value=a.value AND abs(b.row-a.row)+abs(b.col-a.col)=1)) AS perimeter FROM ras_class a GROUP BY 1")
 _add("v5_regions", lambda s, d: vector.polygonize(view(s, d, "ras_class")).select("region", "DN", "area", "perimeter"), ", c AS (SELECT CAST(row AS BIGINT)*2147483648+col AS c, row, col, value FROM ras_class), e AS (SELECT x.c AS a, y.c AS b FROM c x JOIN c y ON x.value=y.value AND ((y.row=x.row AND y.col IN (x.col-1,x.col+1)) OR (y.col=x.col AND y.row IN (x.row-1,x.row+1)))), g(c, m) AS (SELECT c, c FROM c UNION SELECT g.c, e.b FROM g JOIN e ON e.a=g.m), r AS (SELECT c, min(m) AS region FROM g GROUP BY c) SELECT region, any_value(value) AS \"DN\", count(*) AS area, CAST(sum(4-(SELECT count(*) FROM e WHERE e.a=c.c)) AS BIGINT) AS perimeter FROM c JOIN r USING (c) GROUP BY 1", recursive=True)
-_add("v6_polyline_to_raster", lambda s, d: vector.rasterize_lines(view(s, d, "pts").select("fid", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 7).alias("bx"), (F.col("y") + 3).alias("by"), F.col("z").alias("value")), 72, 36, -180, -90, 180, 90))
+_add("v6_polyline_to_raster", lambda s, d: vector.rasterize_lines(view(s, d, "pts").select("fid", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 7).alias("bx"), (F.col("y") + 3).alias("by"), F.col("z").alias("value")), 72, 36, -180, -90, 180, 90), ", c AS (SELECT fid, z, (x+180)/5 AS ca, (x+187)/5 AS cb, (90-y)/5 AS ra, (87-y)/5 AS rb, 2 AS n FROM pts), h AS (SELECT fid, z, floor(ra+(rb-ra)*i/n) AS r, floor(ca+(cb-ca)*i/n) AS c FROM c, (SELECT unnest(range(3)) AS i)), t AS (SELECT r, c, arg_max(z, (fid, z)) AS v FROM h GROUP BY 1, 2) SELECT CAST(a.row AS INT) AS row, CAST(b.col AS INT) AS col, coalesce(t.v, 0.0) AS value FROM (SELECT unnest(range(36)) AS row) a CROSS JOIN (SELECT unnest(range(72)) AS col) b LEFT JOIN t ON t.r=a.row AND t.c=b.col")
 NODES = ", g AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, -180+(c+0.5)*18 gx, -90+(r+0.5)*18 gy FROM (SELECT unnest(range(10)) r), (SELECT unnest(range(20)) c)) "
 
 

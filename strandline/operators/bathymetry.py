@@ -100,5 +100,5 @@ def group_counts(points: DataFrame) -> DataFrame:
 
 
 def sample_deep(points: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """At most ``n`` deep points, drawn by a hash of their ids."""
-    return points.where("flag = 0").orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(n)
+    """At most ``n`` deep points, drawn by a hash of the seed and their ids."""
+    return points.where("flag = 0").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("point_id").cast("string"))), "point_id").limit(n)

@@ -131,7 +131,7 @@ def _refined_lee(r, c, v, p):
     half_m, half_var = m, var
     for a, b in ((0, 1), (1, 1), (1, 0), (1, -1)):
         up, down = (_moments(np.where((side * (r * a + c * b) >= 0)[:, None, None], v, np.nan)) for side in (1, -1))
-        edge = np.abs(up[0] - down[0])
+        edge = np.round(np.abs(up[0] - down[0]), 9)  # rounded, so that equal edges are told from unequal ones
         upper = np.abs(up[0] - x) <= np.abs(down[0] - x)
         better = edge > best
         best = np.where(better, edge, best)
