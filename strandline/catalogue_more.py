@@ -225,3 +225,13 @@ _add("a11_influence_radius", lambda s, d: stats.influence_radius(stats.radial_pr
 _add("r38_utm", lambda s, d: view(s, d, "pts").where("abs(y) < 80").select("fid", *[F.round(c, 2).alias(n) for c, n in zip(mapalgebra.utm(F.col("x") / 60 - 9, F.col("y"), 29), ("e", "n"), strict=True)]), UTM := """, p AS (SELECT fid, radians(y) AS phi, radians(x/60-9+9) AS lam FROM pts WHERE abs(y)<80), c AS (SELECT *, 0.0016792203863837047 AS n FROM p),
     t AS (SELECT *, sinh(atanh(sin(phi))-(2*sqrt(n)/(1+n))*atanh((2*sqrt(n)/(1+n))*sin(phi))) AS t FROM c), q AS (SELECT *, atan2(t,cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+t*t)) AS eta, n/2-2*n^2/3+5*n^3/16 AS a1, 13*n^2/48-3*n^3/5 AS a2, 61*n^3/240 AS a3, 0.9996*6378137/(1+n)*(1+n^2/4+n^4/64) AS k FROM t)
     SELECT fid, round(500000+k*(eta+a1*cos(2*xi)*sinh(2*eta)+a2*cos(4*xi)*sinh(4*eta)+a3*cos(6*xi)*sinh(6*eta)),2) AS e, round(k*(xi+a1*sin(2*xi)*cosh(2*eta)+a2*sin(4*xi)*cosh(4*eta)+a3*sin(6*xi)*cosh(6*eta)),2) AS n FROM q""")
+
+
+def _tiles(s: SparkSession, d: str) -> DataFrame:
+    """Each signal of 64 values as a box of 8 x 8 cells."""
+    return spectrum.boxes(view(s, d, "sig").select(F.col("vec_id").alias("point_id"), F.lit(0).alias("box_id"), F.floor(F.col("i") / 8).cast("int").alias("r"), (F.col("i") % 8).cast("int").alias("c"), F.col("v").alias("value")))
+
+
+TILE = ", t AS (SELECT vec_id, i//8 AS r, i%8 AS c, v-avg(v) OVER (PARTITION BY vec_id) AS z, v FROM sig), k AS (SELECT a.y AS ky, b.x AS kx FROM (SELECT unnest(range(8)) AS y) a, (SELECT unnest(range(8)) AS x) b)"
+_add("p5_p7_image_spectrum", lambda s, d: spectrum.image_spectra(_tiles(s, d)).select(F.col("point_id").alias("vec_id"), "r", "c", F.round("p", 5).alias("p")), TILE + " SELECT vec_id, CAST(ky AS INT) AS r, CAST(kx AS INT) AS c, round(sum(z*cos(-2*pi()*((ky-4)*t.r+(kx-4)*t.c)/8))^2+sum(z*sin(-2*pi()*((ky-4)*t.r+(kx-4)*t.c)/8))^2,5) AS p FROM t, k GROUP BY 1,2,3")
+_add("p6_p15_image_filter", lambda s, d: spectrum.filtered_images(_tiles(s, d), 0.0).select(F.col("point_id").alias("vec_id"), "r", "c", F.round("value", 5).alias("value")), TILE + ", f AS (SELECT vec_id, ky, kx, 1/(1+(((kx-4)/8.0::DOUBLE/0.125)^2+((ky-4)/8.0::DOUBLE/0.05)^2)^2) AS h, sum(v*cos(-2*pi()*((ky-4)*t.r+(kx-4)*t.c)/8)) AS re, sum(v*sin(-2*pi()*((ky-4)*t.r+(kx-4)*t.c)/8)) AS im FROM t, k GROUP BY 1,2,3), g AS (SELECT vec_id, y.y AS r, x.x AS c, 2*pi()*((ky-4)*y.y+(kx-4)*x.x)/8 AS w, h*re AS re, h*im AS im FROM f, (SELECT unnest(range(8)) AS y) y, (SELECT unnest(range(8)) AS x) x) SELECT vec_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sqrt(sum(re*cos(w)-im*sin(w))^2+sum(re*sin(w)+im*cos(w))^2)/64,5) AS value FROM g GROUP BY 1,2,3")

@@ -151,6 +151,32 @@ def spectrum1d(profile: np.ndarray, length: int, resolution: float = 1.0, square
     return 2 * pi * np.fft.rfftfreq(length, resolution), f * f if squared else f
 
 
+def image_spectra(boxes_: DataFrame, squared: bool = True) -> DataFrame:
+    """(point_id, box_id, r, c, p): centred power (or magnitude) of each box of ``boxes``, cell by cell."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for pid, bid, n, image in zip(f["point_id"], f["box_id"], f["n"], f["image"], strict=True):
+                p = power(np.asarray(image, float).reshape(n, n), squared)
+                r, c = np.indices(p.shape)
+                yield pd.DataFrame({"point_id": pid, "box_id": bid, "r": r.ravel(), "c": c.ravel(), "p": p.ravel()})
+
+    return boxes_.mapInPandas(run, "point_id long, box_id int, r int, c int, p double")
+
+
+def filtered_images(boxes_: DataFrame, angle: float) -> DataFrame:
+    """(point_id, box_id, r, c, value): each box filtered along a direction, cell by cell."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for pid, bid, n, image in zip(f["point_id"], f["box_id"], f["n"], f["image"], strict=True):
+                v = filtered(np.asarray(image, float).reshape(n, n), angle)
+                r, c = np.indices(v.shape)
+                yield pd.DataFrame({"point_id": pid, "box_id": bid, "r": r.ravel(), "c": c.ravel(), "value": v.ravel()})
+
+    return boxes_.mapInPandas(run, "point_id long, box_id int, r int, c int, value double")
+
+
 def compute(boxes_: DataFrame, method: str = "Radial", resolution: float = 1.0, coast: float = 270.0, count: int = 5, offset: float = 1.0, longest: float = 500.0, filter_: bool = True) -> DataFrame:
     """(point_id, box_id, direction, k, s): spectrum of each box. Radial: filter along the waves, mask, radial mean. Waves: mean of the spectra of parallel profiles, weighted by nearness."""
     if method not in ("Radial", "Waves"):

@@ -33,10 +33,16 @@ def scan_points_csv(spark: SparkSession, path: str, x: str = "X", y: str = "Y",
 
 
 def scan_bathymetry_grid(spark: SparkSession, path: str) -> DataFrame:
-    """(easting, northing, apriori_bathymetry) from text or Parquet; the third is null for all if it is missing or its mean is 0."""
+    """(easting, northing, apriori_bathymetry) from text, Parquet or the first array of an .npz file; the third is null for all if it is missing or its mean is 0. Other names raise ValueError."""
+    columns = ["easting", "northing", "apriori_bathymetry"]
     if path.endswith(".npz"):
-        raise ValueError("read .npz files into Parquet first")
-    raw = spark.read.parquet(path) if path.endswith(".parquet") else scan_points_text(spark, path).toDF("easting", "northing", "apriori_bathymetry")
+        raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_first_array, ", ".join(f"{c} double" for c in columns))
+    elif path.endswith(".parquet"):
+        raw = spark.read.parquet(path)
+    elif path.endswith(".txt"):
+        raw = scan_points_text(spark, path).toDF(*columns)
+    else:
+        raise ValueError("a grid is a .npz, .txt or .parquet file")
     mean = raw.agg(F.avg("apriori_bathymetry").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("easting", "northing", F.when(F.col("mean") != 0, F.col("apriori_bathymetry")).alias("apriori_bathymetry"))  # one row
 
@@ -78,6 +84,19 @@ def scan_stages(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{prefix}*")
 
 
+def _first_array(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import io
+
+    for frame in frames:
+        for content in frame["content"]:
+            with np.load(io.BytesIO(content)) as arrays:
+                points = np.asarray(arrays[arrays.files[0]], float)
+            wide = np.full((len(points), 3), np.nan)
+            wide[:, : min(points.shape[1], 3)] = points[:, :3]
+            rows = pd.DataFrame(wide, columns=["easting", "northing", "apriori_bathymetry"])
+            yield rows.astype(object).where(rows.notna(), None) if rows.isna().any().any() else rows
+
+
 def typed(raster: DataFrame, datatype: str = "uint16") -> DataFrame:
     """Values truncated to uint16 (negatives wrap) or as float32; other types raise ValueError."""
     value = {"uint16": F.pmod(F.col("value").cast("long"), F.lit(65536)).cast("int"), "float32": F.col("value").cast("float")}
@@ -114,8 +133,47 @@ SAMPLES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "
 FIELDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 12: ("d", 8)}
 
 
+def _lzw(data: bytes) -> bytes:
+    """TIFF's variable-length codes, most significant bit first."""
+    out, table, at, width, last = bytearray(), [], 0, 9, b""
+    value, held = 0, 0
+    while True:
+        while held < width:
+            if at >= len(data):
+                return bytes(out)
+            value, held, at = (value << 8 | data[at]) & 0xFFFFFFFF, held + 8, at + 1
+        code = value >> held - width & (1 << width) - 1
+        held -= width
+        if code == 257:
+            return bytes(out)
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+
+
+def _packbits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
 def decode_tiff(data: bytes) -> tuple[np.ndarray, list[float] | None]:
-    """(bands x rows x columns, [x0, dx, y0, dy] or None) of an uncompressed TIFF in strips. Other files raise ValueError."""
+    """(bands x rows x columns, [x0, dx, y0, dy] or None) of a TIFF in strips or tiles, uncompressed or by LZW, Deflate or PackBits. Other files raise ValueError."""
+    import zlib
+
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
@@ -128,14 +186,28 @@ def decode_tiff(data: bytes) -> tuple[np.ndarray, list[float] | None]:
         place = at + 10 + 12 * i if size * count <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
         raw = data[place : place + size * count]
         tags[tag] = raw if kind == 2 else struct.unpack(order + code * count, raw)
-    if tags.get(259, (1,))[0] != 1 or 273 not in tags:
-        raise ValueError("only uncompressed strips are known")
-    width, height, bands = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+    unpack = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}.get(tags.get(259, (1,))[0])
     kind = SAMPLES.get((tags.get(339, (1,))[0], tags.get(258, (8,))[0]))
-    if kind is None:
-        raise ValueError("unknown sample format")
-    flat = np.frombuffer(b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True)), order + kind)
-    image = flat.reshape(bands, height, width) if tags.get(284, (1,))[0] == 2 else np.moveaxis(flat.reshape(height, width, bands), 2, 0)
+    if unpack is None or kind is None:
+        raise ValueError("unknown compression or sample format")
+    width, height, bands, predictor = tags[256][0], tags[257][0], tags.get(277, (1,))[0], tags.get(317, (1,))[0]
+    if predictor not in (1, 2):
+        raise ValueError("unknown predictor")
+    planes = bands if tags.get(284, (1,))[0] == 2 else 1
+    deep = bands // planes
+    tiled = 324 in tags
+    w, h = (tags[322][0], tags[323][0]) if tiled else (width, min(tags.get(278, (height,))[0], height))
+    places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    across, down = -(-width // w), -(-height // h)
+    image = np.zeros((bands, height, width), np.dtype(order + kind))
+    for i, (start, size) in enumerate(zip(places, sizes, strict=True)):
+        plane, r, c = i // (across * down), i // across % down * h, i % across * w
+        rows = h if tiled else min(h, height - r)
+        part = np.frombuffer(unpack(data[start : start + size]), order + kind, rows * w * deep).reshape(rows, w, deep)
+        if predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=part.dtype.newbyteorder("="))
+        part = np.moveaxis(part, 2, 0)[:, : height - r, : width - c]
+        image[plane * deep : (plane + 1) * deep, r : r + part.shape[1], c : c + part.shape[2]] = part
     gt = None
     if 33550 in tags and 33922 in tags:
         sx, sy, tie = tags[33550][0], tags[33550][1], tags[33922]
@@ -143,17 +215,30 @@ def decode_tiff(data: bytes) -> tuple[np.ndarray, list[float] | None]:
     return image, gt
 
 
-def encode_tiff(image: np.ndarray, gt: list[float] | None = None) -> bytes:
-    """A little-endian float32 TIFF, bands in planes of one strip each."""
+def encode_tiff(image: np.ndarray, gt: list[float] | None = None, kind: str = "f4", nodata: float | None = None, epsg: int | None = None) -> bytes:
+    """A little-endian TIFF of float32 ("f4") or byte ("u1") samples, deflated, bands in planes of one strip each; with its transform, nodata value and reference system, if given. NaN becomes nodata in bytes."""
+    import zlib
+
     bands, height, width = image.shape
-    size, body = height * width * 4, image.astype("<f4").tobytes()
-    entries = [(256, 4, (width,)), (257, 4, (height,)), (258, 3, (32,) * bands), (259, 3, (1,)), (262, 3, (1,)), (273, 4, tuple(8 + i * size for i in range(bands))), (277, 3, (bands,)), (278, 4, (height,)), (279, 4, (size,) * bands), (284, 3, (2,)), (339, 3, (3,) * bands)]
+    if kind == "u1":
+        image = np.where(np.isnan(image), nodata or 0, np.clip(np.rint(image), 0, 255))
+    strips = [zlib.compress(band.astype("<" + kind).tobytes()) for band in image]
+    strips = [x + b"\0" * (len(x) % 2) for x in strips]
+    body, places = b"".join(strips), [8 + sum(map(len, strips[:i])) for i in range(bands)]
+    bits, form = (32, 3) if kind == "f4" else (8, 1)
+    entries = [(256, 4, (width,)), (257, 4, (height,)), (258, 3, (bits,) * bands), (259, 3, (8,)), (262, 3, (1,)), (273, 4, tuple(places)), (277, 3, (bands,)), (278, 4, (height,)), (279, 4, tuple(map(len, strips))), (284, 3, (2,)), (339, 3, (form,) * bands)]
     if gt:
         entries += [(33550, 12, (gt[1], -gt[3], 0.0)), (33922, 12, (0.0, 0.0, 0.0, gt[0], gt[2], 0.0))]
+    if epsg:  # a directory of three keys: projected or geographic model, cells as areas, the code
+        flat = epsg in range(4000, 5000)
+        entries.append((34735, 3, (1, 1, 0, 3, 1024, 0, 1, 2 if flat else 1, 1025, 0, 1, 1, 2048 if flat else 3072, 0, 1, epsg)))
+    if nodata is not None:
+        text = f"{nodata:g}".encode() + b"\0"
+        entries.append((42113, 2, text))
     start = 8 + len(body)
     table, extra, place = b"", b"", start + 2 + 12 * len(entries) + 4
     for tag, kind, values in entries:
-        raw = struct.pack("<" + FIELDS[kind][0] * len(values), *values)
+        raw = values if kind == 2 else struct.pack("<" + FIELDS[kind][0] * len(values), *values)
         if len(raw) > 4:
             table += struct.pack("<HHII", tag, kind, len(values), place + len(extra))
             extra += raw + b"\0" * (len(raw) % 2)
@@ -182,12 +267,12 @@ def decode_rasters(rasters: DataFrame) -> DataFrame:
     return rasters.select("raster_id", "content").mapInPandas(run, PIXELS)
 
 
-def export_tiff(raster: DataFrame, rows: int, cols: int, bands: int = 1) -> DataFrame:
-    """(raster_id, content): one GeoTIFF a raster, which must fit a task; null pixels are NaN."""
+def export_tiff(raster: DataFrame, rows: int, cols: int, bands: int = 1, **options) -> DataFrame:
+    """(raster_id, content): one GeoTIFF a raster, which must fit a task; null pixels are NaN, or nodata in bytes. ``options`` are those of ``encode_tiff``."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         image = np.full((bands, rows, cols), np.nan)
         image[frame["band"] - 1, frame["row"], frame["col"]] = frame["value"]
-        return pd.DataFrame({"raster_id": [frame["raster_id"].iloc[0]], "content": [encode_tiff(image)]})
+        return pd.DataFrame({"raster_id": [frame["raster_id"].iloc[0]], "content": [encode_tiff(image, **options)]})
 
     return raster.groupBy("raster_id").applyInPandas(run, "raster_id string, content binary")
 

@@ -259,3 +259,61 @@ def test_spectra_of_directions_and_profiles():
     assert spectrum.peak(t, heap) == 4 and abs(spectrum.peak(t, heap, "centroid") - 4) < 1e-6
     assert spectrum.box_dimension(100, 3) if hasattr(spectrum, "box_dimension") else roi.box_dimension(100, 3) == 32
     assert roi.box_dimension(100, 3, False) == 36 and roi.box_dimension(100, 10, False) == 10
+
+
+def packed(data, how):
+    """The same bytes by a plain encoder of each kind."""
+    import zlib
+
+    if how == 8:
+        return zlib.compress(data)
+    if how == 32773:
+        return b"".join(bytes([len(data[i : i + 100]) - 1]) + data[i : i + 100] for i in range(0, len(data), 100))
+    if how == 5:  # a clear code before each 200 signs keeps all codes 9 bits wide
+        bits = "".join((f"{256:09b}" if i % 200 == 0 else "") + f"{b:09b}" for i, b in enumerate(data)) + f"{257:09b}"
+        bits += "0" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big")
+    return data
+
+
+@pytest.mark.parametrize("how", [1, 5, 8, 32773])
+@pytest.mark.parametrize("tiled, predictor", [(False, 1), (True, 1), (False, 2)])
+def test_tiff_compressions_and_tiles(how, tiled, predictor):
+    import struct
+
+    grid = np.random.default_rng(1).integers(0, 200, (1, 37, 50)).astype("u1")
+    if tiled:
+        w, h = 16, 32
+        wide = np.zeros((64, 64), "u1")
+        wide[:37, :50] = grid[0]
+        parts = [wide[r : r + h, c : c + w] for r in (0, 32) for c in (0, 16, 32, 48)]
+    else:
+        w, h = 50, 10
+        parts = [grid[0, r : r + h] for r in range(0, 37, h)]
+    if predictor == 2:
+        parts = [np.diff(p, axis=1, prepend=np.zeros((len(p), 1), "u1")).astype("u1") for p in parts]
+    strips = [packed(p.tobytes(), how) for p in parts]
+    at = [8 + sum(map(len, strips[:i])) for i in range(len(strips))]
+    body = b"".join(strips) + b"\0" * (sum(map(len, strips)) % 2)
+    shape = [(322, 4, (w,)), (323, 4, (h,)), (324, 4, tuple(at)), (325, 4, tuple(map(len, strips)))] if tiled else [(273, 4, tuple(at)), (278, 4, (h,)), (279, 4, tuple(map(len, strips)))]
+    entries = sorted([(256, 4, (50,)), (257, 4, (37,)), (258, 3, (8,)), (259, 3, (how,)), (317, 3, (predictor,)), *shape])
+    start = 8 + len(body)
+    table, extra, place = b"", b"", start + 2 + 12 * len(entries) + 4
+    for tag, kind, values in entries:
+        raw = struct.pack("<" + {3: "H", 4: "I"}[kind] * len(values), *values)
+        table += struct.pack("<HHI", tag, kind, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", place + len(extra)))
+        extra += raw if len(raw) > 4 else b""
+    data = b"II" + struct.pack("<HI", 42, start) + body + struct.pack("<H", len(entries)) + table + struct.pack("<I", 0) + extra
+    assert (files.decode_tiff(data)[0] == grid).all()
+
+
+def test_tiff_written_and_read(spark, tmp_path):
+    data = files.encode_tiff(np.array([[[1.4, np.nan, 300.0]]]), [10.0, 2.0, 50.0, -2.0], "u1", 0, 32629)
+    grid, gt = files.decode_tiff(data)
+    assert grid.tolist() == [[[1, 0, 255]]] and gt == [10, 2, 50, -2] and b"0\0" in data
+    np.savez(tmp_path / "grid.npz", points=np.array([[1.0, 2.0, -3.0], [4.0, 5.0, -6.0]]))
+    np.savez(tmp_path / "flat.npz", points=np.array([[1.0, 2.0], [4.0, 5.0]]))
+    assert sorted(map(tuple, files.scan_bathymetry_grid(spark, str(tmp_path / "grid.npz")).collect())) == [(1, 2, -3), (4, 5, -6)]
+    assert sorted(map(tuple, files.scan_bathymetry_grid(spark, str(tmp_path / "flat.npz")).collect())) == [(1, 2, None), (4, 5, None)]
+    with pytest.raises(ValueError):
+        files.scan_bathymetry_grid(spark, "grid.csv")
