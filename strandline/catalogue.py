@@ -77,7 +77,7 @@ _raster("r15_scale_image_32", lambda a: mapalgebra.scale_image(a, 32), "ras_even
 _raster("r16_minmax_stretch", mapalgebra.minmax_stretch, "ras_events", "SELECT row, col, round((value-l)*255/(h-l),6) AS value FROM ras_events, (SELECT min(value) l, max(value) h FROM ras_events)")
 _raster("r17_percentile_stretch", mapalgebra.percentile_stretch, "ras_events", "SELECT row, col, round(greatest(0,least(1,(value-l)/(h-l))),6) AS value FROM ras_events, (SELECT quantile_cont(value,0.02) l, quantile_cont(value,0.98) h FROM ras_events)")
 _raster("r18_hist_equalize", mapalgebra.hist_equalize, "ras_events", ", b AS (SELECT row, col, CAST(least(255, floor((value-l)*256/(h-l))) AS INT) AS bin FROM ras_events, (SELECT min(value) l, max(value) h FROM ras_events)), c AS (SELECT bin, sum(count(*)) OVER (ORDER BY bin) AS k FROM b GROUP BY bin) SELECT row, col, round(k/(SELECT count(*) FROM b),6) AS value FROM b JOIN c USING (bin)")
-_raster("r19_clahe", lambda a: neighborhood.clahe(a, 2000, 100), "ras_events", None)
+_raster("r19_clahe", lambda a: neighborhood.clahe(a, *shape(a)), "ras_events", ", s AS (SELECT min(value) AS l, max(value) AS h, (max(row)+8)//8 AS nr, (max(col)+8)//8 AS nc FROM ras_events), b AS (SELECT row, col, nr, nc, CAST(coalesce(least(255, floor((value-l)*256/nullif(h-l,0))),0) AS INT) AS bin FROM ras_events, s), n AS (SELECT row//8 AS tr, col//8 AS tc, bin, count(*) AS n FROM b GROUP BY ALL), a AS (SELECT *, sum(n) OVER (PARTITION BY tr, tc) AS al, least(n::DOUBLE, greatest(1.0::DOUBLE, sum(n) OVER (PARTITION BY tr, tc)*0.03::DOUBLE)) AS kept FROM n), c AS (SELECT tr, tc, bin, (sum(kept) OVER (PARTITION BY tr, tc ORDER BY bin)+(al-sum(kept) OVER (PARTITION BY tr, tc))*(bin+1)/256)/al AS cdf FROM a), p AS (SELECT row, col, bin, i, j, greatest(0,least(nr-1,floor((row+0.5)/8-0.5)+i)) AS tr, greatest(0,least(nc-1,floor((col+0.5)/8-0.5)+j)) AS tc, (CASE WHEN i=1 THEN (row+0.5)/8-0.5-floor((row+0.5)/8-0.5) ELSE 1-((row+0.5)/8-0.5-floor((row+0.5)/8-0.5)) END)*(CASE WHEN j=1 THEN (col+0.5)/8-0.5-floor((col+0.5)/8-0.5) ELSE 1-((col+0.5)/8-0.5-floor((col+0.5)/8-0.5)) END)::DOUBLE AS w FROM b, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j)), v AS (SELECT row, col, i, j, any_value(w) AS w, coalesce(max(cdf) FILTER (c.bin<=p.bin),0) AS level FROM p JOIN c ON c.tr=p.tr AND c.tc=p.tc GROUP BY row, col, i, j) SELECT row, col, round(sum(w*level)/sum(w),6) AS value FROM v GROUP BY 1, 2")
 _raster("r21_slant_correct", mapalgebra.slant_correct, "ras_events", ", m AS (SELECT col, avg(value) m FROM ras_events GROUP BY col), e AS (SELECT avg(CASE WHEN col<15 THEN m END) s0, avg(CASE WHEN col>=85 THEN m END) s1 FROM m) SELECT row, col, round(value*(s1+(s0-s1)*(col/99.0)),6) AS value FROM ras_events, e")
 _tworasters("r23_land_mask", lambda a, b: mapalgebra.apply_land_mask(a, b.withColumn("value", F.col("value") - 3)), "ras_events", "ras_class", "SELECT row, col, round(CASE WHEN c.value-3>0 THEN 0 ELSE e.value END,6) AS value FROM ras_events e JOIN ras_class c USING (row,col)")
 _add("r24_drop_land_points", lambda s, d: roi.drop_land(view(s, d, "ras_events").select("row", "col"), view(s, d, "ras_class").withColumn("value", F.col("value") - 2)), "SELECT row, col FROM ras_class WHERE value-2>0")
@@ -190,8 +190,26 @@ _add("p2_image_subset", lambda s, d: roi.fft_boxes(view(s, d, "ras_events"), _po
 _add("p17_radial_spectrum", lambda s, d: spectrum.compute(chain.tiles(view(s, d, "ras_events"), _points(s, d).select("point_id", "row", "col"), 8, 9)))
 _add("p18_wave_spectrum", lambda s, d: spectrum.compute(chain.tiles(view(s, d, "ras_events"), _points(s, d).select("point_id", "row", "col"), 8, 5), "Waves"))
 _add("sar_bathymetry_chain", lambda s, d: chain.run(view(s, d, "ras_events"), _points(s, d), size=8).select("point_id", "direction", "wavelength", "flag", "group", "tp", "bathymetry"))
-_add("i0_isodata", lambda s, d: classify.isodata(view(s, d, "ras_events"))[0].groupBy("cls").agg(F.count("*").alias("n")))
-_add("i0_isodata_classes", lambda s, d: classify.isodata(view(s, d, "ras_class"), classify.Isodata(k=5))[0].select("row", "col", "cls"))
+
+
+def _isodata_sql(source: str, k: int, final: str, rounds: int = 100) -> str:
+    """The classification's rounds as a recursion over the list of centres; merging needs more than 2 k centres, which don't arise here."""
+    nearest = "list_transform({c}, lambda x: abs(h.value-x))"
+    members = f"SELECT list_position({nearest}, list_min({nearest})) AS g, h.value, h.n FROM h"
+    kept = f"(SELECT list(s/(n+1) ORDER BY s/(n+1)) FROM (SELECT g, sum(n) AS n, sum(value*n) AS s FROM ({members.format(c='r.cen')}) GROUP BY g HAVING sum(n)>10))"
+    spread = f"(SELECT list({{'g': g, 'n': n, 'mean': d/(n+1), 'std': sqrt(q/n)}} ORDER BY g) FROM (SELECT g, sum(n) AS n, sum(abs(value-k.kept[g])*n) AS d, sum((value-k.kept[g])^2*n) AS q FROM ({members.format(c='k.kept')}) GROUP BY g))"
+    return f""", h AS MATERIALIZED (SELECT value, count(*) AS n FROM {source} WHERE value<>0 GROUP BY 1), r(it, cen, lab, stop) AS (
+        SELECT 0, list_transform(range({k}), lambda i: l+i*(u-l)/{k - 1}), NULL::DOUBLE[], false FROM (SELECT min(value) AS l, max(value) AS u FROM h)
+        UNION ALL SELECT it+1, nxt, cen, len(nxt)=len(cen) AND list_bool_and(list_transform(range(1,len(cen)+1), lambda i: abs(nxt[i]-cen[i])/(abs(cen[i])+1)<=0.01)) FROM (
+            SELECT it, cen, CASE WHEN len(kept)<={k}/2.0 AND w.std>10 AND w.mean>=total AND w.n>0.2 THEN list_sort(list_concat(list_filter(kept, lambda x, i: i<>w.g), [kept[w.g]-10, kept[w.g]+10])) ELSE kept END AS nxt FROM (
+                SELECT *, list_sum(list_transform(st, lambda x: x.n*x.mean))/list_sum(list_transform(st, lambda x: x.n)) AS total, list_extract(list_sort(list_transform(st, lambda x: {{'k': -x.std, 'g': x.g, 'x': x}})),1).x AS w FROM (
+                    SELECT k.*, {spread} AS st FROM (SELECT r.it, r.cen, {kept} AS kept FROM r WHERE NOT r.stop AND r.it<{rounds}) k)))),
+        f AS (SELECT lab FROM r ORDER BY it DESC LIMIT 1), o AS (SELECT row, col, CAST(CASE WHEN value<>0 THEN list_position(list_transform(lab, lambda x: abs(value-x)), list_min(list_transform(lab, lambda x: abs(value-x))))-1 ELSE -1 END AS INT) AS cls FROM {source}, f) {final}"""
+
+
+_add("i0_isodata", lambda s, d: classify.isodata(view(s, d, "ras_events"))[0].groupBy("cls").agg(F.count("*").alias("n")), _isodata_sql("ras_events", 15, "SELECT cls, count(*) AS n FROM o GROUP BY 1"), recursive=True)
+_add("i5_isodata_split", lambda s, d: classify.isodata(view(s, d, "ras_events"), classify.Isodata(k=60, iterations=6))[0].select("row", "col", "cls"), _isodata_sql("ras_events", 60, "SELECT row, col, cls FROM o", 6), recursive=True)
+_add("i0_isodata_classes", lambda s, d: classify.isodata(view(s, d, "ras_class"), classify.Isodata(k=5))[0].select("row", "col", "cls"), _isodata_sql("ras_class", 5, "SELECT row, col, cls FROM o"), recursive=True)
 _add("a6_initial_centres", lambda s, d: classify.initial_centres(view(s, d, "ras_events"), 15).select("i", F.round("centre", 6).alias("centre")), "SELECT CAST(i AS INT) AS i, round(l+i*(h-l)/14,6) AS centre FROM (SELECT min(value) l, max(value) h FROM ras_events), (SELECT unnest(range(15)) i)")
 K4 = ", k AS (SELECT value, CASE WHEN value<=35 THEN 0 WHEN value<=105 THEN 1 WHEN value<=275 THEN 2 ELSE 3 END AS cls FROM ras_events)"
 _add("a1_a3_a5_cluster_stats", lambda s, d: classify.cluster_stats(classify.histogram(view(s, d, "ras_events"), None), [10.0, 60.0, 150.0, 400.0]).select("cls", "n", F.round("centre", 6).alias("centre"), F.round("distance", 6).alias("distance"), F.round("std", 6).alias("std")), K4 + " SELECT CAST(cls AS INT) AS cls, CAST(count(*) AS BIGINT) AS n, round(sum(value)/(count(*)+1),6) AS centre, round(sum(abs(value-c))/(count(*)+1),6) AS distance, round(sqrt(sum((value-c)^2)/count(*)),6) AS std FROM (SELECT *, ([10.0,60.0,150.0,400.0])[cls+1]::DOUBLE AS c FROM k) GROUP BY 1")
