@@ -235,3 +235,13 @@ def _tiles(s: SparkSession, d: str) -> DataFrame:
 TILE = ", t AS (SELECT vec_id, i//8 AS r, i%8 AS c, v-avg(v) OVER (PARTITION BY vec_id) AS z, v FROM sig), k AS (SELECT a.y AS ky, b.x AS kx FROM (SELECT unnest(range(8)) AS y) a, (SELECT unnest(range(8)) AS x) b)"
 _add("p5_p7_image_spectrum", lambda s, d: spectrum.image_spectra(_tiles(s, d)).select(F.col("point_id").alias("vec_id"), "r", "c", F.round("p", 5).alias("p")), TILE + " SELECT vec_id, CAST(ky AS INT) AS r, CAST(kx AS INT) AS c, round(sum(z*cos(-2*pi()*((ky-4)*t.r+(kx-4)*t.c)/8))^2+sum(z*sin(-2*pi()*((ky-4)*t.r+(kx-4)*t.c)/8))^2,5) AS p FROM t, k GROUP BY 1,2,3")
 _add("p6_p15_image_filter", lambda s, d: spectrum.filtered_images(_tiles(s, d), 0.0).select(F.col("point_id").alias("vec_id"), "r", "c", F.round("value", 5).alias("value")), TILE + ", f AS (SELECT vec_id, ky, kx, 1/(1+(((kx-4)/8.0::DOUBLE/0.125)^2+((ky-4)/8.0::DOUBLE/0.05)^2)^2) AS h, sum(v*cos(-2*pi()*((ky-4)*t.r+(kx-4)*t.c)/8)) AS re, sum(v*sin(-2*pi()*((ky-4)*t.r+(kx-4)*t.c)/8)) AS im FROM t, k GROUP BY 1,2,3), g AS (SELECT vec_id, y.y AS r, x.x AS c, 2*pi()*((ky-4)*y.y+(kx-4)*x.x)/8 AS w, h*re AS re, h*im AS im FROM f, (SELECT unnest(range(8)) AS y) y, (SELECT unnest(range(8)) AS x) x) SELECT vec_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sqrt(sum(re*cos(w)-im*sin(w))^2+sum(re*sin(w)+im*cos(w))^2)/64,5) AS value FROM g GROUP BY 1,2,3")
+
+
+def _clusters(s: SparkSession, d: str) -> DataFrame:
+    return classify.cluster_stats(classify.histogram(view(s, d, "ras_events"), None), [10.0, 60.0, 150.0, 400.0])
+
+
+CENTRES = ", k AS (SELECT value, CASE WHEN value<=35 THEN 0 WHEN value<=105 THEN 1 WHEN value<=275 THEN 2 ELSE 3 END AS cls FROM ras_events), c AS (SELECT CAST(cls AS INT) AS cls, sum(value)/(count(*)+1) AS m FROM k GROUP BY 1)"
+_add("t3_closest_pairs", lambda s, d: classify.closest(classify.centre_pairs(_clusters(s, d)), 2, 90.0).select("i", "j", F.round("d", 6).alias("d")), CENTRES + ", p AS (SELECT a.cls AS i, b.cls AS j, abs(a.m-b.m) AS d FROM c a JOIN c b ON a.cls>b.cls ORDER BY d, i, j LIMIT 2) SELECT i, j, round(d,6) AS d FROM p WHERE d<90")
+_add("t2_ranked_centres", lambda s, d: classify.ranked(_clusters(s, d).withColumn("centre", -F.col("centre"))).select("rank", "cls", F.round("centre", 6).alias("centre")), CENTRES + " SELECT CAST(row_number() OVER (ORDER BY -m, cls)-1 AS INT) AS rank, cls, round(-m,6) AS centre FROM c")
+_add("v12_grid_nodes", lambda s, d: gridding.grid(s, 250, 250, -180, -90, 180, 90).select("row", "col", F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy")), "SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(-180+(c+0.5::DOUBLE)*360/250,6) AS gx, round(-90+(r+0.5::DOUBLE)*180/250,6) AS gy FROM (SELECT unnest(range(250)) AS r) CROSS JOIN (SELECT unnest(range(250)) AS c)")

@@ -81,6 +81,18 @@ def centre_pairs(clusters: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.col("i") > F.col("j")).select("i", "j", F.abs(F.col("x") - F.col("y")).alias("d"))
 
 
+def closest(pairs: DataFrame, most: int, below: float) -> DataFrame:
+    """The ``most`` closest pairs, of equal ones the lowest, that are nearer than ``below``."""
+    return pairs.orderBy("d", "i", "j").limit(most).where(F.col("d") < below)
+
+
+def ranked(clusters: DataFrame) -> DataFrame:
+    """Clusters by ascending centre: (rank, cls, centre). They are as few as the parameter k allows."""
+    from pyspark.sql.window import Window
+
+    return clusters.select((F.row_number().over(Window.orderBy("centre", "cls")) - 1).alias("rank"), "cls", "centre")
+
+
 def isodata(raster: DataFrame, p: Isodata = Isodata()) -> tuple[DataFrame, list[float]]:
     """(raster with cls, centres of the last assignment). Nodata and null pixels are class -1.
 

@@ -317,3 +317,30 @@ def test_tiff_written_and_read(spark, tmp_path):
     assert sorted(map(tuple, files.scan_bathymetry_grid(spark, str(tmp_path / "flat.npz")).collect())) == [(1, 2, None), (4, 5, None)]
     with pytest.raises(ValueError):
         files.scan_bathymetry_grid(spark, "grid.csv")
+
+
+def test_wrong_inputs_raise():
+    import io
+    import zipfile
+
+    from strandline.operators import bathymetry
+
+    for limits in ((10, 0, 5, 1), (-190, 0, 5, 1), (0, 5, 1, 2), (0, 0, 1, 95)):
+        with pytest.raises(ValueError):
+            mapalgebra.check_limits(*limits)
+    mapalgebra.check_limits(-10, -5, 10, 5)
+    with pytest.raises(ValueError):
+        bathymetry.check_inputs(False, 0)
+    bathymetry.check_inputs(True, 0)
+    bathymetry.check_inputs(False, 16.6)
+    with pytest.raises(ValueError):
+        roi.polygon([(0.0, 0.0)])
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a/product.xml", b"<x/>")
+        z.writestr("b.tif", b"t")
+        z.writestr("c.tif", b"u")
+    assert files.open_product(box.getvalue(), "*product.xml") == b"<x/>"
+    for pattern in ("*.tif", "*.nc"):
+        with pytest.raises(ValueError):
+            files.open_product(box.getvalue(), pattern)
