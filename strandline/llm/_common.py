@@ -111,7 +111,7 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
 
 
 #: Bytes of features that a training sample may hold on the driver.
-SAMPLE_BYTES = 96 << 20
+SAMPLE_BYTES = 48 << 20
 
 
 def sampled_features(sample: DataFrame, make: Callable[[], Callable], keep: list[str], max_bytes: int = SAMPLE_BYTES) -> list:
@@ -136,8 +136,8 @@ def sampled_features(sample: DataFrame, make: Callable[[], Callable], keep: list
 
 
 def sparse(rows: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, values) of rows of ``sampled_features``."""
-    return [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f4").astype(float)) for r in rows]
+    """(places, values) of rows of ``sampled_features``, as views of their bytes."""
+    return [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4")) for r in rows]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

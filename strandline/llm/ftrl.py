@@ -28,10 +28,9 @@ class Ftrl:
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, seed: int = 7) -> np.ndarray:
         rng = np.random.default_rng(seed)
-        rows = [(np.append(i, self.dim), np.append(v, 1.0)) for i, v in rows]
         for _ in range(epochs):
             for r in rng.permutation(len(rows)):
-                at, x = rows[r]
+                at, x = np.append(rows[r][0], self.dim), np.append(rows[r][1], 1.0)
                 w = self.weights(at)
                 s = x @ w
                 if self.outputs == 1:

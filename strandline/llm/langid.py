@@ -95,7 +95,7 @@ def train(documents: DataFrame, usable, bits: int = 16, max_rows: int = 3000, ma
     y = np.array([languages.index(r["lang"]) for r in got])
     seen = np.bincount(np.concatenate([a for a, _ in rows]), minlength=1 << bits)
     idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    rows = [(a, 10 * x * idf[a]) for a, x in rows]
+    rows = [(a, (10 * x * idf[a]).astype(np.float32)) for a, x in rows]
     kept = int(len(rows) * (1 - aside)) or len(rows)
     order = np.random.default_rng(3).permutation(len(rows))
     w = Ftrl(1 << bits, len(languages), alpha=0.5, l1=0.002, l2=0.002).fit([rows[i] for i in order[:kept]], y[order[:kept]], epochs)

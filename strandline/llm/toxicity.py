@@ -64,8 +64,8 @@ class Sparse:
         lengths = np.array([len(a) for a, _ in rows], np.int64)
         self.columns, self.ends = columns, np.cumsum(lengths)
         self.starts = self.ends - lengths
-        self.at = np.concatenate([a for a, _ in rows]) if rows else np.empty(0, np.int64)
-        self.x = np.concatenate([x for _, x in rows]) if rows else np.empty(0)
+        self.at = np.concatenate([a for a, _ in rows]).astype(np.int32) if rows else np.empty(0, np.int32)
+        self.x = np.concatenate([x for _, x in rows]).astype(np.float32) if rows else np.empty(0, np.float32)
 
     def __len__(self) -> int:
         return len(self.ends)
