@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, jaccard, langid, pieces, pii, quality, toxicity, warc, wrapper
-from ._common import held_out, shared_dir
+from ._common import held_out, tables
 
 
 def tokenizer_path() -> str:
@@ -48,7 +48,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/strandline/warc-{uuid.uuid4().hex}"
+    path = f"{tables(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.report(warc.read_archive(spark, path))
 

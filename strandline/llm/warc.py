@@ -86,7 +86,7 @@ def describe(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least: int =
 def write_archive(pages: DataFrame, path: str, **options) -> None:
     """Writes ``path``/headers (a row for each record, by ``describe``) and ``path``/payloads (a row for each distinct payload that headers don't hold: digest, payload).
 
-    Repeated payloads meet per task before the shuffle; one digest's row count doesn't matter, as partial aggregation leaves one a task.
+    Null html and url, repeated rows and empty tables are as in ``describe``. Repeated payloads meet per task before the shuffle; one digest's row count doesn't matter, as partial aggregation leaves one a task.
     """
     describe(pages, **options).write.mode("overwrite").parquet(f"{path}/headers")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
