@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, jaccard, pieces, pii, quality
-from strandline.llm._common import held_out, shared_dir
+from strandline.llm._common import held_out, tables
 from strandline.llm.queries import table, tokenizer_path
 
 
@@ -60,7 +60,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/strandline/pipeline-{uuid.uuid4().hex}"
+    base = f"{tables(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
