@@ -69,6 +69,22 @@ class Tree:
         return [i for i, name in enumerate(self.name) if name == LINE and i]
 
 
+class Trees(dict):
+    """Trees by their packed bytes, remembered up to a number of bytes."""
+
+    def __init__(self, most: int = 1 << 20):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def __missing__(self, data: bytes) -> Tree:
+        if self.held + len(data) > self.most:
+            self.clear()
+            self.held = 0
+        self.held += len(data)
+        tree = self[data] = Tree.unpack(data)
+        return tree
+
+
 def _rows(a: list, b: list) -> list[int]:
     """For each prefix of ``a`` the bit vector whose zeros among the first j bits count the common subsequence with ``b[:j]``."""
     masks: dict = {}

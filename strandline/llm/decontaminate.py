@@ -22,6 +22,8 @@ BLOCK_CHARS = 8_000_000
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Bits of the table that tells most windows of a text from those of the benchmark before the search.
 SIEVE = 22
+#: Windows whose words and items are remembered at one time.
+KNOWN = 50_000
 _WORDS = WordHashes([c for c in range(256) if NORMAL[c] == 32])
 
 
@@ -72,6 +74,8 @@ class WindowSet:
         """For the windows of this hash: their words, and the items that hold them."""
         found = self.known.get((width, value))
         if found is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
             _, hashed, starts, ends, owners = self.windows[width]
             low, high = (int(np.searchsorted(hashed, np.uint64(value), side)) for side in ("left", "right"))
             sets: dict[bytes, set[str]] = {}

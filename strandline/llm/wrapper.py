@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import derive, materialise
-from .align import LINE, Tree, digest, line_keys
+from .align import LINE, Tree, Trees, digest, line_keys
 from .dom import BLOCK, RAW, Node, decoded, parse, squeezed
 
 #: A line is template from so many distinct pages on, and from this share of them all.
@@ -152,18 +152,15 @@ def wrappers(pages: DataFrame, support: int = SUPPORT, share: float = SHARE, mos
     base = materialise(base, "html-bases")
 
     def aligned():
-        last: dict = {}
+        known_bases = Trees()
 
         def run(trees, bases, sizes):
             found = []
             for data, known, size in zip(trees, bases, sizes, strict=True):
                 page = Tree.unpack(data)
-                if known is not None and known not in last:
-                    last.clear()
-                    last[known] = Tree.unpack(known)
                 # a line counts once a page
                 at_host = dict(zip(line_keys(None, page), size, strict=True))
-                at_key = dict(zip(line_keys(last[known], page), size, strict=True)) if known is not None else {}
+                at_key = dict(zip(line_keys(known_bases[known], page), size, strict=True)) if known is not None else {}
                 found.append((list(at_host), list(at_host.values()), list(at_key), list(at_key.values())))
             return list(zip(*found, strict=True))
 
@@ -208,7 +205,7 @@ def main_text(pages: DataFrame, **options) -> DataFrame:
         return whole.withColumn("n_chars", F.length("text").cast("long"))
 
     def kept():
-        last: dict = {}
+        known_bases = Trees()
 
         def run(trees, bases, templates):
             out = []
@@ -216,11 +213,8 @@ def main_text(pages: DataFrame, **options) -> DataFrame:
                 if template is None:
                     out.append(None)
                     continue
-                if known not in last:
-                    last.clear()
-                    last[known] = None if known is None else Tree.unpack(known)
                 page, constant = Tree.unpack(data), set(template)
-                out.append([k not in constant and h not in constant for k, h in zip(line_keys(last[known], page), line_keys(None, page), strict=True)])
+                out.append([k not in constant and h not in constant for k, h in zip(line_keys(None if known is None else known_bases[known], page), line_keys(None, page), strict=True)])
             return [out]
 
         return run
