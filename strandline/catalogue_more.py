@@ -222,7 +222,7 @@ _add("k15_provenance", _provenance, "SELECT 'linear' AS \"InterpolationMethod\",
 
 _add("j11_t3_centre_pairs", lambda s, d: classify.centre_pairs(classify.cluster_stats(classify.histogram(view(s, d, "ras_events"), None), [10.0, 60.0, 150.0, 400.0])).select("i", "j", F.round("d", 6).alias("d")), ", k AS (SELECT value, CASE WHEN value<=35 THEN 0 WHEN value<=105 THEN 1 WHEN value<=275 THEN 2 ELSE 3 END AS cls FROM ras_events), c AS (SELECT CAST(cls AS INT) AS cls, sum(value)/(count(*)+1) AS m FROM k GROUP BY 1) SELECT a.cls AS i, b.cls AS j, round(abs(a.m-b.m),6) AS d FROM c a JOIN c b ON a.cls>b.cls")
 _add("a11_influence_radius", lambda s, d: stats.influence_radius(stats.radial_profile(view(s, d, "ras_events"), 5, 50), 0.01), ", p AS (SELECT CAST(round_even(sqrt((col-50)^2+(row-5)^2),0) AS INT) AS r, avg(value) AS mean FROM ras_events GROUP BY 1 HAVING round_even(sqrt((any_value(col)-50)^2+(any_value(row)-5)^2),0)>0), t AS (SELECT max(mean) AS top FROM p) SELECT arg_max(r, (mean, -r)) AS peak, round(2*pi()/0.01/min(r) FILTER (mean>0.2*top)/10)*10 AS longest, floor(2*pi()/0.01/max(r) FILTER (mean>0.2*top)/10)*10 AS shortest, floor(2*pi()/0.01/max(r) FILTER (mean>0.05*top)/10)*10 AS \"limit\" FROM p, t")
-_add("r38_utm", lambda s, d: view(s, d, "pts").where("abs(y) < 80").select("fid", *[F.round(c, 2).alias(n) for c, n in zip(mapalgebra.utm(F.col("x") / 60 - 9, F.col("y"), 29), ("e", "n"), strict=True)]), UTM := """, p AS (SELECT fid, radians(y) AS phi, radians(x/60-9+9) AS lam FROM pts WHERE abs(y)<80), c AS (SELECT *, 0.0016792203863837047 AS n FROM p),
+_add("r38_utm", lambda s, d: view(s, d, "pts").where("abs(y) < 80").select("fid", *[F.round(c, 2).alias(n) for c, n in zip(mapalgebra.utm(F.col("x") / 60 - 9, F.col("y"), 29), ("e", "n"), strict=True)]), """, p AS (SELECT fid, radians(y) AS phi, radians(x/60-9+9) AS lam FROM pts WHERE abs(y)<80), c AS (SELECT *, 0.0016792203863837047 AS n FROM p),
     t AS (SELECT *, sinh(atanh(sin(phi))-(2*sqrt(n)/(1+n))*atanh((2*sqrt(n)/(1+n))*sin(phi))) AS t FROM c), q AS (SELECT *, atan2(t,cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+t*t)) AS eta, n/2-2*n^2/3+5*n^3/16 AS a1, 13*n^2/48-3*n^3/5 AS a2, 61*n^3/240 AS a3, 0.9996*6378137/(1+n)*(1+n^2/4+n^4/64) AS k FROM t)
     SELECT fid, round(500000+k*(eta+a1*cos(2*xi)*sinh(2*eta)+a2*cos(4*xi)*sinh(4*eta)+a3*cos(6*xi)*sinh(6*eta)),2) AS e, round(k*(xi+a1*sin(2*xi)*cosh(2*eta)+a2*sin(4*xi)*cosh(4*eta)+a3*sin(6*xi)*cosh(6*eta)),2) AS n FROM q""")
 
