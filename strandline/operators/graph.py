@@ -75,9 +75,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
         hub = max(HUB, 2 * now[0] // HUBS)
         both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d"), "least")
-        large = materialise(_told(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d"), "least", 2 * now[0])
+        large = materialise(_told(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars", 2 * now[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
         small = _told(large, least, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        stars = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        stars = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges", 3 * now[0])
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(stars.select("v", "v").distinct())

@@ -25,10 +25,17 @@ def tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it again, so a lost executor costs one read. ``clear`` deletes what was written."""
+#: Rows of two or three numbers that make one file.
+ROWS_A_FILE = 250_000
+
+
+def materialise(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it again, so a lost executor costs one read. ``clear`` deletes what was written.
+
+    A narrow table of at most ``most`` rows, where that is known, goes into as few files as they fill, eight at least.
+    """
     path = f"{tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if most is None else df.coalesce(max(8, -(-most // ROWS_A_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
