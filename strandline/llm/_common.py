@@ -39,6 +39,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
+def _freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, Arrow returns the memory that it keeps for more, as idle workers stay."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def derive(df: DataFrame, make: Callable[[], Callable], inputs: list[str], out: str, keep: list[str] | None = None, rows: int = ROWS) -> DataFrame:
     """Adds the columns ``out`` (DDL) that the function from ``make()`` computes from lists of the ``inputs``; ``keep`` (default: all) stay.
 
@@ -55,7 +61,7 @@ def derive(df: DataFrame, make: Callable[[], Callable], inputs: list[str], out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in _freed(batches):
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
                 new = compute(*[part.column(i).to_pylist() for i in at])
@@ -81,7 +87,7 @@ def generate(df: DataFrame, make: Callable[[], Callable], out: str, rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tuples() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in _freed(batches):
                 for start in range(0, batch.num_rows, ROWS):
                     yield from zip(*[c.to_pylist() for c in batch.slice(start, ROWS).columns], strict=True)
 
@@ -171,7 +177,7 @@ SHINGLE = 5
 
 
 #: Bytes of text that are hashed at one time, up to the next white space.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 class WordHashes:

@@ -38,8 +38,8 @@ SMALL, INNER_PIVOTS = 12, 8
 HOLDERS = 1_000_000
 #: Documents and shingles after which a blob is full; a number of a document in its blob has 16 bits.
 BLOB_SETS, BLOB_SHINGLES = 2048, 500_000
-#: Bytes of text whose shingles make one range of hashes.
-RANGE_BYTES = 16 << 20
+#: Bytes of text whose shingles make one range of hashes; and entries of a range that are counted at one time.
+RANGE_BYTES, STEP = 64 << 20, 400_000
 #: Shingles that a leaf may hold in all; a split that puts a set into more regions than ``WIDE`` on average doesn't help, and blocks follow.
 LEAF_SHINGLES, WIDE = 2_000_000, 4
 
@@ -146,10 +146,40 @@ def _dealt(documents: DataFrame, n: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, schema).repartition(n, "bucket")
 
 
+def _before(piece: bytes, value: np.uint64) -> int:
+    """How many of the sorted 48-bit values are below ``value``, by bisection of the bytes."""
+    low, high = 0, len(piece) // 6
+    while low < high:
+        middle = (low + high) // 2
+        if int.from_bytes(piece[6 * middle : 6 * middle + 6], "little") < value:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+def _counted(pieces: list[bytes], counts: list[np.ndarray]) -> Iterator[tuple[int, tuple]]:
+    """For each piece that has entries: its number, its shingles that two or more sets hold, the counts of all its entries, which of them are shared, and the shared ones' frequencies."""
+    ends = np.cumsum([len(p) // 6 for p in pieces]).tolist()
+    shingle, count = _from_six(pieces), np.concatenate(counts)
+    if not len(shingle):
+        return
+    order = np.argsort(shingle, kind="stable")  # the pieces are sorted, so this merges them
+    first = _distinct(shingle[order])
+    total = np.add.reduceat(count[order].astype(np.uint32), first)
+    frequency = np.empty(len(shingle), np.uint32)
+    frequency[order] = np.repeat(total, np.diff(np.append(first, len(shingle))))
+    for i, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        if high > low:
+            wanted = frequency[low:high] >= 2
+            yield i, (shingle[low:high][wanted], count[low:high], wanted, frequency[low:high][wanted])
+
+
 def _shared(dealt: DataFrame) -> DataFrame:
     """The rows of ``_dealt`` with only those shingles that two or more sets hold, and their frequencies. Copies of a set in other blobs count too, which at most keeps more.
 
-    A task holds the distinct hashes of each blob in its range, whose size ``_ranges`` sets by the measured bytes of text; a shingle of all sets is one entry a blob.
+    A task holds the distinct hashes of each blob in its range, packed, whose size ``_ranges`` sets by the measured bytes of text; a shingle of all sets is one entry a
+    blob. It counts about STEP entries at a time, from the lowest on.
     """
     schema = parse("blob binary, shingles binary, counts binary, owners binary, frequencies binary, ids array<long>, marks array<long>, sizes array<int>, set_keys array<binary>")
     types = arrow_schema(schema)
@@ -168,24 +198,27 @@ def _shared(dealt: DataFrame) -> DataFrame:
             pieces += rest.column("shingles").to_pylist()
         if not blobs:
             return
-        ends = np.cumsum([len(p) // 6 for p in pieces]).tolist()
-        shingle = _from_six(pieces)
-        pieces.clear()
-        count = np.frombuffer(b"".join(counts), "<u2")
-        order = np.argsort(shingle, kind="stable")  # the pieces are sorted, so this merges them
-        first = _distinct(shingle[order])
-        total = np.add.reduceat(count[order].astype(np.uint32), first)
-        frequency = np.empty(len(shingle), np.uint32)
-        frequency[order] = np.repeat(total, np.diff(np.append(first, len(shingle))))
-        del order, first, total
-        for i, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-            wanted = frequency[low:high] >= 2
-            if wanted.any():
-                own, often = count[low:high], frequency[low:high][wanted]
-                who = np.frombuffer(owners[i], "<u2")[np.repeat(wanted, own)]
-                values = [blobs[i]], [_six(shingle[low:high][wanted]).tobytes()], [own[wanted].tobytes()], [who.tobytes()], [often.astype("<u4").tobytes()], [None], [None], [None], [None]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(values, types, strict=True)], schema=types)
-            owners[i] = None
+        steps = -(-sum(map(len, pieces)) // (6 * STEP))
+        low = min(int(_from_six([p[:6]])[0]) for p in pieces)
+        high = max(int(_from_six([p[-6:]])[0]) for p in pieces)
+        cuts = np.array([low + (high - low + 1) * i // steps for i in range(1, steps)], np.uint64)
+        begun, told = [0] * len(pieces), [0] * len(pieces)  # entries and owners of each piece that are done
+        for step in range(steps):
+            parts, counted = [], []
+            for i, piece in enumerate(pieces):
+                rest = piece[6 * begun[i] :]
+                n = len(rest) // 6 if step == steps - 1 else _before(rest, cuts[step])
+                parts.append(rest[: 6 * n])
+                counted.append(np.frombuffer(counts[i], "<u2", n, 2 * begun[i]))
+                begun[i] += n
+            for i, values in _counted(parts, counted):
+                shared, own, wanted, often = values
+                who = np.frombuffer(owners[i], "<u2", int(own.sum()), 2 * told[i])
+                told[i] += len(who)
+                if wanted.any():
+                    row = [blobs[i]], [_six(shared).tobytes()], [own[wanted].tobytes()], [who[np.repeat(wanted, own)].tobytes()], [often.astype("<u4").tobytes()], [None], [None], [None], [None]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(row, types, strict=True)], schema=types)
+        pa.default_memory_pool().release_unused()
 
     return dealt.mapInArrow(run, schema)
 
