@@ -116,53 +116,68 @@ def united(spans) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of at most ``block_chars`` characters (an item longer than that is a block), each fetched when it is asked for. Items without id or text are left out."""
+def _marked(benchmark: DataFrame, block_chars: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The blocks, each with whether it is the last one."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
     held, size = [], 0
     for row in items.toLocalIterator():
         if held and size + len(row[1]) > block_chars:
-            yield held
+            yield held, False
             held, size = [], 0
         held.append((row[0], row[1]))
         size += len(row[1])
-    yield held
+    yield held, True
 
 
-SPANS = "n_words long, word_starts array<int>, word_ends array<int>, items array<string>"
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
+    """Items in blocks of at most ``block_chars`` characters (an item longer than that is a block), each fetched when it is asked for. Items without id or text are left out."""
+    return (held for held, _ in _marked(benchmark, block_chars))
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, size: int = SIZE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Adds n_words, word_starts and word_ends (the united hit spans, end exclusive) and items (sorted ids of items with an occurring window).
+FOUND = ["n_words", "word_starts", "word_ends", "items"]
+SPANS = "n_words long, word_starts array<int>, word_ends array<int>, items array<string>"
 
-    Null and empty texts have no words and no hits; repeated rows give equal results; an empty benchmark gives no hits; extra columns stay.
-    """
+
+def _scanned(documents: DataFrame, benchmark: DataFrame, keep: list[str], size: int, block_chars: int, out: str, finish) -> DataFrame:
+    """The columns ``keep`` and what ``finish`` makes of a text, its number of words, its spans and its items, in the pass that scans the last block."""
     spark = documents.sparkSession
-    keep = documents.columns if keep is None else keep
-    out = documents.withColumns({"n_words": F.lit(None).cast("long"), "word_starts": F.array().cast("array<int>"), "word_ends": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    first = True
-    for block in blocks(benchmark, block_chars):
-        if not first:
-            out = materialise(out, "hits")
-        first = False
+    rows, known = documents, False
+    for block, last in _marked(benchmark, block_chars):
         shared = spark.sparkContext.broadcast(WindowSet(block, size))
 
-        def make(shared=shared):
+        def make(shared=shared, known=known, last=last):
             windows = shared.value
 
-            def run(texts, starts, ends, items):
-                columns = [[], [], [], []]
-                for text, s, e, known in zip(texts, starts, ends, items, strict=True):
-                    n, spans, found = windows.scan(text)
-                    spans = united([*spans, *zip(s, e, strict=True)])
-                    for column, value in zip(columns, (n, [x[0] for x in spans], [x[1] for x in spans], sorted(found.union(known))), strict=True):
-                        column.append(value)
-                return columns
+            def run(texts, starts=None, ends=None, items=None):
+                found = []
+                for k, text in enumerate(texts):
+                    n, spans, names = windows.scan(text)
+                    if known:
+                        spans, names = united([*spans, *zip(starts[k], ends[k], strict=True)]), names.union(items[k])
+                    found.append(finish(text, n, spans, sorted(names)) if last else _spans(text, n, spans, sorted(names)))
+                return list(zip(*found, strict=True))
 
             return run
 
-        out = derive(out, make, ["text", "word_starts", "word_ends", "items"], SPANS)
-    return out.select(*[F.col(f"`{c}`") for c in keep if c not in ("n_words", "word_starts", "word_ends", "items")], "n_words", "word_starts", "word_ends", "items")
+        inputs = ["text", *FOUND[1:]] if known else ["text"]
+        if last:
+            return derive(rows, make, inputs, out, keep)
+        rows = materialise(derive(rows, make, inputs, SPANS), "hits")
+        known = True
+    raise AssertionError("there is always a last block")
+
+
+def _spans(text, n: int, spans: list[tuple[int, int]], items: list[str]) -> tuple:
+    return n, [s for s, _ in spans], [e for _, e in spans], items
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, size: int = SIZE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Adds n_words, word_starts and word_ends (the united hit spans, end exclusive) and items (sorted ids of items with an occurring window).
+
+    Null and empty texts have no words and no hits; repeated rows give equal results; an empty benchmark gives no hits; extra columns stay, but for those of these names.
+    """
+    keep = documents.columns if keep is None else keep
+    return _scanned(documents, benchmark, [c for c in keep if c not in FOUND], size, block_chars, SPANS, _spans)
 
 
 def report(documents: DataFrame, benchmark: DataFrame, least_items: int = 2, **options) -> DataFrame:
@@ -182,25 +197,22 @@ def clean(documents: DataFrame, benchmark: DataFrame, least_items: int = 2, **op
     Null and empty texts stay, repeated rows are treated alike, and columns named as those of ``hits`` keep their values.
     """
     columns = documents.columns
-    sent = documents.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)], "text")
-    found = hits(sent, benchmark, **options).where(F.size("items") < least_items)
-
-    def make():
-        def cut(text, starts, ends):
-            if text is None or not starts:
-                return text
-            at = [m.span() for m in WORD.finditer(text)]
-            parts, last = [], 0
-            for s, e in zip(starts, ends, strict=True):
-                parts.append(text[last : at[s][0]])
-                last = at[e - 1][1]
-            return "".join([*parts, text[last:]])
-
-        return lambda texts, starts, ends: [[cut(*x) for x in zip(texts, starts, ends, strict=True)]]
-
-    changed = derive(found, make, ["text", "word_starts", "word_ends"], "text string")
-    values = {c: F.col(f"__c{i}") for i, c in enumerate(columns)}
-    values["text"] = F.col("text")
-    if "n_chars" in columns:
-        values["n_chars"] = F.when(F.size("word_starts") > 0, F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(values["n_chars"])
-    return changed.select(*[v.alias(c) for c, v in values.items()])
+    others = {c: f"c{i}" for i, c in enumerate(columns) if c != "text"}
+    sent = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in others.items()], "text")
+    size, block_chars = options.get("size", SIZE), options.get("block_chars", BLOCK_CHARS)
+
+    def cut(text, n, spans, items):
+        if text is None or not spans:
+            return text, len(items), False
+        at = [m.span() for m in WORD.finditer(text)]
+        parts, last = [], 0
+        for s, e in spans:
+            parts.append(text[last : at[s][0]])
+            last = at[e - 1][1]
+        return "".join([*parts, text[last:]]), len(items), True
+
+    changed = _scanned(sent, benchmark, list(others.values()), size, block_chars, "text string, found int, cut boolean", cut).where(F.col("found") < least_items)
+    values = {c: F.col(p) for c, p in others.items()} | {"text": F.col("text")}
+    if "n_chars" in others:
+        values["n_chars"] = F.when(F.col("cut"), F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(values["n_chars"])
+    return changed.select(*[values[c].alias(c) for c in columns])
