@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from ._common import derive
 
 SPACE = "▁"
-NORMAL, CONTROL, BYTE = 1, 3, 6
+NORMAL, BYTE = 1, 6
 LETTER = re.compile(r"[^\W\d_]")
 
 
 class PieceModel:
     """A merge-type model, from the bytes of its file. Raises ValueError for other types, other normalisation or a vocabulary without byte fallback."""
 
-    def __init__(self, data: bytes, chunks: int = 100_000, pairs: int = 300_000):
+    def __init__(self, data: bytes, chunks: int = 250_000, pairs: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -43,8 +43,6 @@ class PieceModel:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.begin, self.end = trainer.bos_id, trainer.eos_id
-        self._kind = np.array(self.kinds, np.int8)
-        self._spaced = [p.replace(SPACE, " ") for p in self.pieces]
         self._known: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._signs = {p for p in self.ids if len(p) == 1}
@@ -161,14 +159,6 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """Joins the pieces: control ids vanish, runs of byte ids become UTF-8 text, the first piece loses one leading space."""
-        ids = np.asarray(ids, np.int64)
-        kind = self._kind[ids]
-        if (kind == CONTROL).any():
-            ids, kind = ids[kind != CONTROL], kind[kind != CONTROL]
-        ids = ids.tolist()
-        if (kind == NORMAL).all():  # most texts
-            text = "".join([self._spaced[i] for i in ids])
-            return text[1:] if text[:1] == " " else text
         out, held, first = [], bytearray(), True
         pieces, kinds = self.pieces, self.kinds
         for i in ids:
@@ -223,7 +213,7 @@ def encode(documents: DataFrame, model_path: str, keep: list[str] | None = None,
 
         def run(texts):
             ids = [np.frombuffer(model.encode_bytes(t or ""), "<u4").astype(np.int32) for t in texts]
-            return [[len(x) for x in ids], ids, *([[model.decode(x) for x in ids]] if decoded else [])]
+            return [[len(x) for x in ids], ids, *([[model.decode(x.tolist()) for x in ids]] if decoded else [])]
 
         return run
 
@@ -245,7 +235,7 @@ def digests(documents: DataFrame, model_path: str) -> DataFrame:
                 data = model.encode_bytes(text or "")
                 counts.append(len(data) // 4)
                 of_ids.append(sha256(data).hexdigest())
-                of_texts.append(sha256(model.decode(np.frombuffer(data, "<u4")).encode("utf-8", "surrogatepass")).hexdigest())
+                of_texts.append(sha256(model.decode(np.frombuffer(data, "<u4").tolist()).encode("utf-8", "surrogatepass")).hexdigest())
             return [counts, of_ids, of_texts]
 
         return run
