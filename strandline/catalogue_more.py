@@ -121,7 +121,7 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("p24_zero_padding", lambda s, d: _signals(s, d).select("vec_id", lines.zero_padded(F.col("y"), 128).alias("y"), lines.extended(F.col("x"), 128).alias("x")).select("vec_id", F.posexplode(F.arrays_zip("x", "y")).alias("i", "p")).select("vec_id", "i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")), "SELECT v.vec_id, CAST(i.i AS INT) AS i, round(i.i*2.5::DOUBLE,6) AS x, round(coalesce(g.v,0),6) AS y FROM (SELECT DISTINCT vec_id FROM sig) v CROSS JOIN (SELECT unnest(range(128)) AS i) i LEFT JOIN sig g ON g.vec_id=v.vec_id AND g.i=i.i")
-_add("p25_distance_axis", lambda s, d: _drawn(s, d).select("point_id", F.posexplode(lines.distances(lines.edges(F.col("line"), 64, 48), F.lit(5), 10.0)).alias("i", "x")).select("point_id", "i", F.round("x", 5).alias("x")), LINE + ", q AS (SELECT *, least(b,63*a+b) AS lo, greatest(b,63*a+b) AS hi FROM k), e AS (SELECT point_id, CASE WHEN lo<0 THEN round_even(-b/a,0) ELSE 0 END AS x1, CASE WHEN lo<0 THEN 0 ELSE round_even(b,0) END AS y1, CASE WHEN hi>47 THEN round_even((47-b)/a,0) ELSE 63 END AS x2, CASE WHEN hi>47 THEN 47 ELSE round_even(63*a+b,0) END AS y2 FROM q) SELECT point_id, CAST(i AS INT) AS i, round(i*sqrt((x2-x1)^2+(y2-y1)^2)*10/4,5) AS x FROM e, (SELECT unnest(range(5)) AS i)")
+_add("p25_distance_axis", lambda s, d: _drawn(s, d).select("point_id", F.posexplode(lines.distances(lines.edges(F.col("line"), 64, 48), F.lit(5), 10.0)).alias("i", "x")).select("point_id", "i", (F.round(F.col("x") * 1e5) / 1e5).alias("x")), LINE + ", q AS (SELECT *, least(b,63*a+b) AS lo, greatest(b,63*a+b) AS hi FROM k), e AS (SELECT point_id, CASE WHEN lo<0 THEN round_even(-b/a,0) ELSE 0 END AS x1, CASE WHEN lo<0 THEN 0 ELSE round_even(b,0) END AS y1, CASE WHEN hi>47 THEN round_even((47-b)/a,0) ELSE 63 END AS x2, CASE WHEN hi>47 THEN 47 ELSE round_even(63*a+b,0) END AS y2 FROM q) SELECT point_id, CAST(i AS INT) AS i, round(i*sqrt((x2-x1)^2+(y2-y1)^2)*10/4,5) AS x FROM e, (SELECT unnest(range(5)) AS i)")
 _add("p8_spectrum_range", lambda s, d: _signals(s, d).select("vec_id", F.round(lines.spectrum_range(F.col("y"), F.col("x"), F.lit(31.5), F.lit(4)), 6).alias("k")), ", g AS (SELECT vec_id, max(v) AS a, max(i)*2.5::DOUBLE AS b FROM sig WHERE i BETWEEN 17 AND 44 GROUP BY 1) SELECT vec_id, round(greatest(abs(a),abs(b)),6) AS k FROM g")
 _add("u3_p11_half_domains", lambda s, d: lines.half_domains(view(s, d, "sig").select(F.col("vec_id").alias("key"), (F.col("i") * 6 - F.floor(F.col("i") / 61) * 6).cast("double").alias("theta"), "v").groupBy("key", "theta").agg(F.max("v").alias("v")), 200.0).select("key", "part", "theta", F.round("v", 6).alias("v")), ", t AS (SELECT vec_id AS key, CAST(i*6-floor(i/61)*6 AS DOUBLE) AS theta, max(v) AS v FROM sig GROUP BY 1,2) SELECT key, CAST(1 AS INT) AS part, theta, round(v,6) AS v FROM t WHERE theta BETWEEN 110 AND 290 UNION ALL SELECT key, CAST(2 AS INT), theta, round(arg_min(v,turn),6) FROM (SELECT key, theta, v, 0 AS turn FROM t WHERE theta>=290 UNION ALL SELECT key, theta+360, v, 1 FROM t WHERE theta<=110) GROUP BY key, theta")
 _add("p9_band_mask", lambda s, d: view(s, d, "ras_events").select("row", "col", spectrum.outside(F.col("row"), F.col("col"), 100, 10.0, 150.0).alias("outside")), "SELECT row, col, sqrt((row-50)^2+(col-50)^2) > round_even((2*pi()/150)/(2*pi()/1000),0) AS outside FROM ras_events")

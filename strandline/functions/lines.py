@@ -53,9 +53,9 @@ def extended(x: Column, n: int) -> Column:
 
 def distances(ends: Column, n: Column, cell: float) -> Column:
     """``n`` even steps along the line between two ends, in metres."""
-    dx, dy = ends["x2"] - ends["x1"], ends["y2"] - ends["y1"]
-    length = F.sqrt((dx * dx + dy * dy).cast("double")) * cell
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * F.coalesce(F.try_divide(length, (n - 1).cast("double")), F.lit(0.0)))
+    dx, dy = (ends[b].cast("double") - ends[a].cast("double") for a, b in (("x1", "x2"), ("y1", "y2")))  # squares of whole cells would overflow
+    length = F.sqrt(dx * dx + dy * dy)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_divide(i * length * cell, (n - 1).cast("double")), F.lit(0.0)))
 
 
 def spectrum_range(kx: Column, ky: Column, centre: Column, radius: Column, margin: int = 10) -> Column:
