@@ -27,8 +27,8 @@ def histogram(raster: DataFrame, low: float, high: float, bins: int) -> DataFram
 
 
 def radial_profile(raster: DataFrame, row: float, col: float) -> DataFrame:
-    r = F.rint(F.sqrt((F.col("col") - col) * (F.col("col") - col) + (F.col("row") - row) * (F.col("row") - row))).cast("int")
-    return raster.groupBy(r.alias("r")).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    x, y = F.col("col") - F.lit(float(col)), F.col("row") - F.lit(float(row))  # squares of whole cells would overflow
+    return raster.groupBy(F.rint(F.sqrt(x * x + y * y)).cast("int").alias("r")).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
 def directional_histogram(raster: DataFrame, row: float, col: float) -> DataFrame:

@@ -3,9 +3,17 @@
 from pyspark.sql import functions as F
 
 from strandline.functions import lines
+from strandline.operators import stats
 
 
 def test_distances_of_far_ends(spark):
     ends = spark.range(1).select(F.struct(*[F.lit(v).alias(n) for n, v in (("x1", -2_000_000_000), ("y1", 0), ("x2", 1_000_000_000), ("y2", 47))]).alias("e"))
     got = ends.select(lines.distances(F.col("e"), F.lit(5), 10.0)).first()[0]
     assert got == [i * (3e9**2 + 47**2) ** 0.5 * 10 / 4 for i in range(5)]
+
+
+def test_radial_profile_of_far_rows(spark):
+    far = spark.createDataFrame([("r", 1, 60_000, 40, 3.0), ("r", 1, 60_000, 60, 5.0), ("r", 1, 50, 51, 8.0)], "raster_id string, band int, row int, col int, value double")
+    profile = stats.radial_profile(far, 50, 50)
+    assert sorted(map(tuple, profile.collect())) == [(1, 8.0, 1), (59_950, 4.0, 2)]
+    assert stats.influence_radius(profile, 0.01).first()["peak"] == 1
