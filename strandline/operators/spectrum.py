@@ -235,8 +235,8 @@ def centroid_of(x: Column, y: Column, exponent: float, ratio: float) -> Column:
 
 def outside(row: Column, col: Column, n: int, resolution: float, wavelength: float) -> Column:
     """Whether a cell of a centred n x n spectrum lies outside of the circle of the wavelength's wave number."""
-    y, x = row - n // 2, col - n // 2
-    return F.sqrt((x * x + y * y).cast("double")) > F.rint(F.lit((2 * pi / wavelength) / (2 * pi / (n * resolution))))
+    y, x = row.cast("double") - n // 2, col.cast("double") - n // 2  # squares of whole cells would overflow
+    return F.sqrt(x * x + y * y) > F.rint(F.lit((2 * pi / wavelength) / (2 * pi / (n * resolution))))
 
 
 def dft(series: DataFrame, n: int) -> DataFrame:

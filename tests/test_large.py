@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.functions import lines
-from strandline.operators import stats
+from strandline.operators import spectrum, stats
 
 
 def test_distances_of_far_ends(spark):
@@ -17,3 +17,8 @@ def test_radial_profile_of_far_rows(spark):
     profile = stats.radial_profile(far, 50, 50)
     assert sorted(map(tuple, profile.collect())) == [(1, 8.0, 1), (59_950, 4.0, 2)]
     assert stats.influence_radius(profile, 0.01).first()["peak"] == 1
+
+
+def test_band_of_far_rows(spark):
+    cells = spark.createDataFrame([(60_000, 50), (50, 57), (50, 58)], "row int, col int")
+    assert [r[0] for r in cells.select(spectrum.outside(F.col("row"), F.col("col"), 100, 10.0, 150.0)).collect()] == [True, False, True]
