@@ -37,6 +37,14 @@ def _pairs(nodes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["bx", "by"]).drop("bx", "by").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
+def _foremost(points: DataFrame, k: int = 1) -> DataFrame:
+    """The points of the ``k`` smallest fids at each position: no others there are among the ``k`` nearest of a node, however many points share positions."""
+    if k == 1:
+        return points.groupBy("x", "y").agg(F.min("fid").alias("fid"), F.min_by("z", "fid").alias("z"))
+    rank = F.row_number().over(Window.partitionBy("x", "y").orderBy("fid"))
+    return points.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
+
 def _weighed(nodes: DataFrame, points: DataFrame, power: float) -> DataFrame:
     """(row, col, hit_fid, hit, a, b): sums of weighted values and of weights of all points at each node, and the point at the node itself, if any.
 
@@ -89,7 +97,7 @@ def invdist(nodes: DataFrame, points: DataFrame, power: float = 2.0, radius: flo
 def invdist_nearest(nodes: DataFrame, points: DataFrame, k: int = 4, power: float = 2.0, radius: float = 20.0) -> DataFrame:
     """``invdist`` over the ``k`` nearest points within the radius, ties by fid."""
     rank = F.row_number().over(Window.partitionBy("row", "col").orderBy("d2", "fid"))
-    near = _pairs(nodes, points, radius).withColumn("r", rank).where(F.col("r") <= k)
+    near = _pairs(nodes, _foremost(points, k), radius).withColumn("r", rank).where(F.col("r") <= k)
     w = F.when(F.col("d2") > 0, F.pow("d2", F.lit(-power / 2)))
     g = near.groupBy("row", "col").agg(F.min_by("z", F.when(F.col("d2") == 0, F.col("fid"))).alias("hit"), F.sum(w * F.col("z")).alias("a"), F.sum(w).alias("b"))
     return g.select("row", "col", F.coalesce("hit", F.try_divide("a", "b")).alias("value"))
@@ -103,17 +111,18 @@ def average(nodes: DataFrame, points: DataFrame, radius: float | None = None) ->
 
 
 def nearest(nodes: DataFrame, points: DataFrame, radius: float | None = None) -> DataFrame:
-    """Value of the nearest point, the smallest fid of several. Without radius the search begins near, by the points' density, and goes on four times as far for nodes without a point yet."""
-    wanted = lambda left, r: _pairs(left, points, r).groupBy("row", "col").agg(F.min_by("z", F.struct("d2", "fid")).alias("value"))
+    """Value of the nearest point, the smallest fid of several. Without radius the search begins near, by the positions' density, and goes on four times as far for nodes without a point yet."""
+    wanted = lambda left, points, r: _pairs(left, points, r).groupBy("row", "col").agg(F.min_by("z", F.struct("d2", "fid")).alias("value"))
     if radius is not None:
-        return wanted(nodes, radius)
+        return wanted(nodes, _foremost(points), radius)
+    points = materialise(_foremost(points), "positions")
     n, *box = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     found, left = [], nodes
     if not n:
         return nodes.limit(0).select("row", "col", F.lit(None).cast("double").alias("value"))
     radius = 2 * max(box[1] - box[0], box[3] - box[2], 1e-9) / n**0.5
     while True:
-        found.append(materialise(wanted(left, radius), "nearest"))
+        found.append(materialise(wanted(left, points, radius), "nearest"))
         left = materialise(left.join(found[-1], ["row", "col"], "left_anti"), "far-nodes")
         if left.isEmpty():
             return reduce(DataFrame.unionAll, found)

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from strandline.functions import lines
-from strandline.operators import spectrum, stats
+from strandline.operators import gridding, spectrum, stats
+from test_goldens import cells
 
 
 def test_distances_of_far_ends(spark):
@@ -22,3 +23,17 @@ def test_radial_profile_of_far_rows(spark):
 def test_band_of_far_rows(spark):
     cells = spark.createDataFrame([(60_000, 50), (50, 57), (50, 58)], "row int, col int")
     assert [r[0] for r in cells.select(spectrum.outside(F.col("row"), F.col("col"), 100, 10.0, 150.0)).collect()] == [True, False, True]
+
+
+def test_points_of_one_position_meet_nodes_once(spark, monkeypatch):
+    points = spark.range(5000).select(F.col("id").alias("fid"), *[(F.col("id") * k % n).cast("double").alias(c) for c, k, n in (("x", 7, 10), ("y", 3, 5))], (F.col("id") * 31 % 1009).cast("double").alias("z"))
+    nodes, known, met, pairs = gridding.grid(spark, 3, 2, 0, 0, 9, 6), points.collect(), [], gridding._pairs
+    monkeypatch.setattr(gridding, "_pairs", lambda nodes, points, radius: met.append(points.count()) or pairs(nodes, points, radius))
+    for r in (None, 4.0):
+        near = cells(gridding.nearest(nodes, points, r))
+        four = cells(gridding.invdist_nearest(nodes, points, 4, 2.0, r or 20.0))
+        for node in nodes.collect():
+            d = sorted(((node["gx"] - p["x"]) ** 2 + (node["gy"] - p["y"]) ** 2, p["fid"], p["z"]) for p in known)[:4]
+            at = node["row"], node["col"]
+            assert near[at] == d[0][2] and abs(four[at] - (d[0][2] if d[0][0] == 0 else sum(z / q for q, _, z in d) / sum(1 / q for q, _, _ in d))) < 1e-9
+    assert max(met) <= 4 * 10
