@@ -170,8 +170,8 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decode_tiff(data: bytes) -> tuple[np.ndarray, list[float] | None]:
-    """(bands x rows x columns, [x0, dx, y0, dy] or None) of a TIFF in strips or tiles, uncompressed or by LZW, Deflate or PackBits. Other files raise ValueError."""
+def _opened(data: bytes) -> tuple[tuple[int, int, int], str, list[float] | None, Iterator[tuple[int, int, int, np.ndarray]]]:
+    """((bands, rows, columns), NumPy type, transform or None, pieces) of a TIFF. A piece is a strip or tile, decoded when it is asked for: (first band, row, column, its values by band, row and column)."""
     import zlib
 
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
@@ -199,34 +199,59 @@ def decode_tiff(data: bytes) -> tuple[np.ndarray, list[float] | None]:
     w, h = (tags[322][0], tags[323][0]) if tiled else (width, min(tags.get(278, (height,))[0], height))
     places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
     across, down = -(-width // w), -(-height // h)
-    image = np.zeros((bands, height, width), np.dtype(order + kind))
-    for i, (start, size) in enumerate(zip(places, sizes, strict=True)):
-        plane, r, c = i // (across * down), i // across % down * h, i % across * w
-        rows = h if tiled else min(h, height - r)
-        part = np.frombuffer(unpack(data[start : start + size]), order + kind, rows * w * deep).reshape(rows, w, deep)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=part.dtype.newbyteorder("="))
-        part = np.moveaxis(part, 2, 0)[:, : height - r, : width - c]
-        image[plane * deep : (plane + 1) * deep, r : r + part.shape[1], c : c + part.shape[2]] = part
+    if len(places) != planes * across * down:
+        raise ValueError("not as many strips or tiles as the image takes")
+
+    def pieces() -> Iterator[tuple[int, int, int, np.ndarray]]:
+        for i, (start, size) in enumerate(zip(places, sizes, strict=True)):
+            plane, r, c = i // (across * down), i // across % down * h, i % across * w
+            rows = h if tiled else min(h, height - r)
+            part = np.frombuffer(unpack(data[start : start + size]), order + kind, rows * w * deep).reshape(rows, w, deep)
+            if predictor == 2:
+                part = np.cumsum(part, axis=1, dtype=part.dtype.newbyteorder("="))
+            yield plane * deep, r, c, np.moveaxis(part, 2, 0)[:, : height - r, : width - c]
+
     gt = None
     if 33550 in tags and 33922 in tags:
         sx, sy, tie = tags[33550][0], tags[33550][1], tags[33922]
         gt = [tie[3] - tie[0] * sx, sx, tie[4] + tie[1] * sy, -sy]
+    return (bands, height, width), order + kind, gt, pieces()
+
+
+def decode_tiff(data: bytes) -> tuple[np.ndarray, list[float] | None]:
+    """(bands x rows x columns, [x0, dx, y0, dy] or None) of a TIFF in strips or tiles, uncompressed or by LZW, Deflate or PackBits. Other files raise ValueError."""
+    size, kind, gt, pieces = _opened(data)
+    image = np.zeros(size, kind)
+    for b, r, c, part in pieces:
+        image[b : b + part.shape[0], r : r + part.shape[1], c : c + part.shape[2]] = part
     return image, gt
 
 
-def encode_tiff(image: np.ndarray, gt: list[float] | None = None, kind: str = "f4", nodata: float | None = None, epsg: int | None = None) -> bytes:
-    """A little-endian TIFF of float32 ("f4") or byte ("u1") samples, deflated, bands in planes of one strip each; with its transform, nodata value and reference system, if given. NaN becomes nodata in bytes."""
+#: Cells of one band that make a strip of a written TIFF, and that are read at one time.
+STRIP = 262_144
+
+
+def _tall(width: int) -> int:
+    """Rows of a strip."""
+    return max(1, STRIP // width)
+
+
+def _strip(part: np.ndarray, kind: str = "f4", nodata: float | None = None) -> bytes:
+    """Rows of a band as a deflated strip."""
     import zlib
 
-    bands, height, width = image.shape
     if kind == "u1":
-        image = np.where(np.isnan(image), nodata or 0, np.clip(np.rint(image), 0, 255))
-    strips = [zlib.compress(band.astype("<" + kind).tobytes()) for band in image]
-    strips = [x + b"\0" * (len(x) % 2) for x in strips]
-    body, places = b"".join(strips), [8 + sum(map(len, strips[:i])) for i in range(bands)]
+        part = np.where(np.isnan(part), nodata or 0, np.clip(np.rint(part), 0, 255))
+    data = zlib.compress(part.astype("<" + kind).tobytes())
+    return data + b"\0" * (len(data) % 2)
+
+
+def _file(strips: list[bytes], size: tuple[int, int, int], tall: int, gt: list[float] | None = None, kind: str = "f4", nodata: float | None = None, epsg: int | None = None) -> bytes:
+    """The TIFF of strips of ``tall`` rows, all of a band before those of the next."""
+    bands, height, width = size
+    places = np.cumsum([8, *map(len, strips)]).tolist()
     bits, form = (32, 3) if kind == "f4" else (8, 1)
-    entries = [(256, 4, (width,)), (257, 4, (height,)), (258, 3, (bits,) * bands), (259, 3, (8,)), (262, 3, (1,)), (273, 4, tuple(places)), (277, 3, (bands,)), (278, 4, (height,)), (279, 4, tuple(map(len, strips))), (284, 3, (2,)), (339, 3, (form,) * bands)]
+    entries = [(256, 4, (width,)), (257, 4, (height,)), (258, 3, (bits,) * bands), (259, 3, (8,)), (262, 3, (1,)), (273, 4, tuple(places[:-1])), (277, 3, (bands,)), (278, 4, (min(tall, height),)), (279, 4, tuple(map(len, strips))), (284, 3, (2,)), (339, 3, (form,) * bands)]
     if gt:
         entries += [(33550, 12, (gt[1], -gt[3], 0.0)), (33922, 12, (0.0, 0.0, 0.0, gt[0], gt[2], 0.0))]
     if epsg:  # a directory of three keys: projected or geographic model, cells as areas, the code
@@ -235,7 +260,7 @@ def encode_tiff(image: np.ndarray, gt: list[float] | None = None, kind: str = "f
     if nodata is not None:
         text = f"{nodata:g}".encode() + b"\0"
         entries.append((42113, 2, text))
-    start = 8 + len(body)
+    start = places[-1]
     table, extra, place = b"", b"", start + 2 + 12 * len(entries) + 4
     for tag, kind, values in entries:
         raw = values if kind == 2 else struct.pack("<" + FIELDS[kind][0] * len(values), *values)
@@ -244,7 +269,14 @@ def encode_tiff(image: np.ndarray, gt: list[float] | None = None, kind: str = "f
             extra += raw + b"\0" * (len(raw) % 2)
         else:
             table += struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
-    return b"II" + struct.pack("<HI", 42, start) + body + struct.pack("<H", len(entries)) + table + struct.pack("<I", 0) + extra
+    return b"".join([b"II" + struct.pack("<HI", 42, start), *strips, struct.pack("<H", len(entries)), table, struct.pack("<I", 0), extra])
+
+
+def encode_tiff(image: np.ndarray, gt: list[float] | None = None, kind: str = "f4", nodata: float | None = None, epsg: int | None = None) -> bytes:
+    """A little-endian TIFF of float32 ("f4") or byte ("u1") samples, deflated, bands in planes of strips of whole rows; with its transform, nodata value and reference system, if given. NaN becomes nodata in bytes."""
+    tall = _tall(image.shape[2])
+    strips = [_strip(band[r : r + tall], kind, nodata) for band in image for r in range(0, image.shape[1], tall)]
+    return _file(strips, image.shape, tall, gt, kind, nodata, epsg)
 
 
 def scan_tiff(spark: SparkSession, path: str) -> DataFrame:
@@ -254,27 +286,46 @@ def scan_tiff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_rasters(rasters: DataFrame) -> DataFrame:
-    """Pixels of TIFF files (raster_id, content), decoded on the executors a row at a time."""
+    """Pixels of TIFF files (raster_id, content), decoded on the executors a row at a time, strip by strip or tile by tile."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for stem, content in zip(frame["raster_id"], frame["content"], strict=True):
-                image, _ = decode_tiff(content)
-                cols = np.arange(image.shape[2], dtype=np.int32)
-                for b, band in enumerate(image):
-                    for r, line in enumerate(band):
-                        yield pd.DataFrame({"raster_id": stem, "band": np.int32(b + 1), "row": np.int32(r), "col": cols, "value": line.astype(float)})
+                for first, top, left, part in _opened(content)[3]:
+                    high, wide = _tall(part.shape[2]), part.shape[2]
+                    for b, band in enumerate(part):
+                        for r in range(0, len(band), high):
+                            lines = band[r : r + high]
+                            rows = np.arange(top + r, top + r + len(lines), dtype=np.int32)
+                            cols = np.arange(left, left + wide, dtype=np.int32)
+                            yield pd.DataFrame({"raster_id": stem, "band": np.int32(first + b + 1), "row": rows.repeat(wide), "col": np.tile(cols, len(lines)), "value": lines.astype(float).ravel()})
 
     return rasters.select("raster_id", "content").mapInPandas(run, PIXELS)
 
 
 def export_tiff(raster: DataFrame, rows: int, cols: int, bands: int = 1, **options) -> DataFrame:
-    """(raster_id, content): one GeoTIFF a raster, which must fit a task; null pixels are NaN, or nodata in bytes. ``options`` are those of ``encode_tiff``."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        image = np.full((bands, rows, cols), np.nan)
-        image[frame["band"] - 1, frame["row"], frame["col"]] = frame["value"]
-        return pd.DataFrame({"raster_id": [frame["raster_id"].iloc[0]], "content": [encode_tiff(image, **options)]})
-
-    return raster.groupBy("raster_id").applyInPandas(run, "raster_id string, content binary")
+    """(raster_id, content): one GeoTIFF a raster, whose strips are packed a task each and put together by one, so the file, not the raster, must fit a task and a value of 2 GB; null and missing pixels are NaN, or nodata in bytes. Pixels outside raise IndexError. ``options`` are those of ``encode_tiff``."""
+    tall, samples = _tall(cols), {k: v for k, v in options.items() if k in ("kind", "nodata")}
+    down = -(-rows // tall)
+
+    def blank(i: int) -> np.ndarray:
+        return np.full((min(tall, rows - i * tall), cols), np.nan)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        band, i = int(frame["band"].iloc[0]), int(frame["strip"].iloc[0])
+        if not (1 <= band <= bands and 0 <= i < down):
+            raise IndexError(f"pixels outside of {bands} x {rows} x {cols} cells")
+        part = blank(i)
+        part[frame["row"] - i * tall, frame["col"]] = frame["value"]
+        return pd.DataFrame({"raster_id": [frame["raster_id"].iloc[0]], "at": [(band - 1) * down + i], "data": [_strip(part, **samples)]})
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        found = dict(zip(frame["at"], frame["data"], strict=True))
+        strips = [found[k] if k in found else _strip(blank(k % down), **samples) for k in range(bands * down)]
+        return pd.DataFrame({"raster_id": [frame["raster_id"].iloc[0]], "content": [_file(strips, (bands, rows, cols), tall, **options)]})
+
+    cells = raster.select("raster_id", "band", F.floor(F.col("row") / tall).cast("int").alias("strip"), "row", "col", "value")
+    packed = cells.groupBy("raster_id", "band", "strip").applyInPandas(pack, "raster_id string, at int, data binary")
+    return packed.groupBy("raster_id").applyInPandas(join, "raster_id string, content binary")
 
 
 def random_raster(spark: SparkSession, width: int, height: int, bands: int = 1, low: int = 0, high: int = 255, seed: int = 1) -> DataFrame:

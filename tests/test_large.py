@@ -1,9 +1,12 @@
 """What must hold far from the origin and on rasters and layers that grow."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import lines
 from strandline.operators import gridding, spectrum, stats
+from strandline.sources import files
 from test_goldens import cells
 
 
@@ -37,3 +40,24 @@ def test_points_of_one_position_meet_nodes_once(spark, monkeypatch):
             at = node["row"], node["col"]
             assert near[at] == d[0][2] and abs(four[at] - (d[0][2] if d[0][0] == 0 else sum(z / q for q, _, z in d) / sum(1 / q for q, _, _ in d))) < 1e-9
     assert max(met) <= 4 * 10
+
+
+def test_tiff_of_many_strips(spark, monkeypatch):
+    image = np.random.default_rng(3).gamma(2, 60, (2, 23, 7)).astype("f4").astype(float)
+    image[np.random.default_rng(4).random(image.shape) < 0.1] = np.nan
+    image[1, 10:15] = np.nan
+    schema = "raster_id string, band int, row int, col int, value double"
+    pixels = spark.createDataFrame([(n, b + 1, r, c, float(v)) for n in "ab" for (b, r, c), v in np.ndenumerate(image) if not np.isnan(v)], schema)
+    monkeypatch.setattr(files, "STRIP", 40, raising=False)
+    for options in ({}, {"kind": "u1", "nodata": 255, "epsg": 32629, "gt": [10.0, 2.0, 50.0, -2.0]}):
+        written = files.export_tiff(pixels, 23, 7, 2, **options)
+        contents = {r["raster_id"]: bytes(r["content"]) for r in written.collect()}
+        assert sorted(contents) == ["a", "b"] and set(contents.values()) == {files.encode_tiff(image, **options)}
+        back, gt = files.decode_tiff(contents["a"])
+        assert gt == options.get("gt") and np.array_equal(back, np.where(np.isnan(image), 255, np.rint(image).clip(0, 255)) if options else image, equal_nan=True)
+        assert len(list(files._opened(contents["a"])[3])) == 2 * 5
+        read = {(r["raster_id"], r["band"] - 1, r["row"], r["col"]): r["value"] for r in files.decode_rasters(written).collect()}
+        assert len(read) == 2 * image.size and all(v is None if np.isnan(back[k[1:]]) else v == back[k[1:]] for k, v in read.items())
+    for rows, cols in ((22, 7), (23, 6), (20, 7)):
+        with pytest.raises(Exception, match="IndexError"):
+            files.export_tiff(pixels, rows, cols, 2).collect()
