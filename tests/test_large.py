@@ -1,5 +1,7 @@
 """What must hold far from the origin and on rasters and layers that grow."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,7 +57,9 @@ def test_tiff_of_many_strips(spark, monkeypatch):
         assert sorted(contents) == ["a", "b"] and set(contents.values()) == {files.encode_tiff(image, **options)}
         back, gt = files.decode_tiff(contents["a"])
         assert gt == options.get("gt") and np.array_equal(back, np.where(np.isnan(image), 255, np.rint(image).clip(0, 255)) if options else image, equal_nan=True)
-        assert len(list(files._opened(contents["a"])[3])) == 2 * 5
+        at = struct.unpack("<I", contents["a"][4:8])[0]
+        entries = [struct.unpack("<HHI", contents["a"][i : i + 8]) for i in range(at + 2, at + 2 + 12 * struct.unpack("<H", contents["a"][at : at + 2])[0], 12)]
+        assert {tag: n for tag, _, n in entries}[273] == 2 * 5  # strips
         read = {(r["raster_id"], r["band"] - 1, r["row"], r["col"]): r["value"] for r in files.decode_rasters(written).collect()}
         assert len(read) == 2 * image.size and all(v is None if np.isnan(back[k[1:]]) else v == back[k[1:]] for k, v in read.items())
     for rows, cols in ((22, 7), (23, 6), (20, 7)):
