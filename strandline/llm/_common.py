@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.lineage import materialise, tables  # noqa: F401
+from ..plans.lineage import files, materialise, tables  # noqa: F401
 
 #: Rows that a Python worker holds as Python objects at one time.
 ROWS = 128
@@ -116,8 +116,8 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [found.get(i, i) for i in range(n)]
 
 
-#: Bytes of features that a training sample may hold on the driver.
-SAMPLE_BYTES = 48 << 20
+#: Bytes of features that a training sample may hold on the driver; and files that its some thousand rows go into.
+SAMPLE_BYTES, SAMPLE_FILES = 48 << 20, 32
 
 
 def sampled_features(sample: DataFrame, make: Callable[[], Callable], keep: list[str], max_bytes: int = SAMPLE_BYTES) -> list:
@@ -128,7 +128,7 @@ def sampled_features(sample: DataFrame, make: Callable[[], Callable], keep: list
     """
     features = derive(sample, make, ["text"], "at binary, x binary", keep=["doc_id", *keep])
     one = features.groupBy("doc_id").agg(F.min(F.struct(*keep, "at", "x")).alias("r")).select("doc_id", "r.*")
-    one = materialise(one, "sample")
+    one = materialise(one.coalesce(SAMPLE_FILES), "sample")
     sizes = sorted((r[0], r[1], r[2]) for r in one.select(F.xxhash64("doc_id"), "doc_id", F.octet_length("at") + F.octet_length("x")).collect())
     wanted, held = [], 0
     for _, doc_id, size in sizes:

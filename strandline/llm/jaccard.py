@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import HUB, HUBS, components
-from ._common import ROWS, arrow_schema, derive, even_keys, generate, materialise, parse, partitions, shingle_hashes, small_batches
+from ._common import ROWS, arrow_schema, derive, even_keys, files, generate, materialise, parse, partitions, shingle_hashes, small_batches
 
 #: Similarity in hundredths from which documents link.
 PERCENT = 75
@@ -80,10 +80,15 @@ def _distinct(ranked: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, np.int64)
 
 
-def _ranges(documents: DataFrame) -> int:
+def _counts(documents: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of all texts."""
+    rows, held = documents.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return rows, int(held or 0)
+
+
+def _ranges(spark: SparkSession, held: int) -> int:
     """So many ranges of hashes that one holds about RANGE_BYTES of text's shingles; at least the session's shuffle partitions."""
-    held = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(partitions(documents.sparkSession), -(-int(held) // RANGE_BYTES))
+    return max(partitions(spark), -(-held // RANGE_BYTES))
 
 
 def _dealt(documents: DataFrame, n: int) -> DataFrame:
@@ -223,13 +228,13 @@ def _shared(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def sets(documents: DataFrame, percent: int = PERCENT, held: int | None = None) -> DataFrame:
     """(doc_id, text_hash, n_shingles, set_key, shingles, anchors) of every document. Equal sets have equal keys, empty ones null.
 
     ``shingles`` (shared ones) and ``anchors`` (the rarest of these, whose regions the set joins; packed as 64-bit integers both) are null for a set that can't
-    link to another: it has fewer shared shingles than a link needs, or its prefix of rare shingles has no shared one.
+    link to another: it has fewer shared shingles than a link needs, or its prefix of rare shingles has no shared one. ``held``: the bytes of all texts, where they are known.
     """
-    n = _ranges(documents)
+    n = _ranges(documents.sparkSession, _counts(documents)[1] if held is None else held)
     ordered = _shared(_dealt(documents, n)).repartition(n, "blob").sortWithinPartitions("blob")
 
     def make():
@@ -489,14 +494,16 @@ def _blocks(wide: DataFrame, block: int) -> DataFrame:
     return placed.withColumn("x", F.explode(there)).select("region", F.col("x.own").alias("i"), F.col("x.other").alias("j"), "node", "n", "shingles", "label")
 
 
-def links(found: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, depth: int = DEPTH, block: int = BLOCK, wide_from: float = WIDE) -> DataFrame:
-    """(node, root): sets that are linked to others, directly or by a chain, with the smallest of these. ``found``: node (a number), n, shingles, anchors, a row a set."""
-    groups = components(_stars(found.select("node", "anchors")))
-    todo = materialise(found.join(groups, "node").select(F.hex("root").alias("region"), "node", "n", "shingles", F.col("node").alias("label")), "members")
+def links(found: DataFrame, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, depth: int = DEPTH, block: int = BLOCK, wide_from: float = WIDE, most: tuple[int, int, int] | None = None) -> DataFrame:
+    """(node, root): sets that are linked to others, directly or by a chain, with the smallest of these. ``found``: node (a number), n, shingles, anchors, a row a set;
+    ``most``: how many rows, shingles and anchors it has at most, where that is known."""
+    rows, shingles, anchors = most or (None, 0, None)
+    groups = components(_stars(found.select("node", "anchors")), anchors)
+    todo = materialise(found.join(groups, "node").select(F.hex("root").alias("region"), "node", "n", "shingles", F.col("node").alias("label")), "members", rows, 8 * shingles)
     whole, out = None, []  # links of whole groups, which are components as they are; of parts of groups
     held = F.sum(F.octet_length("shingles") / 8).cast("long")
     for level in range(depth + 1):
-        counted = materialise(todo.groupBy("region").agg(F.count("*").alias("members"), held.alias("held")), "regions")
+        counted = materialise(todo.groupBy("region").agg(F.count("*").alias("members"), held.alias("held")), "regions", rows if level == 0 else None)
         small = (F.col("members") <= leaf) & (F.col("held") <= LEAF_SHINGLES)
         large = counted.where(~small)
         done = large.isEmpty()
@@ -569,18 +576,20 @@ def _numbered(all_sets: DataFrame) -> DataFrame:
     raise RuntimeError("no seed tells the keys apart")
 
 
-def classes(documents: DataFrame, percent: int = PERCENT, **options) -> DataFrame:
+def classes(documents: DataFrame, percent: int = PERCENT, held: int | None = None, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, component) of every row: the size of its set, and the smallest doc_id that links reach from it, itself included;
     text_hash is xxhash64 of its text, component tells its class (null for an empty set).
 
     Null and empty texts have the empty set and are alone, as is a row with a null id unless rows with ids are linked to it. Repeated rows get equal results; extra
     columns are left out. ``documents`` should come straight from a table, so that a repeated task reads the same rows; write it first if it comes from a shuffle.
     """
-    all_sets = _numbered(materialise(sets(documents, percent), "sets"))
+    all_sets = _numbered(materialise(sets(documents, percent, held), "sets"))
+    rows, *most = all_sets.agg(F.count("*"), F.count("anchors"), F.sum(F.when(F.col("anchors").isNotNull(), F.col("n_shingles"))), F.sum(F.octet_length("anchors") / 8).cast("long")).first()
+    most = tuple(n or 0 for n in most)
     found = all_sets.where("anchors IS NOT NULL").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.first("anchors").alias("anchors"))
     firsts = all_sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    joined = materialise(firsts.join(links(found, percent, **options), "node", "left").select("node", "first", "root"), "firsts")
-    least = materialise(joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("sets")), "least")
+    joined = materialise(firsts.join(links(found, percent, most=most, **options), "node", "left").select("node", "first", "root"), "firsts", rows)
+    least = materialise(joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("sets")), "least", rows)
     # classes of very many sets are told by broadcast: each has more than an even share of all sets, so there are at most HUBS of them
     hub = max(HUB, (least.agg(F.sum("sets")).first()[0] or 0) // HUBS)
     often = F.broadcast(least.where(F.col("sets") > hub).select("root", F.col("least").alias("often")))
@@ -595,12 +604,14 @@ def one_of_each(documents: DataFrame, percent: int = PERCENT, **options) -> Data
     """Of each class of linked documents the one with the smallest (doc_id, text_hash), nulls last; a document with the empty set is alone. All columns stay.
 
     Rows of one doc_id and one text are one document: the first in the order of their JSON stays. Rows that share a doc_id but not the text are told apart.
+    They come in as few partitions as their texts fill, but two for each core at least.
     """
-    found = materialise(classes(documents, percent, **options).select("doc_id", "text_hash", "component"), "classes")
+    rows, held = _counts(documents)
+    found = materialise(classes(documents, percent, held, **options).select("doc_id", "text_hash", "component"), "classes", rows)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     linked = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("f"), F.count("*").alias("times")).select("f.doc_id", "f.text_hash", "times")
     alone = found.where(F.col("component").isNull()).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
-    kept = materialise(linked.unionByName(alone).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "times"), "kept")
+    kept = materialise(linked.unionByName(alone).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "times"), "kept", rows)
     places = [f"c{i}" for i in range(len(documents.columns))]
     rows = documents.select(F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"), *[F.col(f"`{c}`").alias(p) for c, p in zip(documents.columns, places, strict=True)])
     same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash"))
@@ -608,4 +619,5 @@ def one_of_each(documents: DataFrame, percent: int = PERCENT, **options) -> Data
     several = rows.join(kept.where("times > 1").select("id", "hash"), same)  # a class of one row has no repeated rows
     whole = F.struct(*places)
     first = several.groupBy("id", "hash").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
-    return single.unionAll(first).toDF(*documents.columns)
+    full = max(files(size=held), 2 * documents.sparkSession.sparkContext.defaultParallelism)
+    return single.unionAll(first).toDF(*documents.columns).coalesce(full)

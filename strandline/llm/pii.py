@@ -158,8 +158,8 @@ def _may_be(kind: str, value: Column) -> Column:
     return (F.length(_digits(value)) >= 7) & ~value.rlike("[A-Za-z]")
 
 
-def discover(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, kind, start, end): further spans that confident patterns tell. ``found``: doc_id, text_hash and the columns of ``find``, materialised; ``rounds``: None for as many as find new ones.
+def discover(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = None, most: int | None = None) -> DataFrame:
+    """(doc_id, text_hash, kind, start, end): further spans that confident patterns tell. ``found``: doc_id, text_hash and the columns of ``find``, materialised; ``rounds``: None for as many as find new ones; ``most``: how many occurrences there are, where that is known.
 
     Occurrences are first counted per pattern and value, so a frequent pattern costs no more than its different values.
     """
@@ -168,7 +168,7 @@ def discover(found: DataFrame, support: int = SUPPORT, confidence: float = CONFI
     there = lambda *sides: F.when(reduce(lambda a, b: a & b, [F.col(c) != "" for c in ("left", "right") if c in sides]), F.concat_ws("\n", *[c if c in sides else F.lit("") for c in ("left", "right")]))
     context = F.array_compact(F.array(there("left"), there("left", "right"), there("right")))
     graph = occurrences.select("kind", "value", F.explode(context).alias("pattern")).groupBy("pattern", "kind", "value").agg(F.lit(1.0).alias("w"))
-    graph = materialise(graph, "pii-graph")
+    graph = materialise(graph, "pii-graph", None if most is None else 3 * most)
     seeds = graph.where("kind <> 'other'")
     candidates = graph.where("kind = 'other'").select("pattern", "value")
     never = F.array(*[F.sum(F.when(~_may_be(k, F.col("value")), 1).otherwise(0)) for k in KINDS])
@@ -205,8 +205,9 @@ def _base(kinds: list[str]) -> Column:
 def _learnt(documents: DataFrame, **options) -> tuple[DataFrame, DataFrame | None]:
     """(what the fixed patterns find, further spans by row or None for none). The texts are scanned once; what was found, without them, is written to the shared folder."""
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    found = materialise(find(rows, ["doc_id", "text_hash"]), "pii-found")
-    added = discover(found, **options)
+    times = reduce(lambda a, b: a + b, [F.size(k).cast("long") for k in (*KINDS, "other")])
+    found = materialise(find(rows, ["doc_id", "text_hash"]).withColumn("times", times), "pii-found")
+    added = discover(found, most=found.agg(F.sum("times")).first()[0] or 0, **options)
     if added.isEmpty():
         return found, None
     number = reduce(lambda a, k: a.when(F.col("kind") == KINDS[k], F.lit(k)), range(len(KINDS)), F.when(F.lit(False), F.lit(0)))

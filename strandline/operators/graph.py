@@ -60,13 +60,13 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").where("a <> b").mapInPandas(run, edges.select("a", "b").schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of the ``edges`` (a, b): root is the smallest node of the component. Nulls and loops are no edges.
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, root) of all nodes of the ``edges`` (a, b), at most ``most`` rows where that is known: root is the smallest node of the component. Nulls and loops are no edges.
 
     Large-star and small-star steps (Kiveris et al., 2014) until nothing changes; each round is written to the shared folder. A node's smallest neighbour is
     found with partial aggregation. At most HUBS nodes are hubs, as each has more than an even share of all edges; they are broadcast.
     """
-    stars = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    stars = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", most)
     mark = None
     while True:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 2147483647)).first()

@@ -25,17 +25,25 @@ def tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
 
 
-#: Rows of two or three numbers that make one file.
-ROWS_A_FILE = 250_000
+#: Rows of two or three numbers, and bytes of long columns, that make one file; and so many that a further file is worth a task, up to eight.
+ROWS_A_FILE, BYTES_A_FILE = 250_000, 16 << 20
+ROWS_A_TASK, BYTES_A_TASK = 25_000, 1 << 20
 
 
-def materialise(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+def files(rows: int = 0, size: int = 0) -> int:
+    """How many files a table fills that has at most so many rows of a few numbers, and so many bytes in long columns."""
+    few = max(-(-rows // ROWS_A_TASK), -(-size // BYTES_A_TASK))
+    return max(1, min(8, few), -(-rows // ROWS_A_FILE), -(-size // BYTES_A_FILE))
+
+
+def materialise(df: DataFrame, name: str, most: int | None = None, size: int = 0) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again, so a lost executor costs one read. ``clear`` deletes what was written.
 
-    A narrow table of at most ``most`` rows, where that is known, goes into as few files as they fill, eight at least.
+    A table of at most ``most`` rows, where that is known, goes into as few files as they fill, with at most ``size`` bytes in long columns. Without Hadoop's native
+    library, an executor starts processes for the permissions of every file that it writes, so many small files cost more than their rows.
     """
     path = f"{tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df if most is None else df.coalesce(max(8, -(-most // ROWS_A_FILE)))).write.parquet(path)
+    (df if most is None else df.coalesce(files(most, size))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

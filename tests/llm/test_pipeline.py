@@ -59,3 +59,27 @@ def test_run_and_empty(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_small_tables_make_few_files(spark, folder):
+    """Files follow the rows, not the shuffle partitions: executors start processes for each file that they write."""
+    from glob import glob
+
+    from strandline.plans.lineage import tables
+
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    at, docs = tables(spark).removeprefix("file:"), spark.read.parquet(f"{folder}/documents.parquet")
+    known = set(glob(f"{at}/*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        good = corpus_pipeline.good_quality(spark, docs, folder)
+        one = corpus_pipeline.one_of_near_copies(spark, docs, folder)
+        corpus_pipeline.without_personal_data(spark, docs, folder)
+        assert good.count() > 90 and one.count() > 90 and one.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {d: len(glob(f"{d}/*.parquet")) for d in set(glob(f"{at}/*")) - known}
+    assert len(files) > 10 and all(n <= (32 if "/sample-" in d else 8) for d, n in files.items())
