@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.lineage import files, materialise, tables  # noqa: F401
+from ..plans.lineage import filled, files, materialise, tables  # noqa: F401
 
 #: Rows that a Python worker holds as Python objects at one time.
 ROWS = 128

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import HUB, HUBS, components
-from ._common import ROWS, arrow_schema, derive, even_keys, files, generate, materialise, parse, partitions, shingle_hashes, small_batches
+from ._common import ROWS, arrow_schema, derive, even_keys, filled, files, generate, materialise, parse, partitions, shingle_hashes, small_batches
 
 #: Similarity in hundredths from which documents link.
 PERCENT = 75
@@ -583,7 +583,8 @@ def classes(documents: DataFrame, percent: int = PERCENT, held: int | None = Non
     Null and empty texts have the empty set and are alone, as is a row with a null id unless rows with ids are linked to it. Repeated rows get equal results; extra
     columns are left out. ``documents`` should come straight from a table, so that a repeated task reads the same rows; write it first if it comes from a shuffle.
     """
-    all_sets = _numbered(materialise(sets(documents, percent, held), "sets"))
+    held = _counts(documents)[1] if held is None else held
+    all_sets = _numbered(materialise(filled(sets(documents, percent, held), held), "sets"))
     rows, *most = all_sets.agg(F.count("*"), F.count("anchors"), F.sum(F.when(F.col("anchors").isNotNull(), F.col("n_shingles"))), F.sum(F.octet_length("anchors") / 8).cast("long")).first()
     most = tuple(n or 0 for n in most)
     found = all_sets.where("anchors IS NOT NULL").groupBy("node").agg(F.first("n_shingles").cast("int").alias("n"), F.first("shingles").alias("shingles"), F.first("anchors").alias("anchors"))
@@ -597,7 +598,7 @@ def classes(documents: DataFrame, percent: int = PERCENT, held: int | None = Non
     told = joined.join(often, "root", "left").join(seldom, F.when(F.col("often").isNull(), F.col("root")) == F.col("r"), "left")
     ends = told.select("node", F.coalesce("often", "seldom", "first").alias("reached"), F.coalesce("root", "node").alias("component"))
     whole = all_sets.select("doc_id", "n_shingles", "text_hash", "node").join(ends, "node", "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "text_hash", "component")
+    return whole.select("doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"), "text_hash", "component").coalesce(files(rows))
 
 
 def one_of_each(documents: DataFrame, percent: int = PERCENT, **options) -> DataFrame:
@@ -619,5 +620,4 @@ def one_of_each(documents: DataFrame, percent: int = PERCENT, **options) -> Data
     several = rows.join(kept.where("times > 1").select("id", "hash"), same)  # a class of one row has no repeated rows
     whole = F.struct(*places)
     first = several.groupBy("id", "hash").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
-    full = max(files(size=held), 2 * documents.sparkSession.sparkContext.defaultParallelism)
-    return single.unionAll(first).toDF(*documents.columns).coalesce(full)
+    return filled(single.unionAll(first).toDF(*documents.columns), held)

@@ -25,8 +25,8 @@ def _told(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
     return rest.select("v", "m").unionAll(edges.join(hubs, "u").select("v", "m"))
 
 
-#: Nodes that a task holds at one time while it contracts edges.
-HELD = 500_000
+#: Nodes that a task holds at one time while it contracts edges; and edges up to which one task contracts a whole graph, of fewer nodes than that.
+HELD, ALONE = 500_000, 200_000
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root) of all nodes of the ``edges`` (a, b), at most ``most`` rows where that is known: root is the smallest node of the component. Nulls and loops are no edges.
 
-    Large-star and small-star steps (Kiveris et al., 2014) until nothing changes; each round is written to the shared folder. A node's smallest neighbour is
+    A graph of at most ALONE edges is contracted in one task. Larger ones take large-star and small-star steps (Kiveris et al., 2014) until nothing changes; each round is
+    written to the shared folder. A node's smallest neighbour is
     found with partial aggregation. At most HUBS nodes are hubs, as each has more than an even share of all edges; they are broadcast.
     """
     stars = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", most)
@@ -72,6 +73,9 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 2147483647)).first()
         if now == mark or not now[0]:
             break
+        if now[0] <= ALONE:
+            stars = materialise(contracted(stars.select(F.col("v").alias("a"), F.col("u").alias("b")).coalesce(1)).select(F.col("b").alias("u"), F.col("a").alias("v")), "stars", now[0])
+            break
         mark = now
         hub = max(HUB, 2 * now[0] // HUBS)
         both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))

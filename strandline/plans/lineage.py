@@ -28,6 +28,8 @@ def tables(spark: SparkSession) -> str:
 #: Rows of two or three numbers, and bytes of long columns, that make one file; and so many that a further file is worth a task, up to eight.
 ROWS_A_FILE, BYTES_A_FILE = 250_000, 16 << 20
 ROWS_A_TASK, BYTES_A_TASK = 25_000, 1 << 20
+#: Bytes of text, before compression, whose rows make one file.
+TEXT_A_FILE = 64 << 20
 
 
 def files(rows: int = 0, size: int = 0) -> int:
@@ -36,6 +38,11 @@ def files(rows: int = 0, size: int = 0) -> int:
     return max(1, min(8, few), -(-rows // ROWS_A_FILE), -(-size // BYTES_A_FILE))
 
 
+def filled(df: DataFrame, size: int) -> DataFrame:
+    """The table in as few partitions as ``size`` bytes of text fill, but two for each core at least."""
+    return df.coalesce(max(-(-size // TEXT_A_FILE), 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def materialise(df: DataFrame, name: str, most: int | None = None, size: int = 0) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again, so a lost executor costs one read. ``clear`` deletes what was written.
 

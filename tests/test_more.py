@@ -242,6 +242,24 @@ def test_intermediate_tables_can_be_deleted(spark):
     assert lineage.few(spark.range(3).toDF("a"), "few", 2).count() == 3
 
 
+@pytest.mark.parametrize("alone", [0, 200_000])
+def test_components_in_one_task_and_in_rounds(spark, alone, monkeypatch):
+    from strandline.operators import graph
+
+    monkeypatch.setattr(graph, "ALONE", alone)
+    edges = [(i, i + 3) for i in range(0, 60) if i % 10 < 6] + [(7, 7), (None, 1), (90, 80), (80, 90)]
+    up = {i: i for e in edges if None not in e and e[0] != e[1] for i in e}
+    for _ in up:
+        for a, b in edges:
+            if a in up and b in up:
+                up[a] = up[b] = min(up[a], up[b])
+    at = lineage.tables(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(up.items())
+    assert alone == 0 or len(set(os.listdir(at)) - before) == 2
+
+
 def test_spectra_of_directions_and_profiles():
     n = 64
     y, x = np.indices((n, n))
